@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import license_scan, packing, quality_rules, sentencepiece_codec, sharding, url_filter
+from heddle.llm import embedding_dedup, license_scan, ngram_join, packing, quality_rules, sentencepiece_codec, sharding, url_filter
 from heddle.llm.common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -39,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
@@ -52,13 +56,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
     "op8_sharding": op8_sharding,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
