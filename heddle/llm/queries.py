@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import embedding_dedup, license_scan, ngram_join, packing, quality_rules, sentencepiece_codec, sharding, url_filter
+from heddle.llm import embedding_dedup, kneser_ney, license_scan, maxent_lm, ngram_join, packing, quality_rules, sentencepiece_codec, sharding, url_filter
 from heddle.llm.common import table
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -35,6 +35,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.Classifier().judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -60,15 +64,21 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
+    "op3_kneser_ney": op3_kneser_ney,
     "op4_quality_rules": op4_quality_rules,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
     "op8_sharding": op8_sharding,
     "op9_ngram_join": op9_ngram_join,
+    "op10_maxent_lm": op10_maxent_lm,
 }
 
 ORACLES: dict[str, str] = {
