@@ -131,6 +131,8 @@ def log_probabilities(weights: np.ndarray, bias: np.ndarray, history: np.ndarray
 
 def history_counts(docs: DataFrame, classes: Classes) -> DataFrame:
     """one (class of the previous word), n: counts of (the class before it, next class) as packed long values."""
+    schema = "one long, at binary, n binary"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         n = np.zeros(CLASSES**3, np.int64)
@@ -141,7 +143,7 @@ def history_counts(docs: DataFrame, classes: Classes) -> DataFrame:
         rows = n.reshape(CLASSES, -1)
         some = np.flatnonzero(rows.any(axis=1))
         sparse = [np.flatnonzero(rows[k]) for k in some]
-        yield pa.RecordBatch.from_pydict({"one": some, "at": [x.astype(np.int32).tobytes() for x in sparse], "n": [rows[k][x].tobytes() for k, x in zip(some, sparse, strict=True)]}, schema=to_arrow_schema(StructType.fromDDL("one long, at binary, n binary")))
+        yield pa.RecordBatch.from_pydict({"one": some, "at": [x.astype(np.int32).tobytes() for x in sparse], "n": [rows[k][x].tobytes() for k, x in zip(some, sparse, strict=True)]}, schema=arrow)
 
     def add(t: pa.Table) -> pa.Table:
         n = np.zeros(CLASSES**2, np.int64)
@@ -149,41 +151,45 @@ def history_counts(docs: DataFrame, classes: Classes) -> DataFrame:
             n[np.frombuffer(at, np.int32)] += np.frombuffer(x, np.int64)
         return pa.table({"one": [t.column("one")[0].as_py()], "n": pa.array([n.tobytes()], pa.binary())})
 
-    found = docs.select("text").mapInArrow(run, "one long, at binary, n binary")
+    found = docs.select("text").mapInArrow(run, schema)
     return materialize(found.groupBy("one").applyInArrow(add, "one long, n binary"), "histories")
 
 
+def _step(counts: DataFrame, weights: np.ndarray, bias: np.ndarray, prior: float) -> DataFrame:
+    """feature, w: the next weights of every feature that occurs."""
+    shared = counts.sparkSession.sparkContext.broadcast((weights, bias))
+
+    def gradient(b):
+        w, base = shared.value
+        total: dict[int, np.ndarray] = {}
+        for one, n in zip(column(b, "one"), column(b, "n"), strict=True):
+            n = np.frombuffer(n, np.int64).reshape(CLASSES, CLASSES).astype(np.float64)
+            seen = np.flatnonzero(n.any(axis=1))
+            history = one * CLASSES + seen
+            n = n[seen]
+            expected = np.exp(log_probabilities(w, base, history)) * n.sum(axis=1, keepdims=True)
+            for f, row, e in zip(features(history), n, expected, strict=True):
+                for k in f:
+                    total.setdefault(int(k), np.zeros((2, CLASSES)))
+                    total[int(k)] += np.stack([row, e])
+        return {"feature": list(total), "g": [x.tobytes() for x in total.values()]}
+
+    def update(t: pa.Table) -> pa.Table:
+        """The new weights of one feature from its observed and expected counts."""
+        k = t.column("feature")[0].as_py()
+        seen, expected = sum(np.frombuffer(x).reshape(2, CLASSES) for x in t.column("g").to_pylist())
+        w = shared.value[0][k]
+        step = (seen - expected - prior * w) / (3 * (expected + prior))
+        return pa.table({"feature": [k], "w": pa.array([(w + np.clip(step, -1.5, 1.5)).astype(np.float32).tobytes()], pa.binary())})
+
+    return map_arrow(counts.repartition("one"), gradient, "feature long, g binary").groupBy("feature").applyInArrow(update, "feature long, w binary")
+
+
 def train(counts: DataFrame, bias: np.ndarray, steps: int = 8, prior: float = 2.0) -> np.ndarray:
     """Weights after so many full-gradient steps, each scaled by the model's own expectations."""
-    sc = counts.sparkSession.sparkContext
     weights = np.zeros((FEATURES, CLASSES), np.float32)
     for _ in range(steps):
-        shared = sc.broadcast((weights, bias))
-
-        def gradient(b, shared=shared):
-            w, base = shared.value
-            total: dict[int, np.ndarray] = {}
-            for one, n in zip(column(b, "one"), column(b, "n"), strict=True):
-                n = np.frombuffer(n, np.int64).reshape(CLASSES, CLASSES).astype(np.float64)
-                seen = np.flatnonzero(n.any(axis=1))
-                history = one * CLASSES + seen
-                n = n[seen]
-                expected = np.exp(log_probabilities(w, base, history)) * n.sum(axis=1, keepdims=True)
-                for f, row, e in zip(features(history), n, expected, strict=True):
-                    for k in f:
-                        total.setdefault(int(k), np.zeros((2, CLASSES)))
-                        total[int(k)] += np.stack([row, e])
-            return {"feature": list(total), "g": [x.tobytes() for x in total.values()]}
-
-        def update(t: pa.Table, shared=shared) -> pa.Table:
-            """The new weights of one feature from its observed and expected counts."""
-            k = t.column("feature")[0].as_py()
-            seen, expected = sum(np.frombuffer(x).reshape(2, CLASSES) for x in t.column("g").to_pylist())
-            w = shared.value[0][k]
-            step = (seen - expected - prior * w) / (3 * (expected + prior))
-            return pa.table({"feature": [k], "w": pa.array([(w + np.clip(step, -1.5, 1.5)).astype(np.float32).tobytes()], pa.binary())})
-
-        found = map_arrow(counts.repartition("one"), gradient, "feature long, g binary").groupBy("feature").applyInArrow(update, "feature long, w binary").toPandas()
+        found = _step(counts, weights, bias, prior).toPandas()
         weights = weights.copy()
         for k, w in zip(found["feature"], found["w"], strict=True):
             weights[k] = np.frombuffer(w, np.float32)
