@@ -61,7 +61,7 @@ def _signature(s: np.ndarray) -> bytes | None:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -73,13 +73,14 @@ def _rows(docs: DataFrame) -> DataFrame:
         often = c >= LOCAL_COUNT
         return {
             "doc_id": b.column(0),
+            "text_key": b.column(2),
             "n": [len(s) for s in sets],
             "sig": [_signature(s) for s in sets],
             "often": [h[often].view(np.int64), *[None] * (len(sets) - 1)],
             "counts": [c[often], *[None] * (len(sets) - 1)],
         }
 
-    return map_arrow(_texts(docs), run, "doc_id long, n long, sig binary, often array<long>, counts array<long>")
+    return map_arrow(_texts(docs), run, "doc_id long, text_key long, n long, sig binary, often array<long>, counts array<long>")
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -254,12 +255,17 @@ def _across(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, rows: DataFrame | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs (doc_id, text).
 
     Two documents link when 100 * intersection >= percent * union of their sets of
     five-word shingles.
     """
+    return _grouped(docs, percent).drop("text_key")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates() with text_key, a hash of the row's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(_rows(docs), "rows")
     classes = _classes(docs, _frequent(rows), percent)
@@ -285,16 +291,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, rows: DataFrame | None =
     ids = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id")).join(own, "sig")
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
     of = ids.join(least, "component").select("sig", "component_id")
-    full = rows.where("n > 0").join(of, "sig").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
+    full = rows.where("n > 0").join(of, "sig").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
+    return full.union(rows.where("n = 0").select("doc_id", "text_key", "n", "doc_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each group the one row with the smallest id, and all rows without an id.
+    """The rows of docs that stay, with all their columns: of each group the document with the smallest id.
 
-    Of rows that repeat that id one stays (of the smallest text and columns in Spark's hash order).
+    Rows with the same id and text are one document. A group without any id keeps a
+    row of each text. The texts themselves aren't shuffled unless rows repeat, or
+    more than BROADCAST_IDS documents go.
     """
-    found = near_duplicates(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k").unionByName(docs.where("doc_id is null"))
+    found = _grouped(docs, percent).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c"))
+    goes = ~F.col("doc_id").eqNullSafe(F.col("c"))
+    marks = materialize(found.where(goes | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), goes.alias("_goes")), "marks")
+    small = marks.count() <= BROADCAST_IDS
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    joined = docs.join(F.broadcast(marks) if small else marks, here, "left")
+    once = joined.where("_goes is null").select(docs.columns)
+    return once.unionByName(joined.where("not _goes").select(docs.columns).dropDuplicates(["doc_id", "text"]))

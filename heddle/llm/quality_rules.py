@@ -125,28 +125,28 @@ RULES = (
 )
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, seed: int = 7) -> list[dict]:
-    """Cost and selectivity of each rule on at most sample_rows sampled texts.
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.02, seed: int = 7) -> list[dict]:
+    """Cost and selectivity of each rule on a sampled share of the texts, measured where they lie.
 
-    The sample decides only the order of the rules. An empty sample keeps the
-    given order.
+    Only a few sums per rule reach the driver, and the sample decides only the
+    order of the rules. An empty sample keeps the given order.
     """
 
     def measure(batches):
-        texts = [Text(x) for b in batches for x in column(b, "text")]
-        texts = [t for t in texts if not t.base_failed]
-        rows = []
-        for k, r in enumerate(rules):
-            began = time.process_time()
-            hit = sum(r.rejects(t) for t in texts)
-            n = max(1, len(texts))
-            rows.append((k, r.name, (time.process_time() - began) / n, hit / n, len(texts)))
-        kinds = (pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["k", "rule", "cost", "selectivity", "n"])
-
-    sample = docs.select(F.col("text").cast("binary").alias("text")).sample(0.1, seed).limit(sample_rows).coalesce(1)
-    found = sample.mapInArrow(measure, "k int, rule string, cost double, selectivity double, n long").collect()
-    return [r.asDict() for r in found]
+        seconds, hits, n = [0.0] * len(rules), [0] * len(rules), 0
+        for b in batches:
+            texts = [t for t in map(Text, column(b, "text")) if not t.base_failed]
+            n += len(texts)
+            for k, r in enumerate(rules):
+                began = time.process_time()
+                hits[k] += sum(r.rejects(t) for t in texts)
+                seconds[k] += time.process_time() - began
+        kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((range(len(rules)), seconds, hits, [n] * len(rules)), kinds, strict=True)], ["k", "seconds", "hits", "n"])
+
+    sample = docs.select(F.col("text").cast("binary").alias("text")).sample(share, seed)
+    sums = sample.mapInArrow(measure, "k int, seconds double, hits long, n long").groupBy("k").agg(F.sum("seconds").alias("seconds"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    return [{"k": r.k, "rule": rules[r.k].name, "cost": r.seconds / max(1, r.n), "selectivity": r.hits / max(1, r.n), "n": r.n} for r in sums.collect()]
 
 
 def ordered(rules: tuple[Rule, ...], stats: list[dict]) -> tuple[Rule, ...]:
@@ -155,10 +155,10 @@ def ordered(rules: tuple[Rule, ...], stats: list[dict]) -> tuple[Rule, ...]:
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gain.get(k, 0.0), k)))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, base measures, base_failed, kept, and the rule that rejected it."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    order = ordered(rules, estimate(docs, rules, sample_rows))
+    order = ordered(rules, estimate(docs, rules, share))
 
     def run(b):
         texts = [Text(x) for x in column(b, "text")]
@@ -188,9 +188,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1
     return map_arrow(docs, run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
 
 
-def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 1000, text_col: str = "text") -> DataFrame:
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.02, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, with all their columns, in one pass over the texts."""
-    order = ordered(rules, estimate(docs.select(F.col(text_col).alias("text")), rules, sample_rows))
+    order = ordered(rules, estimate(docs.select(F.col(text_col).alias("text")), rules, share))
     at = docs.columns.index(text_col)
 
     def passes(raw):
