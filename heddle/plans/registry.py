@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from heddle.plans import policy_queries
+
+QUERIES: dict = dict(policy_queries.QUERIES)
+ORACLES: dict = dict(policy_queries.ORACLES)
