@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def argmax(p: Column) -> Column:
     """0-based index of the largest element, the first on ties."""
     return (F.array_position(p, F.array_max(p)) - 1).cast("int")
@@ -19,8 +24,7 @@ def total(p: Column) -> Column:
 
 def normalize(p: Column) -> Column:
     """Divide by the sum; a vector without mass stays as it is."""
-    s = total(p)
-    return F.when(s > 0, F.transform(p, lambda x: x / s)).otherwise(p)
+    return let(p, lambda q: let(total(q), lambda s: F.when(s > 0, F.transform(q, lambda x: x / s)).otherwise(q)))
 
 
 def clip_normalize(p: Column) -> Column:
@@ -43,9 +47,9 @@ def at_temperature(p: Column, t: Column | float) -> Column:
     """softmax(log p / t) of the clipped vector; t must be positive."""
     t = F.lit(t) if not isinstance(t, Column) else t
     t = F.when(t > 0, t).otherwise(F.raise_error(F.lit("temperature must be positive")).cast("double"))
-    logs = F.transform(clip_normalize(p), lambda x: F.log(x) / t)
-    top = F.array_max(logs)
-    return normalize(F.transform(logs, lambda x: F.exp(x - top)))
+    shifted = lambda logs: let(F.array_max(logs), lambda top: F.transform(logs, lambda x: F.exp(x - top)))
+    scaled = lambda t: let(F.transform(clip_normalize(p), lambda x: F.log(x) / t), shifted)
+    return normalize(let(t, scaled))
 
 
 def entropy(p: Column) -> Column:

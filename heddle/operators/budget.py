@@ -41,7 +41,7 @@ def candidate_rates(traces: DataFrame, by: list[str], disagree_only: bool = Fals
 
 def margin_rates(traces: DataFrame, by: list[str], taus: tuple[float, ...]) -> DataFrame:
     """by, tau, target: the margin policy's intervention rate at each budget."""
-    p = policies.Pair()
+    p, traces = policies.Staged(), policies.stage(traces)
     moved = F.array(*[F.struct(F.lit(t).alias("tau"), (policies.margin_budget(p, t)["selected_action"] != p.u).cast("double").alias("moved")) for t in taus])
     return traces.select(*by, F.explode(moved).alias("m")).groupBy(*by, "m.tau").agg(F.avg("m.moved").alias("target"))
 
@@ -60,7 +60,7 @@ def apply_gate(traces: DataFrame, chosen: DataFrame, by: list[str], prefix: str
     name = F.concat(F.lit(prefix), F.format_string("%.2f", F.col("gate_tau")))
     picked = chosen.select(*by, F.col("tau").alias("gate_tau"), F.col("threshold").alias("gate_threshold"))
     joined = traces.join(picked, by) if by else traces.crossJoin(F.broadcast(picked))
-    grid = F.array(policies.conf_gate(policies.Pair(), F.col("gate_threshold"), F.col("gate_tau"), name))
+    grid = F.array(policies.conf_gate(policies.Staged(), F.col("gate_threshold"), F.col("gate_tau"), name))
     return policies.expand(joined, grid).drop("gate_tau", "gate_threshold")
 
 

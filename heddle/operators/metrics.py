@@ -56,8 +56,8 @@ def ece(df: DataFrame, unit: list[str], bins: int = 15) -> DataFrame:
 
 
 def risk_coverage(df: DataFrame, unit: list[str], key: str, name: str = "risk_coverage_auc") -> DataFrame:
-    """Mean over k of the error among the k most confident; ties in row-key order."""
-    w = Window.partitionBy(*unit).orderBy(F.desc("coverage"), key)
+    """Mean over k of the error among the k most confident; confidences equal to 12 digits go in row-key order."""
+    w = Window.partitionBy(*unit).orderBy(F.desc(F.round("coverage", 12)), key)
     hits = F.sum(F.col("correct").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     r = df.select(*unit, (1 - hits / F.row_number().over(w)).alias("risk"))
     return r.groupBy(*unit).agg(F.avg("risk").alias(name))

@@ -13,11 +13,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.arrays import EPS, agency_loss, argmax, normalize
+from heddle.functions.arrays import EPS, agency_loss, argmax, let, normalize, total
 
 TAUS = (0.05, 0.10, 0.15, 0.20, 0.25)
-U, A = F.col, F.col
-DECISION = "policy string, selected_action int, probs array<double>, tau double, coverage double, source string"
 
 
 def _d(x: Column | float) -> Column:
@@ -26,16 +24,17 @@ def _d(x: Column | float) -> Column:
 
 def decide(policy: Column | str, action: Column, probs: Column, tau: Column | float, coverage: Column | None, source: Column | str) -> Column:
     """The struct that all policies share; flags and losses follow from it (see expand)."""
-    p = normalize(probs)
-    own = F.element_at(p, action + 1)
-    return F.struct(
-        (policy if isinstance(policy, Column) else F.lit(policy)).alias("policy"),
-        action.cast("int").alias("selected_action"),
-        p.alias("probs"),
-        _d(tau).cast("double").alias("tau"),
-        (own if coverage is None else F.least(F.greatest(coverage, F.lit(0.0)), F.lit(1.0))).alias("coverage"),
-        (source if isinstance(source, Column) else F.lit(source)).alias("source"),
-    )
+    def filled(p: Column, x: Column) -> Column:
+        return F.struct(
+            (policy if isinstance(policy, Column) else F.lit(policy)).alias("policy"),
+            x.alias("selected_action"),
+            p.alias("probs"),
+            _d(tau).cast("double").alias("tau"),
+            (F.element_at(p, x + 1) if coverage is None else F.least(F.greatest(coverage, F.lit(0.0)), F.lit(1.0))).alias("coverage"),
+            (source if isinstance(source, Column) else F.lit(source)).alias("source"),
+        )
+
+    return let(action.cast("int"), lambda x: let(normalize(probs), lambda p: filled(p, x)))
 
 
 class Pair:
@@ -59,7 +58,7 @@ def blend(p: Pair, weight: float) -> Column:
     if not 0 <= weight <= 1:
         raise ValueError("weight must lie in [0, 1]")
     mixed = normalize(F.zip_with(p.pu, p.pa, lambda x, y: (1 - weight) * x + weight * y))
-    return decide(f"confidence_blend_alpha_{weight:.2f}", argmax(mixed), mixed, 1.0, None, "blend")
+    return let(mixed, lambda m: decide(f"confidence_blend_alpha_{weight:.2f}", argmax(m), m, 1.0, None, "blend"))
 
 
 def selective(p: Pair, threshold: float, named: bool = False) -> Column:
@@ -86,42 +85,58 @@ def masked_probs(p: Column, allowed: Column, action: Column) -> Column:
     """p within the allowed actions, renormalised; the action's own vector if nothing is left; its argmax is the action."""
     index = F.sequence(F.lit(0), F.size(p) - 1)
     kept = F.zip_with(p, index, lambda x, i: F.when(F.array_contains(allowed, i), x).otherwise(0.0))
-    mass = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x)
     alone = F.transform(index, lambda i: (i == action).cast("double"))
-    q = F.when(mass > 0, F.transform(kept, lambda x: x / mass)).otherwise(alone)
-    lifted = F.zip_with(q, index, lambda x, i: F.when(i == action, F.array_max(q) + 1e-9).otherwise(x))
-    return F.when(argmax(q) == action, q).otherwise(normalize(lifted))
+    lifted = lambda q: let(F.array_max(q), lambda top: normalize(F.zip_with(q, index, lambda x, i: F.when(i == action, top + 1e-9).otherwise(x))))
+    own = lambda k: let(total(k), lambda mass: F.when(mass > 0, F.transform(k, lambda x: x / mass)).otherwise(alone))
+    return let(let(kept, own), lambda q: F.when(argmax(q) == action, q).otherwise(lifted(q)))
 
 
 def margin_budget(p: Pair, tau: float, gain: float = 0.0) -> Column:
     """Of the actions within the budget the one most likely to the assistant, if likelier than the user's own to the user."""
     margin = lambda i: F.lit(float(tau)) - F.greatest(F.lit(0.0), p.cu - F.element_at(p.pu, i + 1))
     allowed = F.filter(F.sequence(F.lit(0), F.size(p.pu) - 1), lambda i: margin(i) >= -EPS)
-    best = F.array_max(F.transform(allowed, lambda i: F.struct(F.element_at(p.pa, i + 1).alias("utility"), margin(i).alias("margin"), (-i).alias("neg"))))
-    helps = F.coalesce(best["utility"] > p.cu + gain, F.lit(False))
-    x = F.when(helps, -best["neg"]).otherwise(p.u).cast("int")
-    probs = F.when(helps, masked_probs(p.pa, allowed, x)).otherwise(p.pu)
-    return decide(f"agency_margin_tau_{tau:.2f}", x, probs, tau, F.when(helps, best["utility"]).otherwise(p.cu), F.when(helps, "agency_margin").otherwise("user"))
+    best = lambda ok: F.array_max(F.transform(ok, lambda i: F.struct(F.element_at(p.pa, i + 1).alias("utility"), margin(i).alias("margin"), (-i).alias("neg"))))
+
+    def chosen(ok: Column, b: Column) -> Column:
+        helps = F.coalesce(b["utility"] > p.cu + gain, F.lit(False))
+        x = F.when(helps, -b["neg"]).otherwise(p.u).cast("int")
+        probs = lambda x: F.when(helps, masked_probs(p.pa, ok, x)).otherwise(p.pu)
+        return let(x, lambda x: decide(f"agency_margin_tau_{tau:.2f}", x, probs(x), tau, F.when(helps, b["utility"]).otherwise(p.cu), F.when(helps, "agency_margin").otherwise("user")))
+
+    return let(allowed, lambda ok: let(best(ok), lambda b: chosen(ok, b)))
+
+
+class Staged(Pair):
+    """A Pair whose values are columns already, so that every policy shares them."""
+
+    def __init__(self):
+        self.pu, self.pa = F.col("p_user"), F.col("p_assist")
+        self.u, self.a, self.cu, self.ca = (F.col(f"_{c}") for c in ("u", "a", "cu", "ca"))
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Adds what a Staged pair reads."""
+    p = Pair()
+    return df.withColumns({"_u": p.u, "_a": p.a, "_cu": p.cu, "_ca": p.ca})
 
 
 def expand(df: DataFrame, grid: Column) -> DataFrame:
     """One row per trace and policy of the grid, with the fields that follow from the decision."""
-    own = argmax(F.col("p_user"))
+    own = df.columns
     x = F.col("d.selected_action")
-    moved = x != own
-    ali = agency_loss(F.col("p_user"), x)
     return (
-        df.withColumn("d", F.explode(grid))
-        .withColumn("intervene", moved)
-        .withColumn("expected_ali", ali)
+        stage(df)
+        .withColumn("d", F.explode(grid))
+        .withColumn("intervene", x != F.col("_u"))
+        .withColumn("expected_ali", F.greatest(F.lit(0.0), F.col("_cu") - F.element_at("p_user", x + 1)))
         .withColumn("correct", x == F.col("label"))
         .withColumn("decision_time_ms", F.coalesce("prefix_time_s", "timestamp_s") * 1000)
-        .select(*[c for c in df.columns], "d.*", "intervene", "expected_ali", (F.col("d.tau") - F.col("expected_ali")).alias("margin"), F.element_at("d.probs", x + 1).alias("confidence"), "correct", "decision_time_ms")
+        .select(*own, "d.*", "intervene", "expected_ali", (F.col("d.tau") - F.col("expected_ali")).alias("margin"), F.element_at("d.probs", x + 1).alias("confidence"), "correct", "decision_time_ms")
     )
 
 
 def grid(taus: Iterable[float] = TAUS, weights: Iterable[float] = (0.25, 0.5, 0.75), thresholds: Iterable[float] = (0.6, 0.7, 0.8), named: bool = False) -> Column:
-    p = Pair()
+    p = Staged()
     out = [user_only(p), assist_only(p), *[blend(p, w) for w in weights], *[selective(p, t, named) for t in thresholds]]
     for t in taus:
         out += [set_budget(p, t), margin_budget(p, t)]

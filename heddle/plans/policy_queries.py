@@ -34,7 +34,7 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _grid(df: DataFrame, *parts) -> DataFrame:
-    p = policies.Pair()
+    p = policies.Staged()
     return policies.expand(df, F.array(*[f(p) for f in parts]))
 
 
@@ -68,7 +68,7 @@ def f7(spark, sf_dir):
 
 @query("f1_agency_loss", sql.query(sql.T, body="SELECT event_id, i AS action, round(greatest(0.0, cu - p_user[i + 1]), 6) AS ali FROM t0, range(5) r(i)"))
 def f1(spark, sf_dir):
-    t = views.base_traces(spark, sf_dir).withColumn("action", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long"))
+    t = views.base_traces(spark, sf_dir).withColumn("action", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     return r6(t.select("event_id", "action", arrays.agency_loss(F.col("p_user"), F.col("action").cast("int")).alias("ali")), "ali")
 
 
@@ -82,10 +82,10 @@ MASK = f"""k AS (SELECT event_id, x, coverage, cu, p_user, p_assist, list_transf
   struct_extract({sql.margin_best(0.2)}, 's') > cu AS helps FROM d)"""
 
 
-@query("f10_masked_probs", sql.query(sql.T, sql.decisions({"agency_margin_tau_0.20": GRID["agency_margin_tau_0.20"]}, "t0"), MASK, body="SELECT event_id, i AS class, round(CASE WHEN helps THEN kept[i + 1] / list_sum(kept) ELSE p_user[i + 1] END, 6) AS prob FROM k, range(5) r(i)"))
+@query("f10_masked_probs", sql.query(sql.T, sql.decisions({"agency_margin_tau_0.20": GRID["agency_margin_tau_0.20"]}, "t0"), MASK, body="SELECT event_id, i AS class, round(CASE WHEN helps THEN kept[i + 1] / list_sum(kept) ELSE p_user[i + 1] END, 9) AS prob FROM k, range(5) r(i)"))
 def f10(spark, sf_dir):
     d = _grid(views.base_traces(spark, sf_dir), lambda p: policies.margin_budget(p, 0.2))
-    return d.select("event_id", F.posexplode("probs").alias("class", "prob")).select("event_id", F.col("class").cast("long").alias("class"), F.round("prob", 6).alias("prob"))
+    return d.select("event_id", F.posexplode("probs").alias("class", "prob")).select("event_id", F.col("class").cast("long").alias("class"), F.round("prob", 9).alias("prob"))
 
 
 GRID_BODY = "SELECT {keys}policy, count(*) AS n, count(*) FILTER (WHERE intervene) AS moved, count(*) FILTER (WHERE correct) AS hits, round(avg(ali), 6) AS mean_ali, round(avg(coverage), 6) AS mean_coverage FROM d GROUP BY ALL"
@@ -226,7 +226,7 @@ def g7(spark, sf_dir):
     return r6(metrics.ece(_simple(spark, sf_dir), ["split_id", "policy"]), "ece")
 
 
-CURVE = "k AS (SELECT split_id, policy, subject_id, 1 - sum(correct::INT) OVER w / row_number() OVER w AS risk FROM d {w} WINDOW w AS (PARTITION BY split_id, policy, subject_id ORDER BY coverage DESC, event_id ROWS UNBOUNDED PRECEDING))"
+CURVE = "k AS (SELECT split_id, policy, subject_id, 1 - sum(correct::INT) OVER w / row_number() OVER w AS risk FROM d {w} WINDOW w AS (PARTITION BY split_id, policy, subject_id ORDER BY round(coverage, 12) DESC, event_id ROWS UNBOUNDED PRECEDING))"
 CURVE_BODY = "SELECT split_id, policy, subject_id, round(avg(risk), 6) AS {n} FROM k GROUP BY ALL"
 
 
