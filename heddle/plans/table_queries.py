@@ -345,7 +345,7 @@ def j6(spark, sf_dir):
     return r6(inference.holm_annotate(u, ["fam"], "p", ["unit", "policy"]).drop("p"), "holm_threshold")
 
 
-@query("j8_pairwise_table", sql.query(sql.U, "lo AS (SELECT unit, policy, unnest(['metric', 'budget']) AS metric, unnest([metric, budget]) AS value FROM un), pr AS (SELECT a.metric, a.value - b.value AS d FROM lo a JOIN lo b USING (unit, metric) WHERE a.policy = 'A' AND b.policy = 'N')", body="SELECT 'all' AS split_family, metric, round(avg(d), 6) AS estimate, count(*) AS n, CASE WHEN metric = 'budget' THEN avg(d) < 0 ELSE avg(d) > 0 END AS beneficial FROM pr GROUP BY ALL"))
+@query("j8_pairwise_table", sql.query(sql.U, "lo AS (SELECT unit, policy, unnest(['metric', 'budget']) AS metric, unnest([metric, budget]) AS value FROM un), pr AS (SELECT a.metric, a.value - b.value AS d FROM lo a JOIN lo b USING (unit, metric) WHERE a.policy = 'A' AND b.policy = 'N')", body="SELECT 'all' AS split_family, metric, round(avg(d), 6) AS estimate, count(*) AS n, CASE WHEN metric = 'budget' THEN avg(d) < 0 ELSE avg(d) > 0 END AS beneficial FROM pr GROUP BY metric"))
 def j8(spark, sf_dir):
     u = views.unit_metrics(spark, sf_dir).withColumn("split_family", F.lit("all"))
     pairs = u.where("policy = 'A'").select(F.col("policy").alias("policy_a"), F.lit("N").alias("policy_b")).distinct()
