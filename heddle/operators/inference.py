@@ -113,3 +113,16 @@ def pairwise_table(units: DataFrame, unit: list[str], pairs: DataFrame, metrics:
 
 def beneficial(metric: Column, estimate: Column, lower: tuple[str, ...]) -> Column:
     return F.when(metric.isin(*lower), estimate < 0).otherwise(estimate > 0)
+
+
+def policy_ci(units: DataFrame, metrics: list[str], clusters: list[str], repeats: int = 500) -> DataFrame:
+    """Per family, policy and metric the nested interval of the unit means."""
+    keys = [c for c in clusters if c in units.columns]
+    long = units.unpivot([*keys, "split_family", "policy"], metrics, "metric", "value").groupBy(*keys, "split_family", "policy", "metric").agg(F.avg("value").alias("value"))
+    return nested_bootstrap_ci(long, "value", keys, ["split_family", "policy", "metric"], repeats)
+
+
+def report_pairwise(units: DataFrame, unit: list[str], pairs: DataFrame, metrics: list[str], lower: tuple[str, ...], repeats: int = 2000) -> DataFrame:
+    """pairwise_table() with Holm's correction within each family and metric, and the joint flag."""
+    t = holm_annotate(pairwise_table(units, unit, pairs, metrics, lower, repeats), ["split_family", "metric"], "p_value", ["policy_a", "policy_b"])
+    return t.withColumn("beneficial_and_holm_significant", F.col("beneficial") & F.col("holm_reject"))

@@ -353,6 +353,19 @@ def j8(spark, sf_dir):
     return r6(t.select("split_family", "metric", "estimate", "n", "beneficial"), "estimate")
 
 
+@query("j9_policy_ci")
+def j9(spark, sf_dir):
+    u = views.unit_metrics(spark, sf_dir).withColumn("split_family", F.lit("all")).withColumn("block", F.col("unit") % 5)
+    return r6(inference.policy_ci(u, ["metric", "budget"], ["block", "unit"], 100), "estimate", "ci_low", "ci_high")
+
+
+@query("j10_report_pairwise")
+def j10(spark, sf_dir):
+    u = views.unit_metrics(spark, sf_dir).withColumn("split_family", F.lit("all"))
+    pairs = u.where("policy <> 'N'").select(F.col("policy").alias("policy_a"), F.lit("N").alias("policy_b")).distinct()
+    return r6(inference.report_pairwise(u, ["unit"], pairs, ["metric", "budget"], ("budget",), 200), "estimate", "ci_low", "ci_high", "p_value", "holm_threshold")
+
+
 @query("j11_significance_flag", sql.query(sql.U, HOLM, body="SELECT unit, policy, p < 0.01 AND min((p <= holm_threshold)::INT) OVER (PARTITION BY fam ORDER BY p, unit, policy ROWS UNBOUNDED PRECEDING) = 1 AS flagged FROM hr"))
 def j11(spark, sf_dir):
     u = views.unit_metrics(spark, sf_dir).select("unit", "policy", (F.col("unit") % 7).alias("fam"), F.round(F.col("n") / 5000.0, 6).alias("p"))
