@@ -12,8 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Entries of a worker's word cache; it is emptied when it grows beyond that.
+#: Entries of a worker's cache of tokens; it is cut down when it grows beyond that.
 CACHE_ENTRIES = 400_000
+#: Entries of a worker's cache of word hashes; it is emptied when it grows beyond that.
+HASH_ENTRIES = 200_000
+#: Documents that a task works on at a time.
+STEP_ROWS = 2000
+#: Stands for all rows of an Arrow batch.
+WHOLE = 1 << 30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,25 +40,38 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """Apply fn(RecordBatch) -> dict of column values to each Arrow batch."""
+def slices(b: pa.RecordBatch, rows: int = STEP_ROWS):
+    """Consecutive slices of at most so many rows, which bounds what a step holds."""
+    for start in range(0, b.num_rows, rows):
+        yield b.slice(start, rows)
+
+
+def map_arrow(df: DataFrame, fn, schema: str, rows: int = STEP_ROWS) -> DataFrame:
+    """Apply fn(RecordBatch) -> dict of column values to each Arrow batch, in slices of at most so many rows."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(b), schema=arrow)
+            for part in slices(b, rows):
+                yield pa.RecordBatch.from_pydict(fn(part), schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = STEP_ROWS) -> None:
+    """Have Spark cut Arrow batches smaller: whole texts go both ways where rows are filtered in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -70,7 +89,7 @@ _words = WordHash()
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    if len(_words) > CACHE_ENTRIES:
+    if len(_words) > HASH_ENTRIES:
         _words.clear()
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark import SparkContext
 
-_BITS = 16
+_BITS = 14
 
 
 class Shard:
@@ -36,42 +37,42 @@ class Shard:
 
 
 class Table:
-    """A table of bounded size as broadcast shards, by the middle bits of the key."""
+    """A table of bounded size as broadcast shards, told apart by shard_of(key)."""
 
-    def __init__(self, sc: SparkContext, keys: np.ndarray, values: np.ndarray, shards: int = 8):
-        own = self._shard(keys, shards)
+    def __init__(self, sc: SparkContext, parts: Iterable[tuple[np.ndarray, np.ndarray]]):
         self.name = uuid.uuid4().hex
-        self.shards = [sc.broadcast((keys[own == s], values[own == s])) for s in range(shards)]
-        self._open: list[Shard] | None = None
-
-    def __getstate__(self):
-        return {"name": self.name, "shards": self.shards, "_open": None}
-
-    @staticmethod
-    def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-        return (h >> np.uint64(8)) % np.uint64(shards)
+        self.shards = [sc.broadcast(p) for p in parts]
 
     def get(self, h: np.ndarray, default: float = 0.0) -> np.ndarray:
         """Join hashes with the table, shard by shard."""
-        if self._open is None:
-            self._open = opened(self.name, self.shards)
-        own = self._shard(h, len(self.shards))
+        open_ = opened(self.name, self.shards)
+        own = shard_of(h, len(open_))
         order = np.argsort(own, kind="stable")
-        edge = np.searchsorted(own[order], np.arange(len(self.shards) + 1, dtype=np.uint64))
-        out = np.full(len(h), default, self._open[0].values.dtype)
-        for k, shard in enumerate(self._open):
+        edge = np.searchsorted(own[order], np.arange(len(open_) + 1))
+        out = np.full(len(h), default, open_[0].values.dtype)
+        for k, shard in enumerate(open_):
             mine = order[edge[k] : edge[k + 1]]
             out[mine] = shard.get(h[mine], default)
         return out
 
 
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+
+
 _opened: dict[str, list[Shard]] = {}
 
 
 def opened(name: str, shards: list) -> list[Shard]:
-    """The shards of a table, built once in each worker; the last two tables are held."""
+    """The shards of a table, built once in each worker, which holds one table at a time.
+
+    The broadcast values themselves are let go; they can be read again from their files.
+    """
     if name not in _opened:
-        while len(_opened) > 1:
-            del _opened[next(iter(_opened))]
-        _opened[name] = [Shard(*b.value) for b in shards]
+        _opened.clear()
+        out = []
+        for b in shards:
+            out.append(Shard(*b.value))
+            b.__dict__.pop("_value", None)
+        _opened[name] = out
     return _opened[name]
