@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from heddle.llm.common import CACHE_ENTRIES, column, map_arrow, materialize
+from heddle.llm.common import HASH_ENTRIES, WHOLE, column, map_arrow, materialize, slices
 from heddle.llm.hash_table import Shard
 
 ENDINGS = 64
@@ -67,7 +67,7 @@ _words = _Words()
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts in turn (each text's words and an end), and the texts' sizes."""
-    if len(_words) > CACHE_ENTRIES:
+    if len(_words) > HASH_ENTRIES:
         _words.clear()
     words = [(x or b"").lower().split() for x in texts]
     sizes = np.array([len(w) + 1 for w in words], np.int64)
@@ -87,10 +87,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """h, c of every distinct token of docs."""
 
     def run(b):
-        h, c = np.unique(tokens(column(b, "text"))[0], return_counts=True)
-        return {"h": h.view(np.int64), "c": c}
+        found = [np.unique(tokens(column(x, "text"))[0], return_counts=True) for x in slices(b)]
+        h, at = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([x[1] for x in found]), len(h))
+        return {"h": h.view(np.int64), "c": c.astype(np.int64)}
 
-    return map_arrow(docs.select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return map_arrow(docs.select("text"), run, "h long, c long", WHOLE).groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Classes:
@@ -136,7 +138,7 @@ def history_counts(docs: DataFrame, classes: Classes) -> DataFrame:
 
     def run(batches):
         n = np.zeros(CLASSES**3, np.int64)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             h, sizes = tokens(column(b, "text"))
             c = classes.of(h)
             n += np.bincount(histories(c, sizes) * CLASSES + c, minlength=len(n))
@@ -182,7 +184,7 @@ def _step(counts: DataFrame, weights: np.ndarray, bias: np.ndarray, prior: float
         step = (seen - expected - prior * w) / (3 * (expected + prior))
         return pa.table({"feature": [k], "w": pa.array([(w + np.clip(step, -1.5, 1.5)).astype(np.float32).tobytes()], pa.binary())})
 
-    return map_arrow(counts.repartition("one"), gradient, "feature long, g binary").groupBy("feature").applyInArrow(update, "feature long, w binary")
+    return map_arrow(counts.repartition("one"), gradient, "feature long, g binary", WHOLE).groupBy("feature").applyInArrow(update, "feature long, w binary")
 
 
 def train(counts: DataFrame, bias: np.ndarray, steps: int = 8, prior: float = 2.0) -> np.ndarray:
@@ -263,8 +265,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         head, classes, logs = _opened(name, m)
         sent = 0
         for whole in batches:
-            for start in range(0, whole.num_rows, 4000):
-                b = whole.slice(start, 4000)
+            for b in slices(whole):
                 batch = (TaskContext.get().partitionId() << 32) + sent
                 sent += 1
                 h, sizes = tokens(column(b, "text"))
@@ -313,7 +314,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         return pa.table({"batch": sent.column("batch"), "at": sent.column("at"), "c": pa.array(c, pa.binary()), "k": pa.array(k, pa.binary())})
 
     # words of the head never come here, so no shard holds a hot word
-    packed = map_arrow(counts.select("h", "c"), pack, "shard int, h binary, c binary")
+    packed = map_arrow(counts.select("h", "c"), pack, "shard int, h binary, c binary", WHOLE)
     asked = done.where("shard is not null").select("batch", "shard", "at", "h")
     answers = asked.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(look, "batch long, at binary, c binary, k binary")
 
