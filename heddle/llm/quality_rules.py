@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import column, hash_words, map_arrow, windows
+from heddle.llm.common import column, hash_words, map_arrow, slices, small_batches, windows
 
 _SPACE = b"\x09\x0a\x0b\x0c\x0d\x20"
 _NOT_CODE_POINT = _SPACE + bytes(range(0x80, 0xC0))
@@ -198,7 +198,9 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.02,
         return not t.base_failed and not any(r.rejects(t) for r in order)
 
     def run(batches):
-        for b in batches:
-            yield b.filter(pa.array([passes(x) for x in b.column(at).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for b in slices(whole, 500):
+                yield b.filter(pa.array([passes(x) for x in b.column(at).to_pylist()], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
