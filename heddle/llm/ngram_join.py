@@ -10,12 +10,13 @@ its links reach.
    frequent changes the work, never the result.
 3. Those prefixes are inverted to lists; a list's entries are ordered by set size
    and carry the position of the shingle in its set.
-4. Relation round: each entry is compared with its predecessor only. Similar sets
-   become one component, so that a long list of near copies costs one comparison
-   for each member.
+4. Relation rounds: each entry is compared with its predecessor only, then with its
+   list's hub, the set with most links so far. Similar sets become one component,
+   so that a long list of near copies costs a comparison or two for each member.
 5. Skipping round: a list whose members are in one component is skipped whole;
    in the others, size order ends the scan of an entry early, and positions skip
-   partners that cannot reach t any more. Only pairs of different components are
+   partners that cannot reach t any more; parities of the sets bound how much they
+   have in common. Only pairs of different components are
    compared: what holds for a component's members follows from the components'
    other links.
 
@@ -33,22 +34,24 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import column, hash_words, map_arrow, materialize, windows
+from heddle.llm.common import WHOLE, column, hash_words, map_arrow, materialize, small_batches, windows
 from heddle.llm.components import connected_components
 
 #: A shingle that an Arrow batch holds so often is a candidate for the frequent ones.
-LOCAL_COUNT = 8
+LOCAL_COUNT = 4
 #: At most so many frequent shingles are told to the tasks (8 bytes each).
 FREQUENT = 1 << 19
 #: Entries of a list beyond which it is cut into blocks.
 BLOCK = 2048
 #: Entries a task inverts at once.
 SHARD_ENTRIES = 500_000
-#: Candidate ids up to which they are broadcast (8 bytes each) to the scan of texts.
-BROADCAST_IDS = 1_000_000
+#: Rounds of comparisons with hubs; more of them leave less to the skipping round, never another result.
+STAR_ROUNDS = 2
+#: Rows up to which a table of a few numbers a row is broadcast; its rows are counted first.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_set(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -60,6 +63,14 @@ def _signature(s: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
 
+def parity(s: np.ndarray) -> bytes:
+    """512 bits: how often each value of a hash's low bits occurs, modulo 2.
+
+    Two sets differ in at least as many shingles as their parities differ in bits.
+    """
+    return np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
 
@@ -80,7 +91,7 @@ def _rows(docs: DataFrame) -> DataFrame:
             "counts": [c[often], *[None] * (len(sets) - 1)],
         }
 
-    return map_arrow(_texts(docs), run, "doc_id long, text_key long, n long, sig binary, often array<long>, counts array<long>")
+    return map_arrow(_texts(docs), run, "doc_id long, text_key long, n long, sig binary, often array<long>, counts array<long>", WHOLE)
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -95,7 +106,7 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def _classes(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """node, sig, n, rare, prefix: each distinct set once; the first `rare` shingles of prefix aren't frequent."""
+    """node, sig, n, rare, prefix, bits: each distinct set once; the first `rare` shingles of prefix aren't frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(b):
@@ -110,11 +121,11 @@ def _classes(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
                 at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                 known = often[at] == s
             order = np.concatenate([s[~known], s[known]])[: _prefix_length(len(s), percent)]
-            out[sig] = (len(s), min(len(order), int((~known).sum())), order.tobytes())
-        return {"sig": list(out), "n": [v[0] for v in out.values()], "rare": [v[1] for v in out.values()], "prefix": [v[2] for v in out.values()]}
+            out[sig] = (len(s), min(len(order), int((~known).sum())), order.tobytes(), parity(s))
+        return {"sig": list(out)} | {c: [v[k] for v in out.values()] for k, c in enumerate(("n", "rare", "prefix", "bits"))}
 
-    found = map_arrow(_texts(docs), run, "sig binary, n long, rare int, prefix binary")
-    one = found.groupBy("sig").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"))
+    found = map_arrow(_texts(docs), run, "sig binary, n long, rare int, prefix binary, bits binary", WHOLE)
+    one = found.groupBy("sig").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     return materialize(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
@@ -158,7 +169,7 @@ def _lists(classes: DataFrame) -> DataFrame:
         return {"h": h.view(np.int64), "node": node, "n": n.astype(np.int32), "pos": pos.astype(np.int32)}
 
     kind = "h long, node long, n int, pos int"
-    packed = map_arrow(classes.where("rare > 0"), cut, "shard int, h binary, node binary, n binary, pos binary")
+    packed = map_arrow(classes.where("rare > 0"), cut, "shard int, h binary, node binary, n binary, pos binary", WHOLE)
     rare = packed.groupBy("shard").applyInArrow(shared, kind)
     return materialize(rare.union(map_arrow(classes.where("rare < length(prefix) / 8"), often, kind)), "lists")
 
@@ -183,42 +194,82 @@ def _predecessors(lists: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_reach(percent)).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, rows: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, s (sorted shingle hashes as bytes) of the given nodes, from the texts of one document of each."""
-    wanted = materialize(classes.select("node", "sig").join(nodes, "node", "left_semi").join(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "sig"), "wanted")
-    ids = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = _texts(docs)
-    texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+def _small(df: DataFrame) -> DataFrame:
+    """A materialised table, marked for broadcast if its exact size allows that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _stars(lists: DataFrame, found: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of a list's hub, its entry with most links, and entries of other components."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    own = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    hubs = own.join(degree, "node").groupBy("h").agg(F.max(F.struct("degree", F.col("n"), "node", "pos", "component")).alias("hub"))
+    met = own.join(hubs, "h").where("component <> hub.component")
+    first = (F.col("n") < F.col("hub.n")) | ((F.col("n") == F.col("hub.n")) & (F.col("node") < F.col("hub.node")))
+    at = lambda c, low: F.when(first if low else ~first, F.col(c)).otherwise(F.col(f"hub.{c}"))
+    pairs = met.select(*[at(c, True).alias(f"x{c}") for c in ("node", "n", "pos")], *[at(c, False).alias(f"y{c}") for c in ("node", "n", "pos")])
+    return pairs.where(_reach(percent)).select(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).distinct()
+
+
+def _both(pairs: DataFrame, data: DataFrame, value: Column) -> DataFrame:
+    """a, b, x, y: the pairs with the value that data has of either node; only those values are shuffled."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    ends = F.broadcast(ends) if pairs.count() <= BROADCAST_ROWS else ends
+    at = lambda c: F.max(F.when(F.col("node") == F.col(c), value))
+    return data.join(ends, "node").groupBy("a", "b").agg(at("a").alias("x"), at("b").alias("y"))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their prefixes don't rule out.
+
+    Up to the earlier of the two prefixes' ends, both sets are known, so their
+    common shingles there and the shorter rest bound the intersection.
+    """
 
     def run(b):
-        sets = {_signature(s): s.tobytes() for s in map(shingle_set, column(b, "text")) if len(s)}
-        return {"sig": list(sets), "s": list(sets.values())}
+        keep = []
+        for x, y in zip(column(b, "x"), column(b, "y"), strict=True):
+            (rx, px), (ry, py) = ((v["rare"], np.frombuffer(v["prefix"], np.uint64)) for v in (x, y))
+            # whether the whole rare part, or the whole set, lies in the prefix
+            last = min((rx < len(px), px[-1]), (ry < len(py), py[-1]))
+            known = []
+            for r, p in ((rx, px), (ry, py)):
+                known.append(p[: r + np.searchsorted(p[r:], last[1], "right")] if last[0] else p[: np.searchsorted(p[:r], last[1], "right")])
+            common = len(known[0]) + len(known[1]) - len(np.unique(np.concatenate(known)))
+            reach = common + min(x["n"] - len(known[0]), y["n"] - len(known[1]))
+            keep.append((100 + percent) * reach >= percent * (x["n"] + y["n"]))
+        keep = pa.array(keep, pa.bool_())
+        return {"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)}
+
+    return map_arrow(_both(pairs, classes, F.struct("n", "rare", "prefix")), run, "a long, b long")
 
-    found = map_arrow(texts, run, "sig binary, s binary")
-    return materialize(found.join(wanted, "sig").groupBy("node").agg(F.first("s").alias("s")), "sets")
 
+def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold; the sets are made anew from one document of each class."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialize(classes.select("node", "sig").join(nodes, "node", "left_semi").join(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "sig"), "wanted")
+    ids = _small(wanted.select("doc_id").distinct())
+    texts = _texts(docs)
+    texts = texts.join(ids, texts.doc_id.eqNullSafe(ids.doc_id), "left_semi")
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
+    def sets(b):
+        found = {_signature(s): s.tobytes() for s in map(shingle_set, column(b, "text")) if len(s)}
+        return {"sig": list(found), "s": list(found.values())}
 
     def run(b):
         keep = []
         for x, y in zip(column(b, "x"), column(b, "y"), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(x) + len(y)
-            common = both - len(np.unique(np.concatenate([x, y])))
+            both = (len(x) + len(y)) // 8
+            common = both - len(np.unique(np.frombuffer(x + y, np.uint64)))
             keep.append(100 * common >= percent * (both - common))
         keep = pa.array(keep, pa.bool_())
         return {"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)}
 
-    x = sets.select(F.col("node").alias("a"), F.col("s").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
+    found = map_arrow(texts, sets, "sig binary, s binary").join(_small(wanted.select("sig", "node")), "sig").select("node", "s")
+    return map_arrow(_both(pairs, found, F.col("s")), run, "a long, b long")
 
 
-def _across(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _across(lists: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) of different components that can still reach the threshold."""
     own = lists.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = own.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h", "c")
@@ -226,13 +277,15 @@ def _across(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     open_ = own.join(mixed, "h").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # an entry takes part in the pairs of its block with each block, itself included
     units = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    units = materialize(units.select("h", "lo", "hi", "block", "node", "n", "pos", "component"), "units")
+    units = units.select("h", "lo", "hi", "block", "node", "n", "pos", "component").join(classes.select("node", "bits"), "node")
+    units = materialize(units, "units")
     buckets = 1 + units.count() // SHARD_ENTRIES
 
     def pairs(t: pa.Table) -> pa.Table:
         h, lo, hi, block, node, n, pos, comp = (t.column(c).to_numpy() for c in ("h", "lo", "hi", "block", "node", "n", "pos", "component"))
         order = np.lexsort((node, n, hi, lo, h))
         h, lo, hi, block, node, n, pos, comp = (x[order].astype(np.int64) for x in (h, lo, hi, block, node, n, pos, comp))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, 8)[order]
         first = np.flatnonzero((100 + percent) * (n - pos) >= 2 * percent * n)  # positions that skip all larger partners are out
         out = [np.zeros((0, 2), np.int64)]
         k = 0
@@ -244,7 +297,10 @@ def _across(lists: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             first, j = first[go], j[go]
             ok = (comp[first] != comp[j]) & ((lo[j] == hi[j]) | (block[first] != block[j]))
             ok &= (100 + percent) * np.minimum(n[first] - pos[first], n[j] - pos[j]) >= percent * (n[first] + n[j])
-            i, j = node[first[ok]], node[j[ok]]
+            x, y = first[ok], j[ok]
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            near = (100 + percent) * (n[x] + n[y] - differ) >= 2 * percent * (n[x] + n[y])
+            i, j = node[x[near]], node[y[near]]
             out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
             if sum(map(len, out)) > 1_000_000:
                 out = [np.unique(np.concatenate(out), axis=0)]
@@ -267,6 +323,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     """near_duplicates() with text_key, a hash of the row's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
     rows = materialize(_rows(docs), "rows")
     classes = _classes(docs, _frequent(rows), percent)
     lists = _lists(classes)
@@ -276,18 +333,25 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             return nothing
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return materialize(_linked(pairs, _sets(docs, rows, classes, nodes), percent), "links")
-
-    near = materialize(_predecessors(lists, percent), "near")
-    first = connected_components(links(near))
-    first = materialize(first, "components")
-    more = links(_across(lists, first, percent).join(near, ["a", "b"], "left_anti"))
-    named = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}c"))
-    joined = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ac", "a").alias("a"), F.coalesce("bc", "b").alias("b"))
-    second = connected_components(joined).withColumnRenamed("component", "top").withColumnRenamed("node", "component")
-    own = classes.select("sig", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = own.join(second, "component", "left").select("sig", F.coalesce("top", "component").alias("component"))
+        pairs = materialize(_plausible(pairs, classes, percent), "plausible")
+        return materialize(_linked(pairs, docs, rows, classes, percent), "links")
+
+    tested = materialize(_predecessors(lists, percent), "near")
+    linked = links(tested)
+    found = materialize(connected_components(linked), "components")
+    for _ in range(STAR_ROUNDS):
+        stars = materialize(_stars(lists, found, linked, percent).join(tested, ["a", "b"], "left_anti"), "stars")
+        if stars.isEmpty():
+            break
+        more = links(stars)
+        tested, linked = tested.union(stars), linked.union(more)
+        if more.isEmpty():
+            break
+        found = materialize(connected_components(linked), "components")
+    last = links(_across(lists, found, classes, percent).join(tested, ["a", "b"], "left_anti"))
+    if not last.isEmpty():
+        found = materialize(connected_components(linked.union(last)), "components")
+    own = classes.select("sig", "node").join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     ids = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id")).join(own, "sig")
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
     of = ids.join(least, "component").select("sig", "component_id")
@@ -300,13 +364,12 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows with the same id and text are one document. A group without any id keeps a
     row of each text. The texts themselves aren't shuffled unless rows repeat, or
-    more than BROADCAST_IDS documents go.
+    more than BROADCAST_ROWS documents go.
     """
     found = _grouped(docs, percent).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c"))
     goes = ~F.col("doc_id").eqNullSafe(F.col("c"))
     marks = materialize(found.where(goes | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), goes.alias("_goes")), "marks")
-    small = marks.count() <= BROADCAST_IDS
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    joined = docs.join(F.broadcast(marks) if small else marks, here, "left")
+    joined = docs.join(_small(marks), here, "left")
     once = joined.where("_goes is null").select(docs.columns)
     return once.unionByName(joined.where("not _goes").select(docs.columns).dropDuplicates(["doc_id", "text"]))

@@ -61,7 +61,7 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(ngram_join, "LOCAL_COUNT", 3)
     if block == 3:
         monkeypatch.setattr(ngram_join, "SHARD_ENTRIES", 50)
-        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     rows = corpus(seed)
     found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert Counter(map(tuple, found)) == Counter(brute(rows))
