@@ -1,13 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
 The model's trigrams are counted on trusted text: documents labelled good and not
-toxic, at most max_docs of them and max_words words in all (a bounded sample of
-labelled rows, drawn by a hash of the id). Counts, continuation counts and context
+toxic, at most max_docs of them and max_words words in all (a bounded training
+sample of labelled rows, drawn by a hash of the id). Counts, continuation counts and context
 totals are joined by n-gram hash in Spark. The finished model, of at most five
 entries a training word, is cut into shards by hash; each task joins the n-grams
 of its documents with one shard after another, so no n-gram of the corpus is
 shuffled. A document is kept if its perplexity isn't above its language's limit:
-a high quantile over the trusted documents that the model wasn't trained on, and a
+a high quantile over all trusted documents that the model wasn't trained on, and a
 margin. All documents are scored whole.
 
 Defined cases: null and empty texts are the end token alone. Documents of a
@@ -21,11 +21,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import column, hash_words, map_arrow, materialize, mix, slices, small_batches
+from heddle.llm.common import column, hash_words, map_arrow, materialize, mix, small_batches
 from heddle.llm.hash_table import Table, shard_of
 
 _BEGIN, _END = np.uint64(0x51ED270B7A1F3C55), np.uint64(0x3C6EF372FE94F82B)
@@ -150,82 +149,80 @@ def token_logs(table: Table, unknown: float, texts: list[bytes | None]) -> tuple
 
 
 def score(docs: DataFrame, table: Table, unknown: float, columns: list[str]) -> DataFrame:
-    """The given columns of docs, n_tokens and log10_p."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    picked = docs.select(*columns, F.col("text").cast("binary").alias("__text"))
+    """The given columns of docs, __n_tokens and __log10_p; the text goes to the tasks once, whether kept or not."""
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    small_batches(docs.sparkSession, 1000)
+    kept = "text" in columns
+    at = columns.index("text") if kept else len(columns)
+    picked = docs.select(*columns, *[] if kept else [F.col("text").cast("binary").alias("__text")])
 
     def run(b):
-        logs, sizes = token_logs(table, unknown, b.column(len(columns)).to_pylist())
-        return {c: b.column(k) for k, c in enumerate(columns)} | {"n_tokens": sizes, "log10_p": np.add.reduceat(logs, np.cumsum(sizes) - sizes)}
+        texts = b.column(at).to_pylist()
+        logs, sizes = token_logs(table, unknown, [x if x is None else x.encode() for x in texts] if kept else texts)
+        return {c: b.column(k) for k, c in enumerate(columns)} | {"__n_tokens": sizes, "__log10_p": np.add.reduceat(logs, np.cumsum(sizes) - sizes)}
 
-    return map_arrow(picked, run, f"{kinds}, n_tokens long, log10_p double", 1000)
+    return map_arrow(picked, run, f"{kinds}__n_tokens long, __log10_p double", 300)
 
 
 @dataclass(frozen=True)
 class Classifier:
-    #: Trusted documents to train on, and words in all: the bound of the labelled sample.
-    max_docs: int = 3000
-    max_words: int = 1_000_000
-    #: Trusted documents to choose from; half of them train (up to the bound), half set the limits.
-    trusted_docs: int = 20_000
+    #: Trusted documents to train on, and words in all: the bound of the training sample, and of nothing else.
+    max_docs: int = 4000
+    max_words: int = 2_000_000
     quantile: float = 0.995
     margin: float = 1.1
     #: Tokens of average difficulty added to each document, so that short ones aren't judged by a few words.
     prior_tokens: int = 20
 
     def samples(self, docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Trusted documents to train on and to set limits by: disjoint, of bounded size."""
-        good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-        ranked = good.withColumn("r", F.xxhash64("doc_id", F.lit("trusted"))).orderBy("r", "doc_id").limit(self.trusted_docs)
-        ranked = materialize(ranked, "trusted")
-        own = materialize(docs.select("doc_id", "lang", "text").join(F.broadcast(ranked), "doc_id"), "trusted-texts")
-        half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-        words = own.where(half).select("doc_id", "r", F.size(F.split("text", r"[\x20\x09-\x0D]+")).alias("n"))
-        order = Window.orderBy("r", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        first = words.orderBy("r", "doc_id").limit(self.max_docs).withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= self.max_words).select("doc_id").distinct()
-        return own.join(F.broadcast(first), "doc_id", "left_semi"), own.where(~half)
+        """The documents to train on, of bounded size, and the ids of all other trusted documents.
+
+        Half of the trusted ids may train. Of these the first max_docs by hash are looked
+        at; one that would go beyond a bound is passed over.
+        """
+        good = materialize(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct(), "trusted")
+        half = good.where(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0)
+        first = half.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("r", F.xxhash64("doc_id", F.lit("trusted"))).orderBy("r", "doc_id").limit(self.max_docs)
+        n_words = F.coalesce(F.size(F.split("text", r"[\x20\x09-\x0D]+")), F.lit(0))
+        sizes = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").groupBy("r", "doc_id").agg(F.count(F.lit(1)).alias("docs"), F.sum(n_words).alias("words"))
+        chosen, n_docs, total = [], 0, 0
+        for x in sorted(sizes.collect()):
+            if n_docs + x.docs <= self.max_docs and total + x.words <= self.max_words:
+                chosen.append((x.doc_id,))
+                n_docs, total = n_docs + x.docs, total + x.words
+        own = F.broadcast(docs.sparkSession.createDataFrame(chosen, good.schema))
+        return docs.join(own, "doc_id", "left_semi"), good.join(own, "doc_id", "left_anti")
 
     def _level(self, mean: Column) -> Column:
         """log10 perplexity drawn towards mean by prior_tokens."""
-        return (-F.col("log10_p") + self.prior_tokens * mean) / (F.col("n_tokens") + self.prior_tokens)
+        return (-F.col("__log10_p") + self.prior_tokens * mean) / (F.col("__n_tokens") + self.prior_tokens)
 
-    def _fitted(self, docs: DataFrame, labels: DataFrame) -> tuple[Table, float, DataFrame]:
-        """The model's shards, the unknown word's probability, and docs with __mean and __limit of their language.
+    def _scored(self, docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
+        """score() of docs with __level and __limit.
 
-        The limits are at most one row per trusted document, so they are broadcast.
+        All documents are scored once and written; the limits are then taken from the
+        scores of all trusted documents that the model wasn't trained on. Only ids and
+        scores are joined with the labels, never texts. The limits are one row a language.
         """
         train_docs, held = self.samples(docs, labels)
         table, unknown = load(docs.sparkSession, train(train_docs))
-        known = materialize(score(held, table, unknown, ["lang"]), "held")
-        mean = known.groupBy("lang").agg((-F.sum("log10_p") / F.sum("n_tokens")).alias("mean"))
-        every = known.agg((-F.sum("log10_p") / F.sum("n_tokens")).alias("mean")).first()["mean"] or 0.0
-        limits = known.join(mean, "lang").withColumn("level", self._level(F.col("mean"))).groupBy("lang").agg(F.percentile_approx("level", self.quantile, 10_000).alias("limit"), F.first("mean").alias("mean"))
+        scored = materialize(score(docs, table, unknown, columns), "scored")
+        known = materialize(scored.select("doc_id", "lang", "__n_tokens", "__log10_p").join(held, "doc_id", "left_semi"), "held")
+        mean = known.groupBy("lang").agg((-F.sum("__log10_p") / F.sum("__n_tokens")).alias("mean"))
+        every = known.agg((-F.sum("__log10_p") / F.sum("__n_tokens")).alias("mean")).first()["mean"] or 0.0
+        limits = known.join(F.broadcast(mean), "lang").withColumn("level", self._level(F.col("mean"))).groupBy("lang").agg(F.percentile_approx("level", self.quantile, 10_000).alias("limit"), F.first("mean").alias("mean"))
         limits = materialize(limits.where("lang is not null"), "limits").select(F.col("lang").alias("__lang"), F.col("limit").alias("__limit"), F.col("mean").alias("__mean"))
         top = known.withColumn("level", self._level(F.lit(every))).agg(F.percentile_approx("level", self.quantile, 10_000).alias("x")).first()["x"]
-        joined = docs.join(F.broadcast(limits), F.col("lang") == F.col("__lang"), "left").drop("__lang")
+        joined = scored.join(F.broadcast(limits), F.col("lang") == F.col("__lang"), "left").drop("__lang")
         joined = joined.withColumn("__limit", F.coalesce("__limit", F.lit(top).cast("double"), F.lit(float("inf"))) + float(np.log10(self.margin)))
-        return table, unknown, joined.withColumn("__mean", F.coalesce("__mean", F.lit(float(every))))
+        return joined.withColumn("__level", self._level(F.coalesce("__mean", F.lit(float(every)))))
 
     def judge(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """doc_id, lang, n_tokens, perplexity, level (perplexity with the prior), limit, kept."""
-        table, unknown, joined = self._fitted(docs.select("doc_id", "lang", "text"), labels)
-        scored = score(joined, table, unknown, ["doc_id", "lang", "__limit", "__mean"])
-        level, ten = self._level(F.col("__mean")), F.lit(10.0)
-        return scored.select("doc_id", "lang", "n_tokens", F.pow(ten, -F.col("log10_p") / F.col("n_tokens")).alias("perplexity"), F.pow(ten, level).alias("level"), F.pow(ten, F.col("__limit")).alias("limit"), (level <= F.col("__limit")).alias("kept"))
+        scored, ten = self._scored(docs, labels, ["doc_id", "lang"]), F.lit(10.0)
+        n = F.col("__n_tokens")
+        return scored.select("doc_id", "lang", n.alias("n_tokens"), F.pow(ten, -F.col("__log10_p") / n).alias("perplexity"), F.pow(ten, F.col("__level")).alias("level"), F.pow(ten, F.col("__limit")).alias("limit"), (F.col("__level") <= F.col("__limit")).alias("kept"))
 
     def keep(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of docs that judge() keeps, with all their columns, in one pass over the texts."""
-        table, unknown, joined = self._fitted(docs, labels)
-        at, prior, width = docs.columns.index("text"), self.prior_tokens, len(docs.columns)
-
-        def run(batches):
-            for whole in batches:
-                for b in slices(whole, 500):
-                    logs, sizes = token_logs(table, unknown, [x if x is None else x.encode() for x in b.column(at).to_pylist()])
-                    total = np.add.reduceat(logs, np.cumsum(sizes) - sizes)
-                    limit, mean = b.column(width).to_numpy(), b.column(width + 1).to_numpy()
-                    b = b.filter(pa.array((-total + prior * mean) / (sizes + prior) <= limit))
-                    yield pa.RecordBatch.from_arrays(b.columns[:width], schema=pa.schema([b.schema.field(k) for k in range(width)]))
-
-        small_batches(docs.sparkSession)
-        return joined.select(*docs.columns, "__limit", "__mean").mapInArrow(run, docs.schema)
+        """The rows of docs that judge() keeps, with all their columns; the texts are written once with their scores."""
+        return self._scored(docs, labels, docs.columns).where("__level <= __limit").select(*docs.columns)

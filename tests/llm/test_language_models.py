@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heddle.llm import kneser_ney, maxent_lm
 from heddle.llm.common import hash_words, mix
@@ -155,6 +156,25 @@ def test_classifier_defined_cases(spark, texts, no_texts):
     assert all(r.kept for r in kneser_ney.Classifier().judge(texts, labels.limit(0)).collect())
 
 
+def test_limits_cover_all_trusted_documents(spark):
+    """A rare language has its own limit, however many trusted documents come before its own by hash."""
+    ids = spark.range(25_000).selectExpr("id", "xxhash64(id, 'trusted') AS r", "pmod(xxhash64(id, 'half'), 2) AS half").orderBy("r").collect()
+    rare = [x.id for x in ids[20_000:] if x.half == 1][:3]
+    text = " ".join(f"strange{k}" for k in range(40))
+    docs = spark.range(25_000).selectExpr("id AS doc_id", f"CASE WHEN id IN {tuple(rare)} THEN 'xx' ELSE 'en' END AS lang", f"CASE WHEN id IN {tuple(rare)} THEN '{text}' ELSE 'a b c' END AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    found = kneser_ney.Classifier(max_docs=50).judge(docs, labels).where("lang = 'xx'").collect()
+    assert len(found) == 3 and all(r.kept and r.level * 1.09 < r.limit < r.level * 1.11 for r in found)
+
+
+def test_an_overlong_document_is_passed_over(spark):
+    ids = spark.range(40).selectExpr("id", "pmod(xxhash64(id, 'half'), 2) AS half").orderBy(F.expr("xxhash64(id, 'trusted')")).collect()
+    long = next(x.id for x in ids if x.half == 0)
+    docs = spark.range(40).selectExpr("id AS doc_id", "'en' AS lang", f"CASE WHEN id = {long} THEN repeat('a ', 1000) ELSE 'a b c' END AS text")
+    own, _ = kneser_ney.Classifier(max_words=100).samples(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    assert {r.doc_id for r in own.collect()} == {x.id for x in ids if x.half == 0} - {long}
+
+
 def test_lookup_shards():
     from heddle.llm.hash_table import Shard
 
