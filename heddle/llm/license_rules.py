@@ -1,15 +1,20 @@
 """License texts that the signature rules look for.
 
 Names are given as words of the normalised text: lower case, runs of anything
-but letters and digits as one space. The rules are the products of the names and
-the templates below, in order of priority.
+but letters and digits as one space. The rules are SPDX identifiers, then the
+products of the names and the templates below, in order of priority. A template
+only adds to the confidence of a name. Of an SPDX expression the first identifier
+is read. A rule's keyword is a word that every text it matches must hold.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from re import _constants as op
+from re import _parser
 
-#: label: (word that every name holds, names as regexes over normalised words)
+#: label: (word to gate by where a name must hold it, names as regexes over normalised words)
 LICENSES = {
     "apache-2.0": ("apache", ("apache(?: software)? license(?: version)?(?: v)? ?2(?: 0)?", "apache(?: software foundation)? v?2 0")),
     "apache-1.1": ("apache", ("apache(?: software)? license(?: version)?(?: v)? ?1 1",)),
@@ -26,7 +31,7 @@ LICENSES = {
     "gpl-1.0": ("gnu", ("gnu general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version |v)1(?: 0)?",)),
     "gpl-2.0": ("gnu", ("gnu general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version |v)2(?: 0)?", "gnu gpl v?2(?: 0)?")),
     "gpl-3.0": ("gnu", ("gnu general public licen[sc]e(?: as published by the free software foundation)?(?: either)? (?:version |v)3(?: 0)?", "gnu gpl v?3(?: 0)?")),
-    "gpl": ("gpl", ("gnu gpl", "gpl licen[sc]e", "gpl v[123]", "gplv[123]")),
+    "gpl": ("gpl", ("gnu gpl", "gpl licen[sc]e", "gpl v[123]", "gplv1", "gplv2", "gplv3")),
     "lgpl-2.0": ("gnu", ("gnu library general public licen[sc]e(?: version)?(?: v)? ?2(?: 0)?",)),
     "lgpl-2.1": ("gnu", ("gnu lesser general public licen[sc]e(?: version)?(?: v)? ?2 1", "gnu lgpl v?2 1")),
     "lgpl-3.0": ("gnu", ("gnu lesser general public licen[sc]e(?: version)?(?: v)? ?3(?: 0)?", "gnu lgpl v?3(?: 0)?")),
@@ -39,7 +44,7 @@ LICENSES = {
     "epl-1.0": ("eclipse", ("eclipse public licen[sc]e(?: version)?(?: v)? ?1(?: 0)?",)),
     "epl-2.0": ("eclipse", ("eclipse public licen[sc]e(?: version)?(?: v)? ?2(?: 0)?",)),
     "edl-1.0": ("eclipse", ("eclipse distribution licen[sc]e(?: version)?(?: v)? ?1(?: 0)?",)),
-    "cddl-1.0": ("cddl", ("cddl(?: v)? ?1(?: 0)?",)),
+    "cddl-1.0": ("cddl", ("cddl(?: v)? 1(?: 0)?", "cddl v1(?: 0)?", "cddl1(?: 0)?")),
     "cddl": ("distribution", ("common development and distribution licen[sc]e",)),
     "cpl-1.0": ("common", ("common public licen[sc]e(?: version)?(?: v)?(?: ?1(?: 0)?)?",)),
     "artistic-1.0": ("artistic", ("artistic licen[sc]e(?: version)?(?: v)? ?1(?: 0)?",)),
@@ -92,6 +97,21 @@ LICENSES = {
     "proprietary": ("proprietary", ("proprietary and confidential", "confidential and proprietary")),
 }
 
+#: label: SPDX identifiers, where these are not the label itself
+SPDX = {
+    "mpl": ("MPL-1.0",),
+    "cddl": ("CDDL-1.1",),
+    "artistic-1.0": ("Artistic-1.0", "Artistic-1.0-Perl", "Artistic-1.0-cl8"),
+    "psf": ("PSF-2.0", "Python-2.0"),
+    "unicode-dfs": ("Unicode-DFS-2015", "Unicode-DFS-2016", "Unicode-3.0"),
+    "odc-by": ("ODC-By-1.0",),
+    "gfdl": ("GFDL-1.1", "GFDL-1.2", "GFDL-1.3"),
+    "cecill": ("CECILL-1.0", "CECILL-1.1", "CECILL-2.0", "CECILL-2.1", "CECILL-B", "CECILL-C"),
+    "cc-by-2.0": ("CC-BY-2.0", "CC-BY-2.5"),
+} | {f"cc-by-{x}": tuple(f"CC-BY-{x}-{v}" for v in ("1.0", "2.0", "2.5", "3.0", "4.0")) for x in ("nc-nd", "nc-sa", "nc", "nd", "sa")}
+#: Labels that are no SPDX identifiers.
+NOT_SPDX = {"bsd", "gpl", "lgpl", "artistic", "perl", "cc-zero", "cc-attribution", "creative-commons", "public-domain", "copyright", "proprietary"}
+
 #: (confidence, regex before the name, regex after it), the most telling first
 TEMPLATES = (
     (1.0, "spdx license identifier ", ""),
@@ -110,12 +130,54 @@ class Signature:
     confidence: float
 
 
+def required_words(pattern: str) -> list[str]:
+    """Whole words that every match of a regex over normalised words holds, as far as literals show."""
+    out: list[str] = []
+    word, whole, closed = "", True, False  # whole: begins at a word's start; closed: may only be followed by a space
+
+    def end():
+        if whole and word:
+            out.append(word)
+
+    for kind, arg in _parser.parse(pattern):
+        if kind is op.LITERAL and chr(arg) == " ":
+            end()
+            word, whole, closed = "", True, False
+        elif kind is op.LITERAL:
+            # after an optional part that may have stood as words of its own, this ends no known word
+            word, whole, closed = word + chr(arg), whole and not closed, False
+        else:
+            inner = list(arg[2]) if kind is op.MAX_REPEAT and arg[0] == 0 else []
+            edge = lambda x: x == (op.LITERAL, ord(" "))
+            if inner and word and edge(inner[0]):
+                closed = True
+            elif not (inner and not word and whole and edge(inner[-1])):
+                word, whole, closed = word + "?", False, False
+    end()
+    return out
+
+
+def _keyword(hint: str, name: str) -> str:
+    found = required_words(name)
+    if not found:
+        raise ValueError(f"no word that all texts of a rule hold; split it: {name}")
+    return hint if hint in found else max(found, key=len)
+
+
+def spdx() -> list[tuple[str, str]]:
+    """(regex of an identifier's words, label), those of more words first."""
+    pairs = [(x, label) for label in LICENSES if label not in NOT_SPDX for x in SPDX.get(label, (label,))]
+    words = [(re.sub("[^a-z0-9]+", " ", x.lower()) + ("(?: only| or later)?" if label.split("-")[0] in ("gpl", "lgpl", "agpl", "gfdl") else ""), label) for x, label in pairs]
+    return sorted(words, key=lambda x: -x[0].count(" "))
+
+
 def signatures() -> list[Signature]:
-    """All rules, highest priority first: by template, then as the licenses stand."""
-    out = []
+    """All rules, highest priority first: SPDX identifiers, then by template, then as the licenses stand."""
+    ids = spdx()
+    out = [Signature(label, b"spdx", f"(?<= )spdx license identifier {x}(?= )".encode(), k - len(ids), 1.0) for k, (x, label) in enumerate(ids)]
     for t, (confidence, before, after) in enumerate(TEMPLATES):
         for k, (label, (keyword, names)) in enumerate(LICENSES.items()):
             for name in names:
                 pattern = f"(?<= ){before}(?:{name}){after}(?= )"
-                out.append(Signature(label, keyword.encode(), pattern.encode(), t * len(LICENSES) + k, confidence))
+                out.append(Signature(label, _keyword(keyword, name).encode(), pattern.encode(), t * len(LICENSES) + k, confidence))
     return out

@@ -7,7 +7,7 @@ from collections import Counter
 import public_tokenizers
 import pytest
 
-from heddle.llm import license_scan, packing, quality_rules, sentencepiece_codec
+from heddle.llm import license_rules, license_scan, packing, quality_rules, sentencepiece_codec
 from heddle.llm.queries import op4_quality_rules
 from heddle.llm.word_tokens import Encoder
 
@@ -220,3 +220,47 @@ def test_contained_detections_are_suppressed():
     _, _, more = license_scan.scan_text(b"Available under the terms of the Mozilla Public License, v. 2.0.")
     assert [(a, b, label) for a, b, label, _ in more] == [(0, 12, "mpl-2.0")]
     assert len(license_scan._compiled().keywords) > 40 and sum(map(len, license_scan._compiled().rules.values())) > 300
+
+
+def made(parsed):
+    """Texts that a parsed regex matches: every alternative, with and without each optional part."""
+    out = [""]
+    for kind, arg in parsed:
+        if kind is re._constants.LITERAL:
+            own = [chr(arg)]
+        elif kind is re._constants.IN:
+            own = [chr(c) for k, x in arg for c in (range(x[0], x[1] + 1) if k is re._constants.RANGE else [x])]
+            own = [own[0], own[-1]]
+        elif kind is re._constants.BRANCH:
+            own = [t for x in arg[1] for t in made(x)]
+        elif kind is re._constants.SUBPATTERN:
+            own = made(arg[3])
+        elif kind is re._constants.MAX_REPEAT:
+            own = ["", *made(arg[2])] if arg[0] == 0 else made(arg[2])
+        else:
+            assert kind is re._constants.ASSERT
+            own = [""]
+        out = [a + b for a in out for b in own][:3000]
+    return out
+
+
+def test_each_license_rule_fires_through_its_gate():
+    for s in license_rules.signatures():
+        if b"spdx" in s.pattern or s.confidence == 0.8:  # the longer templates hold the same names
+            texts = made(re._parser.parse(s.pattern.decode()))
+            for t in {*texts[:50], *texts[-50:]}:
+                assert re.search(s.pattern, f" {t} ".encode()) and s.keyword.decode() in t.split(), (s, t)
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("this is gplv3 code", "gpl"),
+        ("the PSF License", "psf"),
+        ("under CDDL1", "cddl-1.0"),
+        *[(f"SPDX-License-Identifier: {x}", label) for x, label in [("MIT", "mit"), ("MIT-0", "mit-0"), ("ISC", "isc"), ("Zlib", "zlib"), ("GPL-2.0-only", "gpl-2.0"), ("LGPL-2.1", "lgpl-2.1"), ("MPL-2.0", "mpl-2.0"), ("AGPL-3.0-or-later", "agpl-3.0"), ("BSD-3-Clause", "bsd-3-clause"), ("Python-2.0", "psf")]],
+    ],
+)
+def test_license_identifiers(text, labels):
+    _, base, more = license_scan.scan_text(text.encode())
+    assert ",".join(sorted({x for _, x in base} | {x[2] for x in more})) == labels
