@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve.
 
-Several metadata columns are quantised to 2^bits levels each by approximate
-quantiles, so that levels hold about as many rows each. A row's cell has a place
+Several metadata columns are quantised to 2^bits levels each by quantiles
+(approximate ones of numbers, counted ones of strings), so that levels hold about
+as many rows each. A row's cell has a place
 on the Hilbert curve through that grid; rows are ordered along the curve and the
 order is cut into runs of equal counts (law `rows`: counts at most one apart). A
 shard then covers a small box of the grid, and readers skip shards by the ranges
@@ -10,7 +11,8 @@ of several columns at once.
 Exact ranks take no global sort: rows are counted by cell and salt (a bounded
 number of groups), prefix sums over those counts give each group's first rank, and
 rows are numbered inside their group. Inside a cell equal texts lie together,
-unless a cut falls between them.
+unless a cut falls between them; only a text with many rows in a cell is dealt on
+by id, inside its own run.
 
 Defined cases: null texts have no bytes and size 1; null metadata has level 0;
 repeated rows and null ids each get their own slot.
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from heddle.llm.common import materialize
 
-#: Groups a cell's rows are dealt into, by their text; a group of equal texts is dealt on by id.
-TEXT_SALTS, ID_SALTS = 8, 8
+#: Groups a cell's rows are dealt into, by their text; a text of more than HOT_ROWS rows in a cell is dealt by id.
+TEXT_SALTS, ID_SALTS, HOT_ROWS = 64, 64, 10_000
 
 
 def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
@@ -59,21 +61,39 @@ def hilbert_index(coords: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """Strings in order of their first six bytes; numbers as they are."""
-    if df.schema[name].dataType.simpleString() == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+def _is_text(df: DataFrame, name: str) -> bool:
+    return df.schema[name].dataType.simpleString() == "string"
 
 
-def levels(df: DataFrame, names: list[str], bits: int) -> dict[str, list[float]]:
-    """Cut points of each column: at most 2^bits - 1, from one pass of approximate quantiles."""
+def _value(df: DataFrame, name: str) -> Column:
+    return F.col(name) if _is_text(df, name) else F.col(name).cast("double")
+
+
+def text_levels(df: DataFrame, name: str, bits: int) -> list[str]:
+    """Quantiles of a string column from its counted values, which are ordered over all tasks."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    parts = materialize(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "strings")
+    sums = parts.groupBy("part").agg(F.sum("n").alias("s"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("s").over(before), F.lit(0))).withColumn("total", F.sum("s").over(Window.partitionBy()))
+    own = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = parts.withColumn("upto", F.sum("n").over(own)).join(F.broadcast(sums), "part").withColumn("upto", F.col("upto") + F.col("base"))
+    got = upto.agg(*[F.min(F.when(F.col("upto") * 2**bits >= F.col("total") * k, F.col("v"))).alias(f"q{k}") for k in range(1, 2**bits)]).first()
+    return sorted({x for x in got if x is not None}, key=str.encode)
+
+
+def levels(df: DataFrame, names: list[str], bits: int) -> dict[str, list]:
+    """Cut points of each column: at most 2^bits - 1; all numbers from one pass of approximate quantiles."""
     share = [k / 2**bits for k in range(1, 2**bits)]
-    got = df.agg(*[F.percentile_approx(as_number(df, c), share, 2000).alias(f"q{i}") for i, c in enumerate(names)]).first()
-    return {c: sorted({float(x) for x in got[f"q{i}"] or []}) for i, c in enumerate(names)}
+    out: dict[str, list] = {c: text_levels(df, c, bits) for c in names if _is_text(df, c)}
+    numbers = [c for c in names if c not in out]
+    if numbers:
+        got = df.agg(*[F.percentile_approx(_value(df, c), share, 2000).alias(f"q{i}") for i, c in enumerate(numbers)]).first()
+        out |= {c: sorted({float(x) for x in got[f"q{i}"] or []}) for i, c in enumerate(numbers)}
+    return out
 
 
-def hilbert_column(df: DataFrame, names: list[str], cuts: dict[str, list[float]], bits: int) -> Column:
+def hilbert_column(df: DataFrame, names: list[str], cuts: dict[str, list], bits: int) -> Column:
     """Curve index of a row from its quantised columns."""
 
     @F.pandas_udf("long")
@@ -82,8 +102,8 @@ def hilbert_column(df: DataFrame, names: list[str], cuts: dict[str, list[float]]
 
     def level(c: str) -> Column:
         # the number of cut points not above the value; null: 0
-        points = F.array(*[F.lit(x) for x in cuts[c]]) if cuts[c] else F.array().cast("array<double>")
-        v = as_number(df, c)
+        points = F.array(*[F.lit(x) for x in cuts[c]]) if cuts[c] else F.array().cast("array<string>" if _is_text(df, c) else "array<double>")
+        v = _value(df, c)
         return F.coalesce(F.size(F.filter(points, lambda p: p <= v)), F.lit(0)).cast("int")
 
     return place(*[level(c) for c in names])
@@ -94,6 +114,10 @@ def assign(docs: DataFrame, dims: list[str], shards: int = 16, bits: int = 4, id
 
     The text itself takes no part in any shuffle.
     """
+    return _assigned(docs, dims, shards, bits, id_col, text_col, []).select("doc_id", "size", "text_crc32", F.col("cell").alias("curve"), F.col("rank").cast("long").alias("rank"), "shard", "slot")
+
+
+def _assigned(docs: DataFrame, dims: list[str], shards: int, bits: int, id_col: str, text_col: str, more: list[Column]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     cuts = levels(docs, dims, bits)
     keyed = docs.select(
@@ -101,8 +125,13 @@ def assign(docs: DataFrame, dims: list[str], shards: int = 16, bits: int = 4, id
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         hilbert_column(docs, dims, cuts, bits).alias("cell"),
+        *more,
     )
-    keyed = materialize(keyed.withColumn("salt", (F.pmod(F.col("text_crc32"), F.lit(TEXT_SALTS)) * ID_SALTS + F.pmod(F.xxhash64("doc_id"), F.lit(ID_SALTS))).cast("int")), "cells")
+    keyed = materialize(keyed, "cells")
+    # a text of many rows is a part of its own, dealt by id; other texts share parts, ordered by checksum
+    hot = keyed.groupBy("cell", "text_crc32").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("cell", "text_crc32", F.lit(True).alias("hot"))
+    by_id = (F.col("text_crc32") + 1) * max(TEXT_SALTS, ID_SALTS) + F.pmod(F.xxhash64("doc_id", "size"), F.lit(ID_SALTS))
+    keyed = keyed.join(F.broadcast(hot), ["cell", "text_crc32"], "left").withColumn("salt", F.when(F.col("hot"), by_id).otherwise(F.pmod(F.col("text_crc32"), F.lit(TEXT_SALTS)))).drop("hot")
     groups = keyed.groupBy("cell", "salt").agg(F.count(F.lit(1)).alias("n"))
     cells = groups.groupBy("cell").agg(F.sum("n").alias("n"))
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -117,18 +146,15 @@ def assign(docs: DataFrame, dims: list[str], shards: int = 16, bits: int = 4, id
     edge, r = extra * (per + 1), F.col("rank")
     shard = F.when(r < edge, F.floor(r / (per + 1))).otherwise(extra + F.floor((r - edge) / max(per, 1))).cast("int")
     first = F.when(F.col("shard") < extra, F.col("shard") * (per + 1)).otherwise(edge + (F.col("shard") - extra) * per)
-    return ranked.withColumn("shard", shard).withColumn("slot", (r - first).cast("long")).select("doc_id", "size", "text_crc32", F.col("cell").alias("curve"), r.cast("long").alias("rank"), "shard", "slot")
+    return ranked.withColumn("shard", shard).withColumn("slot", (r - first).cast("long"))
 
 
-def write_shards(docs: DataFrame, path: str, dims: list[str], shards: int = 16, bits: int = 4) -> None:
-    """Write docs as Parquet, one folder per shard, sorted along the curve for row-group pruning."""
-    cuts = levels(docs, dims, bits)
-    placed = docs.withColumn("_curve", hilbert_column(docs, dims, cuts, bits))
-    ranks = placed.select("_curve").groupBy("_curve").count()
-    before = Window.orderBy("_curve").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("count").over(Window.partitionBy())
-    ends = ranks.withColumn("_shard", F.least(F.floor((F.sum("count").over(before) - F.col("count") / 2) * shards / total), F.lit(shards - 1)).cast("int")).select("_curve", "_shard")
-    placed.join(F.broadcast(ends), "_curve").repartition("_shard", F.pmod(F.xxhash64(*dims), F.lit(4))).sortWithinPartitions("_shard", "_curve").drop("_curve").write.partitionBy("_shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, dims: list[str], shards: int = 16, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write docs as Parquet, one folder per shard of assign(), rows in the order of their slots."""
+    placed = _assigned(docs, dims, shards, bits, id_col, text_col, [F.struct(*docs.columns).alias("row")])
+    per = max(1, docs.count() // shards)
+    placed = placed.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).withColumn("_file", F.least(F.floor(F.col("_slot") * 4 / per), F.lit(3)))
+    placed.repartition("_shard", "_file").sortWithinPartitions("_shard", "_slot").drop("_slot", "_file").write.partitionBy("_shard").parquet(path)
 
 
 def ranges(sharded: DataFrame, dims: list[str]) -> DataFrame:

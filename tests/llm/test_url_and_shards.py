@@ -108,3 +108,17 @@ def test_written_shards_hold_all_rows(spark, documents, tmp_path):
     sharding.write_shards(documents, str(tmp_path / "s"), ["lang", "source", "n_chars"], shards=4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted(map(str, back.select(documents.columns).collect())) == sorted(map(str, documents.collect()))
+
+
+@pytest.mark.parametrize("hot", [10, 10_000])
+def test_written_shards_are_those_of_assign(spark, tmp_path, monkeypatch, hot):
+    """Also where one cell holds most rows; equal texts lie together inside it."""
+    monkeypatch.setattr(sharding, "HOT_ROWS", hot)
+    docs = spark.range(400).selectExpr("id AS doc_id", "if(id % 4 = 0, 'source_1', 'source_2') AS source", "concat('t', id % 5 * (id % 3)) AS text")
+    found = sharding.assign(docs, ["source"], shards=8).collect()
+    sharding.write_shards(docs, str(tmp_path / "s"), ["source"], shards=8)
+    back = spark.read.parquet(str(tmp_path / "s")).select("doc_id", "_shard").collect()
+    assert sorted(map(tuple, back)) == sorted((r.doc_id, r.shard) for r in found)
+    runs = [(r.curve, r.text_crc32) for r in sorted(found, key=lambda r: r.rank)]
+    assert sum(a != b for a, b in zip(runs, runs[1:])) + 1 == len(set(runs))
+    assert len({r.curve for r in found}) == 2
