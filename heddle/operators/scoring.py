@@ -72,17 +72,17 @@ def blend_weight(df: DataFrame, grid: list[float], classes: int, by: list[str] |
     return both.groupBy(*by).agg(F.max_by(F.struct("weight", "macro_f1", "accuracy", "loss"), key).alias("b")).select(*by, "b.*")
 
 
-def estimator(spec: str, features: int, classes: int, seed: int = 7):
-    """Estimators of Spark ML by name. The multilayer perceptron has neither class weights nor early stopping."""
+def estimator(spec: str, features: int, classes: int, seed: int = 7, trees: int = 512, hidden: tuple[int, ...] = (512, 256), iterations: int = 2000):
+    """Estimators of Spark ML by name, of the reference's sizes. The multilayer perceptron has neither class weights nor early stopping."""
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 
     common = {"featuresCol": "x", "labelCol": "label", "probabilityCol": "p"}
     if spec == "logistic":
-        return LogisticRegression(**common, weightCol="weight", maxIter=50, regParam=1e-4)
+        return LogisticRegression(**common, weightCol="weight", maxIter=iterations, regParam=1e-4)
     if spec == "forest":
-        return RandomForestClassifier(**common, weightCol="weight", numTrees=32, featureSubsetStrategy="sqrt", seed=seed)
+        return RandomForestClassifier(**common, weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed)
     if spec == "mlp":
-        return MultilayerPerceptronClassifier(**common, layers=[features, 32, classes], maxIter=40, seed=seed)
+        return MultilayerPerceptronClassifier(**common, layers=[features, *hidden, classes], maxIter=40, seed=seed)
     raise ValueError(f"unknown model: {spec}")
 
 

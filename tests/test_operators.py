@@ -115,3 +115,11 @@ def test_entry_point_imports_and_runs(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_estimators_have_the_sizes_of_the_reference(spark):
+    from heddle.operators import scoring
+
+    assert scoring.estimator("forest", 64, 10).getNumTrees() == 512
+    assert list(scoring.estimator("mlp", 64, 10).getLayers()) == [64, 512, 256, 10]
+    assert scoring.estimator("logistic", 64, 10).getMaxIter() == 2000
