@@ -1,10 +1,10 @@
 """License texts that the signature rules look for.
 
 Names are given as words of the normalised text: lower case, runs of anything
-but letters and digits as one space. The rules are SPDX identifiers, then the
-products of the names and the templates below, in order of priority. A template
-only adds to the confidence of a name. Of an SPDX expression the first identifier
-is read. A rule's keyword is a word that every text it matches must hold.
+but letters and digits as one space. The rules are SPDX identifiers, sentences of
+the licenses' own texts and notices, their addresses, then the products of the
+names and the templates below, in order of priority. A template only adds to the
+confidence of a name. Of an SPDX expression the first identifier is read. A rule's keyword is a word that every text it matches must hold.
 """
 
 from __future__ import annotations
@@ -112,6 +112,103 @@ SPDX = {
 #: Labels that are no SPDX identifiers.
 NOT_SPDX = {"bsd", "gpl", "lgpl", "artistic", "perl", "cc-zero", "cc-attribution", "creative-commons", "public-domain", "copyright", "proprietary"}
 
+#: (label, word to gate by, sentence of the license's text or of its usual notice)
+SENTENCES = (
+    ("mit", "obtaining", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "substantial", "copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("ncsa", "restriction", "to deal with the software without restriction including without limitation"),
+    ("bsl-1.0", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "fee", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission", "copyright notice and this permission notice appear in all copies"),
+    ("postgresql", "agreement", "for any purpose without fee and without a written agreement is hereby granted"),
+    ("w3c", "royalty", "for any purpose and without fee or royalty is hereby granted"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "required", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "irrevocable", "perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce"),
+    ("apache-2.0", "contributor", "each contributor hereby grants to you a perpetual worldwide"),
+    ("gpl", "redistribute", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "received", "you should have received a copy of the gnu general public license"),
+    ("gpl", "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    ("lgpl", "redistribute", "free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl-3.0", "affero", "under the terms of the gnu affero general public license"),
+    ("agpl-3.0", "remotely", "must prominently offer all users interacting with it remotely"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "mozilla", "contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2.0", "eclipse", "made available under the terms of the eclipse public license 2 0"),
+    ("epl-1.0", "eclipse", "made available under the terms of the eclipse public license v1 0"),
+    ("cddl", "distribution", "subject to the terms of the common development and distribution license"),
+    ("zlib", "liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "want", "you just do what the fuck you want to"),
+    ("cc0-1.0", "deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0-1.0", "neighboring", "waived all copyright and related or neighboring rights"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "components", "nor any of its individual components in original or modified versions may be sold by itself"),
+    ("artistic-2.0", "verbatim", "you are permitted to use the standard version and create and use modified versions"),
+    ("artistic-1.0", "holder", "such that the copyright holder maintains some semblance of artistic control"),
+    ("psf", "python", "psf is making python available to licensee on an as is basis"),
+    ("php-3.01", "php", "this product includes php software freely available"),
+    ("openssl", "openssl", "software developed by the openssl project for use in the openssl toolkit"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache software foundation"),
+    ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("busl-1.1", "production", "create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic-2.0", "hosted", "you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl-1.0", "functionality", "make the functionality of the program or a modified version available to third parties as a service"),
+    ("odbl-1.0", "database", "this database is made available under the open database license"),
+    ("eupl-1.2", "eupl", "licensed under the eupl"),
+    ("upl-1.0", "larger", "the software and the larger works"),
+    ("unicode-dfs", "unicode", "to any person obtaining a copy of the unicode data files"),
+    ("creative-commons", "adapt", "you are free to share copy and redistribute the material in any medium or format"),
+    ("public-domain", "dedicated", "has been dedicated to the public domain"),
+    ("proprietary", "prohibited", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "reproduced", "no part of this (?:publication|work|document) may be reproduced"),
+)
+
+#: (label, word to gate by, address as words)
+ADDRESSES = (
+    ("apache-2.0", "apache", "apache org licenses license 2 0"),
+    ("mit", "opensource", "opensource org licenses mit(?: license php)?"),
+    ("bsd-2-clause", "opensource", "opensource org licenses bsd 2 clause"),
+    ("bsd-3-clause", "opensource", "opensource org licenses bsd 3 clause"),
+    ("isc", "opensource", "opensource org licenses isc"),
+    ("gpl-3.0", "gnu", "gnu org licenses gpl 3 0"),
+    ("gpl-2.0", "gnu", "gnu org licenses(?: old licenses)? gpl 2 0"),
+    ("gpl", "gnu", "gnu org licenses gpl"),
+    ("lgpl", "gnu", "gnu org licenses lgpl"),
+    ("agpl-3.0", "gnu", "gnu org licenses agpl"),
+    ("gfdl", "gnu", "gnu org licenses fdl"),
+    ("mpl-2.0", "mozilla", "mozilla org mpl 2 0"),
+    ("mpl", "mozilla", "mozilla org mpl"),
+    ("epl-2.0", "eclipse", "eclipse org legal epl 2 0"),
+    ("epl-1.0", "eclipse", "eclipse org legal epl v10"),
+    ("edl-1.0", "eclipse", "eclipse org org documents edl v10"),
+    ("bsl-1.0", "boost", "boost org license 1 0 txt"),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", "creativecommons", "creativecommons org publicdomain mark 1 0"),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd"),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc"),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd"),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa"),
+    ("cc-by-4.0", "creativecommons", "creativecommons org licenses by 4 0"),
+    ("cc-by-3.0", "creativecommons", "creativecommons org licenses by 3 0"),
+    ("unlicense", "unlicense", "unlicense org"),
+    ("odbl-1.0", "opendatacommons", "opendatacommons org licenses odbl"),
+    ("odc-by", "opendatacommons", "opendatacommons org licenses by"),
+    ("ofl-1.1", "sil", "scripts sil org ofl"),
+    ("wtfpl", "wtfpl", "wtfpl net"),
+)
+
 #: (confidence, regex before the name, regex after it), the most telling first
 TEMPLATES = (
     (1.0, "spdx license identifier ", ""),
@@ -172,9 +269,12 @@ def spdx() -> list[tuple[str, str]]:
 
 
 def signatures() -> list[Signature]:
-    """All rules, highest priority first: SPDX identifiers, then by template, then as the licenses stand."""
+    """All rules, highest priority first: SPDX identifiers, sentences, addresses, then by template, then as the licenses stand."""
     ids = spdx()
-    out = [Signature(label, b"spdx", f"(?<= )spdx license identifier {x}(?= )".encode(), k - len(ids), 1.0) for k, (x, label) in enumerate(ids)]
+    own = [(0.95, x) for x in SENTENCES] + [(0.9, x) for x in ADDRESSES]
+    below = len(ids) + len(own)
+    texts = [Signature(label, _keyword(word, text).encode(), f"(?<= ){text}(?= )".encode(), k - len(own), c) for k, (c, (label, word, text)) in enumerate(own)]
+    out = texts + [Signature(label, b"spdx", f"(?<= )spdx license identifier {x}(?= )".encode(), k - below, 1.0) for k, (x, label) in enumerate(ids)]
     for t, (confidence, before, after) in enumerate(TEMPLATES):
         for k, (label, (keyword, names)) in enumerate(LICENSES.items()):
             for name in names:
