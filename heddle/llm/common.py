@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,8 +20,8 @@ from pyspark.sql.types import StructType
 CACHE_ENTRIES = 400_000
 #: Entries of a worker's cache of word hashes; it is emptied when it grows beyond that.
 HASH_ENTRIES = 200_000
-#: Documents that a task works on at a time.
-STEP_ROWS = 2000
+#: Documents, and bytes of them, that a task works on at a time; a longer document is a step of its own.
+STEP_ROWS, STEP_BYTES = 2000, 4 << 20
 #: Stands for all rows of an Arrow batch.
 WHOLE = 1 << 30
 
@@ -26,31 +30,109 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+_caches: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def register_cache(module: str, clear: Callable[[], None]) -> None:
+    """Tell how to empty what an operator's module keeps in a worker between tasks."""
+    _caches[module] = clear
+
+
+def release() -> None:
+    """Give freed memory back to the system; Python workers are reused from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def enter(module: str) -> None:
+    """A task of this module begins in this worker: what other operators keep here goes."""
+    global _owner
+    if module != _owner:
+        _owner = module
+        for name, clear in _caches.items():
+            if name != module:
+                clear()
+        release()
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows while something runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
     Only where it is unset, as in local tests, a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local[app]
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a table to the shared folder and read it: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def slices(b: pa.RecordBatch, rows: int = STEP_ROWS):
-    """Consecutive slices of at most so many rows, which bounds what a step holds."""
-    for start in range(0, b.num_rows, rows):
-        yield b.slice(start, rows)
+    with arrow_rows(df.sparkSession, STEP_ROWS):
+        df.write.partitionBy(*partition_by).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialize() that nothing reads any more: all that was made of them is written."""
+    for t in tables:
+        path = getattr(t, "stored_at", None)
+        if path:
+            jvm = t.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _row_bytes(b: pa.RecordBatch) -> np.ndarray:
+    """Bytes of each row's strings and binaries."""
+    out = np.zeros(b.num_rows, np.int64)
+    for c in b.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            out += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def slices(b: pa.RecordBatch, rows: int = STEP_ROWS, size: int = STEP_BYTES):
+    """Consecutive slices of at most so many rows and about so many bytes, which bounds what a step holds."""
+    ends = np.cumsum(_row_bytes(b))
+    start = 0
+    while start < b.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield b.slice(start, end - start)
+        start = end
 
 
 def map_arrow(df: DataFrame, fn, schema: str, rows: int = STEP_ROWS) -> DataFrame:
@@ -58,20 +140,15 @@ def map_arrow(df: DataFrame, fn, schema: str, rows: int = STEP_ROWS) -> DataFram
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        enter(fn.__module__)
         for b in batches:
             for part in slices(b, rows):
                 yield pa.RecordBatch.from_pydict(fn(part), schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession, rows: int = STEP_ROWS) -> None:
-    """Have Spark cut Arrow batches smaller: whole texts go both ways where rows are filtered in Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -86,6 +163,7 @@ class WordHash(dict):
 
 
 _words = WordHash()
+register_cache(__name__, _words.clear)
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

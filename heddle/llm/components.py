@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialize
+from heddle.llm.common import discard, materialize
 
 
 def _forest(batches):
@@ -59,7 +59,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if (state.n, state.h) == seen or not state.n:
             break
         seen = (state.n, state.h)
-        now = materialize(_star(_star(now, True), False), "edges")
+        before, now = now, materialize(_star(_star(now, True), False), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).union(loops.join(now, loops.node == now.u, "left_anti")).distinct()

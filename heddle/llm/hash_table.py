@@ -8,6 +8,8 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark import SparkContext
 
+from heddle.llm.common import register_cache
+
 _BITS = 14
 
 
@@ -61,6 +63,7 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 _opened: dict[str, list[Shard]] = {}
+register_cache("heddle.llm.kneser_ney", _opened.clear)
 
 
 def opened(name: str, shards: list) -> list[Shard]:

@@ -24,11 +24,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import column, hash_words, map_arrow, materialize, mix, small_batches
+from heddle.llm.common import column, discard, fresh, hash_words, map_arrow, materialize, mix
 from heddle.llm.hash_table import Table, shard_of
 
 _BEGIN, _END = np.uint64(0x51ED270B7A1F3C55), np.uint64(0x3C6EF372FE94F82B)
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+#: Rows up to which a table of a few numbers a row is broadcast; its rows are counted first.
+BROADCAST_ROWS = 500_000
 #: Kinds of table entries, mixed into the hashes so that all share one table.
 _KINDS = {"p1": np.uint64(11), "g1": np.uint64(22), "a2": np.uint64(33), "g2": np.uint64(44), "a3": np.uint64(55)}
 
@@ -148,20 +150,16 @@ def token_logs(table: Table, unknown: float, texts: list[bytes | None]) -> tuple
     return np.log10(p), sizes
 
 
-def score(docs: DataFrame, table: Table, unknown: float, columns: list[str]) -> DataFrame:
-    """The given columns of docs, __n_tokens and __log10_p; the text goes to the tasks once, whether kept or not."""
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    small_batches(docs.sparkSession, 1000)
-    kept = "text" in columns
-    at = columns.index("text") if kept else len(columns)
-    picked = docs.select(*columns, *[] if kept else [F.col("text").cast("binary").alias("__text")])
+def score(docs: DataFrame, table: Table, unknown: float, text_col: str = "text") -> DataFrame:
+    """One row per row of docs: all columns but the text, n_tokens and log10_p."""
+    others = [c for c in docs.columns if c != text_col]
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
 
     def run(b):
-        texts = b.column(at).to_pylist()
-        logs, sizes = token_logs(table, unknown, [x if x is None else x.encode() for x in texts] if kept else texts)
-        return {c: b.column(k) for k, c in enumerate(columns)} | {"__n_tokens": sizes, "__log10_p": np.add.reduceat(logs, np.cumsum(sizes) - sizes)}
+        logs, sizes = token_logs(table, unknown, b.column(len(others)).to_pylist())
+        return {c: b.column(k) for k, c in enumerate(others)} | {"n_tokens": sizes, "log10_p": np.add.reduceat(logs, np.cumsum(sizes) - sizes)}
 
-    return map_arrow(picked, run, f"{kinds}__n_tokens long, __log10_p double", 300)
+    return map_arrow(docs.select(*others, F.col(text_col).cast("binary")), run, f"{kinds}n_tokens long, log10_p double", 300)
 
 
 @dataclass(frozen=True)
@@ -195,34 +193,46 @@ class Classifier:
 
     def _level(self, mean: Column) -> Column:
         """log10 perplexity drawn towards mean by prior_tokens."""
-        return (-F.col("__log10_p") + self.prior_tokens * mean) / (F.col("__n_tokens") + self.prior_tokens)
+        return (-F.col("log10_p") + self.prior_tokens * mean) / (F.col("n_tokens") + self.prior_tokens)
 
-    def _scored(self, docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-        """score() of docs with __level and __limit.
+    def _scored(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
+        """doc_id, lang, text_key (a hash of the text), n_tokens, log10_p, level, limit: one row per row of docs.
 
-        All documents are scored once and written; the limits are then taken from the
-        scores of all trusted documents that the model wasn't trained on. Only ids and
-        scores are joined with the labels, never texts. The limits are one row a language.
+        All documents are scored once and their numbers written; the limits are then
+        taken from the scores of all trusted documents that the model wasn't trained
+        on. Only ids and scores are joined with the labels, never texts. The limits are
+        one row a language.
         """
         train_docs, held = self.samples(docs, labels)
         table, unknown = load(docs.sparkSession, train(train_docs))
-        scored = materialize(score(docs, table, unknown, columns), "scored")
-        known = materialize(scored.select("doc_id", "lang", "__n_tokens", "__log10_p").join(held, "doc_id", "left_semi"), "held")
-        mean = known.groupBy("lang").agg((-F.sum("__log10_p") / F.sum("__n_tokens")).alias("mean"))
-        every = known.agg((-F.sum("__log10_p") / F.sum("__n_tokens")).alias("mean")).first()["mean"] or 0.0
+        scored = materialize(score(docs.select("doc_id", "lang", F.xxhash64("text").alias("text_key"), "text"), table, unknown), "scored")
+        known = materialize(scored.select("doc_id", "lang", "n_tokens", "log10_p").join(held, "doc_id", "left_semi"), "held")
+        mean = known.groupBy("lang").agg((-F.sum("log10_p") / F.sum("n_tokens")).alias("mean"))
+        every = known.agg((-F.sum("log10_p") / F.sum("n_tokens")).alias("mean")).first()["mean"] or 0.0
         limits = known.join(F.broadcast(mean), "lang").withColumn("level", self._level(F.col("mean"))).groupBy("lang").agg(F.percentile_approx("level", self.quantile, 10_000).alias("limit"), F.first("mean").alias("mean"))
-        limits = materialize(limits.where("lang is not null"), "limits").select(F.col("lang").alias("__lang"), F.col("limit").alias("__limit"), F.col("mean").alias("__mean"))
+        limits = materialize(limits.where("lang is not null"), "limits")
         top = known.withColumn("level", self._level(F.lit(every))).agg(F.percentile_approx("level", self.quantile, 10_000).alias("x")).first()["x"]
-        joined = scored.join(F.broadcast(limits), F.col("lang") == F.col("__lang"), "left").drop("__lang")
-        joined = joined.withColumn("__limit", F.coalesce("__limit", F.lit(top).cast("double"), F.lit(float("inf"))) + float(np.log10(self.margin)))
-        return joined.withColumn("__level", self._level(F.coalesce("__mean", F.lit(float(every)))))
+        discard(known)
+        joined = scored.join(F.broadcast(limits), "lang", "left")
+        joined = joined.withColumn("limit", F.coalesce("limit", F.lit(top).cast("double"), F.lit(float("inf"))) + float(np.log10(self.margin)))
+        return joined.withColumn("level", self._level(F.coalesce("mean", F.lit(float(every))))).drop("mean")
 
     def judge(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
         """doc_id, lang, n_tokens, perplexity, level (perplexity with the prior), limit, kept."""
-        scored, ten = self._scored(docs, labels, ["doc_id", "lang"]), F.lit(10.0)
-        n = F.col("__n_tokens")
-        return scored.select("doc_id", "lang", n.alias("n_tokens"), F.pow(ten, -F.col("__log10_p") / n).alias("perplexity"), F.pow(ten, F.col("__level")).alias("level"), F.pow(ten, F.col("__limit")).alias("limit"), (F.col("__level") <= F.col("__limit")).alias("kept"))
+        ten = F.lit(10.0)
+        scored = self._scored(docs, labels)
+        return scored.select("doc_id", "lang", "n_tokens", F.pow(ten, -F.col("log10_p") / F.col("n_tokens")).alias("perplexity"), F.pow(ten, F.col("level")).alias("level"), F.pow(ten, F.col("limit")).alias("limit"), (F.col("level") <= F.col("limit")).alias("kept"))
 
     def keep(self, docs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of docs that judge() keeps, with all their columns; the texts are written once with their scores."""
-        return self._scored(docs, labels, docs.columns).where("__level <= __limit").select(*docs.columns)
+        """The rows of docs that judge() keeps, with all their columns.
+
+        Rows of the same id, language and text share a verdict, so the rejected ones are
+        told by these three; texts are neither written nor shuffled, unless more than
+        BROADCAST_ROWS go.
+        """
+        gone = self._scored(docs, labels).where("not coalesce(level <= limit, false)").select("doc_id", "lang", "text_key").distinct()
+        names = [fresh(docs, f"_gone_{k}") for k in range(3)]
+        gone = materialize(gone.toDF(*names), "gone")
+        gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+        same = docs["doc_id"].eqNullSafe(gone[names[0]]) & docs["lang"].eqNullSafe(gone[names[1]]) & (F.xxhash64(docs["text"]) == gone[names[2]])
+        return docs.join(gone, same, "left_anti")

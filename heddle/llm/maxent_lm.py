@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from heddle.llm.common import HASH_ENTRIES, WHOLE, column, map_arrow, materialize, slices
+from heddle.llm.common import HASH_ENTRIES, WHOLE, column, enter, map_arrow, materialize, register_cache, slices
 from heddle.llm.hash_table import Shard
 
 ENDINGS = 64
@@ -63,6 +63,7 @@ class _Words(dict):
 
 
 _words = _Words()
+register_cache(__name__, lambda: (_words.clear(), _seen.clear()))
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +138,7 @@ def history_counts(docs: DataFrame, classes: Classes) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
+        enter(__name__)
         n = np.zeros(CLASSES**3, np.int64)
         for b in (x for whole in batches for x in slices(whole)):
             h, sizes = tokens(column(b, "text"))
@@ -261,6 +263,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def first(batches):
+        enter(__name__)
         m = shared.value
         head, classes, logs = _opened(name, m)
         sent = 0

@@ -15,10 +15,17 @@ its links reach.
    so that a long list of near copies costs a comparison or two for each member.
 5. Skipping round: a list whose members are in one component is skipped whole;
    in the others, size order ends the scan of an entry early, and positions skip
-   partners that cannot reach t any more; parities of the sets bound how much they
-   have in common. Only pairs of different components are
+   partners that cannot reach t any more. Only pairs of different components are
    compared: what holds for a component's members follows from the components'
    other links.
+6. Derived answers: a set's hub is the most linked of its verified partners, and
+   how the two differ is known exactly. What two hubs have in common is computed
+   once; it bounds what their members have in common from both sides, so most
+   pairs of members get their answer without a look at their sets.
+
+Before any set is sent, parities (a bit or so a shingle) rule out pairs: two sets
+differ in at least as many shingles as their parities differ in bits. All that
+stays is verified on the whole sets.
 
 Long lists are cut into blocks, and pairs of blocks are the unit of work, so no
 task holds a whole hot list. Hashes have 64 bits; classes are told apart by 128.
@@ -26,7 +33,8 @@ task holds a whole hot list. Hashes have 64 bits; classes are told apart by 128.
 Defined cases: documents without words have an empty set, link with nothing and
 are their own component (their own doc_id). Equal texts, repeated rows and null
 ids fall into classes by their text; component_id is the smallest id that isn't
-null. Other columns take no part.
+null. Ids are of any type that has an order, strings too. Other columns take no
+part, whatever their names. A very long text is a step of its own.
 """
 
 from __future__ import annotations
@@ -37,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import WHOLE, column, hash_words, map_arrow, materialize, small_batches, windows
+from heddle.llm.common import WHOLE, column, discard, fresh, hash_words, map_arrow, materialize, windows
 from heddle.llm.components import connected_components
 
 #: A shingle that an Arrow batch holds so often is a candidate for the frequent ones.
@@ -47,9 +55,11 @@ FREQUENT = 1 << 19
 #: Entries of a list beyond which it is cut into blocks.
 BLOCK = 2048
 #: Entries a task inverts at once.
-SHARD_ENTRIES = 500_000
+SHARD_ENTRIES = 200_000
 #: Rounds of comparisons with hubs; more of them leave less to the skipping round, never another result.
 STAR_ROUNDS = 2
+#: Columns of compared pairs of classes a < b: their sizes, and what they have in common.
+LINK = "a long, b long, na long, nb long, common long"
 #: Rows up to which a table of a few numbers a row is broadcast; its rows are counted first.
 BROADCAST_ROWS = 500_000
 
@@ -64,11 +74,18 @@ def _signature(s: np.ndarray) -> bytes | None:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """512 bits: how often each value of a hash's low bits occurs, modulo 2.
+    """How often each value of a hash's low bits occurs, modulo 2: two to four bits a shingle, 512 at least.
 
     Two sets differ in at least as many shingles as their parities differ in bits.
     """
-    return np.packbits((np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+    size = max(512, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int = 64) -> np.ndarray:
+    """The parity of the same set in so many bytes: fewer low bits of the hashes tell its values apart."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -91,7 +108,8 @@ def _rows(docs: DataFrame) -> DataFrame:
             "counts": [c[often], *[None] * (len(sets) - 1)],
         }
 
-    return map_arrow(_texts(docs), run, "doc_id long, text_key long, n long, sig binary, often array<long>, counts array<long>", WHOLE)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(_texts(docs), run, f"doc_id {kind}, text_key long, n long, sig binary, often array<long>, counts array<long>")
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
@@ -124,7 +142,7 @@ def _classes(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
             out[sig] = (len(s), min(len(order), int((~known).sum())), order.tobytes(), parity(s))
         return {"sig": list(out)} | {c: [v[k] for v in out.values()] for k, c in enumerate(("n", "rare", "prefix", "bits"))}
 
-    found = map_arrow(_texts(docs), run, "sig binary, n long, rare int, prefix binary, bits binary", WHOLE)
+    found = map_arrow(_texts(docs), run, "sig binary, n long, rare int, prefix binary, bits binary")
     one = found.groupBy("sig").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     return materialize(one.withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -153,20 +171,21 @@ def _lists(classes: DataFrame) -> DataFrame:
         parts = [order[edge[k] : edge[k + 1]] for k in range(shards)]
         full = [k for k in range(shards) if len(parts[k])]
         pack = lambda x, kind: [x[parts[k]].astype(kind).tobytes() for k in full]
-        return {"shard": full, "h": pack(h, np.uint64), "node": pack(node, np.int64), "n": pack(n, np.int32), "pos": pack(pos, np.int32)}
+        return {"shard": full, "h": pack(h & np.uint64(0xFFFFFFFF), np.uint32), "node": pack(node, np.int64), "n": pack(n, np.int32), "pos": pack(pos, np.int32)}
 
     def shared(t: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        h = join("h", np.uint64)
+        # 40 bits or so are left of a hash; lists that thereby become one only make pairs that fail later
+        h = join("h", np.uint32).astype(np.int64) + (t.column("shard")[0].as_py() << 32)
         order = np.argsort(h, kind="stable")
         s = h[order]
         same = s[1:] == s[:-1]
         live = order[np.append(same, False) | np.insert(same, 0, False)] if len(s) else order
-        return pa.table({"h": h[live].view(np.int64), "node": join("node", np.int64)[live], "n": join("n", np.int32)[live], "pos": join("pos", np.int32)[live]})
+        return pa.table({"h": h[live], "node": join("node", np.int64)[live], "n": join("n", np.int32)[live], "pos": join("pos", np.int32)[live]})
 
     def often(b):
         h, node, n, pos = _entries(b, False)
-        return {"h": h.view(np.int64), "node": node, "n": n.astype(np.int32), "pos": pos.astype(np.int32)}
+        return {"h": (h | np.uint64(1 << 63)).view(np.int64), "node": node, "n": n.astype(np.int32), "pos": pos.astype(np.int32)}
 
     kind = "h long, node long, n int, pos int"
     packed = map_arrow(classes.where("rare > 0"), cut, "shard int, h binary, node binary, n binary, pos binary", WHOLE)
@@ -219,33 +238,28 @@ def _both(pairs: DataFrame, data: DataFrame, value: Column) -> DataFrame:
     return data.join(ends, "node").groupBy("a", "b").agg(at("a").alias("x"), at("b").alias("y"))
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that their prefixes don't rule out.
+def _reaches(n: Column, common: Column, percent: int) -> Column:
+    """Do two sets of n shingles together, of which so many are common, reach the threshold?"""
+    return (100 + percent) * common >= percent * n
 
-    Up to the earlier of the two prefixes' ends, both sets are known, so their
-    common shingles there and the shorter rest bound the intersection.
-    """
+
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their parities don't rule out."""
 
     def run(b):
         keep = []
         for x, y in zip(column(b, "x"), column(b, "y"), strict=True):
-            (rx, px), (ry, py) = ((v["rare"], np.frombuffer(v["prefix"], np.uint64)) for v in (x, y))
-            # whether the whole rare part, or the whole set, lies in the prefix
-            last = min((rx < len(px), px[-1]), (ry < len(py), py[-1]))
-            known = []
-            for r, p in ((rx, px), (ry, py)):
-                known.append(p[: r + np.searchsorted(p[r:], last[1], "right")] if last[0] else p[: np.searchsorted(p[:r], last[1], "right")])
-            common = len(known[0]) + len(known[1]) - len(np.unique(np.concatenate(known)))
-            reach = common + min(x["n"] - len(known[0]), y["n"] - len(known[1]))
-            keep.append((100 + percent) * reach >= percent * (x["n"] + y["n"]))
+            size, both = min(len(x["bits"]), len(y["bits"])), x["n"] + y["n"]
+            differ = int(np.bitwise_count(folded(x["bits"], size) ^ folded(y["bits"], size)).sum())
+            keep.append((100 + percent) * (both - differ) >= 2 * percent * both)
         keep = pa.array(keep, pa.bool_())
         return {"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)}
 
-    return map_arrow(_both(pairs, classes, F.struct("n", "rare", "prefix")), run, "a long, b long")
+    return map_arrow(_both(pairs, classes, F.struct("n", "bits")), run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold; the sets are made anew from one document of each class."""
+def _common(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, na, nb, common of the pairs; the sets are made anew from one document of each class."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialize(classes.select("node", "sig").join(nodes, "node", "left_semi").join(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "sig"), "wanted")
     ids = _small(wanted.select("doc_id").distinct())
@@ -257,16 +271,51 @@ def _linked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, classes: DataFra
         return {"sig": list(found), "s": list(found.values())}
 
     def run(b):
-        keep = []
+        na, nb, common = [], [], []
         for x, y in zip(column(b, "x"), column(b, "y"), strict=True):
-            both = (len(x) + len(y)) // 8
-            common = both - len(np.unique(np.frombuffer(x + y, np.uint64)))
-            keep.append(100 * common >= percent * (both - common))
-        keep = pa.array(keep, pa.bool_())
-        return {"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)}
+            na.append(len(x) // 8)
+            nb.append(len(y) // 8)
+            common.append(na[-1] + nb[-1] - len(np.unique(np.frombuffer(x + y, np.uint64))))
+        return {"a": b.column(0), "b": b.column(1), "na": na, "nb": nb, "common": common}
 
-    found = map_arrow(texts, sets, "sig binary, s binary").join(_small(wanted.select("sig", "node")), "sig").select("node", "s")
-    return map_arrow(_both(pairs, found, F.col("s")), run, "a long, b long")
+    found = map_arrow(texts, sets, "sig binary, s binary").join(_small(wanted.select("sig", "node")), "sig").groupBy("node").agg(F.first("s").alias("s"))
+    return materialize(map_arrow(_both(pairs, found, F.col("s")), run, LINK), "common")
+
+
+def _hubs(linked: DataFrame) -> DataFrame:
+    """node, hub, lost (shingles of the node that its hub lacks), more (the other way round), of every node with a better linked partner."""
+    ends = linked.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("hub"), (F.col("na") - F.col("common")).alias("lost"), (F.col("nb") - F.col("common")).alias("more")), F.struct(F.col("b").alias("node"), F.col("a").alias("hub"), (F.col("nb") - F.col("common")).alias("lost"), (F.col("na") - F.col("common")).alias("more")))).alias("e")).select("e.*")
+    degree = materialize(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    rank = lambda c: F.struct("degree", (-F.col(c)).alias("first"))
+    best = ends.join(degree.select(F.col("node").alias("hub"), "degree"), "hub").groupBy("node").agg(F.max(rank("hub")).alias("rank"), F.max_by(F.struct("hub", "lost", "more"), rank("hub")).alias("e"))
+    return best.join(degree, "node").where(F.col("rank") > rank("node")).select("node", "e.*")
+
+
+def _derived(pairs: DataFrame, hubs: DataFrame, percent: int, common) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs (a, b, na, nb): those that link by their hubs' answers, and those that these don't decide.
+
+    A pair of hubs is asked for only where two pairs of members or more share it.
+    """
+    at = lambda c: hubs.select(F.col("node").alias(c), F.col("hub").alias(f"h{c}"), F.col("lost").alias(f"lost_{c}"), F.col("more").alias(f"more_{c}"))
+    own = pairs.join(_small(at("a")), "a", "left").join(_small(at("b")), "b", "left")
+    own = own.fillna(0, ["lost_a", "more_a", "lost_b", "more_b"]).withColumn("x", F.coalesce("ha", "a")).withColumn("y", F.coalesce("hb", "b"))
+    own = materialize(own.withColumn("ha", F.least("x", "y")).withColumn("hb", F.greatest("x", "y")).drop("x", "y"), "members")
+    asked = materialize(own.where("ha <> hb").groupBy("ha", "hb").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("ha").alias("a"), F.col("hb").alias("b")), "asked")
+    answers = common(asked).select(F.col("a").alias("ha"), F.col("b").alias("hb"), "common")
+    joined = own.join(_small(answers), ["ha", "hb"], "left")
+    least = F.col("common") - F.col("more_a") - F.col("more_b")
+    most = F.col("common") + F.col("lost_a") + F.col("lost_b")
+    both = F.col("na") + F.col("nb")
+    # a pair of hubs is a pair itself: nothing is lost or more there, so its answer is exact
+    yes = F.coalesce(_reaches(both, least, percent), F.lit(False))
+    no = F.coalesce(~_reaches(both, most, percent), F.lit(False))
+    told = materialize(joined.select("a", "b", yes.alias("yes"), no.alias("no")), "derived")
+    return told.where("yes").select("a", "b"), told.where("not yes and not no").select("a", "b")
+
+
+def _small_parities(classes: DataFrame) -> DataFrame:
+    """node, bits: each class's parity in 512 bits."""
+    return map_arrow(classes.select("node", "bits"), lambda b: {"node": b.column(0), "bits": [folded(x).tobytes() for x in column(b, "bits")]}, "node long, bits binary")
 
 
 def _across(lists: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -277,7 +326,7 @@ def _across(lists: DataFrame, found: DataFrame, classes: DataFrame, percent: int
     open_ = own.join(mixed, "h").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # an entry takes part in the pairs of its block with each block, itself included
     units = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    units = units.select("h", "lo", "hi", "block", "node", "n", "pos", "component").join(classes.select("node", "bits"), "node")
+    units = units.select("h", "lo", "hi", "block", "node", "n", "pos", "component").join(_small_parities(classes), "node")
     units = materialize(units, "units")
     buckets = 1 + units.count() // SHARD_ENTRIES
 
@@ -311,46 +360,61 @@ def _across(lists: DataFrame, found: DataFrame, classes: DataFrame, percent: int
     return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, counters: dict[str, int] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs (doc_id, text).
 
     Two documents link when 100 * intersection >= percent * union of their sets of
-    five-word shingles.
+    five-word shingles. counters, if given, is filled: pairs after each round, pairs
+    verified on their sets, pairs whose answers were derived.
     """
-    return _grouped(docs, percent).drop("text_key")
+    return _grouped(docs, percent, counters).drop("text_key")
 
 
-def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, counters: dict[str, int] | None = None) -> DataFrame:
     """near_duplicates() with text_key, a hash of the row's text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     rows = materialize(_rows(docs), "rows")
     classes = _classes(docs, _frequent(rows), percent)
     lists = _lists(classes)
-    nothing = docs.sparkSession.createDataFrame([], "a long, b long")
+    none = docs.sparkSession.createDataFrame([], LINK)
+
+    def count(name: str, df: DataFrame) -> None:
+        if counters is not None:
+            counters[name] = counters.get(name, 0) + df.count()
+
+    def common(pairs: DataFrame) -> DataFrame:
+        count("verified", pairs)
+        return none if pairs.isEmpty() else _common(pairs, docs, rows, classes)
 
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            return nothing
-        pairs = materialize(_plausible(pairs, classes, percent), "plausible")
-        return materialize(_linked(pairs, docs, rows, classes, percent), "links")
+    def close(pairs: DataFrame) -> DataFrame:
+        count("pairs", pairs)
+        return materialize(_close(pairs, classes, percent), "close") if not pairs.isEmpty() else pairs
 
+    link = _reaches(F.col("na") + F.col("nb"), F.col("common"), percent)
     tested = materialize(_predecessors(lists, percent), "near")
-    linked = links(tested)
+    linked = common(close(tested)).where(link)
     found = materialize(connected_components(linked), "components")
     for _ in range(STAR_ROUNDS):
         stars = materialize(_stars(lists, found, linked, percent).join(tested, ["a", "b"], "left_anti"), "stars")
         if stars.isEmpty():
             break
-        more = links(stars)
+        more = common(close(stars)).where(link)
         tested, linked = tested.union(stars), linked.union(more)
         if more.isEmpty():
             break
         found = materialize(connected_components(linked), "components")
-    last = links(_across(lists, found, classes, percent).join(tested, ["a", "b"], "left_anti"))
+    pairs = materialize(_across(lists, found, classes, percent).join(tested, ["a", "b"], "left_anti"), "across")
+    last = close(pairs)
     if not last.isEmpty():
-        found = materialize(connected_components(linked.union(last)), "components")
+        sizes = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+        ends = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last
+        sized = sizes("b").join(_small(materialize(sizes("a").join(ends, "a"), "ends")), "b")
+        yes, open_ = _derived(sized, _hubs(linked), percent, common)
+        count("derived", yes)
+        count("undecided", open_)
+        exact = common(materialize(open_, "undecided")).where(link).select("a", "b")
+        found = materialize(connected_components(linked.select("a", "b").union(yes).union(exact)), "components")
+    discard(pairs, tested)
     own = classes.select("sig", "node").join(found, "node", "left").select("sig", F.coalesce("component", "node").alias("component"))
     ids = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("id")).join(own, "sig")
     least = ids.groupBy("component").agg(F.min("id").alias("component_id"))
@@ -362,14 +426,18 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group the document with the smallest id.
 
-    Rows with the same id and text are one document. A group without any id keeps a
-    row of each text. The texts themselves aren't shuffled unless rows repeat, or
-    more than BROADCAST_ROWS documents go.
+    Rows with the same id and text are one document, of which the row that is first
+    as JSON stays. A group without any id keeps a row of each text. The texts
+    themselves aren't shuffled unless rows repeat, or more than BROADCAST_ROWS
+    documents go.
     """
     found = _grouped(docs, percent).groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("c"))
     goes = ~F.col("doc_id").eqNullSafe(F.col("c"))
-    marks = materialize(found.where(goes | (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), goes.alias("_goes")), "marks")
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    id_, key, gone, row = (fresh(docs, c) for c in ("_id", "_key", "_goes", "_row"))
+    marks = materialize(found.where(goes | (F.col("n") > 1)).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), goes.alias(gone)), "marks")
+    here = docs["doc_id"].eqNullSafe(marks[id_]) & (F.xxhash64(docs["text"]) == marks[key])
     joined = docs.join(_small(marks), here, "left")
-    once = joined.where("_goes is null").select(docs.columns)
-    return once.unionByName(joined.where("not _goes").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    once = joined.where(F.col(gone).isNull()).select(docs.columns)
+    again = joined.where(~F.col(gone)).select(id_, key, F.struct(*docs.columns).alias(row))
+    again = again.groupBy(id_, key).agg(F.min_by(row, F.to_json(row)).alias(row)).select(f"{row}.*")
+    return once.unionByName(again)

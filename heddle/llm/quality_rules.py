@@ -4,7 +4,7 @@ Each rule rejects a text. A bounded sample gives every rule's cost (seconds a
 text) and selectivity (share rejected); rules then run in the order of rejection
 per cost, each only on the texts that all earlier ones have let through. The
 verdict is a conjunction, so the order decides the time taken and never the
-result.
+result; which rule was the first to reject depends on the order and isn't told.
 
 Defined cases: null and empty texts have no words, so base_failed is true and
 kept false. Repeated rows and null ids are judged row by row. Other columns of
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import column, hash_words, map_arrow, slices, small_batches, windows
+from heddle.llm.common import column, enter, hash_words, map_arrow, windows
 
 _SPACE = b"\x09\x0a\x0b\x0c\x0d\x20"
 _NOT_CODE_POINT = _SPACE + bytes(range(0x80, 0xC0))
@@ -78,6 +78,10 @@ def repeat_words(hashes: np.ndarray, size: int = 5) -> int:
     return int((np.cumsum(edge[:n]) > 0).sum())
 
 
+#: Texts by which rules are ordered: the sample's bound, whatever the input.
+SAMPLE_ROWS = 4000
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -125,11 +129,12 @@ RULES = (
 )
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.02, seed: int = 7) -> list[dict]:
-    """Cost and selectivity of each rule on a sampled share of the texts, measured where they lie.
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, seed: int = 7) -> list[dict]:
+    """Cost and selectivity of each rule on about so many sampled texts, measured where they lie.
 
-    Only a few sums per rule reach the driver, and the sample decides only the
-    order of the rules. An empty sample keeps the given order.
+    The share sampled comes from the number of rows, which needs no column. Only a
+    few sums per rule reach the driver, and the sample decides only the order of the
+    rules. An empty sample keeps the given order.
     """
 
     def measure(batches):
@@ -144,6 +149,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.
         kinds = (pa.int32(), pa.float64(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((range(len(rules)), seconds, hits, [n] * len(rules)), kinds, strict=True)], ["k", "seconds", "hits", "n"])
 
+    share = min(1.0, rows / max(1, docs.count()))
     sample = docs.select(F.col("text").cast("binary").alias("text")).sample(share, seed)
     sums = sample.mapInArrow(measure, "k int, seconds double, hits long, n long").groupBy("k").agg(F.sum("seconds").alias("seconds"), F.sum("hits").alias("hits"), F.sum("n").alias("n"))
     return [{"k": r.k, "rule": rules[r.k].name, "cost": r.seconds / max(1, r.n), "selectivity": r.hits / max(1, r.n), "n": r.n} for r in sums.collect()]
@@ -155,23 +161,13 @@ def ordered(rules: tuple[Rule, ...], stats: list[dict]) -> tuple[Rule, ...]:
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-gain.get(k, 0.0), k)))
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, base measures, base_failed, kept, and the rule that rejected it."""
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, base measures, base_failed, kept."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    order = ordered(rules, estimate(docs, rules, share))
+    order = ordered(rules, estimate(docs, rules, sample_rows))
 
     def run(b):
         texts = [Text(x) for x in column(b, "text")]
-        cause: list[str | None] = ["base" if t.base_failed else None for t in texts]
-        alive = [i for i, c in enumerate(cause) if c is None]
-        for r in order:
-            rest = []
-            for i in alive:
-                if r.rejects(texts[i]):
-                    cause[i] = r.name
-                else:
-                    rest.append(i)
-            alive = rest
         return {
             "doc_id": b.column(0),
             "n_words": [t.n for t in texts],
@@ -180,27 +176,27 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.02,
             "n_dup_lines": [t.dup_lines for t in texts],
             "n_repeat_words": [t.repeat_words for t in texts],
             "base_failed": [t.base_failed for t in texts],
-            "kept": [c is None for c in cause],
-            "rejected_by": pa.array(cause, pa.string()),
+            "kept": [passes(t, order) for t in texts],
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs, run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string")
+    return map_arrow(docs, run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+
 
+def passes(t: Text, order: tuple[Rule, ...]) -> bool:
+    return not t.base_failed and not any(r.rejects(t) for r in order)
 
-def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, share: float = 0.02, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass, with all their columns, in one pass over the texts."""
-    order = ordered(rules, estimate(docs.select(F.col(text_col).alias("text")), rules, share))
-    at = docs.columns.index(text_col)
 
-    def passes(raw):
-        t = Text(raw.encode() if isinstance(raw, str) else raw)
-        return not t.base_failed and not any(r.rejects(t) for r in order)
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
+    """The rows of docs that pass, with all their columns, in one pass over the texts.
+
+    Python is sent the texts alone and gives back a boolean; the rows stay in the JVM.
+    """
+    order = ordered(rules, estimate(docs.select(F.col(text_col).alias("text")), rules, sample_rows))
 
-    def run(batches):
-        for whole in batches:
-            for b in slices(whole, 500):
-                yield b.filter(pa.array([passes(x) for x in b.column(at).to_pylist()], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def good(raw: pa.Array) -> pa.Array:
+        enter(__name__)
+        return pa.array([passes(Text(x.as_py()), order) for x in raw], pa.bool_())
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(F.col(text_col).cast("binary")))

@@ -15,7 +15,7 @@ import re
 
 import numpy as np
 
-from heddle.llm.common import CACHE_ENTRIES
+from heddle.llm.common import CACHE_ENTRIES, register_cache
 
 _LONG = 64  # bytes of a word beyond which it isn't kept
 _STEP = 4 << 20  # bytes of text encoded at a time
@@ -114,6 +114,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+register_cache("heddle.llm.packing", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from heddle.llm import ngram_join
@@ -67,6 +68,70 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, block):
     assert Counter(map(tuple, found)) == Counter(brute(rows))
 
 
+def test_answers_derived_from_hubs(spark):
+    """Two groups of near copies whose members are near each other only at the edges."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    left = base[:]
+    right = base[:]
+    for k in range(10, 390, 42):
+        right[k] = f"r{k}"
+    rows = []
+    for side in (left, right):
+        for m in range(30):
+            own = side[:]
+            own[m * 13 % 400] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(own)))
+    counters = {}
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), counters=counters).collect()
+    assert Counter(map(tuple, found)) == Counter(brute(rows))
+    assert counters["verified"] < 30 * 30 / 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_derived_answers_are_exact(spark, seed):
+    """What hubs decide about members agrees with the members' own sets."""
+    rnd = random.Random(seed)
+    n, sets = 40, []
+    for c in range(2):
+        base = set(rnd.sample(range(60 + 6 * c), 50))
+        sets += [base ^ set(rnd.sample(range(70), rnd.randrange(4))) for _ in range(n // 2)]
+    size = lambda a, b: (a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b]))
+    similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    inside = [size(a, b) for k in (0, n // 2) for a in range(k, k + n // 2) for b in range(a + 1, k + n // 2) if similar(a, b) and (a == k or rnd.random() < 0.2)]
+    across = [size(a, b) for a in range(n // 2) for b in range(n // 2, n)]
+    linked, pairs = spark.createDataFrame(inside, ngram_join.LINK), spark.createDataFrame(across, ngram_join.LINK)
+    common = lambda asked: spark.createDataFrame([size(r.a, r.b) for r in asked.collect()], ngram_join.LINK)
+    yes, open_ = ngram_join._derived(pairs.drop("common"), ngram_join._hubs(linked), 80, common)
+    yes, open_ = {tuple(r) for r in yes.collect()}, {tuple(r) for r in open_.collect()}
+    assert all(similar(a, b) for a, b in yes)
+    assert not any(similar(a, b) for a, b, *_ in across if (a, b) not in yes | open_)
+    assert len(open_) < len(across)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parities_bound_differences(seed):
+    rnd = random.Random(seed)
+    for n in (1, 5, 300, 3000):
+        x, y = ({rnd.randrange(2**64) for _ in range(n)} for _ in range(2))
+        y = set(list(x)[: n // 2]) | set(list(y)[n // 2 :])
+        sets = [np.array(sorted(s), np.uint64) for s in (x, y)]
+        bits = [ngram_join.parity(s) for s in sets]
+        for size in {64, min(map(len, bits))}:
+            assert np.bitwise_count(ngram_join.folded(bits[0], size) ^ ngram_join.folded(bits[1], size)).sum() <= len(x ^ y)
+
+
+def test_string_ids_and_clashing_columns(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [("b", text, 1, 2, 3), ("a", text + " ", 4, 5, 6), ("a", text + " ", 3, 5, 6), ("c", "other words stand here", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, _id long, _key long, _goes long")
+    found = ngram_join.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == Counter([("b", "a"), ("a", "a"), ("a", "a"), ("c", "c")])
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [("a", text + " ", 3, 5, 6), ("c", "other words stand here", 7, 8, 9)]
+
+
 def test_defined_cases(spark, texts, no_texts):
     rows = [(r.doc_id, r.text) for r in texts.collect()]
     assert Counter(map(tuple, ngram_join.near_duplicates(texts).collect())) == Counter(brute(rows))
