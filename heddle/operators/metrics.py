@@ -1,7 +1,8 @@
 """Metrics of decisions by inferential unit.
 
-Class metrics need one pass over (unit, class) counts, row metrics one over
-units, risk-coverage one sort within the unit; the three meet on the unit key.
+unit_metrics() makes one pass: rows are shuffled once by unit and sorted once by
+coverage; running hits, class counts, bins and means then meet in one aggregation.
+Metrics that a query doesn't read are pruned from it.
 """
 
 from __future__ import annotations
@@ -75,16 +76,58 @@ def rates(df: DataFrame, unit: list[str]) -> DataFrame:
     )
 
 
-def unit_metrics(decisions: DataFrame, unit: list[str] | None = None, classes: int = 5, rest_label: int | None = 0, key: str = "event_id") -> DataFrame:
-    """All metrics of every unit; the active ones leave out the rest label."""
+def unit_metrics(decisions: DataFrame, unit: list[str] | None = None, classes: int = 5, rest_label: int | None = 0, key: str = "event_id", bins: int = 15) -> DataFrame:
+    """All metrics of every unit; the active ones leave out the rest label.
+
+    Without active rows the active metrics are 0. A unit is sorted by one task.
+    """
     unit = unit or UNIT
-    slim = decisions.select(*dict.fromkeys([*unit, key, "label", "selected_action", "correct", "coverage"]))
-    out = rates(decisions, unit).join(ece(decisions, unit), unit, "left").join(class_metrics(slim, unit, classes).drop("n_class_rows"), unit, "left")
-    out = out.join(risk_coverage(slim, unit, key), unit, "left")
-    active = class_metrics(slim, unit, classes, rest_label, "active_").withColumnRenamed("active_n_class_rows", "n_active")
-    curve = risk_coverage(slim.where(F.col("label") != rest_label) if rest_label is not None else slim, unit, key, "active_risk_coverage_auc")
-    out = out.join(active, unit, "left").join(curve, unit, "left")
-    return out.fillna(0.0, ["active_macro_f1", "active_balanced_accuracy", "active_risk_coverage_auc"]).fillna(0, ["n_active"]).withColumn("split_family", F.split_part("split_id", F.lit("|"), F.lit(1))) if "split_id" in unit else out
+    x, label = F.col("selected_action"), F.col("label")
+    conf = F.array_max(clip_normalize(F.col("probs")))
+    active = (label != rest_label) if rest_label is not None else F.lit(True)
+    d = decisions.select(
+        *unit, key, label.alias("label"), x.alias("selected_action"), F.col("correct").cast("long").alias("correct"), F.col("intervene").cast("double").alias("intervene"), "expected_ali", "decision_time_ms",
+        F.round("coverage", 12).alias("coverage"), active.alias("active"), brier(F.col("probs"), label).alias("brier"), nll(F.col("probs"), label).alias("nll"), conf.alias("conf"),
+    )
+    w = Window.partitionBy(*unit).orderBy(F.desc("coverage"), key).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.col("active")
+    d = d.withColumns({"hits": F.sum("correct").over(w), "rank": F.count(F.lit(1)).over(w), "active_hits": F.sum(F.when(on, F.col("correct")).otherwise(0)).over(w), "active_rank": F.sum(on.cast("long")).over(w)})
+    d = d.withColumn("bin", F.least(F.ceil(F.round(F.col("conf") * bins, 9)), F.lit(bins)).cast("int"))
+    count = lambda test: F.sum(test.cast("long"))
+    chosen = [k for k in range(classes) if k != rest_label]
+    counts = {f"{n}{k}": count(t) for k in range(classes) for n, t in (("t", label == k), ("p", x == k), ("tp", (label == k) & (x == k)), ("ap", on & (x == k)))}
+    gaps = {f"bin{b}": F.sum(F.when(F.col("bin") == b, F.col("correct") - F.col("conf"))) for b in range(1, bins + 1)}
+    rows = d.groupBy(*unit).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col("correct").cast("double")).alias("accuracy"),
+        F.avg("intervene").alias("intervention_rate"),
+        F.avg("expected_ali").alias("mean_ali"),
+        F.median("decision_time_ms").alias("median_decision_time_ms"),
+        F.avg("brier").alias("brier"),
+        F.avg("nll").alias("nll"),
+        F.avg(1 - F.col("hits") / F.col("rank")).alias("risk_coverage_auc"),
+        F.avg(F.when(on, 1 - F.col("active_hits") / F.col("active_rank"))).alias("active_risk_coverage_auc"),
+        count(on).alias("n_active"),
+        count(F.col("bin") >= 1).alias("n_binned"),
+        *[e.alias(n) for n, e in (counts | gaps).items()],
+    )
+    c = lambda n, k: F.col(f"{n}{k}")
+    recall = lambda k: F.when(c("t", k) > 0, c("tp", k) / c("t", k)).otherwise(0.0)
+    f1 = lambda k, p: F.when(c("t", k) + c(p, k) > 0, 2 * c("tp", k) / (c("t", k) + c(p, k))).otherwise(0.0)
+    mean = lambda values: sum(values[1:], values[0]) / len(values)
+    zero = lambda v: F.coalesce(v, F.lit(0.0))
+    out = rows.select(
+        *unit, "n", "accuracy", "intervention_rate", "mean_ali", "median_decision_time_ms", "brier", "nll",
+        (sum([F.abs(zero(F.col(b))) for b in gaps][1:], F.abs(zero(F.col("bin1")))) / F.col("n_binned")).alias("ece"),
+        mean([recall(k) for k in range(classes)]).alias("balanced_accuracy"),
+        mean([f1(k, "p") for k in range(classes)]).alias("macro_f1"),
+        "risk_coverage_auc",
+        mean([recall(k) for k in chosen]).alias("active_balanced_accuracy"),
+        mean([f1(k, "ap") for k in chosen]).alias("active_macro_f1"),
+        "n_active",
+        zero(F.col("active_risk_coverage_auc")).alias("active_risk_coverage_auc"),
+    )
+    return out.withColumn("split_family", F.split_part("split_id", F.lit("|"), F.lit(1))) if "split_id" in unit else out
 
 
 METRICS = ["accuracy", "balanced_accuracy", "macro_f1", "active_macro_f1", "brier", "nll", "ece", "risk_coverage_auc", "active_risk_coverage_auc", "intervention_rate", "mean_ali", "median_decision_time_ms"]

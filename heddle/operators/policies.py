@@ -1,9 +1,11 @@
 """Intervention policies: from a pair of posteriors to a decision.
 
-Every policy is one struct expression over p_user and p_assist; a grid of
-policies is one array of structs, exploded once, so the traces are scanned once
-whatever the number of policies. All of it is stateless and runs unchanged on a
-stream.
+What all policies need of a row (argmax, largest value, sum) is computed once, as
+columns; a policy is then a small struct: its name, action, budget, coverage and
+source. A grid of policies is one array of structs, exploded once, so the traces
+are scanned once whatever the number of policies. The chosen vector follows from
+the source after the explode, so queries that don't read it never build it. All of
+it is stateless and runs unchanged on a stream.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.arrays import EPS, agency_loss, argmax, let, normalize, total
+from heddle.functions.arrays import EPS, argmax, let, normalize, total
 
 TAUS = (0.05, 0.10, 0.15, 0.20, 0.25)
 
@@ -22,19 +24,22 @@ def _d(x: Column | float) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def decide(policy: Column | str, action: Column, probs: Column, tau: Column | float, coverage: Column | None, source: Column | str) -> Column:
-    """The struct that all policies share; flags and losses follow from it (see expand)."""
-    def filled(p: Column, x: Column) -> Column:
-        return F.struct(
-            (policy if isinstance(policy, Column) else F.lit(policy)).alias("policy"),
-            x.alias("selected_action"),
-            p.alias("probs"),
-            _d(tau).cast("double").alias("tau"),
-            (F.element_at(p, x + 1) if coverage is None else F.least(F.greatest(coverage, F.lit(0.0)), F.lit(1.0))).alias("coverage"),
-            (source if isinstance(source, Column) else F.lit(source)).alias("source"),
-        )
-
-    return let(action.cast("int"), lambda x: let(normalize(probs), lambda p: filled(p, x)))
+def decide(policy: Column | str, action: Column, tau: Column | float, coverage: Column, source: Column | str, weight: float = 0.0) -> Column:
+    """The struct that all policies share; flags, losses and the vector follow from it (see expand).
+
+    source tells whose vector is meant: user, defer (the user's), assist, agency_set
+    (the assistant's), blend (the mixture by weight), agency_margin (the assistant's
+    within the budget). A coverage outside [0, 1] is clipped.
+    """
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        text(policy).alias("policy"),
+        action.cast("int").alias("selected_action"),
+        _d(tau).cast("double").alias("tau"),
+        F.least(F.greatest(coverage, F.lit(0.0)), F.lit(1.0)).alias("coverage"),
+        text(source).alias("source"),
+        F.lit(float(weight)).alias("weight"),
+    )
 
 
 class Pair:
@@ -44,28 +49,41 @@ class Pair:
         self.pu, self.pa = F.col(p_user), F.col(p_assist)
         self.u, self.a = argmax(self.pu), argmax(self.pa)
         self.cu, self.ca = F.array_max(self.pu), F.array_max(self.pa)
+        self.su, self.sa = total(self.pu), total(self.pa)
+
+    @property
+    def user_share(self) -> Column:
+        return F.when(self.su > 0, self.cu / self.su).otherwise(self.cu)
+
+    @property
+    def assist_share(self) -> Column:
+        return F.when(self.sa > 0, self.ca / self.sa).otherwise(self.ca)
 
 
 def user_only(p: Pair) -> Column:
-    return decide("user_only", p.u, p.pu, 0.0, None, "user")
+    return decide("user_only", p.u, 0.0, p.user_share, "user")
 
 
 def assist_only(p: Pair) -> Column:
-    return decide("assist_only", p.a, p.pa, 1.0, None, "assist")
+    return decide("assist_only", p.a, 1.0, p.assist_share, "assist")
+
+
+def mixture(p: Pair, weight: Column | float) -> Column:
+    w = _d(weight)
+    return F.zip_with(p.pu, p.pa, lambda x, y: (1 - w) * x + w * y)
 
 
 def blend(p: Pair, weight: float) -> Column:
     if not 0 <= weight <= 1:
         raise ValueError("weight must lie in [0, 1]")
-    mixed = normalize(F.zip_with(p.pu, p.pa, lambda x, y: (1 - weight) * x + weight * y))
-    return let(mixed, lambda m: decide(f"confidence_blend_alpha_{weight:.2f}", argmax(m), m, 1.0, None, "blend"))
+    return let(normalize(mixture(p, weight)), lambda m: decide(f"confidence_blend_alpha_{weight:.2f}", argmax(m), 1.0, F.array_max(m), "blend", weight))
 
 
 def selective(p: Pair, threshold: float, named: bool = False) -> Column:
     """The user where sure, else the assistant where sure, else the user; the name has no threshold unless asked for."""
     name = "selective_prediction" + (f"_{threshold:.2f}" if named else "")
     helps = (p.cu < threshold) & (p.ca >= threshold)
-    return decide(name, F.when(helps, p.a).otherwise(p.u), F.when(helps, p.pa).otherwise(p.pu), 1.0, None, F.when(p.cu >= threshold, "user").when(helps, "assist").otherwise("defer"))
+    return decide(name, F.when(helps, p.a).otherwise(p.u), 1.0, F.when(helps, p.assist_share).otherwise(p.user_share), F.when(p.cu >= threshold, "user").when(helps, "assist").otherwise("defer"))
 
 
 def conf_gate(p: Pair, threshold: Column | float, tau: Column | float, name: Column | str | None = None) -> Column:
@@ -73,12 +91,21 @@ def conf_gate(p: Pair, threshold: Column | float, tau: Column | float, name: Col
     if not isinstance(threshold, Column) and not 0 <= threshold <= 1.01:
         raise ValueError("threshold must lie in [0, 1.01]")
     helps = p.ca >= _d(threshold)
-    return decide(name if name is not None else f"plain_conf_threshold_{threshold:.2f}", F.when(helps, p.a).otherwise(p.u), F.when(helps, p.pa).otherwise(p.pu), tau, F.when(helps, p.ca).otherwise(p.cu), F.when(helps, "assist").otherwise("user"))
+    return decide(name if name is not None else f"plain_conf_threshold_{threshold:.2f}", F.when(helps, p.a).otherwise(p.u), tau, F.when(helps, p.ca).otherwise(p.cu), F.when(helps, "assist").otherwise("user"))
 
 
 def set_budget(p: Pair, tau: float) -> Column:
-    helps = (p.ca > p.cu) & (agency_loss(p.pu, p.a) <= tau)
-    return decide(f"set_acsa_tau_{tau:.2f}", F.when(helps, p.a).otherwise(p.u), F.when(helps, p.pa).otherwise(p.pu), tau, None, F.when(helps, "agency_set").otherwise("user"))
+    helps = (p.ca > p.cu) & (F.greatest(F.lit(0.0), p.cu - F.element_at(p.pu, p.a + 1)) <= tau)
+    return decide(f"set_acsa_tau_{tau:.2f}", F.when(helps, p.a).otherwise(p.u), tau, F.when(helps, p.assist_share).otherwise(p.user_share), F.when(helps, "agency_set").otherwise("user"))
+
+
+def budget_margin(p: Pair, tau: Column | float, action: Column) -> Column:
+    """What an action leaves of the budget."""
+    return _d(tau) - F.greatest(F.lit(0.0), p.cu - F.element_at(p.pu, action + 1))
+
+
+def _actions(p: Pair) -> Column:
+    return F.sequence(F.lit(0), F.size(p.pu) - 1)
 
 
 def masked_probs(p: Column, allowed: Column, action: Column) -> Column:
@@ -93,17 +120,14 @@ def masked_probs(p: Column, allowed: Column, action: Column) -> Column:
 
 def margin_budget(p: Pair, tau: float, gain: float = 0.0) -> Column:
     """Of the actions within the budget the one most likely to the assistant, if likelier than the user's own to the user."""
-    margin = lambda i: F.lit(float(tau)) - F.greatest(F.lit(0.0), p.cu - F.element_at(p.pu, i + 1))
-    allowed = F.filter(F.sequence(F.lit(0), F.size(p.pu) - 1), lambda i: margin(i) >= -EPS)
-    best = lambda ok: F.array_max(F.transform(ok, lambda i: F.struct(F.element_at(p.pa, i + 1).alias("utility"), margin(i).alias("margin"), (-i).alias("neg"))))
+    margin = lambda i: budget_margin(p, tau, i)
+    best = F.array_max(F.transform(_actions(p), lambda i: F.when(margin(i) >= -EPS, F.struct(F.element_at(p.pa, i + 1).alias("utility"), margin(i).alias("margin"), (-i).alias("neg")))))
 
-    def chosen(ok: Column, b: Column) -> Column:
+    def chosen(b: Column) -> Column:
         helps = F.coalesce(b["utility"] > p.cu + gain, F.lit(False))
-        x = F.when(helps, -b["neg"]).otherwise(p.u).cast("int")
-        probs = lambda x: F.when(helps, masked_probs(p.pa, ok, x)).otherwise(p.pu)
-        return let(x, lambda x: decide(f"agency_margin_tau_{tau:.2f}", x, probs(x), tau, F.when(helps, b["utility"]).otherwise(p.cu), F.when(helps, "agency_margin").otherwise("user")))
+        return decide(f"agency_margin_tau_{tau:.2f}", F.when(helps, -b["neg"]).otherwise(p.u), tau, F.when(helps, b["utility"]).otherwise(p.cu), F.when(helps, "agency_margin").otherwise("user"))
 
-    return let(allowed, lambda ok: let(best(ok), lambda b: chosen(ok, b)))
+    return let(best, chosen)
 
 
 class Staged(Pair):
@@ -111,27 +135,45 @@ class Staged(Pair):
 
     def __init__(self):
         self.pu, self.pa = F.col("p_user"), F.col("p_assist")
-        self.u, self.a, self.cu, self.ca = (F.col(f"_{c}") for c in ("u", "a", "cu", "ca"))
+        self.u, self.a, self.cu, self.ca, self.su, self.sa = (F.col(f"_{c}") for c in ("u", "a", "cu", "ca", "su", "sa"))
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Adds what a Staged pair reads."""
     p = Pair()
-    return df.withColumns({"_u": p.u, "_a": p.a, "_cu": p.cu, "_ca": p.ca})
+    return df.withColumns({"_u": p.u, "_a": p.a, "_cu": p.cu, "_ca": p.ca, "_su": p.su, "_sa": p.sa})
+
+
+def chosen_probs(p: Pair, source: Column, action: Column, tau: Column, weight: Column) -> Column:
+    """The normalised vector that a decision stands for, from its source."""
+    allowed = F.filter(_actions(p), lambda i: budget_margin(p, tau, i) >= -EPS)
+    return F.when(source.isin("user", "defer"), normalize(p.pu)).when(source.isin("assist", "agency_set"), normalize(p.pa)).when(source == "blend", normalize(mixture(p, weight))).otherwise(masked_probs(p.pa, allowed, action))
 
 
 def expand(df: DataFrame, grid: Column) -> DataFrame:
     """One row per trace and policy of the grid, with the fields that follow from the decision."""
-    own = df.columns
-    x = F.col("d.selected_action")
+    own, p = df.columns, Staged()
+    x, tau = F.col("d.selected_action"), F.col("d.tau")
+    ali = F.greatest(F.lit(0.0), F.col("_cu") - F.element_at("p_user", x + 1))
     return (
         stage(df)
         .withColumn("d", F.explode(grid))
-        .withColumn("intervene", x != F.col("_u"))
-        .withColumn("expected_ali", F.greatest(F.lit(0.0), F.col("_cu") - F.element_at("p_user", x + 1)))
-        .withColumn("correct", x == F.col("label"))
-        .withColumn("decision_time_ms", F.coalesce("prefix_time_s", "timestamp_s") * 1000)
-        .select(*own, "d.*", "intervene", "expected_ali", (F.col("d.tau") - F.col("expected_ali")).alias("margin"), F.element_at("d.probs", x + 1).alias("confidence"), "correct", "decision_time_ms")
+        .withColumn("probs", chosen_probs(p, F.col("d.source"), x, tau, F.col("d.weight")))
+        .select(
+            *own,
+            "d.policy",
+            x.alias("selected_action"),
+            "probs",
+            tau.alias("tau"),
+            "d.coverage",
+            "d.source",
+            (x != F.col("_u")).alias("intervene"),
+            ali.alias("expected_ali"),
+            (tau - ali).alias("margin"),
+            F.element_at("probs", x + 1).alias("confidence"),
+            (x == F.col("label")).alias("correct"),
+            (F.coalesce("prefix_time_s", "timestamp_s") * 1000).alias("decision_time_ms"),
+        )
     )
 
 

@@ -11,7 +11,7 @@ from heddle.operators import signal as sig
 from heddle.plans import sql
 from heddle.sources import files, views
 
-TAUS = (0.10, 0.20)
+TAUS = policies.TAUS
 GRID = sql.policies(TAUS)
 MARGINS = {k: v for k, v in GRID.items() if k.startswith(("agency_margin", "set_acsa", "user_only", "assist_only"))}
 QUERIES: dict = {}
@@ -146,9 +146,16 @@ def f16(spark, sf_dir):
     return _grid(views.base_traces(spark, sf_dir), policies.user_only).select("event_id", F.round("decision_time_ms", 3).alias("decision_time_ms"))
 
 
-@query("f17_decision_violations", sql.query(sql.T, body="SELECT event_id, 'x' AS policy, 'x' AS rule FROM t0 WHERE false"))
+#: rule: what is done to one decision in eight to break it
+BROKEN = [("class index", "selected_action", F.lit(7)), ("tau", "tau", F.lit(-0.5)), ("expected_ali", "expected_ali", F.lit(-1.0)), ("margin", "margin", F.col("margin") + 0.5), ("argmax", "probs", F.reverse("probs")), ("confidence", "confidence", F.col("confidence") + 0.5), ("coverage", "coverage", F.lit(1.5))]
+
+
+@query("f17_decision_violations", sql.query(sql.T, body="SELECT event_id, 'assist_only' AS policy, ['class index', 'tau', 'expected_ali', 'margin', 'argmax', 'confidence', 'coverage'][CAST(event_id % 8 AS INT)] AS rule FROM t0 WHERE event_id % 8 > 0 AND (event_id % 8 <> 5 OR a <> list_position(list_reverse(p_assist), ca) - 1)"))
 def f17(spark, sf_dir):
-    return policies.decision_violations(policies.policy_grid(views.base_traces(spark, sf_dir), TAUS)).select("event_id", "policy", "rule")
+    """Each rule broken on a share of the decisions; a reversed vector breaks none where its largest value stays in place."""
+    d = _grid(views.base_traces(spark, sf_dir), policies.assist_only)
+    d = d.withColumns({c: F.when(F.col("event_id") % 8 == k, v).otherwise(F.col(c)) for k, (_, c, v) in enumerate(BROKEN, 1)})
+    return policies.decision_violations(d).select("event_id", "policy", "rule")
 
 
 @query("f18_decision_frame", sql.query(sql.T, sql.decisions({"assist_only": GRID["assist_only"]}), body="SELECT event_id, split_id, split_part(split_id, '|', 1) AS split_family, policy, x AS selected_action, episode_id, round(prefix_time_s, 6) AS prefix_time_s, correct FROM d"))
@@ -244,16 +251,31 @@ def units(spark, sf_dir) -> DataFrame:
     return metrics.unit_metrics(_margins(views.traces(spark, sf_dir)))
 
 
-UNIT_SQL = """e AS (SELECT split_id, policy, subject_id, session, day, label AS c, 1 AS t, 0 AS p, correct::INT AS tp FROM d UNION ALL SELECT split_id, policy, subject_id, session, day, x, 0, 1, 0 FROM d),
-s AS (SELECT split_id, policy, subject_id, session, day, c, sum(t) AS t, sum(p) AS p, sum(tp) AS tp FROM e GROUP BY ALL),
-f AS (SELECT split_id, policy, subject_id, session, day, sum(2 * tp / (t + p)) / 5 AS macro_f1 FROM s GROUP BY ALL),
-rr AS (SELECT split_id, policy, subject_id, session, day, count(*) AS n, avg(correct::INT) AS accuracy, avg(intervene::INT) AS intervention_rate, avg(ali) AS mean_ali FROM d GROUP BY ALL),
-un AS (SELECT rr.*, macro_f1, split_part(rr.split_id, '|', 1) AS split_family FROM rr JOIN f USING (split_id, policy, subject_id, session, day))"""
+UNIT_SQL = """e AS (SELECT split_id, policy, subject_id, session, day, label AS c, 1 AS t, 0 AS p, correct::INT AS tp, label <> 0 AS act FROM d UNION ALL SELECT split_id, policy, subject_id, session, day, x, 0, 1, 0, label <> 0 FROM d),
+s AS (SELECT split_id, policy, subject_id, session, day, c, sum(t) AS t, sum(p) AS p, sum(tp) AS tp, sum(CASE WHEN act THEN p ELSE 0 END) AS ap FROM e GROUP BY ALL),
+f AS (SELECT split_id, policy, subject_id, session, day, sum(2 * tp / (t + p)) / 5 AS macro_f1, sum(CASE WHEN t > 0 THEN tp / t ELSE 0 END) / 5 AS balanced_accuracy,
+  coalesce(sum(CASE WHEN c <> 0 AND t + ap > 0 THEN 2 * tp / (t + ap) END), 0) / 4 AS active_macro_f1, coalesce(sum(CASE WHEN c <> 0 AND t > 0 THEN tp / t END), 0) / 4 AS active_balanced_accuracy FROM s GROUP BY ALL),
+rk AS (SELECT split_id, policy, subject_id, session, day, label <> 0 AS act, 1 - sum(correct::INT) OVER w / row_number() OVER w AS risk, 1 - sum((correct AND label <> 0)::INT) OVER w / sum((label <> 0)::INT) OVER w AS arisk
+  FROM d WINDOW w AS (PARTITION BY split_id, policy, subject_id, session, day ORDER BY round(coverage, 12) DESC, event_id ROWS UNBOUNDED PRECEDING)),
+rc AS (SELECT split_id, policy, subject_id, session, day, avg(risk) AS risk_coverage_auc, coalesce(avg(CASE WHEN act THEN arisk END), 0) AS active_risk_coverage_auc FROM rk GROUP BY ALL),
+rr AS (SELECT split_id, policy, subject_id, session, day, count(*) AS n, avg(correct::INT) AS accuracy, avg(intervene::INT) AS intervention_rate, avg(ali) AS mean_ali, median(prefix_time_s * 1000) AS median_decision_time_ms, count(*) FILTER (WHERE label <> 0) AS n_active FROM d GROUP BY ALL),
+un AS (SELECT rr.*, macro_f1, balanced_accuracy, active_macro_f1, active_balanced_accuracy, risk_coverage_auc, active_risk_coverage_auc, split_part(rr.split_id, '|', 1) AS split_family FROM rr JOIN f USING (split_id, policy, subject_id, session, day) JOIN rc USING (split_id, policy, subject_id, session, day))"""
+G12 = ["accuracy", "intervention_rate", "mean_ali", "macro_f1", "balanced_accuracy", "active_macro_f1", "active_balanced_accuracy", "risk_coverage_auc", "active_risk_coverage_auc"]
 
 
-@query("g12_unit_metrics", sql.query(sql.T, DM, UNIT_SQL, body="SELECT split_id, policy, subject_id, session, day, n, round(accuracy, 6) AS accuracy, round(intervention_rate, 6) AS intervention_rate, round(mean_ali, 6) AS mean_ali, round(macro_f1, 6) AS macro_f1 FROM un"))
+@query("g12_unit_metrics", sql.query(sql.T, DM, UNIT_SQL, body="SELECT split_id, policy, subject_id, session, day, n, n_active, round(median_decision_time_ms, 3) AS median_decision_time_ms, " + ", ".join(f"round({c}, 6) AS {c}" for c in G12) + " FROM un"))
 def g12(spark, sf_dir):
-    return r6(units(spark, sf_dir).select("split_id", "policy", "subject_id", "session", "day", "n", "accuracy", "intervention_rate", "mean_ali", "macro_f1"), "accuracy", "intervention_rate", "mean_ali", "macro_f1")
+    u = units(spark, sf_dir).select("split_id", "policy", "subject_id", "session", "day", "n", "n_active", F.round("median_decision_time_ms", 3).alias("median_decision_time_ms"), *G12)
+    return r6(u, *G12)
+
+
+SIMPLE_UNIT = BINS.replace("SELECT split_id, policy, least", "SELECT split_id, policy, subject_id, least") + ", c AS (SELECT split_id, policy, subject_id, sum(n * abs(accuracy - confidence)) / sum(n) AS ece FROM b GROUP BY ALL), q AS (SELECT split_id, policy, subject_id, avg(list_sum(list_transform(range(5), lambda i: (probs[i + 1] - (i = label)::INT) ** 2))) AS brier, avg(-ln(probs[label + 1])) AS nll FROM p GROUP BY ALL)"
+
+
+@query("g12_unit_calibration", sql.query(sql.T, sql.decisions(SIMPLE), SIMPLE_UNIT, body="SELECT split_id, policy, subject_id, round(brier, 6) AS brier, round(nll, 6) AS nll, round(ece, 6) AS ece FROM q JOIN c USING (split_id, policy, subject_id)"))
+def g12b(spark, sf_dir):
+    u = metrics.unit_metrics(_simple(spark, sf_dir), UNIT).select(*UNIT, "brier", "nll", "ece")
+    return r6(u, "brier", "nll", "ece")
 
 
 @query("g13_family_aggregate", sql.query(sql.T, DM, UNIT_SQL, "sp AS (SELECT split_family, split_id, policy, avg(accuracy) AS accuracy, avg(macro_f1) AS macro_f1, avg(mean_ali) AS mean_ali, sum(n) AS n FROM un GROUP BY ALL)", body="SELECT split_family, policy, round(avg(accuracy), 6) AS accuracy, round(avg(macro_f1), 6) AS macro_f1, round(avg(mean_ali), 6) AS mean_ali, CAST(sum(n) AS BIGINT) AS n FROM sp GROUP BY ALL"))
@@ -269,7 +291,7 @@ def g13b(spark, sf_dir):
 @query("entry_margin_policy", sql.query(sql.T, sql.decisions({"agency_margin_tau_0.10": GRID["agency_margin_tau_0.10"]}, "t"), CURVE.format(w=""), f"rr AS ({RATES})", f"kk AS ({CURVE_BODY.format(n='risk_coverage_auc')})", body="SELECT rr.*, risk_coverage_auc FROM rr JOIN kk USING (split_id, policy, subject_id)"))
 def entry_margin_policy(spark, sf_dir):
     d = _grid(views.traces(spark, sf_dir), lambda p: policies.margin_budget(p, 0.10))
-    r = metrics.rates(d.drop("p_user", "p_assist"), UNIT).drop("brier", "nll").join(metrics.risk_coverage(_slim(d), UNIT, "event_id"), UNIT)
+    r = metrics.unit_metrics(d, UNIT).select(*UNIT, "n", "accuracy", "intervention_rate", "mean_ali", "median_decision_time_ms", "risk_coverage_auc")
     return r6(r, "accuracy", "intervention_rate", "mean_ali", "risk_coverage_auc").withColumn("median_decision_time_ms", F.round("median_decision_time_ms", 3))
 
 
@@ -293,8 +315,8 @@ def h2(spark, sf_dir):
     return timing.stable_future(_margins(views.traces(spark, sf_dir))).groupBy("split_id", "policy").agg(F.count_if("stable").alias("stable_rows"))
 
 
-H3 = "hu AS (SELECT split_id, policy, subject_id, session, day, count(*) AS n_episodes, avg((earliest_safe_s IS NOT NULL)::INT) AS rate_safe, avg((earliest_stable_safe_s IS NOT NULL)::INT) AS rate_stable_safe, median(earliest_safe_s) AS median_earliest_safe_s, median(earliest_stable_safe_s) AS median_earliest_stable_safe_s FROM ep GROUP BY ALL)"
-H_COLS = ["rate_safe", "rate_stable_safe", "median_earliest_safe_s", "median_earliest_stable_safe_s"]
+H3 = "hu AS (SELECT split_id, policy, subject_id, session, day, count(*) AS n_episodes, " + ", ".join(f"avg(({t} IS NOT NULL)::INT) AS {t.replace('earliest_', 'rate_').removesuffix('_s')}, median({t}) AS median_{t}" for t in timing.TIMES) + " FROM ep GROUP BY ALL)"
+H_COLS = [t.replace("earliest_", "rate_").removesuffix("_s") for t in timing.TIMES] + [f"median_{t}" for t in timing.TIMES]
 
 
 @query("h3_earliest_by_unit", sql.query(sql.T, DM, EARLY, H3, body="SELECT split_id, policy, subject_id, session, day, n_episodes, " + ", ".join(f"round({c}, 6) AS {c}" for c in H_COLS) + " FROM hu"))

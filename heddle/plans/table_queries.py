@@ -306,32 +306,32 @@ def j1(spark, sf_dir):
 
 @query("j2_bootstrap_ci")
 def j2(spark, sf_dir):
-    return r6(inference.bootstrap_ci(_pairs(spark, sf_dir).withColumn("g", F.lit(1)), "delta", ["g"], 1000).drop("g"), "estimate", "ci_low", "ci_high")
+    return r6(inference.bootstrap_ci(_pairs(spark, sf_dir).withColumn("g", F.lit(1)), "delta", ["g"]).drop("g"), "estimate", "ci_low", "ci_high")
 
 
 @query("j3_nested_bootstrap_ci")
 def j3(spark, sf_dir):
     u = views.unit_metrics(spark, sf_dir).withColumn("block", F.col("unit") % 5)
-    return r6(inference.nested_bootstrap_ci(u, "metric", ["block", "unit", "absent"], ["policy"], 200), "estimate", "ci_low", "ci_high")
+    return r6(inference.nested_bootstrap_ci(u, "metric", ["block", "unit", "absent"], ["policy"]), "estimate", "ci_low", "ci_high")
 
 
 @query("j4_signflip_p")
 def j4(spark, sf_dir):
-    return r6(inference.signflip_p(_pairs(spark, sf_dir).withColumn("g", F.lit(1)), "delta", ["g"], 1000).drop("g"), "p_value")
+    return r6(inference.signflip_p(_pairs(spark, sf_dir).withColumn("g", F.lit(1)), "delta", ["g"]).drop("g"), "p_value")
 
 
-SMALL = "sm AS (SELECT unit % 10 AS g, unit, a - b AS v FROM pm WHERE unit < 80), nb AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM sm), fl AS (SELECT g, r, avg(CASE WHEN (r >> k) & 1 = 1 THEN v ELSE -v END) AS mm FROM nb, range(256) q(r) WHERE r < (1 << n) GROUP BY ALL), ob AS (SELECT g, avg(v) AS o FROM sm GROUP BY ALL)"
+SMALL = "sm AS (SELECT unit // 8 AS g, unit, a - b AS v FROM pm), nb AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM sm), fl AS (SELECT g, r, avg(CASE WHEN (r >> k) & 1 = 1 THEN v ELSE -v END) AS mm FROM nb, range(256) q(r) WHERE r < (1 << n) GROUP BY ALL), ob AS (SELECT g, avg(v) AS o FROM sm GROUP BY ALL)"
 
 
 @query("j4_exact_signflip_p", sql.query(sql.U, PAIR, SMALL, body="SELECT g, round(avg((abs(mm) >= abs(o) - 1e-12)::INT), 6) AS p_value FROM fl JOIN ob USING (g) GROUP BY ALL"))
 def j4b(spark, sf_dir):
-    d = _pairs(spark, sf_dir).where("unit < 80").withColumn("g", F.col("unit") % 10)
+    d = _pairs(spark, sf_dir).withColumn("g", F.floor(F.col("unit") / 8))
     return r6(inference.exact_signflip_p(d, "delta", ["g"]), "p_value")
 
 
 @query("j5_paired_test", sql.query(sql.U, PAIR, body="SELECT round(avg(a - b), 6) AS estimate, count(*) AS n FROM pm"))
 def j5(spark, sf_dir):
-    return r6(inference.paired_test(views.unit_metrics(spark, sf_dir), ["unit"], "A", "N", "metric", 200).select("estimate", "n"), "estimate")
+    return r6(inference.paired_test(views.unit_metrics(spark, sf_dir), ["unit"], "A", "N", "metric").select("estimate", "n"), "estimate")
 
 
 HOLM = """pv AS (SELECT unit, policy, unit % 7 AS fam, round(n / 5000.0, 6) AS p FROM un),
@@ -349,21 +349,21 @@ def j6(spark, sf_dir):
 def j8(spark, sf_dir):
     u = views.unit_metrics(spark, sf_dir).withColumn("split_family", F.lit("all"))
     pairs = u.where("policy = 'A'").select(F.col("policy").alias("policy_a"), F.lit("N").alias("policy_b")).distinct()
-    t = inference.pairwise_table(u, ["unit"], pairs, ["metric", "budget"], ("budget",), 100)
+    t = inference.pairwise_table(u, ["unit"], pairs, ["metric", "budget"], ("budget",))
     return r6(t.select("split_family", "metric", "estimate", "n", "beneficial"), "estimate")
 
 
 @query("j9_policy_ci")
 def j9(spark, sf_dir):
     u = views.unit_metrics(spark, sf_dir).withColumn("split_family", F.lit("all")).withColumn("block", F.col("unit") % 5)
-    return r6(inference.policy_ci(u, ["metric", "budget"], ["block", "unit"], 100), "estimate", "ci_low", "ci_high")
+    return r6(inference.policy_ci(u, ["metric", "budget"], ["block", "unit"]), "estimate", "ci_low", "ci_high")
 
 
 @query("j10_report_pairwise")
 def j10(spark, sf_dir):
     u = views.unit_metrics(spark, sf_dir).withColumn("split_family", F.lit("all"))
     pairs = u.where("policy <> 'N'").select(F.col("policy").alias("policy_a"), F.lit("N").alias("policy_b")).distinct()
-    return r6(inference.report_pairwise(u, ["unit"], pairs, ["metric", "budget"], ("budget",), 200), "estimate", "ci_low", "ci_high", "p_value", "holm_threshold")
+    return r6(inference.report_pairwise(u, ["unit"], pairs, ["metric", "budget"], ("budget",)), "estimate", "ci_low", "ci_high", "p_value", "holm_threshold")
 
 
 @query("j11_significance_flag", sql.query(sql.U, HOLM, body="SELECT unit, policy, p < 0.01 AND min((p <= holm_threshold)::INT) OVER (PARTITION BY fam ORDER BY p, unit, policy ROWS UNBOUNDED PRECEDING) = 1 AS flagged FROM hr"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLASSES = 5
@@ -18,12 +18,12 @@ def base_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("label", ((F.col("user_id") + F.col("dk")) % 5).cast("int"))
 
     def weights(a: int, b: int, c: int, modulus: int, below: int, bonus: int):
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(CLASSES - 1)),
-            lambda k: (1 + (F.col("event_id") * a + k * b + F.col("user_id") * c) % modulus + F.when((k == F.col("label")) & (F.col("event_id") % 10 < below), bonus).otherwise(0)).cast("double"),
-        )
+        return F.array(*[(1 + (F.col("event_id") * a + k * b + F.col("user_id") * c) % modulus + F.when((F.col("label") == k) & (F.col("event_id") % 10 < below), bonus).otherwise(0)).cast("double") for k in range(CLASSES)])
+
+    def share(w: Column) -> Column:
+        at = [w[k] for k in range(CLASSES)]
+        return F.array(*[x / sum(at[1:], at[0]) for x in at])
 
-    share = lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda s, y: s + y))
     order = Window.partitionBy("user_id", "dk").orderBy("ts", "event_id")
     e = e.withColumn("pr", F.row_number().over(order)).withColumn("wu", weights(31, 17, 7, 97, 6, 90)).withColumn("wa", weights(13, 41, 3, 89, 8, 120))
     return e.select(
