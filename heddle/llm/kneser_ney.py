@@ -71,7 +71,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         _, first, c = np.unique(uvw, return_index=True, return_counts=True)
         return {k: _signed(x[first]) for k, x in (("uvw", uvw), ("uv", uv), ("vw", vw), ("v", v), ("w", w))} | {"c": c}
 
-    found = map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "uvw long, uv long, vw long, v long, w long, c long")
+    found = map_arrow(docs.select(F.col("text").cast("binary").alias("text")), run, "uvw long, uv long, vw long, v long, w long, c long", 500)
     return found.groupBy("uvw", "uv", "vw", "v", "w").agg(F.sum("c").alias("c"))
 
 

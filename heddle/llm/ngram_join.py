@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import WHOLE, column, discard, fresh, hash_words, map_arrow, materialize, windows
+from heddle.llm.common import WHOLE, column, discard, fresh, hash_words, map_arrow, materialize, release, windows
 from heddle.llm.components import connected_components
 
 #: A shingle that an Arrow batch holds so often is a candidate for the frequent ones.
@@ -181,6 +181,7 @@ def _lists(classes: DataFrame) -> DataFrame:
         s = h[order]
         same = s[1:] == s[:-1]
         live = order[np.append(same, False) | np.insert(same, 0, False)] if len(s) else order
+        release()
         return pa.table({"h": h[live], "node": join("node", np.int64)[live], "n": join("n", np.int32)[live], "pos": join("pos", np.int32)[live]})
 
     def often(b):
@@ -336,7 +337,9 @@ def _across(lists: DataFrame, found: DataFrame, classes: DataFrame, percent: int
         h, lo, hi, block, node, n, pos, comp = (x[order].astype(np.int64) for x in (h, lo, hi, block, node, n, pos, comp))
         bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, 8)[order]
         first = np.flatnonzero((100 + percent) * (n - pos) >= 2 * percent * n)  # positions that skip all larger partners are out
-        out = [np.zeros((0, 2), np.int64)]
+        # pairs as one number each, by the places of their nodes
+        nodes, place = np.unique(node, return_inverse=True)
+        out, held = np.zeros(0, np.int64), []
         k = 0
         while len(first):
             k += 1
@@ -347,14 +350,19 @@ def _across(lists: DataFrame, found: DataFrame, classes: DataFrame, percent: int
             ok = (comp[first] != comp[j]) & ((lo[j] == hi[j]) | (block[first] != block[j]))
             ok &= (100 + percent) * np.minimum(n[first] - pos[first], n[j] - pos[j]) >= percent * (n[first] + n[j])
             x, y = first[ok], j[ok]
-            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-            near = (100 + percent) * (n[x] + n[y] - differ) >= 2 * percent * (n[x] + n[y])
-            i, j = node[x[near]], node[y[near]]
-            out.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
-            if sum(map(len, out)) > 1_000_000:
-                out = [np.unique(np.concatenate(out), axis=0)]
-        both = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+            for at in range(0, len(x), 50_000):
+                i, j = x[at : at + 50_000], y[at : at + 50_000]
+                differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                near = (100 + percent) * (n[i] + n[j] - differ) >= 2 * percent * (n[i] + n[j])
+                i, j = place[i[near]], place[j[near]]
+                held.append(np.minimum(i, j) << 32 | np.maximum(i, j))
+            if sum(map(len, held)) > 500_000:
+                out, held = np.unique(np.concatenate([out, *held])), []
+        out = np.unique(np.concatenate([out, *held]))
+        found = pa.table({"a": nodes[out >> 32], "b": nodes[out & 0xFFFFFFFF]})
+        del h, lo, hi, block, node, n, pos, comp, bits, nodes, place, out
+        release()
+        return found
 
     dealt = units.withColumn("bucket", F.pmod(F.xxhash64("h", "lo", "hi"), F.lit(buckets)))
     return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long").distinct()
