@@ -1,26 +1,33 @@
 """Language-model scoring with a hashed, class-factored maximum-entropy model.
 
-P(word | history) = P(class | history) P(word | class). The most frequent words
-have a class of their own, the others a class by a hash of their last two bytes.
-The class softmax has hashed features of the history: the class of the previous
-word (n-gram), that of the word before it (skip), and both together (n-gram). All
-of them depend on the two classes alone, so the counts of (history, class) over
-all training tokens hold all that training needs: each step computes every
-history's gradient where its counts lie, sums the gradients by feature, and
-updates the weights, whose number is fixed.
+P(word | history) = P(class | history) P(group | class, history) P(word | group).
+Classes go by frequency: the most frequent words, in order, have a group of their
+own in one of the first classes; all others share the groups of the remaining
+classes by a hash. The first two factors are softmaxes. Their features are hashes
+of the previous words themselves: the word before (n-gram), the word before that
+(skip) and both together (n-gram), for the second factor each with the class. A
+feature is a row of weights, one for every outcome. The number of rows grows with
+the distinct words of the training documents, up to MOST_BITS (32 MB of weights).
+
+Training deals the training documents, all of them, into as many parts as there
+are steps. Each step is one distributed gradient update: tasks sum what their part
+shows and what the weights expect, sparse by blocks of rows; the sums are added
+where they are shuffled to, and the weights of each row move by its own ratio.
 
 Word counts cover all training tokens. Counts of the head (a bounded number of
 frequent words) are broadcast; the remaining tokens of each batch of documents are
 sent, packed, to the shards of the count table and their counts come back to the
-batch. Scoring works on sparse batches: only the histories that occur are looked
-up.
+batch. A shard is sent as often as its requests need, so that no task's share of
+them grows with the corpus. Scoring works on sparse batches: only the rows of the
+histories that occur are read.
 
-Words are told apart by 64 bits (58 of a hash, 6 of the ending).
+Words are told apart by 64 bits.
 
 Defined cases: null and empty texts are the end token alone. Documents without an
 id count as training documents. Repeated rows are counted and scored row by row.
-Without training tokens every word is unknown: base_score is 0 and classes are
-equally likely.
+Without training tokens every word is unknown: base_score is 0 and groups are
+equally likely. A text of any length is a step of its own. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,27 +44,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from heddle.llm.common import HASH_ENTRIES, WHOLE, column, enter, map_arrow, materialize, register_cache, slices
+from heddle.llm.common import HASH_ENTRIES, WHOLE, column, enter, map_arrow, materialize, mix, register_cache, slices
 from heddle.llm.hash_table import Shard
 
-ENDINGS = 64
-OWN = 64  # classes of single words; the first is the end token's
-CLASSES = OWN + ENDINGS
-PAIR_BUCKETS = 1 << 13
-FEATURES = 2 * CLASSES + PAIR_BUCKETS
-#: Frequent words whose counts are broadcast (12 bytes each).
+#: Outcomes of each of the two softmaxes.
+CLASSES = GROUPS = 32
+#: Groups of a single word; the first is the end token's. The others take half the classes.
+OWN = CLASSES // 2 * GROUPS
+#: Distinct training words per row of weights, and the bounds of the rows' number as powers of two.
+WORDS_A_ROW, LEAST_BITS, MOST_BITS = 64, 8, 17
+#: Rows of weights that are summed together.
+BLOCK = 64
+#: How far an update goes, the counts that hold it back, and the bound of a weight.
+RATE, PRIOR, MOST_WEIGHT = 0.5, 4.0, 12.0
+#: Tokens that a step of numpy works on.
+STEP = 1 << 13
+#: Frequent words whose counts are broadcast (16 bytes each).
 HEAD = 1 << 17
-#: Words of a shard of the count table.
-SHARD_WORDS = 500_000
-_LOW = np.uint64(ENDINGS - 1)
+#: Words of a shard of the count table, and requests that one copy of it answers.
+SHARD_WORDS, ASKED = 500_000, 2_000_000
 _END = np.uint64(0x3C6EF372FE94F800)
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
 class _Words(dict):
-    """Hash of a word; its low bits are the class of its ending."""
+    """Hash of a word."""
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word) & ~(ENDINGS - 1) | zlib.crc32(word[-2:]) % ENDINGS
+        h = xxhash.xxh3_64_intdigest(word)
         self[word] = h
         return h
 
@@ -96,107 +110,139 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), run, "h long, c long", WHOLE).groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Classes:
-    """Class of each token: one of the frequent words' own, or its ending's."""
+def shared_group(h: np.ndarray) -> np.ndarray:
+    """Group of a word that has none of its own."""
+    return (OWN + (h & np.uint64(CLASSES * GROUPS - OWN - 1)).astype(np.int64)).astype(np.int32)
+
+
+class Groups:
+    """Group of each token: one of the frequent words' own, or a shared one. A group's class is group // GROUPS."""
 
     def __init__(self, frequent: np.ndarray):
         own = np.concatenate([[_END], frequent[frequent != _END][: OWN - 1]]).astype(np.uint64)
         order = np.argsort(own)
-        self.keys, self.ids = own[order], order.astype(np.int64)
+        self.keys, self.ids = own[order], order.astype(np.int32)
 
     def of(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.ids[at], OWN + (h & _LOW).astype(np.int64))
+        return np.where(self.keys[at] == h, self.ids[at], shared_group(h))
 
 
-def histories(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Each token's history: class of the previous word and of the one before, as one number."""
+def features(h: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each token's three features; before a text's first word stands the end token."""
     starts = np.cumsum(sizes) - sizes
-    one, two = np.roll(classes, 1), np.roll(classes, 2)
-    one[starts] = two[starts] = 0
-    two[starts[sizes > 1] + 1] = 0
-    return one * CLASSES + two
-
-
-def features(history: np.ndarray) -> np.ndarray:
-    """The three features of each history (n x 3)."""
-    one, two = history // CLASSES, history % CLASSES
-    h = (history.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return np.stack([one, CLASSES + two, 2 * CLASSES + (h >> np.uint64(64 - 13)).astype(np.int64)], axis=1)
-
-
-def log_probabilities(weights: np.ndarray, bias: np.ndarray, history: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | history), n x classes."""
-    s = weights[features(history)].sum(axis=1) + bias
-    s -= s.max(axis=1, keepdims=True)
-    return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
-
-
-def history_counts(docs: DataFrame, classes: Classes) -> DataFrame:
-    """one (class of the previous word), n: counts of (the class before it, next class) as packed long values."""
-    schema = "one long, at binary, n binary"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    one, two = np.roll(h, 1), np.roll(h, 2)
+    one[starts] = two[starts] = _END
+    two[starts[sizes > 1] + 1] = _END
+    return [mix(one * _MIX[0]), mix(two * _MIX[1]), mix(one * _MIX[2] + two * _MIX[3])]
+
+
+def rows_of(x: np.ndarray, bits: int, classes: np.ndarray | None = None) -> np.ndarray:
+    """Rows of hashed features among 2 ** bits, in the second factor with the class."""
+    if classes is not None:
+        x = (x ^ (classes.astype(np.uint64) + np.uint64(1)) * _MIX[1]) * _MIX[0]
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Softmax of the bias and the rows' weights, tokens x outcomes."""
+    s = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        s += weights.take(r, axis=0)
+    s += bias
+    np.exp(s, out=s)  # weights are held within MOST_WEIGHT, so this stays finite
+    s /= s.sum(axis=1, keepdims=True)
+    return s
+
+
+def factors(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray], h: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
+    """(tokens, rows, outcomes, probabilities) of both factors, in steps of STEP tokens."""
+    bits = weights.shape[1].bit_length() - 1
+    x, classes, own = features(h, sizes), groups // GROUPS, groups % GROUPS
+    for at in range(0, len(h), STEP):
+        part = slice(at, at + STEP)
+        k = classes[part]
+        rows = [rows_of(f[part], bits) for f in x]
+        yield part, 0, rows, k, probabilities(weights[0], bias[0], rows)
+        rows = [rows_of(f[part], bits, k) for f in x]
+        yield part, 1, rows, own[part], probabilities(weights[1], bias[1].take(k, axis=0), rows)
+
+
+def log_probabilities(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray], h: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """log10 P(group | history) of each token."""
+    out = np.zeros(len(h))
+    for part, _, _, outcome, p in factors(weights, bias, h, sizes, groups):
+        out[part] += np.log10(p[np.arange(len(p)), outcome])
+    return out
+
+
+def add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """total[rows] += values, where rows may repeat."""
+    order = np.argsort(rows)
+    own = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    total[own[starts]] += np.add.reduceat(values.take(order, axis=0), starts, axis=0)
+
+
+def expectations(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray], h: np.ndarray, sizes: np.ndarray, groups: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
+    """Add each row's outcomes, and those that the weights expect, to seen and expected (shaped like weights)."""
+    for _, level, rows, outcome, p in factors(weights, bias, h, sizes, groups):
+        flat = seen[level].reshape(-1)
+        for r in rows:
+            np.add.at(flat, r * p.shape[1] + outcome, np.float32(1))
+            add_rows(expected[level], r, p)
+
+
+def moved(weights: np.ndarray, seen: np.ndarray, expected: np.ndarray, prior: float) -> np.ndarray:
+    """Weights after an update: each follows the ratio of its counts, held back by the prior."""
+    return np.clip(weights + RATE * np.log((seen + prior) / (expected + prior)), -MOST_WEIGHT, MOST_WEIGHT).astype(np.float32)
+
+
+def _step(docs: DataFrame, groups: Groups, weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray], prior: float) -> np.ndarray:
+    """The next weights, from the texts of docs."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((weights, bias, groups))
+    schema = "block long, seen binary, expected binary"
+    sums, found = to_arrow_schema(StructType.fromDDL(schema)), to_arrow_schema(StructType.fromDDL("block long, w binary"))
+    blocked = lambda x: x.reshape(-1, BLOCK * x.shape[-1])
 
-    def run(batches):
+    def gradient(batches):
         enter(__name__)
-        n = np.zeros(CLASSES**3, np.int64)
+        w, base, known = shared.value
+        seen, expected = np.zeros_like(w), np.zeros_like(w)
         for b in (x for whole in batches for x in slices(whole)):
             h, sizes = tokens(column(b, "text"))
-            c = classes.of(h)
-            n += np.bincount(histories(c, sizes) * CLASSES + c, minlength=len(n))
-        rows = n.reshape(CLASSES, -1)
-        some = np.flatnonzero(rows.any(axis=1))
-        sparse = [np.flatnonzero(rows[k]) for k in some]
-        yield pa.RecordBatch.from_pydict({"one": some, "at": [x.astype(np.int32).tobytes() for x in sparse], "n": [rows[k][x].tobytes() for k, x in zip(some, sparse, strict=True)]}, schema=arrow)
-
-    def add(t: pa.Table) -> pa.Table:
-        n = np.zeros(CLASSES**2, np.int64)
-        for at, x in zip(t.column("at").to_pylist(), t.column("n").to_pylist(), strict=True):
-            n[np.frombuffer(at, np.int32)] += np.frombuffer(x, np.int64)
-        return pa.table({"one": [t.column("one")[0].as_py()], "n": pa.array([n.tobytes()], pa.binary())})
-
-    found = docs.select("text").mapInArrow(run, schema)
-    return materialize(found.groupBy("one").applyInArrow(add, "one long, n binary"), "histories")
-
-
-def _step(counts: DataFrame, weights: np.ndarray, bias: np.ndarray, prior: float) -> DataFrame:
-    """feature, w: the next weights of every feature that occurs."""
-    shared = counts.sparkSession.sparkContext.broadcast((weights, bias))
-
-    def gradient(b):
-        w, base = shared.value
+            expectations(w, base, h, sizes, known.of(h), seen, expected)
+        seen, expected = blocked(seen), blocked(expected)
+        some = np.flatnonzero(expected.any(axis=1))
+        for at in range(0, len(some), 64):
+            k = some[at : at + 64]
+            yield pa.RecordBatch.from_pydict({"block": k, "seen": [x.tobytes() for x in seen[k]], "expected": [x.tobytes() for x in expected[k]]}, schema=sums)
+
+    def update(batches):
+        w = blocked(shared.value[0])
         total: dict[int, np.ndarray] = {}
-        for one, n in zip(column(b, "one"), column(b, "n"), strict=True):
-            n = np.frombuffer(n, np.int64).reshape(CLASSES, CLASSES).astype(np.float64)
-            seen = np.flatnonzero(n.any(axis=1))
-            history = one * CLASSES + seen
-            n = n[seen]
-            expected = np.exp(log_probabilities(w, base, history)) * n.sum(axis=1, keepdims=True)
-            for f, row, e in zip(features(history), n, expected, strict=True):
-                for k in f:
-                    total.setdefault(int(k), np.zeros((2, CLASSES)))
-                    total[int(k)] += np.stack([row, e])
-        return {"feature": list(total), "g": [x.tobytes() for x in total.values()]}
-
-    def update(t: pa.Table) -> pa.Table:
-        """The new weights of one feature from its observed and expected counts."""
-        k = t.column("feature")[0].as_py()
-        seen, expected = sum(np.frombuffer(x).reshape(2, CLASSES) for x in t.column("g").to_pylist())
-        w = shared.value[0][k]
-        step = (seen - expected - prior * w) / (3 * (expected + prior))
-        return pa.table({"feature": [k], "w": pa.array([(w + np.clip(step, -1.5, 1.5)).astype(np.float32).tobytes()], pa.binary())})
-
-    return map_arrow(counts.repartition("one"), gradient, "feature long, g binary", WHOLE).groupBy("feature").applyInArrow(update, "feature long, w binary")
-
-
-def train(counts: DataFrame, bias: np.ndarray, steps: int = 8, prior: float = 2.0) -> np.ndarray:
-    """Weights after so many full-gradient steps, each scaled by the model's own expectations."""
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
-    for _ in range(steps):
-        found = _step(counts, weights, bias, prior).toPandas()
-        weights = weights.copy()
-        for k, w in zip(found["feature"], found["w"], strict=True):
-            weights[k] = np.frombuffer(w, np.float32)
+        for b in batches:
+            for k, *x in zip(*(column(b, f) for f in sums.names), strict=True):
+                x = np.stack([np.frombuffer(y, np.float32) for y in x])
+                total[k] = total[k] + x if k in total else x.astype(np.float64)
+        yield pa.RecordBatch.from_pydict({"block": list(total), "w": [moved(w[k], *x, prior).tobytes() for k, x in total.items()]}, schema=found)
+
+    # a task sends sums as large as the weights at most: no more tasks than run at once
+    parts = docs.select("text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(gradient, schema)
+    new = parts.repartition(spark.sparkContext.defaultParallelism, "block").mapInArrow(update, "block long, w binary").toPandas()
+    out = weights.copy()
+    for k, x in zip(new["block"], new["w"], strict=True):
+        blocked(out)[k] = np.frombuffer(x, np.float32)
+    shared.unpersist()
+    return out
+
+
+def train(docs: DataFrame, groups: Groups, bias: tuple[np.ndarray, np.ndarray], bits: int, steps: int = 4, prior: float = PRIOR) -> np.ndarray:
+    """Weights (factor x row x outcome) after one update from each of so many parts of docs."""
+    weights = np.zeros((2, 1 << bits, CLASSES), np.float32)
+    for k in range(steps):
+        weights = _step(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)) == k), groups, weights, bias, prior)
     return weights
 
 
@@ -207,48 +253,49 @@ class Model:
     total: int
     distinct: int
     head: tuple[np.ndarray, np.ndarray]
-    class_total: np.ndarray
-    class_words: np.ndarray
+    group_total: np.ndarray
+    group_words: np.ndarray
     weights: np.ndarray
-    bias: np.ndarray
+    bias: tuple[np.ndarray, np.ndarray]
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
     def within(self, c: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """log10 P(word | class) for words with count c in class k."""
-        return np.log10((c + 0.5) / (self.class_total[k] + 0.5 * (self.class_words[k] + 1)))
+        """log10 P(word | group) for words with count c in group k."""
+        return np.log10((c + 0.5) / (self.group_total[k] + 0.5 * (self.group_words[k] + 1)))
 
     @property
-    def classes(self) -> Classes:
-        return Classes(self.head[0][: OWN])
+    def groups(self) -> Groups:
+        return Groups(self.head[0][:OWN])
 
 
-def fit(docs: DataFrame, counts: DataFrame, steps: int = 8) -> Model:
-    """docs: the training documents; counts: their word_counts(), materialised."""
+def fit(docs: DataFrame, counts: DataFrame, steps: int = 4) -> Model:
+    """docs: the training documents (doc_id, text); counts: their word_counts(), materialised."""
     head = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
     h, c = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
-    classes = Classes(h[:OWN])
-    own = F.create_map(*[F.lit(x) for k, i in zip(classes.keys.view(np.int64).tolist(), classes.ids.tolist(), strict=True) for x in (k, i)])
-    by = counts.groupBy(F.coalesce(F.element_at(own, F.col("h")), F.col("h").bitwiseAND(F.lit(ENDINGS - 1).cast("long")) + OWN).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
-    total, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    groups = Groups(h[:OWN])
+    own = docs.sparkSession.createDataFrame([(k, i) for k, i in zip(groups.keys.view(np.int64).tolist(), groups.ids.tolist(), strict=True)], "h long, k int")
+    rest = F.col("h").bitwiseAND(F.lit(CLASSES * GROUPS - OWN - 1).cast("long")).cast("int") + OWN
+    by = counts.join(F.broadcast(own), "h", "left").groupBy(F.coalesce("k", rest).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    total, words = np.zeros(CLASSES * GROUPS, np.int64), np.zeros(CLASSES * GROUPS, np.int64)
     for r in by.collect():
         total[r.k], words[r.k] = r.c, r.n
-    bias = np.log((total + 0.5) / (total.sum() + 0.5 * CLASSES)).astype(np.float32)
-    weights = train(history_counts(docs, classes), bias, steps)
-    return Model(int(total.sum()), int(words.sum()), (h, c), total, words, weights, bias)
+    part = total.reshape(CLASSES, GROUPS)
+    share = lambda x: np.log((x + 0.5) / (x.sum(axis=-1, keepdims=True) + 0.5 * x.shape[-1])).astype(np.float32)
+    bias = share(part.sum(axis=1)), share(part)
+    bits = min(max((int(words.sum()) // WORDS_A_ROW).bit_length(), LEAST_BITS), MOST_BITS)
+    return Model(int(total.sum()), int(words.sum()), (h, c), total, words, train(docs, groups, bias, bits, steps), bias)
 
 
-_seen: dict[str, tuple[Shard, Classes, np.ndarray]] = {}
+_seen: dict[str, tuple[Shard, Groups]] = {}
 
 
-def _opened(name: str, model: Model) -> tuple[Shard, Classes, np.ndarray]:
-    """Head table, classes and log10 P(class | history) of all histories, once in each worker."""
+def _opened(name: str, model: Model) -> tuple[Shard, Groups]:
+    """Head table and groups, once in each worker."""
     if name not in _seen:
         _seen.clear()
-        every = np.arange(CLASSES**2)
-        logs = np.concatenate([log_probabilities(model.weights, model.bias, every[k : k + 2048]) for k in range(0, len(every), 2048)])
-        _seen[name] = (Shard(model.head[0], model.head[1]), model.classes, (logs / np.log(10)).astype(np.float32))
+        _seen[name] = (Shard(model.head[0], model.head[1]), model.groups)
     return _seen[name]
 
 
@@ -257,6 +304,8 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared, name = spark.sparkContext.broadcast(model), f"{id(model)}-{model.total}-{zlib.crc32(model.weights.tobytes())}"
     shards = 1 + model.distinct // SHARD_WORDS
+    # held-out documents ask as well: a quarter more
+    copies = 1 + (model.total - int(model.head[1].sum())) * 5 // 4 // (shards * ASKED)
     shard_of = lambda h: ((h >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"batch long, shard int, doc_id {kind}, held boolean, idx int, n_tokens long, n_known long, base double, model double, at binary, h binary"
@@ -265,15 +314,15 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     def first(batches):
         enter(__name__)
         m = shared.value
-        head, classes, logs = _opened(name, m)
+        head, groups = _opened(name, m)
         sent = 0
         for whole in batches:
             for b in slices(whole):
                 batch = (TaskContext.get().partitionId() << 32) + sent
                 sent += 1
                 h, sizes = tokens(column(b, "text"))
-                k = classes.of(h)
-                model_log = logs[histories(k, sizes), k].astype(np.float64)
+                k = groups.of(h)
+                model_log = log_probabilities(m.weights, m.bias, h, sizes, k)
                 c = head.get(h, -1)
                 found = c >= 0
                 base = np.zeros(len(h))
@@ -313,13 +362,14 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         for x in sent.column("h").to_pylist():
             h = np.frombuffer(x, np.uint64)
             c.append(table.get(h, 0).astype(np.int64).tobytes())
-            k.append((h & _LOW).astype(np.uint8).tobytes())
+            k.append(shared_group(h).tobytes())
         return pa.table({"batch": sent.column("batch"), "at": sent.column("at"), "c": pa.array(c, pa.binary()), "k": pa.array(k, pa.binary())})
 
     # words of the head never come here, so no shard holds a hot word
     packed = map_arrow(counts.select("h", "c"), pack, "shard int, h binary, c binary", WHOLE)
-    asked = done.where("shard is not null").select("batch", "shard", "at", "h")
-    answers = asked.groupBy("shard").cogroup(packed.groupBy("shard")).applyInArrow(look, "batch long, at binary, c binary, k binary")
+    packed = packed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select("shard", "copy", "h", "c")
+    asked = done.where("shard is not null").select("shard", F.pmod(F.xxhash64("batch"), F.lit(copies)).cast("int").alias("copy"), "batch", "at", "h")
+    answers = asked.groupBy("shard", "copy").cogroup(packed.groupBy("shard", "copy")).applyInArrow(look, "batch long, at binary, c binary, k binary")
 
     def total(rows: pa.Table, got: pa.Table) -> pa.Table:
         m, n = shared.value, rows.num_rows
@@ -327,7 +377,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             return rows.select(["doc_id", "held", "n_tokens", "n_known", "base", "model"])
         base, log, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         for at, c, k in zip(*(got.column(f).to_pylist() for f in ("at", "c", "k")), strict=True):
-            at, c, k = np.frombuffer(at, np.int32), np.frombuffer(c, np.int64), np.frombuffer(k, np.uint8).astype(np.int64) + OWN
+            at, c, k = np.frombuffer(at, np.int32), np.frombuffer(c, np.int64), np.frombuffer(k, np.int32)
             base += np.bincount(at, m.base(c), n)
             log += np.bincount(at, m.within(c, k), n)
             known += np.bincount(at[c > 0], minlength=n)
@@ -339,7 +389,7 @@ def score(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
     return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(total, f"doc_id {kind}, held boolean, n_tokens long, n_known long, base double, model double")
 
 
-def score_documents(docs: DataFrame, steps: int = 8) -> DataFrame:
+def score_documents(docs: DataFrame, steps: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), F.col("text").cast("binary").alias("text"))
     own = docs.where("not held")

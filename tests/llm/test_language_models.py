@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from heddle.llm import kneser_ney, maxent_lm
@@ -47,6 +48,7 @@ def close(found, expected):
 def test_base_scores(request, name, monkeypatch):
     monkeypatch.setattr(maxent_lm, "HEAD", 50)
     monkeypatch.setattr(maxent_lm, "SHARD_WORDS", 1000)
+    monkeypatch.setattr(maxent_lm, "ASKED", 500)
     docs = request.getfixturevalue(name)
     found = maxent_lm.score_documents(docs, steps=2).collect()
     close(found, brute([(r.doc_id, r.text) for r in docs.collect()]))
@@ -57,7 +59,7 @@ def test_no_training_documents(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
     (r,) = maxent_lm.score_documents(spark.createDataFrame([(held, "a b c")], "doc_id long, text string")).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 4, 0, 0, 0.0)
-    assert abs(r.score - 4 * math.log10(1 / maxent_lm.CLASSES)) < 1e-5
+    assert abs(r.score - 4 * math.log10(1 / maxent_lm.CLASSES / maxent_lm.GROUPS)) < 1e-5
 
 
 def test_held_out_texts_are_likelier_than_by_the_base_model(spark):
@@ -66,22 +68,98 @@ def test_held_out_texts_are_likelier_than_by_the_base_model(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.05 * sum(r.n_tokens for r in rows)
 
 
-def test_class_probabilities_sum_to_one_and_training_raises_likelihood(spark, documents):
-    own = documents.selectExpr("cast(text as binary) as text")
+def test_probabilities_sum_to_one_and_training_raises_likelihood(spark, documents):
+    own = documents.selectExpr("doc_id", "cast(text as binary) as text")
     counts = maxent_lm.word_counts(own).persist()
-    model = maxent_lm.fit(own, counts, 6)
-    every = np.arange(maxent_lm.CLASSES**2)[::37]
-    assert np.allclose(np.exp(maxent_lm.log_probabilities(model.weights, model.bias, every)).sum(axis=1), 1, atol=1e-4)
-    for k in range(maxent_lm.CLASSES):  # words of a class and one unknown word share its mass
-        assert model.class_total[k] >= model.class_words[k] >= 0
-    texts = [bytes(r.text) for r in own.collect() if r.text is not None]
-    h, sizes = maxent_lm.tokens(texts)
-    c = model.classes.of(h)
-    n = maxent_lm.histories(c, sizes)
-    level = lambda w: maxent_lm.log_probabilities(w, model.bias, n)[np.arange(len(c)), c].mean()
+    model = maxent_lm.fit(own, counts)
+    h, sizes = maxent_lm.tokens([bytes(r.text) for r in own.collect() if r.text is not None])
+    k = model.groups.of(h)
+    assert all(np.allclose(p.sum(axis=1), 1, atol=1e-5) for *_, p in maxent_lm.factors(model.weights, model.bias, h, sizes, k))
+    assert np.isclose(sum(np.exp(b).sum() for b in model.bias), 1 + maxent_lm.CLASSES)
+    level = lambda w: maxent_lm.log_probabilities(w, model.bias, h, sizes, k).mean()
     assert level(model.weights) > level(np.zeros_like(model.weights)) + 0.1
 
 
+FULL = (1 << 64) - 1
+
+
+def finished(h):
+    for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ h >> 33) * k & FULL
+    return h ^ h >> 33
+
+
+def brute_softmax(parts, tests, bits):
+    """Scores of tests by a model of dictionaries, trained on parts (lists of texts), one update from each."""
+    m = maxent_lm
+    end, a, b, c, d = int(m._END), *map(int, m._MIX)
+    number = lambda w: end if w is None else xxhash.xxh3_64_intdigest(w.encode())
+    own = lambda t: [*map(number, words(t)), end]
+    count = Counter(h for p in parts for t in p for h in own(t))
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    frequent = sorted(count, key=lambda h: (-count[h], signed(h)))
+    ids = {h: k for k, h in enumerate([end, *(h for h in frequent[: m.OWN] if h != end)][: m.OWN])}
+    group = lambda h: ids.get(h, m.OWN + h % (m.CLASSES * m.GROUPS - m.OWN))
+    mass, kinds = Counter(), Counter(map(group, count))
+    for h, n in count.items():
+        mass[group(h)] += n
+    by_class = [sum(mass[k * m.GROUPS + j] for j in range(m.GROUPS)) for k in range(m.CLASSES)]
+    prior = [math.log((n + 0.5) / (sum(by_class) + 0.5 * m.CLASSES)) for n in by_class]
+    inner = [[math.log((mass[k * m.GROUPS + j] + 0.5) / (by_class[k] + 0.5 * m.GROUPS)) for j in range(m.GROUPS)] for k in range(m.CLASSES)]
+    weights = defaultdict(lambda: [0.0] * m.GROUPS)
+
+    def choices(text):
+        """Of each token: its hash, and (rows, bias, outcome) of both factors."""
+        one = two = end
+        for h in own(text):
+            x = [finished(one * a & FULL), finished(two * b & FULL), finished(one * c + two * d & FULL)]
+            k, j = divmod(group(h), m.GROUPS)
+            second = [((f ^ (k + 1) * b & FULL) * a & FULL) >> 64 - bits for f in x]
+            yield h, [([(0, f >> 64 - bits) for f in x], prior, k), ([(1, f) for f in second], inner[k], j)]
+            one, two = h, one
+
+    def chances(rows, bias):
+        s = [math.exp(x + sum(weights[r][j] for r in rows)) for j, x in enumerate(bias)]
+        return [x / sum(s) for x in s]
+
+    for part in parts:
+        seen, expected = (defaultdict(lambda: [0.0] * m.GROUPS) for _ in "ab")
+        for t in part:
+            for _, both in choices(t):
+                for rows, bias, outcome in both:
+                    p = chances(rows, bias)
+                    for r in rows:
+                        seen[r][outcome] += 1
+                        expected[r] = [x + y for x, y in zip(expected[r], p, strict=True)]
+        for r, e in expected.items():
+            weights[r] = [w + 0.5 * math.log((o + 4) / (x + 4)) for w, o, x in zip(weights[r], seen[r], e, strict=True)]
+    out = []
+    for t in tests:
+        total = 0.0
+        for h, both in choices(t):
+            total += sum(math.log10(chances(rows, bias)[k]) for rows, bias, k in both)
+            total += math.log10((count[h] + 0.5) / (mass[group(h)] + 0.5 * (kinds[group(h)] + 1)))
+        out.append(total)
+    return out
+
+
+def test_scores_equal_a_model_of_dictionaries(spark):
+    rng = np.random.default_rng(3)
+    line = lambda: " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 25) % 900)
+    rows = [(k, None if k == 7 else "" if k == 8 else f"A b\tC {line()}") for k in range(120)] + [(None, "a b c"), (5, "a b c"), (5, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = docs.selectExpr("doc_id", "text", "pmod(xxhash64(doc_id, cast(text AS binary)), 4) AS part").collect()
+    train = [r for r in dealt if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 != 1]
+    parts = [[r.text for r in train if r.part == k] for k in range(4)]
+    found = maxent_lm.score_documents(docs).collect()
+    order = lambda x: sorted(x, key=lambda r: (r[0] is None, r[0], r[1]))
+    expected = brute_softmax(parts, [r.text for r in dealt], maxent_lm.LEAST_BITS)
+    got = order((r.doc_id, r.score) for r in found)
+    want = order(zip([r.doc_id for r in dealt], expected, strict=True))
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert np.allclose([r[1] for r in got], [r[1] for r in want], rtol=1e-4)
+
+
 # Kneser-Ney
 
 
