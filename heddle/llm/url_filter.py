@@ -9,7 +9,8 @@ The Bloom table is broadcast only below broadcast_bytes, by its exact block coun
 beyond, it is joined by block like any other table.
 
 Defined cases: a null URL or one without `://` has an empty host, path and no
-rule, is never listed, and is allowed. Repeated rows are judged row by row;
+rule, is never listed, and is allowed. Only a path's very end counts as its end,
+not a line feed before it. URLs may be of any length. Repeated rows are judged row by row;
 repeated list entries count once; an empty list blocks nothing.
 """
 
@@ -35,7 +36,7 @@ def path_of(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """Host and path without a trailing slash or .html; null where there is no host."""
-    return F.when(host != "", F.concat(host, F.regexp_replace(path, r"(\.html|/)$", "")))
+    return F.when(host != "", F.concat(host, F.regexp_replace(path, r"(\.html|/)\z", "")))
 
 
 def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -84,7 +85,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]
         table = F.broadcast(table)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("canonical", canonical(F.col("host"), F.col("path")))
-    rows = rows.withColumn("block", _block(F.coalesce("canonical", F.lit("")), blocks))
+    # pages without a host go to any block, so that no block holds them all
+    rows = rows.withColumn("block", _block(F.coalesce("canonical", F.col("page_id").cast("string"), F.lit("")), blocks))
     inside = F.lit(True)
     for i, m in enumerate(_bits(F.coalesce("canonical", F.lit("")))):
         inside = inside & (F.col(f"w{i}").bitwiseAND(m) == m)

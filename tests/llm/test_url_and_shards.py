@@ -9,7 +9,7 @@ from heddle.llm.queries import RULES, op1_url_filter, op8_sharding
 
 DATA = "/root/testdata/sf0.001"
 
-URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://example.com/en/7", "x://badexample.com/en/7", "x://example.net/de/81", "x://example.net/de/9", "x://net/de/", "x://foo.org/es/", "x://foo.org#/es/", "x://Listed.com/a.html?u", "x://listed.com/a/", "x://listed.com/ab", "a://b://c/d"]
+URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/7x?q#f", "x://example.com/en/7", "x://badexample.com/en/7", "x://example.net/de/81", "x://example.net/de/9", "x://net/de/", "x://foo.org/es/", "x://foo.org#/es/", "x://Listed.com/a.html?u", "x://listed.com/a/", "x://listed.com/ab", "a://b://c/d", "x://listed.com/a/\n", "x://listed.com/" + "a" * 100_000 + ".html"]
 
 
 def brute_parts(url):
