@@ -57,6 +57,8 @@ WORDS_A_ROW, LEAST_BITS, MOST_BITS = 64, 8, 17
 BLOCK = 64
 #: How far an update goes, the counts that hold it back, and the bound of a weight.
 RATE, PRIOR, MOST_WEIGHT = 0.5, 4.0, 12.0
+#: Input splits of a training task at most, where there are more than cores.
+SPLITS = 32
 #: Tokens that a step of numpy works on.
 STEP = 1 << 13
 #: Frequent words whose counts are broadcast (16 bytes each).
@@ -151,7 +153,7 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray])
         s += weights.take(r, axis=0)
     s += bias
     np.exp(s, out=s)  # weights are held within MOST_WEIGHT, so this stays finite
-    s /= s.sum(axis=1, keepdims=True)
+    s *= (1 / (s @ np.ones(s.shape[1], s.dtype)))[:, None]
     return s
 
 
@@ -178,10 +180,18 @@ def log_probabilities(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray],
 
 def add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """total[rows] += values, where rows may repeat."""
-    order = np.argsort(rows)
+    # numpy sorts numbers of 16 bits by radix
+    order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows, kind="stable")
     own = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    total[own[starts]] += np.add.reduceat(values.take(order, axis=0), starts, axis=0)
+    size = np.diff(starts, append=len(own))
+    once = starts[size == 1]
+    total[own[once]] += values.take(order[once], axis=0)
+    again = np.repeat(size > 1, size)
+    if again.any():
+        size = size[size > 1]
+        starts = np.cumsum(size) - size
+        total[own[again][starts]] += np.add.reduceat(values.take(order[again], axis=0), starts, axis=0)
 
 
 def expectations(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray], h: np.ndarray, sizes: np.ndarray, groups: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
@@ -228,9 +238,11 @@ def _step(docs: DataFrame, groups: Groups, weights: np.ndarray, bias: tuple[np.n
                 total[k] = total[k] + x if k in total else x.astype(np.float64)
         yield pa.RecordBatch.from_pydict({"block": list(total), "w": [moved(w[k], *x, prior).tobytes() for k, x in total.items()]}, schema=found)
 
-    # a task sends sums as large as the weights at most: no more tasks than run at once
-    parts = docs.select("text").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(gradient, schema)
-    new = parts.repartition(spark.sparkContext.defaultParallelism, "block").mapInArrow(update, "block long, w binary").toPandas()
+    # a task sends sums as large as the weights at most: few tasks, but none of more than SPLITS splits
+    cores = spark.sparkContext.defaultParallelism
+    texts = docs.select("text")
+    parts = texts.coalesce(max(cores, -(-texts.rdd.getNumPartitions() // SPLITS))).mapInArrow(gradient, schema)
+    new = parts.repartition(cores, "block").mapInArrow(update, "block long, w binary").toPandas()
     out = weights.copy()
     for k, x in zip(new["block"], new["w"], strict=True):
         blocked(out)[k] = np.frombuffer(x, np.float32)
