@@ -185,3 +185,13 @@ def iso_budget_pairwise(deltas: DataFrame) -> DataFrame:
         .where("n_units > 0")
         .withColumn("beneficial", directional(F.col("metric"), F.col("estimate")) > 0)
     )
+
+
+def iso_budget_tests(deltas: DataFrame, repeats: int = 2000) -> DataFrame:
+    """iso_budget_pairwise() with the interval and p value of each cell's available deltas."""
+    from heddle.operators.inference import bootstrap_ci, signflip_p
+
+    cell = ["split_family", "metric", "tau"]
+    d = deltas.withColumn("split_family", F.split_part("split_id", F.lit("|"), F.lit(1)))
+    ci = bootstrap_ci(d, "delta_iso_budget", cell, repeats).select(*cell, "ci_low", "ci_high")
+    return iso_budget_pairwise(deltas).join(ci, cell).join(signflip_p(d, "delta_iso_budget", cell, repeats).drop("n"), cell)

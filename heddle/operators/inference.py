@@ -105,6 +105,25 @@ def pairwise_deltas(units: DataFrame, unit: list[str], pairs: DataFrame, metrics
     return both.join(whole, cell, "left_semi").withColumn("delta", F.col("a") - F.col("b"))
 
 
+def unit_columns(units: DataFrame, names: list[str]) -> DataFrame:
+    """split_family, unit_cols: the names whose values aren't all missing in that family, joined by '|'; none is an error."""
+    have = [c for c in names if c in units.columns]
+    found = units.groupBy("split_family").agg(*[F.count(c).alias(c) for c in have])
+    joined = F.concat_ws("|", *[F.when(F.col(c) > 0, c) for c in have])
+    return found.select("split_family", F.when(joined == "", F.raise_error(F.lit("no unit columns")).cast("string")).otherwise(joined).alias("unit_cols"))
+
+
+def family_pairwise(units: DataFrame, names: list[str], pairs: DataFrame, metrics: list[str], lower: tuple[str, ...], repeats: int = 2000, seed: int = SEED) -> DataFrame:
+    """pairwise_table() with unit columns inferred per split family, given as unit_cols.
+
+    A column without values in a family is the same for all its rows, so it does not
+    tell units apart there; missing values count as one value.
+    """
+    have = [c for c in names if c in units.columns]
+    text = units.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("<missing>")) for c in have})
+    return pairwise_table(text, have, pairs, metrics, lower, repeats, seed).join(unit_columns(units, names), "split_family")
+
+
 def pairwise_table(units: DataFrame, unit: list[str], pairs: DataFrame, metrics: list[str], lower: tuple[str, ...], repeats: int = 2000, seed: int = SEED) -> DataFrame:
     """One row per cell: estimate, interval, p value, units, beneficial; all cells in one job."""
     cell = ["split_family", "metric", "policy_a", "policy_b"]
@@ -128,3 +147,29 @@ def report_pairwise(units: DataFrame, unit: list[str], pairs: DataFrame, metrics
     """pairwise_table() with Holm's correction within each family and metric, and the joint flag."""
     t = holm_annotate(pairwise_table(units, unit, pairs, metrics, lower, repeats), ["split_family", "metric"], "p_value", ["policy_a", "policy_b"])
     return t.withColumn("beneficial_and_holm_significant", F.col("beneficial") & F.col("holm_reject"))
+
+
+def report_pairs(units: DataFrame, left: str = "agency_margin_tau_", right: str = "set_acsa_tau_", base: str = "user_only") -> DataFrame:
+    """comparison_family, policy_a, policy_b: matched budgets, and each margin policy against the user alone."""
+    p = units.select("policy").distinct()
+    token = lambda prefix: F.substring("policy", len(prefix) + 1, 1 << 10)
+    a = p.where(F.col("policy").startswith(left)).select(token(left).alias("tau"), F.col("policy").alias("policy_a"))
+    b = p.where(F.col("policy").startswith(right)).select(token(right).alias("tau"), F.col("policy").alias("policy_b"))
+    alone = a.withColumn("policy_b", F.lit(base)).join(p.select(F.col("policy").alias("policy_b")), "policy_b", "left_semi")
+    kind = lambda df, name: df.select(F.lit(name).alias("comparison_family"), "policy_a", "policy_b")
+    return kind(a.join(b, "tau"), "matched_tau").unionByName(kind(alone, "vs_user_only"))
+
+
+def report_tables(units: DataFrame, names: list[str], metrics: list[str], lower: tuple[str, ...], repeats: int = 2000) -> DataFrame:
+    """Both tables of the report, Holm's correction within each comparison family, split family and metric."""
+    pairs = report_pairs(units)
+    t = family_pairwise(units, names, pairs.select("policy_a", "policy_b"), metrics, lower, repeats).join(F.broadcast(pairs), ["policy_a", "policy_b"])
+    t = holm_annotate(t, ["comparison_family", "split_family", "metric"], "p_value", ["policy_a", "policy_b"])
+    return t.withColumn("beneficial_and_holm_significant", F.col("beneficial") & F.col("holm_reject"))
+
+
+def candidate_pairwise(units: DataFrame, names: list[str], metrics: list[str], lower: tuple[str, ...], repeats: int = 2000) -> DataFrame:
+    """The matched-budget rows of a candidate with tau; Holm's correction over taus within each family and metric."""
+    pairs = report_pairs(units).where("comparison_family = 'matched_tau'").drop("comparison_family")
+    t = family_pairwise(units, names, pairs, metrics, lower, repeats)
+    return holm_annotate(t, ["split_family", "metric"], "p_value", ["policy_a", "policy_b"]).withColumn("tau", F.regexp_extract("policy_a", r"tau_([0-9.]+)", 1))

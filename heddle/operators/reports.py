@@ -26,6 +26,35 @@ def candidate_eval(pairwise: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(families)).select("tau", *PRIMARY, ((F.col(PRIMARY[0]) == F.col("all")) & (F.col(PRIMARY[1]) == F.col("all"))).alias("passed"))
 
 
+def qualifying_taus(rows: DataFrame, families: DataFrame) -> DataFrame:
+    """tau: those with rejected, beneficial rows of both metrics in every family (families: one row, `all`)."""
+    good = F.col("holm_reject") & F.col("beneficial")
+    by = rows.where("tau is not null").groupBy("tau").agg(*[F.count_distinct(F.when(good & (F.col("metric") == m), F.col("split_family"))).alias(m) for m in PRIMARY])
+    return by.crossJoin(F.broadcast(families)).where((F.col(PRIMARY[0]) == F.col("all")) & (F.col(PRIMARY[1]) == F.col("all"))).select("tau")
+
+
+def candidate_summary(pairwise: DataFrame, aggregate: DataFrame) -> DataFrame:
+    """One row per candidate_id: qualifying taus, beneficial cells, families and the best margin values.
+
+    A candidate without comparisons has no taus and 0 cells; one without margin
+    policies the worst values, 0 and 1.
+    """
+    key = "candidate_id"
+    good = F.col("holm_reject") & F.col("beneficial")
+    in_ = lambda m: F.coalesce(good & (F.col("metric") == m), F.lit(False))
+    cells = pairwise.groupBy(key).agg(F.count_if(in_(PRIMARY[0])).alias("active_f1_cells"), F.count_if(in_(PRIMARY[1])).alias("active_risk_cells"), F.count_distinct("split_family").alias("split_family_count"))
+    by = pairwise.where("tau is not null").groupBy(key, "tau").agg(*[F.count_distinct(F.when(in_(m), F.col("split_family"))).alias(m) for m in PRIMARY])
+    passed = by.join(cells, key).where((F.col(PRIMARY[0]) == F.col("split_family_count")) & (F.col(PRIMARY[1]) == F.col("split_family_count")))
+    taus = passed.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("tau")), "|").alias("qualifying_taus"), F.count_distinct("tau").alias("qualifying_tau_count"))
+    margin = F.col("policy").startswith("agency_margin_tau_")
+    best = aggregate.groupBy(key).agg(F.max(F.when(margin, F.col(PRIMARY[0]))).alias("f1"), F.min(F.when(margin, F.col(PRIMARY[1]))).alias("risk"))
+    out = best.join(cells, key, "full").join(taus, key, "left").fillna(0, ["active_f1_cells", "active_risk_cells", "split_family_count", "qualifying_tau_count"]).fillna("", ["qualifying_taus"])
+    return out.select(
+        key, "qualifying_taus", "qualifying_tau_count", (F.col("qualifying_tau_count") > 0).alias("all_families_passed"), "active_f1_cells", "active_risk_cells", "split_family_count",
+        F.coalesce("f1", F.lit(0.0)).alias("best_active_macro_f1"), F.coalesce("risk", F.lit(1.0)).alias("best_active_risk_coverage_auc"),
+    )
+
+
 def candidate_rank(candidates: DataFrame) -> DataFrame:
     """The best candidate: passed, taus, cells, macro-F1, then low risk; names break ties."""
     key = [F.desc("passed"), F.desc("taus"), F.desc("cells"), F.desc("active_macro_f1"), F.asc("active_risk_coverage_auc"), F.asc("candidate_id")]
@@ -111,6 +140,38 @@ def readiness_checks(observations: DataFrame, floor: float = 0.2, active_floor:
     return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(F.col(n), F.lit(False)).alias("passed"), F.lit(c).alias("critical")) for n, c in rules])).alias("x")).select("x.*")
 
 
+def anchor_checks(observations: DataFrame, pairwise: DataFrame, main: str, external: list[str], exclusions: DataFrame, expected: str, manifests: DataFrame | None = None, floor: float = 0.2, active_floor: float = 0.45) -> DataFrame:
+    """check, passed, critical: the readiness of a main dataset and the external ones.
+
+    exclusions: one column of matched ids, of which `expected` must be one. Rules on
+    observations (best_policy_rows()) or manifests (matches_config) are left out where
+    there are no rows for them. The families that a tau must cover are those with a
+    rejected row.
+    """
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    m, e = F.col("dataset_id") == main, F.col("dataset_id").isin(*external)
+    margin = F.col("best_agency_macro_f1")
+    seen = observations.agg(
+        F.bool_and(F.when(m, sure(F.col("assist_macro_f1") > F.col("user_macro_f1")))).alias("multimodal_direction"),
+        F.when(F.count_if(m) > 0, sure(F.max(F.when(m, margin)) >= floor)).alias("performance_floor"),
+        F.when(F.count_if(m) > 0, sure(F.max(F.when(m, F.col("best_agency_active_macro_f1"))) >= active_floor)).alias("active_floor"),
+        F.bool_and(F.when(e, sure(margin > F.col("user_macro_f1")))).alias("external_direction"),
+    )
+    rows = pairwise.where((F.col("dataset_id") == main) & F.col("metric").isin(*PRIMARY) & F.col("holm_reject"))
+    families = rows.agg(F.count_distinct("split_family").alias("all"))
+    single = [
+        (exclusions.agg(sure(F.bool_or(F.col(exclusions.columns[0]) == expected)).alias("passed")), "exclusion_matched", True),
+        (qualifying_taus(rows, families).agg((F.count(F.lit(1)) > 0).alias("passed")), "primary_significance", True),
+    ]
+    if manifests is not None:
+        single.append((manifests.agg(F.bool_and(sure(F.col("matches_config"))).alias("passed")), "manifest_alignment", False))
+    rules = [("multimodal_direction", True), ("performance_floor", True), ("active_floor", True), ("external_direction", False)]
+    out = seen.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("passed"), F.lit(c).alias("critical")) for n, c in rules])).alias("x")).select("x.*")
+    for df, name, critical in single:
+        out = out.unionByName(df.select(F.lit(name).alias("check"), "passed", F.lit(critical).alias("critical")))
+    return out.where("passed is not null")
+
+
 def overall_readiness(checks: DataFrame) -> DataFrame:
     return checks.agg(F.when(F.bool_and(F.col("passed") | ~F.col("critical")), "provisionally_ready").otherwise("not_ready").alias("status"))
 
@@ -123,16 +184,39 @@ def config_alignment(manifest: DataFrame, config: DataFrame, key: str, fields: l
     return manifest.join(c, key, "left").withColumn("matches_config", same)
 
 
-def manifest_violations(manifest: DataFrame) -> DataFrame:
-    """dataset_id, rule for manifests (dataset_id, traces, decisions, families, artifacts) that break one."""
-    rules = {
-        "no dataset": F.col("dataset_id").isNull() | (F.col("dataset_id") == ""),
-        "no traces": F.coalesce(F.col("traces"), F.lit(0)) < 1,
-        "fewer decisions than traces": F.col("decisions") < F.col("traces"),
-        "repeated families": F.size(F.array_distinct("families")) < F.size("families"),
-        "no artifacts": F.coalesce(F.size("artifacts"), F.lit(0)) < 1,
-    }
-    return manifest.select("dataset_id", F.explode(F.array(*[F.when(F.coalesce(t, F.lit(True)), name) for name, t in rules.items()])).alias("rule")).where("rule is not null")
+def _manifest_rules(kind: str) -> dict[str, Column]:
+    """What a manifest of a kind must not be: rule, and the condition that breaks it."""
+    c = F.col
+    blank = lambda n: F.coalesce(F.trim(c(n)) == "", F.lit(True))
+    under = lambda n, least: F.coalesce(c(n) < least, F.lit(True))
+    no_list = lambda n: F.coalesce(F.size(n) < 1, F.lit(True))
+    blanks_in = lambda n: F.coalesce(F.exists(n, lambda x: F.coalesce(F.trim(x) == "", F.lit(True))), F.lit(True))
+    unmarked = lambda n: ~F.coalesce(c(n).endswith("_SUCCESS"), F.lit(False))
+    rules = {f"{n} is blank": blank(n) for n in ("dataset", "prepared_root")}
+    if kind == "prepared":
+        shape = lambda n: F.coalesce((F.size(n) != 2) | F.exists(n, lambda x: x < 0), F.lit(True))
+        rules |= {"success_file is no marker": unmarked("success_file"), "required_files is empty": no_list("required_files"), "metadata_columns is empty": no_list("metadata_columns"), "n_rows is below 0": under("n_rows", 0), "label_vocab_size is below 1": under("label_vocab_size", 1)}
+        for n in ("user_feature_shape", "assist_feature_shape"):
+            rules |= {f"{n} has not two sizes": shape(n), f"{n} has other rows": ~F.coalesce(F.try_element_at(n, F.lit(1)) == c("n_rows"), F.lit(False))}
+        return rules | {"has_sequence_payloads differs from the keys": F.coalesce(c("has_sequence_payloads") != (F.size("sequence_payload_keys") > 0), F.lit(True))}
+    rules |= {f"{n} is blank": blank(n) for n in ("user_model", "assist_model")}
+    if kind == "benchmark":
+        rules |= {f"{n} holds a blank": blanks_in(n) for n in ("assist_context_modes", "split_family_allowlist", "split_id_allowlist")}
+        roles, sources = F.array_sort(F.array_distinct("available_sequence_payload_roles")), F.array_sort(F.map_keys("sequence_payload_sources"))
+        return rules | {"prepared_success_file is no marker": unmarked("prepared_success_file"), "sources differ from roles": ~F.coalesce(roles == sources, F.lit(False)), "max_splits_per_family is below 1": F.coalesce(c("max_splits_per_family") < 1, F.lit(False)), "n_rows is below 0": under("n_rows", 0)}
+    if kind == "publication":
+        counts = {f"{n} is below 1": under(n, 1) for n in ("trace_count", "decision_count", "pairwise_repeats")}
+        return rules | counts | {"split_families is empty": no_list("split_families"), "split_families repeat": F.coalesce(F.size(F.array_distinct("split_families")) < F.size("split_families"), F.lit(False)), "fewer decisions than traces": F.coalesce(c("decision_count") < c("trace_count"), F.lit(False))}
+    raise ValueError(f"unknown kind of manifest: {kind}")
+
+
+def manifest_violations(manifests: DataFrame, kind: str, key: str = "dataset") -> DataFrame:
+    """key, rule: one row per rule that a manifest of this kind (prepared, benchmark, publication) breaks.
+
+    A field that is null is broken; one that is no column is an error.
+    """
+    broken = F.array_compact(F.array(*[F.when(test, name) for name, test in _manifest_rules(kind).items()]))
+    return manifests.select(key, F.explode(broken).alias("rule"))
 
 
 def phase_fusion_anchor(traces: DataFrame, at_s: float = 0.2) -> DataFrame:
@@ -222,6 +306,20 @@ def chart_tables(aggregate: DataFrame, value: str) -> DataFrame:
     return aggregate.select("dataset_id", "split_family", policy_family(F.col("policy")).alias("family"), tau_token(F.col("policy")).alias("tau"), F.col(value).alias("v")).groupBy("dataset_id", "split_family", "family", "tau").agg(F.avg("v").alias(f"mean_{value}"), F.count(F.lit(1)).alias("n"))
 
 
+def signed_benefit(pairwise: DataFrame) -> DataFrame:
+    """Adds benefit, benefit_low, benefit_high: above 0 is better, so the ends swap where lower is better."""
+    lower = F.col("metric").isin(*LOWER)
+    signed = lambda own, other: F.when(lower, -F.col(other)).otherwise(F.col(own))
+    return pairwise.withColumns({"benefit": signed("estimate", "estimate"), "benefit_low": signed("ci_low", "ci_high"), "benefit_high": signed("ci_high", "ci_low")})
+
+
+def match_counts(by_tau: DataFrame, selection: DataFrame) -> DataFrame:
+    """Required rows of instability_by_tau() with exact_n of total_n units that met the budget exactly."""
+    keys = ["dataset_id", "split_family", "tau"]
+    n = selection.groupBy(*keys).agg(F.count_if(F.coalesce(F.col("exact_budget_match"), F.lit(False))).alias("exact_n"), F.count(F.lit(1)).alias("total_n"))
+    return by_tau.where("scope = 'required'").join(n, keys, "left")
+
+
 def synthetic_grid(spark: SparkSession, subjects: int = 12, sessions: int = 2, days: int = 2, trials: int = 30) -> DataFrame:
     """subjects x sessions x days x trials; every fourth subject is in the other group."""
     n = subjects * sessions * days * trials

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.arrays import argmax, at_temperature, entropy
+from heddle.functions.arrays import argmax, at_temperature, clip_normalize, entropy
 from heddle.operators.metrics import nll
 
 T_LOW, T_HIGH = 0.25, 8.0
@@ -17,14 +17,16 @@ def temperature_losses(df: DataFrame, by: list[str], grid: list[float], probs: s
     return e.groupBy(*by, "t").agg(F.avg(nll(at_temperature(F.col("p"), F.col("t")), F.col("label"))).alias("loss"))
 
 
-def fit_temperature(df: DataFrame, by: list[str], probs: str = "p_assist", rounds: int = 3, points: int = 9) -> DataFrame:
-    """by, temperature: the grid's best, refined around it; 1 where the rows hold under two classes.
+def fit_temperature(df: DataFrame, by: list[str], probs: str = "p_assist", rounds: int = 2, points: int = 9, steps: int = 4) -> DataFrame:
+    """by, temperature: the one of least mean loss within its bounds; 1 where the rows hold under two classes.
 
-    After r rounds the result is within (8 - 0.25) / ((points - 1) / 2) ** r of the
-    best on the grid's own scale.
+    A grid is refined around its best, then Newton steps follow in the inverse
+    temperature, in which the loss is convex. Rows are reduced to their logarithms
+    once; each round is one aggregation.
     """
     step = (T_HIGH - T_LOW) / (points - 1)
     best = df.select(*by).distinct().withColumn("mid", F.lit((T_LOW + T_HIGH) / 2))
+    logs = df.select(*by, "label", F.transform(clip_normalize(F.col(probs)), lambda x: F.log(x)).alias("logs"))
     for r in range(rounds):
         width = step / ((points - 1) / 2) ** r
         half = points // 2
@@ -32,6 +34,14 @@ def fit_temperature(df: DataFrame, by: list[str], probs: str = "p_assist", round
         e = df.join(best, by).select(*by, "label", F.col(probs).alias("p"), F.explode(F.array_distinct(grid)).alias("t"))
         losses = e.groupBy(*by, "t").agg(F.avg(nll(at_temperature(F.col("p"), F.col("t")), F.col("label"))).alias("loss"))
         best = losses.groupBy(*by).agg(F.min_by("t", F.struct("loss", "t")).alias("mid"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    for _ in range(steps):
+        e = logs.join(best, by).withColumn("w", F.transform("logs", lambda x: F.exp((x - F.array_max("logs")) / F.col("mid"))))
+        e = e.withColumns({"z": total(F.col("w")), "m1": total(F.zip_with("w", "logs", lambda w, x: w * x)), "m2": total(F.zip_with("w", "logs", lambda w, x: w * x * x))})
+        mean = F.col("m1") / F.col("z")
+        sums = e.groupBy(*by).agg(F.first("mid").alias("mid"), F.avg(mean - F.element_at("logs", F.col("label") + 1)).alias("slope"), F.avg(F.col("m2") / F.col("z") - mean * mean).alias("curve"))
+        inverse = 1 / F.col("mid") - F.when(F.col("curve") > 1e-12, F.col("slope") / F.col("curve")).otherwise(0.0)
+        best = sums.select(*by, (1 / F.least(F.greatest(inverse, F.lit(1 / T_HIGH)), F.lit(1 / T_LOW))).alias("mid"))
     classes = df.groupBy(*by).agg(F.count_distinct("label").alias("k"))
     return best.join(classes, by).select(*by, F.when(F.col("k") < 2, 1.0).otherwise(F.col("mid")).alias("temperature"))
 
@@ -90,18 +100,20 @@ def fit_score(df: DataFrame, members: DataFrame, spec: str, classes: int) -> Dat
     """split_id, row_id, role, p: each split's model fitted on its training rows, scoring the others.
 
     df: row_id, label, features. The loop is over splits, whose number is small; rows
-    stay distributed. Splits whose training rows hold under two classes are skipped.
+    stay distributed. Class weights come from a split's own training rows. Splits whose
+    training rows hold under two classes are skipped; no rows are left where all are.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    data = df.withColumn("v", array_to_vector("features")).join(class_weights(df, classes), "label").select("row_id", "label", "weight", "v")
+    data = df.select("row_id", "label", array_to_vector("features").alias("v"))
     width = len(df.select("features").first()[0])
     out = None
     for (split,) in members.select("split_id").distinct().orderBy("split_id").collect():
         own = data.join(members.where(F.col("split_id") == split), "row_id")
         train = own.where("role = 'train'")
+        train = train.join(F.broadcast(class_weights(train, classes)), "label")
         if train.select("label").distinct().count() < 2:
             continue
         if spec == "lda":
@@ -110,6 +122,8 @@ def fit_score(df: DataFrame, members: DataFrame, spec: str, classes: int) -> Dat
             model = Pipeline(stages=[StandardScaler(inputCol="v", outputCol="x", withMean=True), estimator(spec, width, classes)]).fit(train)
             scored = model.transform(own.where("role <> 'train'")).select("split_id", "row_id", "role", vector_to_array("p").alias("p"))
         out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        return members.select("split_id", "row_id", "role", F.lit(None).cast("array<double>").alias("p")).limit(0)
     return out
 
 

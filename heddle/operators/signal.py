@@ -180,6 +180,29 @@ def drift_stress(traces: DataFrame, levels: list[float]) -> DataFrame:
     return t.withColumn("p_assist", at_temperature(F.col("p_assist"), F.col("level")))
 
 
+def missing_modality_stress(df: DataFrame, modalities: dict[str, list[str]]) -> DataFrame:
+    """Rows once per modality, whose columns are zeroed (arrays in every element)."""
+    kinds, out = dict(df.dtypes), df.withColumn("missing", F.explode(F.array(*map(F.lit, modalities))))
+    for name in sorted({c for cs in modalities.values() for c in cs}):
+        gone = F.col("missing").isin(*[m for m, cs in modalities.items() if name in cs])
+        zero = F.transform(name, lambda x: x * 0) if kinds[name].startswith("array") else F.lit(0).cast(kinds[name])
+        out = out.withColumn(name, F.when(gone, zero).otherwise(F.col(name)))
+    return out
+
+
+def noise_stress(df: DataFrame, key: str, levels_db: list[float], seed: int, column: str = "features") -> DataFrame:
+    """Rows once per signal-to-noise ratio in decibels, with Gaussian noise of that power added to each row's array.
+
+    Normal values come from two hashes of (row, place, level, seed); a row without power stays as it is.
+    """
+    t = df.withColumn("snr_db", F.explode(F.array(*[F.lit(float(x)) for x in levels_db])))
+    power = F.aggregate(column, F.lit(0.0), lambda s, x: s + x * x) / F.greatest(F.size(column), F.lit(1))
+    scale = F.sqrt(power / F.pow(F.lit(10.0), F.col("snr_db") / 10))
+    share = lambda i, tag: (F.pmod(F.xxhash64(F.col(key), i, F.col("snr_db"), F.lit(tag), F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    normal = lambda i: F.sqrt(-2 * F.log(share(i, "u"))) * F.cos(2 * F.pi() * share(i, "v"))
+    return t.withColumn(column, F.transform(column, lambda x, i: x + scale * normal(i)))
+
+
 def latency_stress(decisions: DataFrame, levels_ms: list[float], deadline_ms: float) -> DataFrame:
     """Decisions once per added delay, with whether they still make the deadline."""
     d = decisions.withColumn("delay_ms", F.explode(F.array(*map(F.lit, levels_ms)))).withColumn("decision_time_ms", F.col("decision_time_ms") + F.col("delay_ms"))

@@ -116,13 +116,22 @@ def quota_folds(df: DataFrame, block: list[str], quota: Column, folds: int = 4)
 
 
 def dev_holdout(df: DataFrame, share: float, seed: int = 0, least: int = 256) -> DataFrame:
-    """row_id, role: the share of each label with the smallest hashes is dev; none under `least` rows."""
-    n = df.count()
-    if share <= 0 or n < least:
+    """row_id, role: the share of each label with the smallest hashes is dev; none under `least` rows.
+
+    Where a label has a single row, the share is taken of all rows instead. Ranks
+    come from counts by bucket of the hash, so that no task sorts a whole label.
+    """
+    size = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
+    if share <= 0 or (size.n or 0) < least:
         return df.select("row_id", F.lit("train").alias("role"))
-    w = Window.partitionBy("label")
-    k = F.row_number().over(w.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id"))
-    return df.select("row_id", F.when(k <= F.floor(F.count(F.lit(1)).over(w) * share), "dev").otherwise("train").alias("role"))
+    stratum = F.col("label") if size.least > 1 else F.lit(0)
+    h = df.select("row_id", stratum.alias("s"), F.xxhash64("row_id", F.lit(seed)).alias("h")).withColumn("b", F.pmod(F.shiftright("h", 48), F.lit(4096)))
+    counts = h.groupBy("s", "b").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("s")
+    before = counts.select(F.col("s").alias("s2"), F.col("b").alias("b2"), (F.sum("c").over(w.orderBy("b")) - F.col("c")).alias("before"), F.sum("c").over(w).alias("all"))
+    k = F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "row_id")) + F.col("before")
+    ranked = h.join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")))
+    return ranked.select("row_id", F.when(k <= F.floor(F.col("all") * share), "dev").otherwise("train").alias("role"))
 
 
 def splits_for(df: DataFrame, dataset: str) -> DataFrame:

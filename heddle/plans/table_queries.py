@@ -271,7 +271,7 @@ def d11(spark, sf_dir):
     return _counts(splits.splits_for(views.metadata(spark, sf_dir), "sessions"))
 
 
-@query("d12_dev_holdout")
+@query("d12_dev_holdout", "SELECT role, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['dev', 'train']) AS role, unnest([floor(c * 0.2), c - floor(c * 0.2)]) AS n FROM (SELECT label, count(*) AS c FROM embeddings GROUP BY ALL)) GROUP BY role")
 def d12(spark, sf_dir):
     f = views.features(spark, sf_dir).withColumnRenamed("vec_id", "row_id")
     return splits.dev_holdout(f, 0.2, 7).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
@@ -462,16 +462,34 @@ def k1(spark, sf_dir):
     return reports.candidate_eval(_comparisons(spark, sf_dir))
 
 
-@query("k4_universal_taus")
-def k4(spark, sf_dir):
+def _both_sides(spark, sf_dir, required: list[str]):
+    """Comparisons whose risks fall where their F1 rises, and the table by tau with an early side of its own."""
     c = _comparisons(spark, sf_dir)
-    return reports.universal_taus(reports.instability_by_tau(c, c.withColumn("metric", F.when(F.col("metric") == "active_macro_f1", reports.SAFETY[0]).otherwise(reports.SAFETY[1])), ["f1"]), ["f1"])
+    c = c.withColumn("estimate", F.when(F.col("metric") == "active_macro_f1", F.col("estimate")).otherwise(-F.col("estimate")))
+    c = c.withColumn("beneficial", inference.beneficial(F.col("metric"), F.col("estimate"), ("active_risk_coverage_auc",)))
+    c = c.withColumn("beneficial_and_holm_significant", F.col("beneficial") & F.col("holm_reject"))
+    early = c.withColumn("metric", F.when(F.col("metric") == "active_macro_f1", reports.SAFETY[0]).otherwise(reports.SAFETY[1]))
+    return c, reports.instability_by_tau(c, early, required)
+
+
+BOTH = """c2 AS (SELECT * REPLACE (CASE WHEN metric = 'active_macro_f1' THEN estimate ELSE -estimate END AS estimate) FROM cmp),
+c3 AS (SELECT *, CASE WHEN metric = 'active_macro_f1' THEN estimate > 0 ELSE estimate < 0 END AS good, abs(estimate) > 0.0098 AS rejected FROM c2),
+bt AS (SELECT dataset_id, split_family, tau, count(DISTINCT CASE WHEN good AND rejected THEN metric END) AS k, count(*) FILTER (WHERE rejected AND NOT good) AS harmful, count(*) AS n, avg(gap) AS gap, avg(mt) AS mt FROM c3 GROUP BY ALL)"""
 
 
-@query("k6_dataset_overview")
+@query("k4_universal_taus", sql.query(CMP, BOTH, body="SELECT dataset_id, tau FROM bt WHERE split_family = 'f1' AND k = 2 AND harmful = 0 AND n >= 2"))
+def k4(spark, sf_dir):
+    return reports.universal_taus(_both_sides(spark, sf_dir, ["f1"])[1], ["f1"])
+
+
+@query("k6_dataset_overview", sql.query(CMP, BOTH, """un AS (SELECT dataset_id, string_agg(tau, '|' ORDER BY tau) AS universal_taus FROM (SELECT dataset_id, tau FROM bt WHERE split_family IN ('f1', 'f2') GROUP BY ALL HAVING count(*) = 2 AND bool_and(k = 2 AND harmful = 0 AND n >= 2)) GROUP BY ALL),
+bs AS (SELECT dataset_id, split_family, metric, arg_max(tau, {'s': CASE WHEN metric = 'active_risk_coverage_auc' THEN -estimate ELSE estimate END, 't': -CAST(tau AS DOUBLE)}) AS best FROM c3 WHERE split_family IN ('f1', 'f2') GROUP BY ALL),
+bb AS (SELECT dataset_id, array_to_string(list_sort(list(DISTINCT best)), '|') AS best_taus FROM bs GROUP BY ALL),
+df AS (SELECT dataset_id, string_agg(split_family, '|' ORDER BY split_family) AS fams FROM (SELECT dataset_id, split_family FROM bs GROUP BY ALL HAVING count(DISTINCT best) > 1) GROUP BY ALL)""",
+    body="SELECT dataset_id, round(max(gap), 6) AS worst_confidence_gap, round(max(gap), 6) AS worst_earliest_gap, round(min(mt), 6) AS lowest_confidence_match, max(harmful) AS worst_safety_harmful, '' AS missing_families, coalesce(any_value(universal_taus), '') AS universal_taus, any_value(best_taus) AS best_taus, coalesce(any_value(fams), '') AS disagreement_families, CASE WHEN any_value(universal_taus) IS NULL THEN 'fixed_tau_unstable' ELSE 'fixed_tau_supported' END AS story FROM bt LEFT JOIN un USING (dataset_id) LEFT JOIN bb USING (dataset_id) LEFT JOIN df USING (dataset_id) WHERE split_family IN ('f1', 'f2') GROUP BY dataset_id"))
 def k6(spark, sf_dir):
-    c = _comparisons(spark, sf_dir)
-    return reports.dataset_overview(reports.instability_by_tau(c, c.where("metric = 'none'"), ["f1", "f2"]), c, ["f1", "f2"])
+    c, by_tau = _both_sides(spark, sf_dir, ["f1", "f2"])
+    return r6(reports.dataset_overview(by_tau, c, ["f1", "f2"]), "worst_confidence_gap", "worst_earliest_gap", "lowest_confidence_match")
 
 
 @query("k2_candidate_rank", sql.query(sql.U, body="SELECT unit::VARCHAR || policy AS candidate_id, n > 30 AS passed FROM un ORDER BY n > 30 DESC, n % 5 DESC, n % 3 DESC, metric DESC, budget, candidate_id LIMIT 1"))
@@ -510,11 +528,18 @@ def _targets(spark, sf_dir):
 TARGETS = "tb AS (SELECT p_brand AS target_id, max(p_retailprice) - 5 AS local, count(*) AS n FROM part GROUP BY ALL), td AS (SELECT target_id, count(*) AS k, max(value) AS best FROM cl WHERE comparability = 'direct' GROUP BY ALL)"
 
 
-@query("k15_target_status", sql.query(LEVELS, TARGETS, body="SELECT tb.target_id, CASE WHEN n % 7 = 0 THEN 'missing_local_result' WHEN n % 5 = 0 THEN 'missing_local_metric' WHEN k IS NULL THEN 'not_established_no_direct_anchor' WHEN NOT local > best THEN 'not_established_direct_anchor_not_beaten' WHEN n % 2 <> 0 THEN 'candidate_direct_numeric_win_benchmark_only' WHEN n % 3 <> 0 THEN 'candidate_direct_numeric_win_pending_stats' ELSE 'candidate_direct_sota' END AS status FROM tb LEFT JOIN td ON tb.target_id = td.target_id"))
+STATUS = "ts AS (SELECT tb.target_id, CASE WHEN n % 7 = 0 THEN 'missing_local_result' WHEN n % 5 = 0 THEN 'missing_local_metric' WHEN k IS NULL THEN 'not_established_no_direct_anchor' WHEN NOT local > best THEN 'not_established_direct_anchor_not_beaten' WHEN n % 2 <> 0 THEN 'candidate_direct_numeric_win_benchmark_only' WHEN n % 3 <> 0 THEN 'candidate_direct_numeric_win_pending_stats' ELSE 'candidate_direct_sota' END AS status, n % 2 = 0 AS eligible FROM tb LEFT JOIN td ON tb.target_id = td.target_id)"
+
+
+@query("k15_target_status", sql.query(LEVELS, TARGETS, STATUS, body="SELECT target_id, status FROM ts"))
 def k15(spark, sf_dir):
     return _targets(spark, sf_dir).select("target_id", "status")
 
 
-@query("k16_overall_status")
+@query("k16_overall_status", sql.query(LEVELS, TARGETS, STATUS, body="""SELECT CASE WHEN bool_or(status LIKE 'missing_local%') THEN 'blocked_primary_evidence_incomplete'
+WHEN NOT bool_or(eligible) THEN 'claim_safe_benchmark_only'
+WHEN bool_or(eligible AND status = 'candidate_direct_numeric_win_pending_stats') THEN 'direct_numeric_win_pending_stats'
+WHEN bool_or(eligible AND status = 'candidate_direct_sota') AND bool_and(NOT eligible OR status = 'candidate_direct_sota') THEN 'direct_comparable_sota_supported'
+WHEN bool_or(eligible AND status = 'not_established_direct_anchor_not_beaten') THEN 'claim_safe_non_sota' ELSE 'claim_safe_benchmark_only' END AS status FROM ts"""))
 def k16(spark, sf_dir):
     return reports.overall_status(_targets(spark, sf_dir), "provisionally_ready")

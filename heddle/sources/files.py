@@ -59,9 +59,30 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
 
 
 def path_manifest(paths: DataFrame, column: str, pattern: str, names: list[str]) -> DataFrame:
-    """Dimensions parsed from paths by a pattern's groups; paths that don't match are left out."""
-    hit = paths.where(F.col(column).rlike(pattern))
-    return hit.select(F.col(column), *[F.regexp_extract(column, pattern, k + 1).alias(n) for k, n in enumerate(names)]).distinct()
+    """Dimensions parsed from paths by a pattern's groups; paths that don't match are left out (unmatched_paths() tells them)."""
+    return path_manifests(paths, column, [pattern], names).drop("pattern")
+
+
+def path_manifests(paths: DataFrame, column: str, patterns: list[str], names: list[str]) -> DataFrame:
+    """The same by the first of several patterns that matches, whose number is `pattern`."""
+    fits = F.coalesce(*[F.when(F.col(column).rlike(p), k) for k, p in enumerate(patterns)])
+    part = lambda n: F.coalesce(*[F.when(F.col("pattern") == k, F.regexp_extract(column, p, n + 1)) for k, p in enumerate(patterns)])
+    hit = paths.select(F.col(column), fits.alias("pattern")).where("pattern is not null").distinct()
+    return hit.select(column, "pattern", *[part(n).alias(name) for n, name in enumerate(names)])
+
+
+def unmatched_paths(paths: DataFrame, column: str, patterns: list[str]) -> DataFrame:
+    """The distinct paths that fit none of the patterns; a null path fits none."""
+    fits = F.lit(False)
+    for p in patterns:
+        fits = fits | F.coalesce(F.col(column).rlike(p), F.lit(False))
+    return paths.where(~fits).select(column).distinct()
+
+
+def inconsistent_paths(paths: DataFrame, column: str, outer: str, inner: str) -> DataFrame:
+    """path, outer, inner of paths whose two patterns (of directory and file name) both match but name different values."""
+    a, b = F.regexp_extract(column, outer, 1), F.regexp_extract(column, inner, 1)
+    return paths.select(F.col(column), a.alias("outer"), b.alias("inner")).where("`outer` <> '' and `inner` <> '' and `outer` <> `inner`").distinct()
 
 
 def attach_sidecar(records: DataFrame, labels: DataFrame, key: str, ordinal: str, text: str, check: bool = True) -> DataFrame:
@@ -100,7 +121,8 @@ def output_manifest(spark: SparkSession, root: str) -> DataFrame:
     inv = file_inventory(spark, root)
     lines = spark.read.option("recursiveFileLookup", True).text(root).select(F.input_file_name().alias("path"), "value")
     plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    n = lines.groupBy(plain(F.col("path")).alias("_p")).agg(F.count(F.lit(1)).alias("all"), F.sum((F.trim("value") != "").cast("long")).alias("full"))
+    decoded = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
+    n = lines.groupBy(plain(decoded).alias("_p")).agg(F.count(F.lit(1)).alias("all"), F.sum((F.trim("value") != "").cast("long")).alias("full"))
     rows = F.when(F.col("extension") == ".csv", F.greatest(F.col("all") - 1, F.lit(0))).when(F.col("extension").isin(".json", ".jsonl"), F.col("full"))
     return inv.join(n, plain(inv.path) == F.col("_p"), "left").select("path", "size", "extension", "sha256", rows.alias("rows"))
 
@@ -112,10 +134,16 @@ def missing_files(expected: DataFrame, present: DataFrame, keys: list[str], suff
 
 
 def part_fingerprints(members: DataFrame, part: str, fields: list[str]) -> DataFrame:
-    """part, fingerprint of its members' fields, whatever their order."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
-    each = members.groupBy(part).agg(F.sort_array(F.collect_list(F.sha2(text, 256))).alias("h"))
-    return each.select(part, F.sha2(F.concat_ws(",", "h"), 256).alias("fingerprint"))
+    """part, fingerprint of its members' fields, whatever their order.
+
+    Members are summed up as their number and the sums of four 32-bit parts of their
+    hashes, so that no part is gathered in one task.
+    """
+    text = F.to_json(F.array(*[F.col(c).cast("string") for c in fields]))
+    digest = members.select(part, F.sha2(text, 256).alias("h"))
+    words = [F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)") for k in range(4)]
+    each = digest.groupBy(part).agg(F.count(F.lit(1)).alias("n"), *[F.sum(w).cast("string").alias(f"w{k}") for k, w in enumerate(words)])
+    return each.select(part, F.sha2(F.concat_ws(",", F.col("n").cast("string"), "w0", "w1", "w2", "w3"), 256).alias("fingerprint"))
 
 
 def stale_parts(old: DataFrame, new: DataFrame, part: str) -> DataFrame:
@@ -145,6 +173,18 @@ def forbidden_scan(df: DataFrame, key: str, text: str, literals: DataFrame) -> D
     return df.join(F.broadcast(p), F.contains(F.col(text), F.col("literal"))).select(key, "literal")
 
 
+def forbidden_names(df: DataFrame, name: str, suffixes: list[str]) -> DataFrame:
+    """name, suffix of distinct names that end in a blocked suffix, whatever its case."""
+    ends = F.array_compact(F.array(*[F.when(F.lower(F.col(name)).endswith(x.lower()), x) for x in suffixes]))
+    return df.select(name).distinct().select(name, F.explode(ends).alias("suffix"))
+
+
+def missing_required(df: DataFrame, name: str, required: DataFrame) -> DataFrame:
+    """The required names (one column) that no row bears."""
+    want = required.select(F.col(required.columns[0]).alias(name)).distinct()
+    return want.join(df.select(name).distinct(), name, "left_anti")
+
+
 def latest(df: DataFrame, by: list[str], order: str) -> DataFrame:
     """The last row of each group."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where("_k = 1").drop("_k")
