@@ -147,14 +147,16 @@ def f16(spark, sf_dir):
 
 
 #: rule: what is done to one decision in eight to break it
-BROKEN = [("class index", "selected_action", F.lit(7)), ("tau", "tau", F.lit(-0.5)), ("expected_ali", "expected_ali", F.lit(-1.0)), ("margin", "margin", F.col("margin") + 0.5), ("argmax", "probs", F.reverse("probs")), ("confidence", "confidence", F.col("confidence") + 0.5), ("coverage", "coverage", F.lit(1.5))]
+def _broken() -> list:
+    """rule, column and the value that breaks it; Columns need a session, so they are made when a query runs."""
+    return [("class index", "selected_action", F.lit(7)), ("tau", "tau", F.lit(-0.5)), ("expected_ali", "expected_ali", F.lit(-1.0)), ("margin", "margin", F.col("margin") + 0.5), ("argmax", "probs", F.reverse("probs")), ("confidence", "confidence", F.col("confidence") + 0.5), ("coverage", "coverage", F.lit(1.5))]
 
 
 @query("f17_decision_violations", sql.query(sql.T, body="SELECT event_id, 'assist_only' AS policy, ['class index', 'tau', 'expected_ali', 'margin', 'argmax', 'confidence', 'coverage'][CAST(event_id % 8 AS INT)] AS rule FROM t0 WHERE event_id % 8 > 0 AND (event_id % 8 <> 5 OR a <> list_position(list_reverse(p_assist), ca) - 1)"))
 def f17(spark, sf_dir):
     """Each rule broken on a share of the decisions; a reversed vector breaks none where its largest value stays in place."""
     d = _grid(views.base_traces(spark, sf_dir), policies.assist_only)
-    d = d.withColumns({c: F.when(F.col("event_id") % 8 == k, v).otherwise(F.col(c)) for k, (_, c, v) in enumerate(BROKEN, 1)})
+    d = d.withColumns({c: F.when(F.col("event_id") % 8 == k, v).otherwise(F.col(c)) for k, (_, c, v) in enumerate(_broken(), 1)})
     return policies.decision_violations(d).select("event_id", "policy", "rule")
 
 
