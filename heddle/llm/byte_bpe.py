@@ -1,12 +1,14 @@
 """Byte-level BPE encoding and decoding with a queue of merges.
 
-A text is cut at the special tokens that it contains, then into units: a run of
-white space, or what stands between two runs with the one space before it. No
-match of the file's own pre-tokenizer crosses the edge of a unit, so each distinct
-unit is encoded once. Its pre-tokens are merged here: symbols form a doubly linked
-list, a priority queue holds (rank, place) of every pair that may merge, and an
-entry whose pair has changed since is skipped when it comes up. Decoding joins the
-vocabulary's strings and turns their characters back into bytes.
+A text is cut at the special tokens that it contains, then into units, each of which
+is encoded once for as long as it is kept. Texts of Latin-1 characters and common
+marks are cut into pre-tokens at once, as the file's own pattern cuts them; of other
+texts a unit is a run of white space, or what stands between two runs with the one
+space before it, which no pre-token crosses, and the library's pre-tokenizer cuts the
+units further. Pre-tokens are merged here: symbols form a doubly linked list, a
+priority queue holds (rank, place) of every pair that may merge, and an entry whose
+pair has changed since is skipped when it comes up. Decoding joins the vocabulary's
+strings and turns their characters back into bytes.
 
 Defined cases: null is the empty text, with no ids. Repeated rows and null ids are
 encoded row by row; bytes that aren't UTF-8 become U+FFFD; a very long text is read
@@ -25,14 +27,45 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import CACHE_ENTRIES, column, map_arrow, register_cache
+from heddle.llm.common import column, map_arrow, register_cache
 from heddle.llm.word_tokens import _byte_characters
 
 #: Fixed value: the characters that the pre-tokenizer takes for white space.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNIT = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: The letters and numbers of Latin-1, and the pre-tokenizer's pattern over them.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+_TOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{SPACES}{_L}{_N}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: Latin-1, dashes, quotation marks, the ellipsis and two signs.
+_PLAIN = re.compile("[\\x00-\\xff\\u2010-\\u2026\\u20ac\\u2122]*")
 #: Characters of a unit beyond which it isn't kept; units taken at a time; bits of an id and of a place.
 _LONG, _STEP, _ID, _PLACE = 64, 200_000, 20, 40
+#: Units kept in a worker, at least; twice as many at most.
+KEPT = 500_000
+
+
+class Known(dict):
+    """What each unit encodes to: decimal ids joined by commas, and the bytes of their vocabulary strings.
+
+    Of the units seen, the last ones are kept, between KEPT and twice as many: those of
+    the generation before move on when they are met again.
+    """
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec, self.before = codec, {}
+
+    def __missing__(self, unit: str) -> tuple[bytes, bytes]:
+        value = self.before.get(unit)
+        if value is None:
+            ids = self.codec.unit(unit)
+            value = b",".join([b"%d" % i for i in ids]), b"".join([self.codec.surface[i] for i in ids])
+        if len(unit) <= _LONG:
+            if len(self) >= KEPT:
+                self.before = dict(self)
+                self.clear()
+            self[unit] = value
+        return value
 
 
 class Codec:
@@ -51,9 +84,12 @@ class Codec:
             raise ValueError("special tokens that take more than their own text aren't supported")
         self.split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         vocab = model["vocab"]
-        self.start = {c: vocab[c] for c in _byte_characters().values() if c in vocab}
+        self.start = [vocab.get(c, -1) for _, c in sorted(_byte_characters().items())]
+        if min(self.start) < 0:
+            raise ValueError("not every byte has a symbol")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         to_byte = {c: b for b, c in _byte_characters().items()}
+        self.to_byte = to_byte
         self.surface = {i: bytes(map(to_byte.__getitem__, t)) for t, i in (vocab | self.special).items()}
         #: pair of ids -> rank and new id
         self.merges: dict[int, int] = {}
@@ -61,18 +97,17 @@ class Codec:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << _ID | vocab[b]] = rank << _ID | vocab[a + b]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.known = Known(self)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to a list of symbols: always the lowest rank, the leftmost of equals."""
-        n, merges = len(ids), self.merges
+        n, get = len(ids), self.merges.get
+        if n < 2:
+            return ids
+        queue = [found >> _ID << _PLACE | k for k, found in enumerate([get(a << _ID | b) for a, b in zip(ids, ids[1:], strict=False)]) if found is not None]
+        if not queue:
+            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for k in range(n - 1):
-            found = merges.get(ids[k] << _ID | ids[k + 1])
-            if found is not None:
-                queue.append(found >> _ID << _PLACE | k)
         heapq.heapify(queue)
         while queue:
             top = heapq.heappop(queue)
@@ -80,36 +115,28 @@ class Codec:
             right = after[at]
             if ids[at] < 0 or right == n:
                 continue
-            found = merges.get(ids[at] << _ID | ids[right])
+            found = get(ids[at] << _ID | ids[right])
             if found is None or found >> _ID != rank:
                 continue  # stale: one of the two has merged meanwhile
             ids[at], ids[right] = found & (1 << _ID) - 1, -1
             follows = after[at] = after[right]
             if follows < n:
                 before[follows] = at
-                found = merges.get(ids[at] << _ID | ids[follows])
+                found = get(ids[at] << _ID | ids[follows])
                 if found is not None:
                     heapq.heappush(queue, found >> _ID << _PLACE | at)
             left = before[at]
             if left >= 0:
-                found = merges.get(ids[left] << _ID | ids[at])
+                found = get(ids[left] << _ID | ids[at])
                 if found is not None:
                     heapq.heappush(queue, found >> _ID << _PLACE | left)
         return [x for x in ids if x >= 0]
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.merge([self.start[c] for c in part])
-            if len(part) <= _LONG:
-                if len(self.parts) >= CACHE_ENTRIES:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
-
     def unit(self, unit: str) -> list[int]:
-        """Ids of a unit: its pre-tokens, in the characters that stand for bytes, are merged one by one."""
-        return [i for part, _ in self.split(unit) for i in self._part(part)]
+        """Ids of a unit: each of its pre-tokens is merged by itself."""
+        parts = _TOKEN.findall(unit) if _PLAIN.fullmatch(unit) else [bytes(map(self.to_byte.__getitem__, part)).decode() for part, _ in self.split(unit)]
+        start = self.start.__getitem__
+        return [i for part in parts for i in self.merge(list(map(start, part.encode())))]
 
     def units(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         """Units in turn, many at a time, and the special token that follows them."""
@@ -122,10 +149,11 @@ class Codec:
 
     @staticmethod
     def _steps(text: str) -> Iterator[tuple[list[str], None]]:
+        cut = _TOKEN if _PLAIN.fullmatch(text) else _UNIT
         if len(text) <= _STEP:
-            yield _UNIT.findall(text), None
+            yield cut.findall(text), None
             return
-        found = _UNIT.finditer(text)
+        found = cut.finditer(text)
         while step := [m.group() for m in islice(found, _STEP)]:
             yield step, None
 
@@ -135,18 +163,8 @@ class Codec:
             if special is not None:
                 yield [(b"%d" % special, self.surface[special])]
                 continue
-            known = self.known
-            long = {}
-            for u in set(units):
-                if u in known:
-                    continue
-                ids = self.unit(u)
-                value = b",".join([b"%d" % i for i in ids]), b"".join([self.surface[i] for i in ids])
-                (known if len(u) <= _LONG else long)[u] = value
             if units:
-                yield [known[u] if u in known else long[u] for u in units] if long else list(map(known.__getitem__, units))
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
+                yield list(map(self.known.__getitem__, units))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for step in self.pieces(text) for ids, _ in step for i in ids.split(b",")]
@@ -187,6 +205,7 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids."""
     docs, head = _rows(docs)
+
     return map_arrow(docs, lambda b: {"doc_id": b.column(0), "ids": [codec(path).encode(x) for x in _texts(b)]}, f"{head}, ids array<int>")
 
 
