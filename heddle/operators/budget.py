@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.arrays import argmax
 from heddle.operators import policies
+from heddle.operators.ordered import exact_quantiles, running_sums
 
 LOWER_IS_BETTER = ("active_risk_coverage_auc", "risk_coverage_auc", "ece", "brier", "nll", "mean_ali", "median_earliest_safe_s", "median_earliest_stable_safe_s")
 
@@ -25,18 +26,17 @@ def match_threshold(candidates: DataFrame, by: list[str]) -> DataFrame:
 def candidate_rates(traces: DataFrame, by: list[str], disagree_only: bool = False) -> DataFrame:
     """by, threshold, rate: the share of rows at or above each distinct assist confidence, and at 0 and 1.01.
 
-    Counts by distinct confidence come first, so the running sum is over those.
+    Counts by distinct confidence come first; their running sums go over windows of
+    bounded size, whatever the scope.
     """
     t = traces.select(*by, F.array_max("p_assist").alias("threshold"), (argmax(F.col("p_assist")) != argmax(F.col("p_user"))).cast("long").alias("x"))
     hits = F.sum("x") if disagree_only else F.count(F.lit(1))
     counts = t.groupBy(*by, "threshold").agg(hits.alias("c"), F.count(F.lit(1)).alias("rows"))
-    ends = counts.groupBy(*by).agg(F.sum("rows").alias("n"), F.max("threshold").alias("top"))
-    extra = ends.select(*by, F.explode(F.array(F.lit(0.0), F.lit(1.01))).alias("threshold"), F.lit(0).cast("long").alias("c"))
-    every = counts.select(*by, "threshold", "c").union(extra).groupBy(*by, "threshold").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = every.withColumn("at_least", F.sum("c").over(w))
-    joined = run.join(ends.select(*by, "n"), by) if by else run.crossJoin(F.broadcast(ends.select("n")))
-    return joined.select(*by, "threshold", (F.col("at_least") / F.col("n")).alias("rate"), "n")
+    ends = counts.groupBy(*by).agg(F.sum("rows").alias("n"))
+    extra = ends.select(*by, F.explode(F.array(F.lit(0.0), F.lit(1.01))).alias("threshold"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("rows"))
+    every = counts.select(*by, "threshold", "c", "rows").union(extra).groupBy(*by, "threshold").agg(F.sum("c").alias("c"), F.sum("rows").alias("rows"))
+    run = running_sums(every, by, "threshold", ["c", "rows"])
+    return run.select(*by, "threshold", ((F.col("c_all") - F.col("c_upto") + F.col("c")) / F.col("rows_all")).alias("rate"), F.col("rows_all").alias("n"))
 
 
 def margin_rates(traces: DataFrame, by: list[str], taus: tuple[float, ...]) -> DataFrame:
@@ -46,6 +46,20 @@ def margin_rates(traces: DataFrame, by: list[str], taus: tuple[float, ...]) -> D
     return traces.select(*by, F.explode(moved).alias("m")).groupBy(*by, "m.tau").agg(F.avg("m.moved").alias("target"))
 
 
+def target_rate_threshold(traces: DataFrame, by: list[str], targets: DataFrame) -> DataFrame:
+    """For each target (by, tau, target) the confidence whose gate changes the action as often.
+
+    Adds threshold, rate, gap, n_thresholds, n (traces), disagree (traces whose actions
+    differ) and max_rate, the largest rate that any threshold reaches.
+    """
+    cand = candidate_rates(traces, by, disagree_only=True)
+    joined = cand.drop("n").join(targets, by) if by else cand.drop("n").crossJoin(F.broadcast(targets))
+    chosen = match_threshold(joined, [*by, "tau"]).withColumn("gap", F.abs(F.col("rate") - F.col("target")))
+    most = cand.groupBy(*by).agg(F.count(F.lit(1)).alias("n_thresholds"), F.first("n").alias("n"), F.max("rate").alias("max_rate"))
+    most = most.withColumn("disagree", F.round(F.col("max_rate") * F.col("n")).cast("long"))
+    return chosen.join(most, by) if by else chosen.crossJoin(F.broadcast(most))
+
+
 def rate_matched_gate(traces: DataFrame, taus: tuple[float, ...] = policies.TAUS, scope: tuple[str, ...] = ("split_id",)) -> DataFrame:
     """scope, tau, threshold, target and matched rate, gap: one confidence gate per scope and budget."""
     by = list(scope)
@@ -66,16 +80,28 @@ def apply_gate(traces: DataFrame, chosen: DataFrame, by: list[str], prefix: str
 
 def threshold_bank(traces: DataFrame, size: int = 201) -> list[float]:
     """At most size + 2 thresholds: the distinct assist confidences, or linear quantiles of them, and 0 and 1.01."""
-    conf = traces.select(F.array_max("p_assist").alias("c"))
+    conf = traces.select(F.array_max("p_assist").alias("c")).persist()  # read by every pass
     few = conf.distinct().limit(size + 1).collect()
     if len(few) > size:
-        shares = [k / (size - 1) for k in range(size)]
-        values = conf.agg(F.percentile("c", F.array(*map(F.lit, shares)))).first()[0]
+        values = exact_quantiles(conf, [], "c", [k / (size - 1) for k in range(size)])[()]
     else:
         values = [r.c for r in few]
+    conf.unpersist()
     return sorted({*values, 0.0, 1.01})
 
 
+def bank_place(df: DataFrame, value: str, bank: list[float], name: str) -> DataFrame:
+    """df with the 0-based place of the largest of the sorted bank's values that isn't above the value (-1: none), by bisection."""
+    places, size = F.array(*[F.lit(float(b)) for b in bank]), len(bank)
+    out = df.withColumn(name, F.lit(-1))
+    step = 1 << (size.bit_length() - 1)
+    while step:
+        ahead = F.col(name) + step
+        out = out.withColumn(name, F.when((ahead < size) & (F.get(places, F.least(ahead, F.lit(size - 1))) <= F.col(value)), ahead).otherwise(F.col(name)))
+        step //= 2
+    return out
+
+
 def exact_budget_select(traces: DataFrame, taus: tuple[float, ...], bank: list[float], unit: list[str]) -> DataFrame:
     """Per unit and budget the bank threshold whose gate intervenes as often as the margin policy.
 
@@ -83,8 +109,7 @@ def exact_budget_select(traces: DataFrame, taus: tuple[float, ...], bank: list[f
     units times bank.
     """
     places = F.array(*map(F.lit, bank))
-    conf = F.array_max("p_assist")
-    t = traces.select(*unit, (F.size(F.filter(places, lambda b: b <= conf)) - 1).alias("k"), (argmax(F.col("p_assist")) != argmax(F.col("p_user"))).cast("long").alias("x"))
+    t = bank_place(traces.withColumn("_conf", F.array_max("p_assist")), "_conf", bank, "k").select(*unit, "k", (argmax(F.col("p_assist")) != argmax(F.col("p_user"))).cast("long").alias("x"))
     units = t.groupBy(*unit).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("disagree"))
     every = t.groupBy(*unit, "k").agg(F.sum("x").alias("c")).union(units.select(*unit, F.explode(F.sequence(F.lit(0), F.lit(len(bank) - 1))).alias("k"), F.lit(0).cast("long").alias("c"))).groupBy(*unit, "k").agg(F.sum("c").alias("c"))
     w = Window.partitionBy(*unit).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
@@ -95,6 +120,20 @@ def exact_budget_select(traces: DataFrame, taus: tuple[float, ...], bank: list[f
     return chosen.join(units, unit).join(top, unit).withColumn("gap", gap).withColumn("exact_match", F.col("gap") <= 1e-12)
 
 
+def exact_budget_units(traces: DataFrame, selection: DataFrame, unit: list[str], classes: int | None = None, prefix: str = "exact_budget_tau_", key: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """Unit metrics and earliest times of the gates that selection (unit, tau, threshold) chose for each unit.
+
+    Rows of both carry the unit's own columns among those of metrics.UNIT and timing.UNIT.
+    """
+    from heddle.operators import metrics, timing
+
+    d = apply_gate(traces, selection, unit, prefix)
+    keys = [c for c in metrics.UNIT if c in {"dataset_id", "split_id", "policy"} | set(unit)]
+    episodes = timing.earliest_by_episode(d, key)
+    per_unit = timing.earliest_by_unit(episodes, [c for c in timing.UNIT if c in keys])
+    return metrics.unit_metrics(d, keys, classes, key=key), per_unit
+
+
 def exact_budget_diagnostics(selection: DataFrame) -> DataFrame:
     family = F.split_part("split_id", F.lit("|"), F.lit(1)).alias("split_family")
     return selection.groupBy(family, "tau").agg(
@@ -170,14 +209,20 @@ def iso_budget_deltas(units: DataFrame, unit: list[str], metrics: list[str], lef
 
 
 def iso_budget_pairwise(deltas: DataFrame) -> DataFrame:
+    """Per family, metric and tau: units with and without a delta, support of their curves, gaps, estimate, beneficial; cells without any delta go."""
     family = F.split_part("split_id", F.lit("|"), F.lit(1)).alias("split_family")
+    have = F.col("delta_iso_budget").isNotNull()
     return (
         deltas.groupBy(family, "metric", "tau")
         .agg(
             F.count(F.lit(1)).alias("n_units_total"),
             F.count("delta_iso_budget").alias("n_units"),
+            F.count_if(~have).alias("n_units_missing_metric"),
             F.sum(F.col("extrapolated").cast("long")).alias("n_extrapolated"),
-            F.sum(F.col("supported").cast("long")).alias("n_supported"),
+            F.avg(F.col("extrapolated").cast("double")).alias("extrapolated_fraction"),
+            F.count_if(have & F.col("supported")).alias("n_supported"),
+            F.count_if(F.col("n_points") == 1).alias("n_singleton"),
+            F.avg("n_points").alias("mean_points"),
             F.avg("delta_iso_budget").alias("estimate"),
             F.avg("nearest_gap").alias("mean_nearest_gap"),
             F.max("nearest_gap").alias("max_nearest_gap"),

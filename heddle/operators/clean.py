@@ -76,7 +76,7 @@ def group_from_id(c: Column, threshold: int = 100) -> Column:
 
 
 def backfill_columns(df: DataFrame, mapping: dict[str, str], refuse: str | None = None) -> DataFrame:
-    """Add absent columns as copies of their twins; a dataset where they differ is refused."""
+    """Add absent columns as copies of their twins; where a column is absent, the dataset that needs values of its own is refused."""
     absent = {new: F.col(old) for new, old in mapping.items() if new not in df.columns}
     if absent and refuse and df.where(F.col("dataset_id") == refuse).limit(1).count():
         raise ValueError(f"{refuse} needs its own values")

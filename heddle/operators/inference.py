@@ -1,11 +1,13 @@
 """Paired inference over units: resampling, sign flips and step-down correction.
 
-Draws are hashes of (repeat, place, seed), so results do not depend on how the
-rows are partitioned.
+Draws follow from the seed, the group and its values, so results do not depend on how
+the rows are partitioned.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,47 +27,125 @@ def _numbered(df: DataFrame, value: str, by: list[str], order: list[str]) -> Dat
     return df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value, *order)) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
 
 
+#: Values, or clusters, whose draws a task makes at a time.
+BLOCK = 1024
+
+
+def _share(rng_of, sizes: np.ndarray, block: int, total: np.ndarray) -> np.ndarray:
+    """How many of each repeat's `total` draws fall into one block of the given sizes.
+
+    Halves of the blocks are split by binomials down to the block, each from a generator
+    of its own, so all tasks agree and each makes a logarithm of the draws only.
+    """
+    low, high, edges = 0, len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = rng_of(low, high).binomial(total, (edges[middle] - edges[low]) / (edges[high] - edges[low]))
+        if block < middle:
+            high, total = middle, left
+        else:
+            low, total = middle, total - left
+    return total
+
+
+def _generator(*key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64(np.random.SeedSequence([int(k) & 0xFFFFFFFFFFFFFFFF for k in key])))
+
+
+def resampled_means(df: DataFrame, value: str, by: list[str], repeats: int, seed: int = SEED, flips: bool = False) -> DataFrame:
+    """by, r, mean, n: for each repeat the mean of n draws of n values; or, with flips, of all values with random signs.
+
+    Equal values are one with a multiplicity; values lie in blocks of about BLOCK, dealt
+    by hash. A task draws how often each value of its block counts and adds the block up,
+    so what is shuffled are values once and sums per repeat. Draws depend on the seed,
+    the group and the values only.
+    """
+    v = F.col(value).cast("double")
+    values = df.select(*by, v.alias("_v")).where("_v is not null and not isnan(_v)").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_m"))
+    cells = values.groupBy(*by).agg(F.sum("_m").alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    dealt = values.join(cells, by).withColumn("_block", F.pmod(F.xxhash64("_v", F.lit(seed)), F.col("_blocks"))).drop("_blocks")
+    sizes = dealt.groupBy(*by, "_block").agg(F.sum("_m").alias("_size")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", "_size"))).alias("_sizes"))
+    sizes = sizes.select(*by, F.transform("_sizes", lambda x: x["_block"]).alias("_at"), F.transform("_sizes", lambda x: x["_size"]).alias("_sizes"), F.xxhash64(*by, F.lit(seed)).alias("_cell"))
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by) + ", n long, _sums array<double>"
+
+    def run(key, rows):
+        rows = rows.sort_values("_v")
+        first = rows.iloc[0]
+        x, m, n, cell, block = rows["_v"].to_numpy(), rows["_m"].to_numpy(np.int64), int(first["n"]), int(first["_cell"]), int(first["_block"])
+        rng = _generator(seed, cell, 1, block)
+        if flips:
+            sums = (2 * rng.binomial(m, 0.5, (repeats, len(m))) - m) @ x
+        else:
+            split = lambda low, high: _generator(seed, cell, 2, low, high)
+            total = _share(split, np.asarray(first["_sizes"], np.int64), int(np.searchsorted(np.asarray(first["_at"]), block)), np.full(repeats, n))
+            sums = rng.multinomial(total, m / m.sum()) @ x
+        return pd.DataFrame([[*[first[c] for c in by], n, sums]], columns=[*by, "n", "_sums"])
+
+    parts = dealt.join(sizes, by).groupBy(*by, "_block").applyInPandas(run, schema)
+    return parts.select(*by, "n", F.posexplode("_sums").alias("r", "s")).groupBy(*by, "r").agg((F.sum("s") / F.first("n")).alias("mean"), F.first("n").alias("n"))
+
+
+def _interval(means: DataFrame, by: list[str], ci: float) -> DataFrame:
+    low = (1 - ci) / 2
+    return means.groupBy(*by).agg(F.percentile("mean", F.lit(low)).alias("ci_low"), F.percentile("mean", F.lit(1 - low)).alias("ci_high"))
+
+
 def bootstrap_ci(df: DataFrame, value: str, by: list[str], repeats: int = 2000, ci: float = 0.95, seed: int = SEED) -> DataFrame:
     """by, estimate, ci_low, ci_high, n: percentile interval of the means of n draws of n values."""
-    rows = _numbered(df, value, by, [])
-    draws = rows.select(*by, "k", "n").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("pick", F.pmod(F.xxhash64("r", "k", F.lit(seed)), F.col("n")))
-    values = rows.select(*by, F.col("k").alias("pick"), "v")
-    means = draws.join(values, [*by, "pick"]).groupBy(*by, "r").agg(F.avg("v").alias("m"))
-    low = (1 - ci) / 2
-    span = means.groupBy(*by).agg(F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(1 - low)).alias("ci_high"))
-    return rows.groupBy(*by).agg(F.avg("v").alias("estimate"), F.count(F.lit(1)).alias("n")).join(span, by)
+    own = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return own.groupBy(*by).agg(F.avg(value).alias("estimate"), F.count(F.lit(1)).alias("n")).join(_interval(resampled_means(df, value, by, repeats, seed), by, ci), by)
+
+
+def _cluster_draws(parents: DataFrame, children: DataFrame, keys: list[str], child: str, repeats: int, seed: int) -> DataFrame:
+    """keys, child, times (per repeat): each drawn parent draws as many of its children as it has."""
+    counted = children.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = children.join(counted, keys).withColumn("_block", F.pmod(F.xxhash64(child, F.lit(seed)), F.ceil(F.col("_n") / BLOCK)))
+    sizes = dealt.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_size"))).alias("_sizes"))
+    sizes = sizes.select(*keys, F.transform("_sizes", lambda x: x["_block"]).alias("_at"), F.transform("_sizes", lambda x: x["_size"]).alias("_sizes"), F.xxhash64(*keys, F.lit(seed)).alias("_cell"))
+    rows = dealt.join(sizes, keys).join(parents, keys)
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, child]) + ", _times array<long>"
+
+    def run(key, own):
+        own = own.sort_values(child)
+        first = own.iloc[0]
+        n, cell, block = int(first["_n"]), int(first["_cell"]), int(first["_block"])
+        split = lambda low, high: _generator(seed, cell, 2, low, high)
+        total = _share(split, np.asarray(first["_sizes"], np.int64), int(np.searchsorted(np.asarray(first["_at"]), block)), np.asarray(first["_times"], np.int64) * n)
+        times = _generator(seed, cell, 1, block).multinomial(total, np.full(len(own), 1 / len(own)))
+        return own[[*keys, child]].assign(_times=list(times.T))
+
+    return rows.groupBy(*keys, "_block").applyInPandas(run, schema)
 
 
 def nested_bootstrap_ci(df: DataFrame, value: str, clusters: list[str], by: list[str], repeats: int = 500, ci: float = 0.95, seed: int = SEED) -> DataFrame:
-    """As bootstrap_ci, but clusters are drawn level by level; absent columns are ignored, nulls are one cluster."""
+    """As bootstrap_ci, but clusters are drawn level by level; absent columns are ignored, nulls are one cluster.
+
+    A drawn cluster draws among its own sub-clusters; all rows of a drawn innermost
+    cluster count. Rows are added up by innermost cluster first, and only how often each
+    is drawn goes from level to level.
+    """
     clusters = [c for c in clusters if c in df.columns]
-    df = df.select(*by, *[F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias(c) for c in clusters], F.col(value).alias("v"))
-    paths = df.select(*by).distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("path", F.xxhash64("r"))
+    text = df.select(*by, *[F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias(c) for c in clusters], F.col(value).cast("double").alias("_v"))
+    sums = text.groupBy(*by, *clusters).agg(F.sum("_v").alias("_s"), F.count("_v").alias("_c"))
+    times = sums.select(*by).distinct().withColumn("_times", F.array_repeat(F.lit(1).cast("long"), repeats))
     for level, c in enumerate(clusters):
         keys = [*by, *clusters[:level]]
-        w = Window.partitionBy(*keys)
-        groups = df.select(*keys, c).distinct().withColumn("_k", F.row_number().over(w.orderBy(c)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-        slots = paths.join(groups.select(*keys, F.col("_k").alias("slot"), "_n"), keys)
-        picks = slots.withColumn("_k", F.pmod(F.xxhash64("path", "slot", F.lit(level), F.lit(seed)), F.col("_n"))).drop("_n")
-        paths = picks.join(groups.select(*keys, "_k", c), [*keys, "_k"]).withColumn("path", F.xxhash64("path", "slot")).drop("slot", "_k")
-    means = paths.join(df, [*by, *clusters]).groupBy(*by, "r").agg(F.avg("v").alias("m"))
-    low = (1 - ci) / 2
-    span = means.groupBy(*by).agg(F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(1 - low)).alias("ci_high"))
-    return df.groupBy(*by).agg(F.avg("v").alias("estimate")).join(span, by)
+        times = _cluster_draws(times, sums.select(*keys, c).distinct(), keys, c, repeats, seed + level)
+    each = times.join(sums, [*by, *clusters]).select(*by, "_s", "_c", F.posexplode("_times").alias("_r", "_k"))
+    means = each.groupBy(*by, "_r").agg((F.sum(F.col("_k") * F.col("_s")) / F.sum(F.col("_k") * F.col("_c"))).alias("mean"))
+    return sums.groupBy(*by).agg((F.sum("_s") / F.sum("_c")).alias("estimate")).join(_interval(means, by, ci), by)
 
 
 def signflip_p(df: DataFrame, value: str, by: list[str], repeats: int = 2000, seed: int = SEED + 1) -> DataFrame:
     """by, p_value, n: share of sign-flipped means at least as far from 0; one unit alone gives 1."""
-    rows = _numbered(df, value, by, [])
-    signed = rows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("s", F.when(F.xxhash64("r", "k", F.lit(seed)).bitwiseAND(F.lit(1).cast("long")) == 1, F.col("v")).otherwise(-F.col("v")))
-    means = signed.groupBy(*by, "r").agg(F.avg("s").alias("m"), F.first("n").alias("n"))
-    seen = rows.groupBy(*by).agg(F.avg("v").alias("observed"))
-    p = (F.sum((F.abs("m") >= F.abs("observed") - 1e-15).cast("long")) + 1) / (repeats + 1)
+    means = resampled_means(df, value, by, repeats, seed, flips=True)
+    seen = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by).agg(F.avg(value).alias("observed"))
+    p = (F.sum((F.abs("mean") >= F.abs("observed") - 1e-15).cast("long")) + 1) / (repeats + 1)
     return means.join(seen, by).groupBy(*by).agg(F.when(F.first("n") == 1, 1.0).otherwise(p).alias("p_value"), F.first("n").alias("n"))
 
 
 def exact_signflip_p(df: DataFrame, value: str, by: list[str], most: int = 12) -> DataFrame:
-    """The same over all 2^n sign patterns; groups of more than `most` units get signflip_p()'s value."""
+    """by, p_value, exact: the same over all 2^n sign patterns; groups of more than `most` units get signflip_p()'s value, and exact is false."""
     numbered = _numbered(df, value, by, [])
     large = df.where(F.col(value).isNotNull()).join(numbered.where(F.col("n") > most).select(*by).distinct(), by, "left_semi")
     rows = numbered.where(F.col("n") <= most)
@@ -73,12 +153,22 @@ def exact_signflip_p(df: DataFrame, value: str, by: list[str], most: int = 12) -
     bit = F.pmod(F.floor(F.col("r") / F.pow(F.lit(2), F.col("k"))), F.lit(2))
     means = every.withColumn("s", F.when(bit == 1, F.col("v")).otherwise(-F.col("v"))).groupBy(*by, "r").agg(F.avg("s").alias("m"))
     seen = rows.groupBy(*by).agg(F.avg("v").alias("observed"))
-    return means.join(seen, by).groupBy(*by).agg(F.avg((F.abs("m") >= F.abs("observed") - 1e-12).cast("double")).alias("p_value")).unionByName(signflip_p(large, value, by).select(*by, "p_value"))
+    return means.join(seen, by).groupBy(*by).agg(F.avg((F.abs("m") >= F.abs("observed") - 1e-12).cast("double")).alias("p_value")).withColumn("exact", F.lit(True)).unionByName(signflip_p(large, value, by).select(*by, "p_value", F.lit(False).alias("exact")))
 
 
 def paired_test(units: DataFrame, unit: list[str], a: str, b: str, metric: str, repeats: int = 2000, seed: int = SEED) -> DataFrame:
-    d = paired_matrix(units, unit, a, b, metric).withColumn("g", F.lit(1))
-    return bootstrap_ci(d, "delta", ["g"], repeats, seed=seed).join(signflip_p(d, "delta", ["g"], repeats, seed + 1).drop("n"), "g").drop("g")
+    """estimate, ci_low, ci_high, n, p_value of the units' differences; no difference at all is an error."""
+    d = paired_ci(units, unit, a, b, metric, repeats, seed)
+    flips = signflip_p(paired_matrix(units, unit, a, b, metric).withColumn("g", F.lit(1)), "delta", ["g"], repeats, seed + 1)
+    return d.withColumn("g", F.lit(1)).join(flips.drop("n"), "g", "left").drop("g")
+
+
+def paired_ci(units: DataFrame, unit: list[str], a: str, b: str, metric: str, repeats: int = 2000, seed: int = SEED) -> DataFrame:
+    """paired_test() without the p value."""
+    d = bootstrap_ci(paired_matrix(units, unit, a, b, metric).withColumn("g", F.lit(1)), "delta", ["g"], repeats, seed=seed)
+    filled = d.sparkSession.range(1).select(F.lit(1).alias("g")).join(d, "g", "left")
+    none = F.when(F.col("n").isNull(), F.raise_error(F.lit("no paired units")).cast("double")).otherwise(F.col("estimate"))
+    return filled.withColumn("estimate", none).drop("g")
 
 
 def holm_annotate(df: DataFrame, by: list[str], p: str, order: list[str], alpha: float = 0.05) -> DataFrame:

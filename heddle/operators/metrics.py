@@ -1,8 +1,9 @@
 """Metrics of decisions by inferential unit.
 
 unit_metrics() makes one pass: rows are shuffled once by unit and sorted once by
-coverage; running hits, class counts, bins and means then meet in one aggregation.
-Metrics that a query doesn't read are pruned from it.
+coverage (large tables by ranges of both, so that no unit is bound to one task);
+running hits, class counts, bins and means then meet in one aggregation. Metrics that
+a query doesn't read are pruned from it.
 """
 
 from __future__ import annotations
@@ -11,15 +12,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.arrays import EPS, clip_normalize
+from heddle.sources.store import stored
 
 UNIT = ["dataset_id", "split_id", "policy", "subject_id", "session", "day"]
 
 
-def class_metrics(df: DataFrame, unit: list[str], classes: int, rest_label: int | None = None, prefix: str = "") -> DataFrame:
+def class_count(decisions: DataFrame) -> int:
+    """The length of the probability vectors, which is K in all metrics over classes."""
+    row = decisions.select(F.size("probs").alias("k")).where("k > 0").first()
+    return row["k"] if row else 1
+
+
+def in_classes(column: str, classes: int) -> Column:
+    """The column, with an error where it isn't one of the classes; null stays null."""
+    c = F.col(column)
+    return F.when((c < 0) | (c >= classes), F.raise_error(F.concat(F.lit(f"{column} beyond {classes} classes: "), c.cast("string"))).cast("int")).otherwise(c)
+
+
+def class_metrics(df: DataFrame, unit: list[str], classes: int | None = None, rest_label: int | None = None, prefix: str = "") -> DataFrame:
     """Balanced accuracy and macro-F1 over all classes (absent ones count 0).
 
     rest_label: only rows of other labels, and the mean over the other classes.
+    classes: the length of the vectors if not given; a label or action beyond is an error.
     """
+    classes = classes or class_count(df)
+    df = df.withColumns({c: in_classes(c, classes) for c in ("label", "selected_action")})
     k = classes if rest_label is None else classes - 1
     if rest_label is not None:
         df = df.where(F.col("label") != rest_label)
@@ -56,12 +73,39 @@ def ece(df: DataFrame, unit: list[str], bins: int = 15) -> DataFrame:
     return t.groupBy(*unit).agg((F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))) / F.sum("n")).alias("ece"))
 
 
-def risk_coverage(df: DataFrame, unit: list[str], key: str, name: str = "risk_coverage_auc") -> DataFrame:
+#: Estimated bytes of decisions beyond which units are sorted in parts.
+WHOLE_BYTES = 1 << 30
+
+
+def ordered_running(d: DataFrame, unit: list[str], key: str, sums: dict[str, Column], split: bool | None = None) -> DataFrame:
+    """d with running sums in each unit, by falling coverage, then by key.
+
+    A table whose estimated size is below WHOLE_BYTES is sorted by unit, no task being
+    longer than the table. Otherwise (or with split) rows are dealt by ranges of
+    (unit, coverage, key) and stored; each range adds up its own, what the ranges before
+    hold of the unit is added to that, and a unit may lie in any number of tasks.
+    """
+    order = [F.desc("coverage"), F.asc(key)]
+    if split is None:
+        split = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > WHOLE_BYTES
+    if not split:
+        w = Window.partitionBy(*unit).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return d.withColumns({n: F.sum(e).over(w) for n, e in sums.items()})
+    named = d.withColumns({"_unit": F.to_json(F.struct(*unit)), **{f"_x_{n}": e for n, e in sums.items()}})
+    cut = stored(named.repartitionByRange("_unit", *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = cut.groupBy("_unit", "_part").agg(*[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in sums])
+    before = Window.partitionBy("_unit").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_unit", "_part", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    w = Window.partitionBy("_unit", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(parts, ["_unit", "_part"]).withColumns({n: F.col(f"_b_{n}") + F.sum(f"_x_{n}").over(w) for n in sums})
+    return out.drop("_unit", "_part", *[f"_x_{n}" for n in sums], *[f"_b_{n}" for n in sums])
+
+
+def risk_coverage(df: DataFrame, unit: list[str], key: str, name: str = "risk_coverage_auc", split: bool | None = None) -> DataFrame:
     """Mean over k of the error among the k most confident; confidences equal to 12 digits go in row-key order."""
-    w = Window.partitionBy(*unit).orderBy(F.desc(F.round("coverage", 12)), key)
-    hits = F.sum(F.col("correct").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    r = df.select(*unit, (1 - hits / F.row_number().over(w)).alias("risk"))
-    return r.groupBy(*unit).agg(F.avg("risk").alias(name))
+    d = df.select(*unit, key, F.round("coverage", 12).alias("coverage"), F.col("correct").cast("long").alias("correct"))
+    r = ordered_running(d, unit, key, {"hits": F.col("correct"), "rank": F.lit(1)}, split)
+    return r.groupBy(*unit).agg(F.avg(1 - F.col("hits") / F.col("rank")).alias(name))
 
 
 def rates(df: DataFrame, unit: list[str]) -> DataFrame:
@@ -76,12 +120,16 @@ def rates(df: DataFrame, unit: list[str]) -> DataFrame:
     )
 
 
-def unit_metrics(decisions: DataFrame, unit: list[str] | None = None, classes: int = 5, rest_label: int | None = 0, key: str = "event_id", bins: int = 15) -> DataFrame:
+def unit_metrics(decisions: DataFrame, unit: list[str] | None = None, classes: int | None = None, rest_label: int | None = 0, key: str = "event_id", bins: int = 15, split: bool | None = None) -> DataFrame:
     """All metrics of every unit; the active ones leave out the rest label.
 
-    Without active rows the active metrics are 0. A unit is sorted by one task.
+    classes: the length of the probability vectors if not given; a label or action
+    beyond is an error. Without active rows the active metrics are 0. split: see
+    ordered_running().
     """
     unit = unit or UNIT
+    classes = classes or class_count(decisions)
+    decisions = decisions.withColumns({c: in_classes(c, classes) for c in ("label", "selected_action")})
     x, label = F.col("selected_action"), F.col("label")
     conf = F.array_max(clip_normalize(F.col("probs")))
     active = (label != rest_label) if rest_label is not None else F.lit(True)
@@ -89,9 +137,9 @@ def unit_metrics(decisions: DataFrame, unit: list[str] | None = None, classes: i
         *unit, key, label.alias("label"), x.alias("selected_action"), F.col("correct").cast("long").alias("correct"), F.col("intervene").cast("double").alias("intervene"), "expected_ali", "decision_time_ms",
         F.round("coverage", 12).alias("coverage"), active.alias("active"), brier(F.col("probs"), label).alias("brier"), nll(F.col("probs"), label).alias("nll"), conf.alias("conf"),
     )
-    w = Window.partitionBy(*unit).orderBy(F.desc("coverage"), key).rowsBetween(Window.unboundedPreceding, 0)
     on = F.col("active")
-    d = d.withColumns({"hits": F.sum("correct").over(w), "rank": F.count(F.lit(1)).over(w), "active_hits": F.sum(F.when(on, F.col("correct")).otherwise(0)).over(w), "active_rank": F.sum(on.cast("long")).over(w)})
+    sums = {"hits": F.col("correct"), "rank": F.lit(1), "active_hits": F.when(on, F.col("correct")).otherwise(0), "active_rank": on.cast("long")}
+    d = ordered_running(d, unit, key, sums, split)
     d = d.withColumn("bin", F.least(F.ceil(F.round(F.col("conf") * bins, 9)), F.lit(bins)).cast("int"))
     count = lambda test: F.sum(test.cast("long"))
     chosen = [k for k in range(classes) if k != rest_label]

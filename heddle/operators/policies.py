@@ -83,7 +83,7 @@ def selective(p: Pair, threshold: float, named: bool = False) -> Column:
     """The user where sure, else the assistant where sure, else the user; the name has no threshold unless asked for."""
     name = "selective_prediction" + (f"_{threshold:.2f}" if named else "")
     helps = (p.cu < threshold) & (p.ca >= threshold)
-    return decide(name, F.when(helps, p.a).otherwise(p.u), 1.0, F.when(helps, p.assist_share).otherwise(p.user_share), F.when(p.cu >= threshold, "user").when(helps, "assist").otherwise("defer"))
+    return decide(name, F.when(helps, p.a).otherwise(p.u), 1.0, F.when(helps, p.assist_share).otherwise(p.user_share), F.when(helps, "assist").otherwise("defer"))
 
 
 def conf_gate(p: Pair, threshold: Column | float, tau: Column | float, name: Column | str | None = None) -> Column:
@@ -91,7 +91,7 @@ def conf_gate(p: Pair, threshold: Column | float, tau: Column | float, name: Col
     if not isinstance(threshold, Column) and not 0 <= threshold <= 1.01:
         raise ValueError("threshold must lie in [0, 1.01]")
     helps = p.ca >= _d(threshold)
-    return decide(name if name is not None else f"plain_conf_threshold_{threshold:.2f}", F.when(helps, p.a).otherwise(p.u), tau, F.when(helps, p.ca).otherwise(p.cu), F.when(helps, "assist").otherwise("user"))
+    return decide(name if name is not None else f"plain_conf_threshold_{threshold:.2f}", F.when(helps, p.a).otherwise(p.u), tau, F.when(helps, p.ca).otherwise(p.cu), F.when(helps, "assist").otherwise("defer"))
 
 
 def set_budget(p: Pair, tau: float) -> Column:
@@ -189,17 +189,60 @@ def policy_grid(df: DataFrame, taus: Iterable[float] = TAUS, weights: Iterable[f
     return expand(df, grid(taus, weights, thresholds, named))
 
 
+#: Columns of decision_frame(), in order; columns of a trace that bear one of these names get META before it.
+FRAME = (
+    "dataset_id", "split_id", "split_family", "policy", "subject_id", "session", "day", "label", "selected_action", "user_action", "assist_action", "timestamp_s", "selected_confidence", "coverage_confidence", "control_source",
+    "action_changed", "autonomy_used", "intervene", "defer", "abstain", "expected_utility", "expected_ali", "tau", "agency_margin", "decision_time_ms", "correct",
+)
+META = "meta_"
+
+
+def decision_frame(decisions: DataFrame, metadata: list[str] | None = None) -> DataFrame:
+    """The flat table of decisions: the fields of FRAME, then the metadata columns.
+
+    A metadata column (by default all that isn't a field of a decision or a posterior)
+    whose name is taken gets META before it. Without them prefix_time_s is timestamp_s
+    and episode_id is empty; a frame without split_family takes it from split_id.
+    expected_utility is what the vector that was followed gives the action: the user's,
+    the assistant's or the mixture's. No policy abstains.
+    """
+    x, source = F.col("selected_action"), F.col("source")
+    user, assist = (F.element_at(f"p_{r}", x + 1) for r in ("user", "assist"))
+    own = {
+        "split_family": F.split_part("split_id", F.lit("|"), F.lit(1)),
+        "user_action": argmax(F.col("p_user")),
+        "assist_action": argmax(F.col("p_assist")),
+        "selected_confidence": F.col("confidence"),
+        "coverage_confidence": F.col("coverage"),
+        "control_source": F.when(source == "defer", "user").otherwise(source),
+        "action_changed": F.col("intervene"),
+        "autonomy_used": F.col("intervene"),
+        "defer": source == "defer",
+        "abstain": F.lit(False),
+        "expected_utility": F.when(source.isin("user", "defer"), user).when(source == "blend", F.col("confidence")).otherwise(assist),
+        "agency_margin": F.col("margin"),
+    }
+    used = {"p_user", "p_assist", "probs", "source", "coverage", "confidence", "margin"}
+    kept = [c for c in decisions.columns if c not in used and (c in own or c not in FRAME)] if metadata is None else metadata
+    more = {f"{META}{c}" if c in FRAME else c: F.col(c) for c in kept}
+    more.setdefault("prefix_time_s", F.col("timestamp_s"))
+    more.setdefault("episode_id", F.lit(""))
+    return decisions.select(*[own.get(c, F.col(c)).alias(c) for c in FRAME], *[c.alias(n) for n, c in more.items()])
+
+
 def decision_violations(decisions: DataFrame) -> DataFrame:
-    """Decisions that break a rule, with the rule's name; empty when all is well."""
-    x, k = F.col("selected_action"), F.size("probs")
+    """Decisions that break a rule, with the first such rule's name; empty when all is well. A field that is null, NaN or infinite breaks its rule."""
+    x, k, label = F.col("selected_action"), F.size("probs"), F.col("label")
+    none = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    off = lambda test: F.coalesce(test, F.lit(True))
     rule = (
-        F.when((x < 0) | (x >= k) | (F.col("label") < 0) | (F.col("label") >= k), "class index")
-        .when(F.col("tau").isNull() | F.isnan("tau") | (F.col("tau") < 0), "tau")
-        .when(F.col("expected_ali").isNull() | (F.col("expected_ali") < 0), "expected_ali")
-        .when(F.abs(F.col("margin") - (F.col("tau") - F.col("expected_ali"))) > 1e-9, "margin")
-        .when(argmax(F.col("probs")) != x, "argmax")
-        .when(F.abs(F.col("confidence") - F.element_at("probs", x + 1)) > 1e-9, "confidence")
-        .when((F.col("coverage") < 0) | (F.col("coverage") > 1), "coverage")
+        F.when(off((x < 0) | (x >= k) | (label < 0) | (label >= k)) | F.col("probs").isNull(), "class index")
+        .when(none("tau") | (F.col("tau") < 0), "tau")
+        .when(none("expected_ali") | (F.col("expected_ali") < 0), "expected_ali")
+        .when(none("margin") | off(F.abs(F.col("margin") - (F.col("tau") - F.col("expected_ali"))) > 1e-9), "margin")
+        .when(off(argmax(F.col("probs")) != x), "argmax")
+        .when(none("confidence") | off(F.abs(F.col("confidence") - F.element_at("probs", x + 1)) > 1e-9), "confidence")
+        .when(none("coverage") | (F.col("coverage") < 0) | (F.col("coverage") > 1), "coverage")
     )
     return decisions.withColumn("rule", rule).where("rule is not null")
 

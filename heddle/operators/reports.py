@@ -94,16 +94,21 @@ def metric_disagreement(best: DataFrame) -> DataFrame:
 
 
 def dataset_overview(by_tau: DataFrame, conf: DataFrame, required: list[str]) -> DataFrame:
-    """One row per dataset: universal and best taus, worst values, missing families and the story."""
+    """One row per dataset: families seen and required, universal and best taus and their numbers, worst values, lowest matches, missing families, the story."""
     join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
     rows = by_tau.where("scope = 'required'")
-    base = rows.groupBy("dataset_id").agg(F.max("confidence_gap").alias("worst_confidence_gap"), F.max("earliest_gap").alias("worst_earliest_gap"), F.min("confidence_match").alias("lowest_confidence_match"), F.max("safety_harmful").alias("worst_safety_harmful"), F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, required)), F.collect_set("split_family"))), "|").alias("missing_families"))
-    uni = universal_taus(by_tau, required).groupBy("dataset_id").agg(join("tau").alias("universal_taus"))
+    names = F.array(*map(F.lit, sorted(set(required))))
+    seen = by_tau.groupBy("dataset_id").agg(F.count_distinct("split_family").alias("observed_families"), F.array_join(F.array_sort(F.array_except(names, F.collect_set("split_family"))), "|").alias("missing_families"))
+    base = rows.groupBy("dataset_id").agg(
+        F.max("confidence_gap").alias("worst_confidence_gap"), F.max("earliest_gap").alias("worst_earliest_gap"), F.min("confidence_match").alias("lowest_confidence_match"), F.min("earliest_match").alias("lowest_earliest_match"), F.max("safety_harmful").alias("worst_safety_harmful")
+    )
+    uni = universal_taus(by_tau, required).groupBy("dataset_id").agg(join("tau").alias("universal_taus"), F.count_distinct("tau").alias("n_universal_taus"))
     best = best_tau(conf.where(F.col("split_family").isin(*required)))
-    b = best.groupBy("dataset_id").agg(join("best_tau").alias("best_taus"))
+    b = best.groupBy("dataset_id").agg(join("best_tau").alias("best_taus"), F.count_distinct("best_tau").alias("n_best_taus"))
     d = metric_disagreement(best).groupBy("dataset_id").agg(join("split_family").alias("disagreement_families"))
-    out = base.join(uni, "dataset_id", "left").join(b, "dataset_id", "left").join(d, "dataset_id", "left").fillna("", ["universal_taus", "best_taus", "disagreement_families"])
-    return out.withColumn("story", F.when(F.col("universal_taus") != "", "fixed_tau_supported").otherwise("fixed_tau_unstable"))
+    out = seen.join(base, "dataset_id", "left").join(uni, "dataset_id", "left").join(b, "dataset_id", "left").join(d, "dataset_id", "left")
+    out = out.fillna("", ["universal_taus", "best_taus", "disagreement_families"]).fillna(0, ["n_universal_taus", "n_best_taus"])
+    return out.withColumn("required_families", F.lit(len(set(required))).cast("long")).withColumn("story", F.when(F.col("universal_taus") != "", "fixed_tau_supported").otherwise("fixed_tau_unstable"))
 
 
 def overall_instability(overview: DataFrame) -> DataFrame:

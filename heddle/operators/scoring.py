@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.arrays import argmax, at_temperature, clip_normalize, entropy
+from heddle.functions.arrays import argmax, at_temperature, clip_normalize, entropy, normalize
 from heddle.operators.metrics import nll
+from heddle.operators.sequences import ASSIST, Modality, temporal_features
 
 T_LOW, T_HIGH = 0.25, 8.0
 
@@ -54,10 +55,21 @@ def class_weights(df: DataFrame, classes: int, label: str = "label") -> DataFram
     return every.join(counts, label, "left").crossJoin(F.broadcast(n)).select(label, F.when(F.col("c").isNull(), 1.0).otherwise(F.col("n") / (classes * F.col("c"))).alias("weight"))
 
 
-def assemble_traces(rows: DataFrame, user: DataFrame, assist: DataFrame) -> DataFrame:
-    """Rows with both posteriors (split_id, row_id, p); uncertainty is the assistant's entropy."""
+def assemble_traces(rows: DataFrame, user: DataFrame, assist: DataFrame, user_temperature: DataFrame | None = None, assist_temperature: DataFrame | None = None) -> DataFrame:
+    """Rows (split_id, row_id, label and any metadata) with both posteriors (split_id, row_id, p).
+
+    Temperatures (split_id, temperature), where given, are applied to their posterior and
+    kept; a split without one has 1. uncertainty is the scaled assistant's entropy.
+    """
     keys = ["split_id", "row_id"]
-    t = rows.join(user.withColumnRenamed("p", "p_user"), keys).join(assist.withColumnRenamed("p", "p_assist"), keys)
+    t = rows.join(user.select(*keys, F.col("p").alias("p_user")), keys).join(assist.select(*keys, F.col("p").alias("p_assist")), keys)
+    for role, fitted in (("user", user_temperature), ("assist", assist_temperature)):
+        name = f"{role}_temperature"
+        if fitted is None:
+            t = t.withColumn(name, F.lit(1.0))
+            continue
+        t = t.join(fitted.select("split_id", F.col("temperature").alias(name)), "split_id", "left").withColumn(name, F.coalesce(name, F.lit(1.0)))
+        t = t.withColumn(f"p_{role}", at_temperature(F.col(f"p_{role}"), F.col(name)))
     return t.withColumn("uncertainty", entropy(F.col("p_assist")))
 
 
@@ -69,14 +81,17 @@ def trace_frame(traces: DataFrame) -> DataFrame:
     return out
 
 
-def blend_weight(df: DataFrame, grid: list[float], classes: int, by: list[str] | None = None) -> DataFrame:
-    """by, weight, macro_f1, accuracy, loss: the blend weight best by macro-F1, accuracy, loss; the first on ties."""
+def blend_weight(df: DataFrame, grid: list[float], classes: int | None, by: list[str] | None = None) -> DataFrame:
+    """by, weight, macro_f1, accuracy, loss: the blend weight best by macro-F1, accuracy, loss; the first on ties.
+
+    macro_f1 is a mean over so many classes, or over those that occur as label or choice.
+    """
     by = by or []
     e = df.select(*by, "label", "p_user", "p_assist", F.explode(F.array(*map(F.lit, grid))).alias("weight"))
     e = e.withColumn("p", F.zip_with("p_user", "p_assist", lambda x, y: (1 - F.col("weight")) * x + F.col("weight") * y)).withColumn("x", argmax(F.col("p")))
     rows = e.groupBy(*by, "weight").agg(F.avg((F.col("x") == F.col("label")).cast("double")).alias("accuracy"), F.avg(nll(F.col("p"), F.col("label"))).alias("loss"))
     ends = e.select(*by, "weight", F.explode(F.array(F.struct(F.col("label").alias("c"), (F.col("x") == F.col("label")).cast("long").alias("tp")), F.struct(F.col("x").alias("c"), F.lit(0).cast("long").alias("tp")))).alias("s"))
-    f1 = ends.groupBy(*by, "weight", "s.c").agg(F.sum("s.tp").alias("tp"), F.count(F.lit(1)).alias("n")).groupBy(*by, "weight").agg((F.sum(2 * F.col("tp") / F.col("n")) / classes).alias("macro_f1"))
+    f1 = ends.groupBy(*by, "weight", "s.c").agg(F.sum("s.tp").alias("tp"), F.count(F.lit(1)).alias("n")).groupBy(*by, "weight").agg((F.sum(2 * F.col("tp") / F.col("n")) / (classes or F.count(F.lit(1)))).alias("macro_f1"))
     both = rows.join(f1, [*by, "weight"])
     key = F.struct("macro_f1", "accuracy", (-F.col("loss")).alias("l"), (-F.col("weight")).alias("w"))
     return both.groupBy(*by).agg(F.max_by(F.struct("weight", "macro_f1", "accuracy", "loss"), key).alias("b")).select(*by, "b.*")
@@ -96,52 +111,102 @@ def estimator(spec: str, features: int, classes: int, seed: int = 7, trees: int
     raise ValueError(f"unknown model: {spec}")
 
 
-def fit_score(df: DataFrame, members: DataFrame, spec: str, classes: int) -> DataFrame:
+def fit_score(df: DataFrame, members: DataFrame, spec: str, classes: int, parallel: int = 4, failures: dict[str, str] | None = None, **sizes) -> DataFrame:
     """split_id, row_id, role, p: each split's model fitted on its training rows, scoring the others.
 
-    df: row_id, label, features. The loop is over splits, whose number is small; rows
-    stay distributed. Class weights come from a split's own training rows. Splits whose
-    training rows hold under two classes are skipped; no rows are left where all are.
+    df: row_id, label, features. Up to `parallel` splits are fitted at once by threads of
+    the driver over shared features; rows stay distributed. Class weights come from a
+    split's own training rows. Splits whose training rows hold under two classes are
+    skipped; no rows are left where all are. A split that fails doesn't stop the others:
+    its error goes to `failures`, or is raised at the end where none is given.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+    from pyspark.ml.functions import array_to_vector
+
+    data = df.select("row_id", "label", array_to_vector("features").alias("v")).persist()
+    first = df.select("features").first()
+    names = [r[0] for r in members.select("split_id").distinct().orderBy("split_id").collect()] if first else []
+    errors: dict[str, str] = {}
+
+    def one(split: str) -> DataFrame | None:
+        try:
+            own = data.join(members.where(F.col("split_id") == split), "row_id")
+            return _fit_one(own, spec, classes, len(first[0]), sizes)
+        except Exception as e:  # noqa: BLE001
+            errors[split] = str(e)
+            return None
 
-    data = df.select("row_id", "label", array_to_vector("features").alias("v"))
-    width = len(df.select("features").first()[0])
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(one), names))
+    if failures is not None:
+        failures.update(errors)
+    elif errors:
+        raise RuntimeError(f"splits that failed: {errors}")
     out = None
-    for (split,) in members.select("split_id").distinct().orderBy("split_id").collect():
-        own = data.join(members.where(F.col("split_id") == split), "row_id")
-        train = own.where("role = 'train'")
-        train = train.join(F.broadcast(class_weights(train, classes)), "label")
-        if train.select("label").distinct().count() < 2:
-            continue
-        if spec == "lda":
-            scored = _lda(train, own.where("role <> 'train'"), classes)
-        else:
-            model = Pipeline(stages=[StandardScaler(inputCol="v", outputCol="x", withMean=True), estimator(spec, width, classes)]).fit(train)
-            scored = model.transform(own.where("role <> 'train'")).select("split_id", "row_id", "role", vector_to_array("p").alias("p"))
-        out = scored if out is None else out.unionByName(scored)
+    for scored in found:
+        if scored is not None:
+            out = scored if out is None else out.unionByName(scored)
     if out is None:
         return members.select("split_id", "row_id", "role", F.lit(None).cast("array<double>").alias("p")).limit(0)
     return out
 
 
+def _fit_one(own: DataFrame, spec: str, classes: int, width: int, sizes: dict) -> DataFrame | None:
+    """One split's scores; None where its training rows hold under two classes."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import vector_to_array
+
+    train, rest = own.where("role = 'train'"), own.where("role <> 'train'")
+    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
+        return None
+    n = sum(counts.values())
+    weight = F.create_map(*[F.lit(x) for k, c in counts.items() for x in (k, n / (classes * c))])[F.col("label")]
+    train = train.withColumn("weight", weight)
+    if spec == "lda":
+        return _lda(train, rest, classes)
+    model = Pipeline(stages=[StandardScaler(inputCol="v", outputCol="x", withMean=True), estimator(spec, width, classes, **sizes)]).fit(train)
+    # a model's vector ends at its largest training label
+    p = vector_to_array("p")
+    return model.transform(rest).select("split_id", "row_id", "role", F.concat(p, F.array_repeat(F.lit(0.0), F.lit(classes) - F.size(p))).alias("p"))
+
+
+def _scatter(rows: DataFrame, d: int, center: list[float]) -> dict[tuple[int, int], float]:
+    """Sums of outer products of the rows (column x) about a center, as (i, j) -> sum.
+
+    Each partition adds its own d x d matrix in numpy; only these are shuffled.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        s = np.zeros((d, d))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d) - center
+            s += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(d), d)), pa.array(np.tile(np.arange(d), d)), pa.array(s.ravel())], ["i", "j", "s"])
+
+    got = rows.select("x").mapInArrow(run, "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    return {(r["i"], r["j"]): r["s"] for r in got.collect()}
+
+
 def _lda(train: DataFrame, test: DataFrame, classes: int) -> DataFrame:
-    """Linear discriminant: class means and pooled scatter are aggregated; only a d x d system is solved here."""
+    """Linear discriminant: class means and pooled scatter are added up by partition; only a d x d system is solved here."""
     import numpy as np
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
 
     means = {r.label: (r.s.mean.toArray(), r.n) for r in train.groupBy("label").agg(Summarizer.metrics("mean").summary(F.col("v")).alias("s"), F.count(F.lit(1)).alias("n")).collect()}
     n = sum(c for _, c in means.values())
-    rows = train.select("label", vector_to_array("v").alias("x"))
-    pairs = rows.select("label", F.posexplode("x").alias("i", "a"), "x").select("i", F.posexplode("x").alias("j", "b"), "a").where("j >= i")
     d = len(next(iter(means.values()))[0])
+    middle = sum(c * m for m, c in means.values()) / n
     s = np.zeros((d, d))
-    for r in pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).collect():
-        s[r.i, r.j] = s[r.j, r.i] = r.s
-    s = (s - sum(c * np.outer(m, m) for m, c in means.values())) / n + 1e-6 * np.eye(d)
+    for (i, j), x in _scatter(train.select(vector_to_array("v").alias("x")), d, middle.tolist()).items():
+        s[i, j] = x
+    s = (s - sum(c * np.outer(m - middle, m - middle) for m, c in means.values())) / n + 1e-6 * np.eye(d)
     weights = np.zeros((classes, d))
     bias = np.full(classes, -1e9)
     for k, (m, c) in means.items():
@@ -151,3 +216,47 @@ def _lda(train: DataFrame, test: DataFrame, classes: int) -> DataFrame:
     score = lambda k: F.aggregate(F.zip_with(x, F.array(*map(F.lit, weights[k].tolist())), lambda a, b: a * b), F.lit(float(bias[k])), lambda acc, y: acc + y)
     scored = test.withColumn("_s", F.array(*[score(k) for k in range(classes)])).withColumn("_e", F.transform("_s", lambda y: F.exp(y - F.array_max("_s"))))
     return scored.select("split_id", "row_id", "role", F.transform("_e", lambda y: y / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+
+
+def temporal_forest(df: DataFrame, members: DataFrame, classes: int, modalities: tuple[Modality, ...] = ASSIST, chunks: int = 4, **sizes) -> DataFrame:
+    """fit_score() of a forest on tabular features with the summaries of each row's sequences.
+
+    Rows are weighted by their class; the trees' own samples are drawn with these
+    weights on average, not balanced one by one.
+    """
+    return fit_score(temporal_features(df, modalities, chunks=chunks), members, "forest", classes, **sizes)
+
+
+BLENDS = (0.0, 0.15, 0.30, 0.45, 0.60, 0.75, 1.0)
+
+
+def choose_blends(splits: DataFrame, validation: DataFrame, grid: tuple[float, ...] = BLENDS) -> DataFrame:
+    """split_id, weight: of the grid, best on the split's validation rows (split_id, label, p_user, p_assist); 0.5 without such rows."""
+    best = blend_weight(validation, list(grid), None, ["split_id"]).select("split_id", "weight")
+    return splits.select("split_id").distinct().join(best, "split_id", "left").select("split_id", F.coalesce("weight", F.lit(0.5)).alias("weight"))
+
+
+def blend_posteriors(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """rows with p: the mixture of p_user and p_assist by their split's weight, normalised."""
+    mixed = F.zip_with("p_user", "p_assist", lambda x, y: (1 - F.col("weight")) * x + F.col("weight") * y)
+    return rows.join(weights, "split_id").withColumn("p", normalize(mixed)).drop("weight")
+
+
+def stacked_blend(df: DataFrame, members: DataFrame, specs: tuple[str, str], classes: int, grid: tuple[float, ...] = BLENDS, share: float = 0.1, seed: int = 0, least: int = 256, **sizes) -> DataFrame:
+    """split_id, row_id, role, p: two models blended by a weight chosen on held-out training rows.
+
+    Both models are fitted without a split's held-out share of its training rows, which
+    dev_holdout() draws within each label (none under `least` rows, and the weight is 0.5
+    then); the weight of the grid that is best there blends both models refitted on all
+    training rows.
+    """
+    from heddle.operators.splits import dev_holdout
+
+    train = members.where("role = 'train'").join(df.select("row_id", "label"), "row_id")
+    inner = dev_holdout(train, share, seed, least, ["split_id"])
+    held = inner.where("role = 'dev'").select("split_id").distinct()
+    inner = inner.join(held, "split_id", "left_semi").persist()
+    first = lambda spec, on: fit_score(df, on, spec, classes, **sizes)
+    pair = lambda on: first(specs[0], on).withColumnRenamed("p", "p_user").join(first(specs[1], on).select("split_id", "row_id", F.col("p").alias("p_assist")), ["split_id", "row_id"])
+    validation = pair(inner).join(df.select("row_id", "label"), "row_id")
+    return blend_posteriors(pair(members), choose_blends(members, validation, grid)).select("split_id", "row_id", "role", "p")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators.ordered import exact_quantiles
+
 
 def label_segments(samples: DataFrame, min_len: int = 1, include_rest: bool = True) -> DataFrame:
     """record_id, segment, label, start, end (exclusive), length: maximal runs of a label; numbered after filtering."""
@@ -128,30 +130,42 @@ def sequence_summary(samples: DataFrame, chunks: int = 4, by: str = "record_id")
     return out.withColumn("std", F.sqrt(F.greatest(var, F.lit(0.0)))).drop("_sq", "_s", "_m")
 
 
-def exploded(df: DataFrame, key: str, column: str = "features") -> DataFrame:
-    return df.select(key, F.posexplode(column).alias("i", "x"))
+def _scaled(df: DataFrame, column: str, centers: list[float], scales: list[float]) -> DataFrame:
+    """(x - center) / scale of each feature; the statistics are literals, so rows stay where they are."""
+    c, s = F.array(*[F.lit(float(x)) for x in centers]), F.array(*[F.lit(float(x)) for x in scales])
+    return df.withColumn(column, F.transform(column, lambda x, i: (x - F.get(c, i)) / F.get(s, i)))
 
 
 def robust_z(df: DataFrame, key: str, column: str = "features", eps: float = 1e-8) -> DataFrame:
-    """key, features: (x - median) / (1.4826 MAD + eps) of each feature, by exact medians."""
-    long = exploded(df, key, column)
-    med = long.groupBy("i").agg(F.median("x").alias("med"))
-    dev = long.join(F.broadcast(med), "i")
-    mad = dev.groupBy("i").agg(F.median(F.abs(F.col("x") - F.col("med"))).alias("mad"), F.first("med").alias("med"))
-    z = long.join(F.broadcast(mad), "i").withColumn("z", (F.col("x") - F.col("med")) / (1.4826 * F.col("mad") + eps))
-    return gathered(z, key, "z", column)
+    """key, features: (x - median) / (1.4826 MAD + eps) of each feature, by exact medians.
+
+    Medians come from counts of digits; a row's features are never taken apart but on
+    the map side. Without rows there is nothing to scale.
+    """
+    rows = df.select(key, column)
+    values = rows.select(F.posexplode(column).alias("i", "x"))
+    medians = exact_quantiles(values, ["i"], "x", [0.5])
+    centers = [medians[(i,)][0] for i in range(len(medians))]
+    away = rows.select(F.posexplode(F.transform(column, lambda x, i: F.abs(x - F.get(F.array(*[F.lit(c) for c in centers]), i)))).alias("i", "x"))
+    spans = exact_quantiles(away, ["i"], "x", [0.5])
+    return _scaled(rows, column, centers, [1.4826 * spans[(i,)][0] + eps for i in range(len(centers))])
+
 
+def feature_moments(df: DataFrame, column: str = "features") -> tuple[list[float], list[float]]:
+    """Means and population deviations of each feature, added up inside the partitions."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
-def gathered(long: DataFrame, key: str, value: str, column: str = "features") -> DataFrame:
-    """Arrays in order of i, one per key."""
-    return long.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(value).alias("v")))), lambda s: s["v"]).alias(column))
+    got = df.where(F.col(column).isNotNull()).agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(column)).alias("s")).first()["s"]
+    n = got["count"]
+    share = (n - 1) / n if n > 1 else 0.0
+    return [float(x) for x in got["mean"]], [float(x * share) ** 0.5 for x in got["variance"]]
 
 
 def standardize(fit: DataFrame, df: DataFrame, key: str, column: str = "features", least: float = 1e-6) -> DataFrame:
     """Means and population deviations of fit's features applied to df; deviations under `least` count as 1."""
-    stats = exploded(fit, key, column).groupBy("i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    z = exploded(df, key, column).join(F.broadcast(stats), "i").withColumn("z", (F.col("x") - F.col("mean")) / F.when(F.col("std") < least, 1.0).otherwise(F.col("std")))
-    return gathered(z, key, "z", column)
+    mean, deviation = feature_moments(fit, column)
+    return _scaled(df.select(key, column), column, mean, [1.0 if d < least else d for d in deviation])
 
 
 def channel_dropout(df: DataFrame, key: str, rate: float, seed: int, column: str = "features") -> DataFrame:

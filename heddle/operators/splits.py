@@ -1,63 +1,193 @@
-"""Leakage-checked splits as tables (split_id, row_id, role), never as index lists."""
+"""Leakage-checked splits, never as index lists.
+
+A family of splits is two tables: one row per row (its fold, and what else decides its
+role), and one row per split. A row's role in a split follows from the two when it is
+read, so a family costs a pass over the rows, not rows times splits. members() gives the
+table (split_id, row_id, role) of the splits that are asked for; totals() adds up both
+sides of all splits from sums by fold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.operators.ordered import running_sums
+
+#: Groups that group_k_fold() places one by one; the rest is dealt by running sums.
+HEAVY = 1000
+MISSING = "<missing>"
+
+
+@dataclass(frozen=True)
+class Family:
+    """rows: row_id, fold, wing, rank. candidates: split_id, fold, trains, rank; splits are those of which both sides hold rows.
+
+    A split tests its fold. It trains, as `trains` says, on others (all other folds),
+    first or second (the other folds of the wing true or false), or earlier (folds of
+    lower rank). Rows whose fold is null take part in no test and, for earlier, in nothing.
+    """
+
+    rows: DataFrame
+    candidates: DataFrame
+    kinds: tuple[str, ...] = ("others",)
+
+    @property
+    def splits(self) -> DataFrame:
+        return self.candidates.join(self.totals().select("split_id").distinct(), "split_id", "left_semi")
+
+    def role(self, fold: Column, trains: Column, rank: Column) -> Column:
+        """The role of a row of `rows` in a split of these values; null where it has none."""
+        own = F.coalesce(F.col("fold") == fold, F.lit(False))
+        trained = (
+            F.when(trains == "others", True)
+            .when(trains == "first", F.col("wing"))
+            .when(trains == "second", ~F.col("wing"))
+            .when(trains == "earlier", F.coalesce(F.col("rank") < rank, F.lit(False)))
+        )
+        return F.when(own, "test").when(trained, "train")
+
+    def members(self, ids: Iterable[str] | None = None) -> DataFrame:
+        """split_id, row_id, role of the splits asked for, or of all, which is rows times splits."""
+        chosen = self.splits if ids is None else self.splits.where(F.col("split_id").isin(list(ids)))
+        asked = chosen.select("split_id", F.col("fold").alias("_fold"), "trains", F.col("rank").alias("_rank"))
+        role = self.role(F.col("_fold"), F.col("trains"), F.col("_rank"))
+        return self.rows.crossJoin(asked).select("split_id", "row_id", role.alias("role")).where("role is not null")
+
+    def totals(self, sums: dict[str, Column] | None = None) -> DataFrame:
+        """split_id, role, n and the sums over both sides of every split; rows are added up by fold once."""
+        return totals(self.rows, self.candidates, self.kinds, sums or {})
 
-def _roles(df: DataFrame, groups: DataFrame, role: Column, split_id: Column) -> DataFrame:
-    """Rows crossed with a small table of groups; rows without a role are left out, splits lacking a side too."""
-    m = df.crossJoin(F.broadcast(groups)).select(split_id.alias("split_id"), "row_id", role.alias("role")).where("role is not null")
-    whole = m.groupBy("split_id").agg(F.count_distinct("role").alias("k")).where("k = 2").select("split_id")
-    return m.join(whole, "split_id", "left_semi")
+
+def totals(rows: DataFrame, splits: DataFrame, kinds: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    names = ["n", *sums]
+    # a row for each group; all else follows from it
+    each = rows.groupBy("fold", "wing", "rank").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()]).persist()
+    wing = lambda c, w: F.coalesce(F.sum(F.when(F.col("wing") == w, F.col(c))), F.lit(0))
+    own = each.where("fold is not null").groupBy("fold").agg(*[F.sum(c).alias(c) for c in names], *[wing(c, w).alias(f"{c}_own_{k}") for c in names for k, w in (("first", True), ("second", False))])
+    sides = each.agg(*[F.sum(c).alias(f"{c}_others") for c in names], *[wing(c, w).alias(f"{c}_{k}") for c in names for k, w in (("first", True), ("second", False))])
+    s = splits.join(own, "fold").crossJoin(F.broadcast(sides))
+    if "earlier" in kinds:
+        ranks = running_sums(each.where("rank is not null").groupBy(F.col("rank").alias("_rank")).agg(*[F.sum(c).alias(c) for c in names]), [], "_rank", names)
+        s = s.join(ranks.select("_rank", *[(F.col(f"{c}_upto") - F.col(c)).alias(f"{c}_earlier") for c in names]), F.col("rank") == F.col("_rank"), "left")
+
+    def trained(c: str) -> Column:
+        by_kind = {"others": F.col(f"{c}_others") - F.col(c), "first": F.col(f"{c}_first") - F.col(f"{c}_own_first"), "second": F.col(f"{c}_second") - F.col(f"{c}_own_second"), "earlier": F.col(f"{c}_earlier") if "earlier" in kinds else None}
+        return F.coalesce(*[F.when(F.col("trains") == k, by_kind[k]) for k in kinds])
+
+    side = lambda role, of: F.struct(F.lit(role).alias("role"), *[of(c).alias(c) for c in names])
+    whole = s.withColumns({f"_t_{c}": trained(c) for c in names}).where("n > 0 and _t_n > 0")
+    return whole.select("split_id", F.explode(F.array(side("test", F.col), side("train", lambda c: F.col(f"_t_{c}")))).alias("x")).select("split_id", "x.*")
+
+
+def _rows(df: DataFrame, fold: Column, wing: Column | None = None, rank: Column | None = None) -> DataFrame:
+    yes = F.lit(True) if wing is None else F.coalesce(wing, F.lit(False))
+    return df.select("row_id", fold.cast("string").alias("fold"), yes.alias("wing"), (F.lit(None) if rank is None else rank).cast("long").alias("rank"))
+
+
+def _splits(folds: DataFrame, split_id: Column, trains: str | Column = "others") -> DataFrame:
+    kind = trains if isinstance(trains, Column) else F.lit(trains)
+    return folds.select(split_id.alias("split_id"), "fold", kind.alias("trains"), "rank")
+
+
+def logo_family(df: DataFrame, key: str, prefix: str = "logo") -> Family:
+    rows = _rows(df, F.col(key))
+    folds = rows.where("fold is not null").select("fold", F.lit(None).cast("long").alias("rank")).distinct()
+    return Family(rows, _splits(folds, F.concat(F.lit(f"{prefix}|"), F.col("fold"))))
 
 
 def leave_one_group_out(df: DataFrame, key: str, prefix: str = "logo") -> DataFrame:
-    groups = df.select(F.col(key).cast("string").alias("_g")).where("_g is not null").distinct()
-    return _roles(df, groups, F.when(F.col(key).cast("string") == F.col("_g"), "test").otherwise("train"), F.concat(F.lit(f"{prefix}|"), F.col("_g")))
+    """Members of one split per group; rows without one train in all."""
+    return logo_family(df, key, prefix).members()
+
+
+def kfold_groups(df: DataFrame, key: str, k: int) -> DataFrame:
+    """group, fold: groups by falling size (then name), each to the lightest fold (then the lowest).
+
+    So go the HEAVY largest; the others, each smaller than any of these, are dealt in
+    hash order by running sums of their rows into what room the folds have left.
+    A null group is a group, named MISSING.
+    """
+    counts = df.groupBy(F.coalesce(F.col(key).cast("string"), F.lit(MISSING)).alias("group")).agg(F.count(F.lit(1)).alias("c"))
+    spark, load, placed = df.sparkSession, [0] * k, []
+    for r in counts.orderBy(F.desc("c"), "group").limit(HEAVY).collect():
+        fold = load.index(min(load))
+        load[fold] += r["c"]
+        placed.append((r["group"], fold))
+    heads = spark.createDataFrame(placed, "group string, fold int")
+    if len(placed) < HEAVY:
+        return heads
+    tail = counts.join(F.broadcast(heads), "group", "left_anti").withColumn("at", F.xxhash64("group").cast("double") + F.pmod(F.crc32(F.col("group").cast("binary")), F.lit(1024)) / 2048)
+    merged = tail.groupBy("at").agg(F.sum("c").alias("c"))
+    rest = merged.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    level = (sum(load) + rest) / k
+    room = [max(0.0, level - x) for x in load]
+    scale = rest / sum(room) if sum(room) else 1.0
+    ends, upto = [], 0.0
+    for x in room:
+        upto += x * scale
+        ends.append(upto)
+    run = running_sums(merged, [], "at", ["c"])
+    middle = F.col("c_upto") - F.col("c") / 2
+    fold = F.least(F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < middle)), F.lit(k - 1)).cast("int")
+    return heads.unionByName(tail.join(run.select("at", fold.alias("fold")), "at").select("group", "fold"))
+
+
+def kfold_family(df: DataFrame, key: str, k: int) -> Family:
+    folds = kfold_groups(df, key, k)
+    own = df.select("row_id", F.coalesce(F.col(key).cast("string"), F.lit(MISSING)).alias("group")).join(folds, "group")
+    rows = _rows(own, F.col("fold"))
+    every = df.sparkSession.range(k).select(F.col("id").cast("string").alias("fold"), F.lit(None).cast("long").alias("rank"))
+    return Family(rows, _splits(every, F.concat(F.lit("fold|"), F.col("fold"))))
 
 
 def group_k_fold(df: DataFrame, key: str, k: int) -> DataFrame:
-    """k folds balanced by rows: groups by falling size, each to the lightest fold."""
-    counts = df.groupBy(F.col(key).cast("string").alias("g")).agg(F.count(F.lit(1)).alias("c"))
-    every = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("neg"), "g"))).alias("gs"))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast("array<struct<g:string,fold:int>>").alias("out"))
+    """Members of k folds balanced by rows; no group is in two folds."""
+    return kfold_family(df, key, k).members()
 
-    def place(acc: Column, g: Column) -> Column:
-        fold = (F.array_position(acc["load"], F.array_min(acc["load"])) - 1).cast("int")
-        load = F.transform(acc["load"], lambda x, i: x + F.when(i == fold, -g["neg"]).otherwise(0))
-        return F.struct(load.alias("load"), F.concat(acc["out"], F.array(F.struct(g["g"].alias("g"), fold.alias("fold")))).alias("out"))
 
-    folds = every.select(F.explode(F.aggregate("gs", start, place)["out"]).alias("x")).select(F.col("x.g").alias("_g"), F.col("x.fold").alias("_fold"))
-    own = df.join(F.broadcast(folds), df[key].cast("string") == F.col("_g")).select("row_id", "_fold")
-    ids = own.crossJoin(F.broadcast(df.sparkSession.range(k).select(F.col("id").cast("int").alias("_f"))))
-    return ids.select(F.concat(F.lit("fold|"), F.col("_f").cast("string")).alias("split_id"), "row_id", F.when(F.col("_fold") == F.col("_f"), "test").otherwise("train").alias("role"))
+def heldout_family(df: DataFrame, group: str, value: str, subject: str = "subject_id", prefix: str = "heldout") -> Family:
+    rows = _rows(df, F.col(subject))
+    folds = df.where(F.col(group) == value).select(F.col(subject).cast("string").alias("fold"), F.lit(None).cast("long").alias("rank")).where("fold is not null").distinct()
+    return Family(rows, _splits(folds, F.concat(F.lit(f"{prefix}|"), F.col("fold"))))
 
 
 def heldout_with_background(df: DataFrame, group: str, value: str, subject: str = "subject_id", prefix: str = "heldout") -> DataFrame:
     """One split per subject of a group; everyone else trains."""
-    s = df.where(F.col(group) == value).select(F.col(subject).cast("string").alias("_g")).distinct()
-    return _roles(df, s, F.when(F.col(subject).cast("string") == F.col("_g"), "test").otherwise("train"), F.concat(F.lit(f"{prefix}|"), F.col("_g")))
+    return heldout_family(df, group, value, subject, prefix).members()
 
 
-def forward_chain(df: DataFrame, key: str, numeric: bool = False, prefix: str = "forward") -> DataFrame:
-    """Test on each period but the first, train on all earlier; periods in text order, or by their digits."""
+def forward_family(df: DataFrame, key: str, numeric: bool = False, prefix: str = "forward") -> Family:
+    """Periods in text order, or by their digits; periods are few, rows are not."""
     text = F.col(key).cast("string")
-    order = [F.regexp_extract("_p", r"([0-9]+)", 1).cast("long"), F.col("_p")] if numeric else [F.col("_p")]
-    periods = df.select(text.alias("_p")).where("_p is not null").distinct().withColumn("_r", F.row_number().over(Window.orderBy(*order)))
-    ranked = df.join(F.broadcast(periods.select(F.col("_p").alias("_own"), F.col("_r").alias("_rank"))), text == F.col("_own"))
-    role = F.when(F.col("_rank") == F.col("_r"), "test").when(F.col("_rank") < F.col("_r"), "train")
-    return _roles(ranked, periods.where("_r > 1"), role, F.concat(F.lit(f"{prefix}|"), F.col("_p")))
+    order = [F.regexp_extract("fold", r"([0-9]+)", 1).cast("long"), F.col("fold")] if numeric else [F.col("fold")]
+    periods = df.select(text.alias("fold")).where("fold is not null").distinct().withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    ranked = df.select("row_id", text.alias("fold")).join(periods, "fold")
+    return Family(_rows(ranked, F.col("fold"), rank=F.col("rank")), _splits(periods.where("rank > 1"), F.concat(F.lit(f"{prefix}|"), F.col("fold")), "earlier"), ("earlier",))
 
 
-def population_regimes(df: DataFrame, target: str = "target", subject: str = "subject_id", group: str = "group") -> DataFrame:
+def forward_chain(df: DataFrame, key: str, numeric: bool = False, prefix: str = "forward") -> DataFrame:
+    """Test on each period but the first, train on all earlier."""
+    return forward_family(df, key, numeric, prefix).members()
+
+
+REGIMES = {"background_to_target": "second", "mixed_to_target": "others", "target_loso": "first"}
+
+
+def population_family(df: DataFrame, target: str = "target", subject: str = "subject_id", group: str = "group") -> Family:
     """For each target subject three training sets: the background, everyone else, the other targets."""
-    s = df.where(F.col(group) == target).select(F.col(subject).cast("string").alias("_g")).distinct()
-    regimes = s.withColumn("_regime", F.explode(F.array(*map(F.lit, ("background_to_target", "mixed_to_target", "target_loso")))))
-    me, is_target = F.col(subject).cast("string") == F.col("_g"), F.col(group) == target
-    role = F.when(me, "test").when(F.col("_regime") == "mixed_to_target", "train").when((F.col("_regime") == "background_to_target") & ~is_target, "train").when((F.col("_regime") == "target_loso") & is_target, "train")
-    return _roles(df, regimes, role, F.concat_ws("|", "_regime", "_g"))
+    rows = _rows(df, F.col(subject), F.col(group) == target)
+    folds = rows.where("wing and fold is not null").select("fold", F.lit(None).cast("long").alias("rank")).distinct()
+    named = folds.withColumn("regime", F.explode(F.array(*map(F.lit, REGIMES))))
+    kind = F.element_at(F.create_map(*[F.lit(x) for p in REGIMES.items() for x in p]), F.col("regime"))
+    return Family(rows, _splits(named, F.concat_ws("|", "regime", "fold"), kind), tuple(REGIMES.values()))
+
+
+def population_regimes(df: DataFrame, target: str = "target", subject: str = "subject_id", group: str = "group") -> DataFrame:
+    return population_family(df, target, subject, group).members()
 
 
 def calibration_holdout(members: DataFrame, df: DataFrame, subject: str = "subject_id", label: str = "label") -> DataFrame:
@@ -100,47 +230,70 @@ def filter_splits(splits: DataFrame, families: list[str] | None = None, ids: lis
     return s
 
 
-def repetition_holdout(df: DataFrame, keep: Column, key: str = "repetition", prefix: str = "loro") -> DataFrame:
+def repetition_family(df: DataFrame, keep: Column, key: str = "repetition", prefix: str = "loro") -> Family:
     """One split per repetition among the rows that `keep` selects."""
-    return leave_one_group_out(df.where(keep), key, prefix)
+    return logo_family(df.where(keep), key, prefix)
+
+
+def repetition_holdout(df: DataFrame, keep: Column, key: str = "repetition", prefix: str = "loro") -> DataFrame:
+    return repetition_family(df, keep, key, prefix).members()
+
+
+def episode_quota(dynamic: Column, position: Column) -> Column:
+    """Episodes of a fold: three of each static position 0 and 1, two of dynamic ones, none else."""
+    return F.when(dynamic == 1, 2).when((dynamic == 0) & position.isin(0, 1), 3).otherwise(0)
 
 
 def quota_folds(df: DataFrame, block: list[str], quota: Column, folds: int = 4) -> DataFrame:
-    """row_id, subject_id, fold: each block's first quota * folds episodes, dealt in turn.
+    """block, episode_id, fold: each block's first quota * folds episodes, dealt in turn.
 
     Rows of one episode are one (its first row); label 0 takes no part.
     """
-    first = df.where("label <> 0").withColumn("_k", F.row_number().over(Window.partitionBy("episode_id").orderBy("row_id"))).where("_k = 1")
+    w = Window.partitionBy("episode_id").orderBy("row_id")
+    first = df.where("label <> 0").withColumn("_quota", quota).withColumn("_k", F.row_number().over(w)).where("_k = 1")
     rank = F.row_number().over(Window.partitionBy(*block).orderBy("episode_id", "row_id")) - 1
-    return first.withColumn("_r", rank).where(F.col("_r") < quota * folds).select(*block, "episode_id", F.pmod(F.col("_r"), F.lit(folds)).alias("fold"))
+    return first.withColumn("_r", rank).where(F.col("_r") < F.col("_quota") * folds).select(*block, "episode_id", F.pmod(F.col("_r"), F.lit(folds)).alias("fold"))
 
 
-def dev_holdout(df: DataFrame, share: float, seed: int = 0, least: int = 256) -> DataFrame:
-    """row_id, role: the share of each label with the smallest hashes is dev; none under `least` rows.
+def dev_holdout(df: DataFrame, share: float, seed: int = 0, least: int = 256, by: list[str] | None = None) -> DataFrame:
+    """by, row_id, role: the share of each label with the smallest hashes is dev; none of a group under `least` rows.
 
-    Where a label has a single row, the share is taken of all rows instead. Ranks
-    come from counts by bucket of the hash, so that no task sorts a whole label.
+    Where a label has a single row in its group, the share is taken of all the group's
+    rows instead. Ranks come from counts by bucket of the hash, so that no task sorts a
+    whole label.
     """
-    size = df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
-    if share <= 0 or (size.n or 0) < least:
-        return df.select("row_id", F.lit("train").alias("role"))
-    stratum = F.col("label") if size.least > 1 else F.lit(0)
-    h = df.select("row_id", stratum.alias("s"), F.xxhash64("row_id", F.lit(seed)).alias("h")).withColumn("b", F.pmod(F.shiftright("h", 48), F.lit(4096)))
-    counts = h.groupBy("s", "b").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("s")
-    before = counts.select(F.col("s").alias("s2"), F.col("b").alias("b2"), (F.sum("c").over(w.orderBy("b")) - F.col("c")).alias("before"), F.sum("c").over(w).alias("all"))
-    k = F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "row_id")) + F.col("before")
-    ranked = h.join(before, F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")))
-    return ranked.select("row_id", F.when(k <= F.floor(F.col("all") * share), "dev").otherwise("train").alias("role"))
-
-
-def splits_for(df: DataFrame, dataset: str) -> DataFrame:
+    by = by or []
+    if share <= 0:
+        return df.select(*by, "row_id", F.lit("train").alias("role"))
+    sizes = df.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sum("n").alias("_n"), F.min("n").alias("_least"))
+    rows = df.join(sizes, by) if by else df.crossJoin(F.broadcast(sizes))
+    h = rows.select(*by, "row_id", F.when(F.col("_least") > 1, F.col("label")).otherwise(0).alias("s"), "_n", F.xxhash64("row_id", F.lit(seed)).alias("h")).withColumn("b", F.pmod(F.shiftright("h", 48), F.lit(4096)))
+    counts = h.groupBy(*by, "s", "b").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*by, "s")
+    before = counts.select(*[F.col(c).alias(f"{c}2") for c in by], F.col("s").alias("s2"), F.col("b").alias("b2"), (F.sum("c").over(w.orderBy("b")) - F.col("c")).alias("before"), F.sum("c").over(w).alias("all"))
+    k = F.row_number().over(Window.partitionBy(*by, "s", "b").orderBy("h", "row_id")) + F.col("before")
+    test = F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2"))
+    for c in by:
+        test = test & (F.col(c) == F.col(f"{c}2"))
+    ranked = h.join(before, test)
+    return ranked.select(*by, "row_id", F.when((F.col("_n") >= least) & (k <= F.floor(F.col("all") * share)), "dev").otherwise("train").alias("role"))
+
+
+def families_for(df: DataFrame, dataset: str) -> list[Family]:
     """The split families of a kind of dataset; an unknown kind is an error."""
     kinds = {
-        "population": lambda: population_regimes(df),
-        "sessions": lambda: forward_chain(df, "session", prefix="dayshift").unionByName(leave_one_group_out(df, "subject_id", "subject_logo")),
-        "days": lambda: forward_chain(df, "day", numeric=True, prefix="forward_day"),
+        "population": lambda: [population_family(df)],
+        "sessions": lambda: [forward_family(df, "session", prefix="dayshift"), logo_family(df, "subject_id", "subject_logo")],
+        "days": lambda: [forward_family(df, "day", numeric=True, prefix="forward_day")],
     }
     if dataset not in kinds:
         raise ValueError(f"unknown dataset kind: {dataset}")
     return kinds[dataset]()
+
+
+def splits_for(df: DataFrame, dataset: str) -> DataFrame:
+    """Members of all splits of a kind of dataset."""
+    first, *more = [f.members() for f in families_for(df, dataset)]
+    for m in more:
+        first = first.unionByName(m)
+    return first

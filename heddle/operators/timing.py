@@ -36,8 +36,8 @@ def earliest_by_episode(decisions: DataFrame, key: str = "event_id") -> DataFram
 TIMES = ["earliest_intervention_s", "earliest_correct_s", "earliest_safe_s", "earliest_stable_safe_s"]
 
 
-def earliest_by_unit(episodes: DataFrame) -> DataFrame:
-    return episodes.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n_episodes"), *[F.avg(F.col(t).isNotNull().cast("double")).alias(t.replace("earliest_", "rate_").removesuffix("_s")) for t in TIMES], *[F.median(t).alias(f"median_{t}") for t in TIMES])
+def earliest_by_unit(episodes: DataFrame, unit: list[str] | None = None) -> DataFrame:
+    return episodes.groupBy(*(unit or UNIT)).agg(F.count(F.lit(1)).alias("n_episodes"), *[F.avg(F.col(t).isNotNull().cast("double")).alias(t.replace("earliest_", "rate_").removesuffix("_s")) for t in TIMES], *[F.median(t).alias(f"median_{t}") for t in TIMES])
 
 
 def earliest_aggregate(units: DataFrame) -> DataFrame:

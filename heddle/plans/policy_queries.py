@@ -123,11 +123,11 @@ def f12(spark, sf_dir):
     return r6(budget.rate_matched_gate(views.traces(spark, sf_dir), (0.2,)).drop("gap"), "threshold", "rate", "target")
 
 
-@query("f14_target_rate_threshold", sql.query(sql.T, BY_SPLIT.format(act=ACT20, hit="CASE WHEN a <> u THEN 1 ELSE 0 END"), body=MATCHED))
+@query("f14_target_rate_threshold", sql.query(sql.T, BY_SPLIT.format(act=ACT20, hit="CASE WHEN a <> u THEN 1 ELSE 0 END"), "mo AS (SELECT split_id, count(DISTINCT ca) + 2 AS n_thresholds, count(*) AS n, count(*) FILTER (WHERE a <> u) AS disagree FROM t GROUP BY ALL)", body="SELECT split_id, 0.2 AS tau, round(threshold, 6) AS threshold, round(rate, 6) AS rate, round(target, 6) AS target, round(abs(rate - target), 6) AS gap, n_thresholds, n, disagree, round(disagree / n, 6) AS max_rate FROM o JOIN mo USING (split_id) WHERE k = 1"))
 def f14(spark, sf_dir):
     t = views.traces(spark, sf_dir)
-    c = budget.candidate_rates(t, ["split_id"], disagree_only=True).drop("n")
-    return r6(budget.match_threshold(c.join(budget.margin_rates(t, ["split_id"], (0.2,)), "split_id"), ["split_id", "tau"]), "threshold", "rate", "target")
+    found = budget.target_rate_threshold(t, ["split_id"], budget.margin_rates(t, ["split_id"], (0.2,)))
+    return r6(found, "threshold", "rate", "target", "gap", "max_rate")
 
 
 BANK = """q AS (SELECT CASE WHEN (SELECT count(DISTINCT ca) FROM t0) > 201 THEN (SELECT quantile_cont(ca, list_transform(range(201), lambda i: i / 200.0)) FROM t0) ELSE (SELECT list(DISTINCT ca) FROM t0) END AS qs),
@@ -160,10 +160,27 @@ def f17(spark, sf_dir):
     return policies.decision_violations(d).select("event_id", "policy", "rule")
 
 
-@query("f18_decision_frame", sql.query(sql.T, sql.decisions({"assist_only": GRID["assist_only"]}), body="SELECT event_id, split_id, split_part(split_id, '|', 1) AS split_family, policy, x AS selected_action, episode_id, round(prefix_time_s, 6) AS prefix_time_s, correct FROM d"))
+NULLED = ["label", "selected_action", "tau", "expected_ali", "margin", "probs", "confidence", "coverage"]
+
+
+@query("f17_null_fields", sql.query(sql.T, body="SELECT event_id, ['class index', 'class index', 'tau', 'expected_ali', 'margin', 'class index', 'confidence', 'coverage'][CAST(event_id % 9 AS INT)] AS rule FROM t0 WHERE event_id % 9 > 0"))
+def f17b(spark, sf_dir):
+    """Each field null on a share of the decisions."""
+    d = _grid(views.base_traces(spark, sf_dir), policies.assist_only)
+    d = d.withColumns({c: F.when(F.col("event_id") % 9 != k, F.col(c)) for k, c in enumerate(NULLED, 1)})
+    return policies.decision_violations(d).select("event_id", "rule")
+
+
+FRAMED = {k: GRID[k] for k in ("assist_only", "selective_prediction#1", "agency_margin_tau_0.20")}
+
+
+@query("f18_decision_frame", sql.query(sql.T, sql.decisions(FRAMED), body="SELECT event_id, split_id, split_part(split_id, '|', 1) AS split_family, policy, label, x AS selected_action, CAST(u AS INT) AS user_action, CAST(a AS INT) AS assist_action, episode_id, round(prefix_time_s, 6) AS prefix_time_s, correct, intervene AS action_changed, policy = 'selective_prediction' AND NOT (cu < 0.7 AND ca >= 0.7) AS defer, false AS abstain, CASE WHEN policy = 'assist_only' OR (policy = 'selective_prediction' AND cu < 0.7 AND ca >= 0.7) THEN 'assist' WHEN policy LIKE 'agency%' AND coverage > cu THEN 'agency_margin' ELSE 'user' END AS control_source, round(CASE WHEN policy = 'assist_only' OR (policy = 'selective_prediction' AND cu < 0.7 AND ca >= 0.7) OR (policy LIKE 'agency%' AND coverage > cu) THEN p_assist[x + 1] ELSE cu END, 6) AS expected_utility, session || '!' AS meta_session FROM d"))
 def f18(spark, sf_dir):
-    d = _grid(views.traces(spark, sf_dir), policies.assist_only)
-    return d.select("event_id", "split_id", F.split_part("split_id", F.lit("|"), F.lit(1)).alias("split_family"), "policy", "selected_action", "episode_id", F.round("prefix_time_s", 6).alias("prefix_time_s"), "correct")
+    """Traces whose metadata has a session of its own."""
+    t = views.traces(spark, sf_dir).withColumn("note", F.concat("session", F.lit("!")))
+    d = _grid(t, policies.assist_only, lambda p: policies.selective(p, 0.7), lambda p: policies.margin_budget(p, 0.2))
+    f = policies.decision_frame(d, ["event_id", "episode_id", "prefix_time_s", "note"]).withColumnRenamed("note", "meta_session")
+    return r6(f.select("event_id", "split_id", "split_family", "policy", "label", "selected_action", "user_action", "assist_action", "episode_id", "prefix_time_s", "correct", "action_changed", "defer", "abstain", "control_source", "expected_utility", "meta_session"), "prefix_time_s", "expected_utility")
 
 
 # metrics
@@ -250,7 +267,7 @@ def g10(spark, sf_dir):
 
 
 def units(spark, sf_dir) -> DataFrame:
-    return metrics.unit_metrics(_margins(views.traces(spark, sf_dir)))
+    return metrics.unit_metrics(_margins(views.traces(spark, sf_dir)), classes=views.CLASSES)
 
 
 UNIT_SQL = """e AS (SELECT split_id, policy, subject_id, session, day, label AS c, 1 AS t, 0 AS p, correct::INT AS tp, label <> 0 AS act FROM d UNION ALL SELECT split_id, policy, subject_id, session, day, x, 0, 1, 0, label <> 0 FROM d),
@@ -276,7 +293,7 @@ SIMPLE_UNIT = BINS.replace("SELECT split_id, policy, least", "SELECT split_id, p
 
 @query("g12_unit_calibration", sql.query(sql.T, sql.decisions(SIMPLE), SIMPLE_UNIT, body="SELECT split_id, policy, subject_id, round(brier, 6) AS brier, round(nll, 6) AS nll, round(ece, 6) AS ece FROM q JOIN c USING (split_id, policy, subject_id)"))
 def g12b(spark, sf_dir):
-    u = metrics.unit_metrics(_simple(spark, sf_dir), UNIT).select(*UNIT, "brier", "nll", "ece")
+    u = metrics.unit_metrics(_simple(spark, sf_dir), UNIT, views.CLASSES).select(*UNIT, "brier", "nll", "ece")
     return r6(u, "brier", "nll", "ece")
 
 
@@ -293,7 +310,7 @@ def g13b(spark, sf_dir):
 @query("entry_margin_policy", sql.query(sql.T, sql.decisions({"agency_margin_tau_0.10": GRID["agency_margin_tau_0.10"]}, "t"), CURVE.format(w=""), f"rr AS ({RATES})", f"kk AS ({CURVE_BODY.format(n='risk_coverage_auc')})", body="SELECT rr.*, risk_coverage_auc FROM rr JOIN kk USING (split_id, policy, subject_id)"))
 def entry_margin_policy(spark, sf_dir):
     d = _grid(views.traces(spark, sf_dir), lambda p: policies.margin_budget(p, 0.10))
-    r = metrics.unit_metrics(d, UNIT).select(*UNIT, "n", "accuracy", "intervention_rate", "mean_ali", "median_decision_time_ms", "risk_coverage_auc")
+    r = metrics.unit_metrics(d, UNIT, views.CLASSES).select(*UNIT, "n", "accuracy", "intervention_rate", "mean_ali", "median_decision_time_ms", "risk_coverage_auc")
     return r6(r, "accuracy", "intervention_rate", "mean_ali", "risk_coverage_auc").withColumn("median_decision_time_ms", F.round("median_decision_time_ms", 3))
 
 
@@ -370,11 +387,28 @@ def i8(spark, sf_dir):
     return r6(d.select("split_family", "tau", "n_audit_units", "mean_abs_gap", "max_abs_gap", "exact_match_fraction", "mean_threshold"), "mean_abs_gap", "max_abs_gap", "exact_match_fraction", "mean_threshold")
 
 
-@query("i7_exact_budget_units", sql.query(sql.T, BANK_T, EXACT.format(act=ACT20), body="SELECT t.split_id, t.subject_id, 'exact_budget_tau_0.20' AS policy, count(*) AS n, round(avg((CASE WHEN ca >= threshold THEN a ELSE u END = label)::INT), 6) AS accuracy, round(avg((CASE WHEN ca >= threshold THEN a ELSE u END <> u)::INT), 6) AS intervention_rate FROM t JOIN oo USING (split_id, subject_id) WHERE k = 1 GROUP BY ALL"))
+GATED = EXACT.format(act=ACT20) + """,
+d AS (SELECT t.*, 'exact_budget_tau_0.20' AS policy, CASE WHEN ca >= threshold THEN a ELSE u END AS x, 0.2 AS tau, CASE WHEN ca >= threshold THEN ca ELSE cu END AS coverage, CASE WHEN ca >= threshold THEN p_assist ELSE p_user END AS probs,
+  CASE WHEN ca >= threshold THEN a ELSE u END <> u AS intervene, greatest(0.0, cu - p_user[CASE WHEN ca >= threshold THEN a ELSE u END + 1]) AS ali, CASE WHEN ca >= threshold THEN a ELSE u END = label AS correct FROM t JOIN oo USING (split_id, subject_id) WHERE k = 1)"""
+UNIT3 = UNIT_SQL.replace("subject_id, session, day", "subject_id")
+I7 = ["accuracy", "intervention_rate", "mean_ali", "macro_f1", "balanced_accuracy", "active_macro_f1", "risk_coverage_auc", "active_risk_coverage_auc"]
+
+
+def _exact_units(spark, sf_dir):
+    t = views.traces(spark, sf_dir)
+    return budget.exact_budget_units(t, _selection(spark, sf_dir), ["split_id", "subject_id"], views.CLASSES)
+
+
+@query("i7_exact_budget_units", sql.query(sql.T, BANK_T, GATED, UNIT3, body="SELECT split_id, policy, subject_id, n, n_active, round(median_decision_time_ms, 3) AS median_decision_time_ms, " + ", ".join(f"round({c}, 6) AS {c}" for c in I7) + ", round(brier, 6) AS brier, round(nll, 6) AS nll FROM un JOIN (SELECT split_id, policy, subject_id, avg(list_sum(list_transform(range(5), lambda i: (probs[i + 1] - (i = label)::INT) ** 2))) AS brier, avg(-ln(probs[label + 1])) AS nll FROM d GROUP BY ALL) USING (split_id, policy, subject_id)"))
 def i7(spark, sf_dir):
-    by = ["split_id", "subject_id"]
-    d = budget.apply_gate(views.traces(spark, sf_dir), _selection(spark, sf_dir), by, "exact_budget_tau_")
-    return r6(d.groupBy(*by, "policy").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg(F.col("intervene").cast("double")).alias("intervention_rate")), "accuracy", "intervention_rate")
+    u, _ = _exact_units(spark, sf_dir)
+    return r6(u.select("split_id", "policy", "subject_id", "n", "n_active", F.round("median_decision_time_ms", 3).alias("median_decision_time_ms"), *I7, "brier", "nll"), *I7, "brier", "nll")
+
+
+@query("i7_exact_budget_earliest", sql.query(sql.T, BANK_T, GATED, EARLY, H3.replace("subject_id, session, day", "subject_id"), body="SELECT split_id, policy, subject_id, n_episodes, " + ", ".join(f"round({c}, 6) AS {c}" for c in H_COLS) + " FROM hu"))
+def i7b(spark, sf_dir):
+    _, e = _exact_units(spark, sf_dir)
+    return r6(e.select("split_id", "policy", "subject_id", "n_episodes", *H_COLS), *H_COLS)
 
 
 @query("i3_interpolate_curve", sql.query(sql.U, """tg AS (SELECT unit, budget AS target FROM un WHERE policy = 'A'), cv AS (SELECT unit, budget, metric FROM un WHERE policy <> 'A'),
@@ -416,9 +450,20 @@ def i4(spark, sf_dir):
     return r6(d, "target", "iso_value", "delta_same_tau", "delta_iso_budget", "directional_delta")
 
 
-@query("i5_iso_budget_pairwise", sql.query(sql.T, GATES, ISO, body="SELECT split_part(split_id, '|', 1) AS split_family, metric, '0.20' AS tau, count(*) AS n_units_total, count(agency_value - iso_value) AS n_units, count(*) FILTER (WHERE extrapolated) AS n_extrapolated, count(*) FILTER (WHERE supported) AS n_supported, round(avg(agency_value - iso_value), 6) AS estimate, round(avg(nearest_gap), 6) AS mean_nearest_gap FROM dl GROUP BY ALL HAVING count(agency_value - iso_value) > 0"))
+I5 = """SELECT split_part(split_id, '|', 1) AS split_family, metric, '0.20' AS tau, count(*) AS n_units_total, count(agency_value - iso_value) AS n_units, count(*) FILTER (WHERE agency_value - iso_value IS NULL) AS n_units_missing_metric, count(*) FILTER (WHERE extrapolated) AS n_extrapolated, round(avg(extrapolated::INT), 6) AS extrapolated_fraction, count(*) FILTER (WHERE supported) AS n_supported, count(*) FILTER (WHERE n_points = 1) AS n_singleton, round(avg(n_points), 6) AS mean_points, round(avg(agency_value - iso_value), 6) AS estimate, round(avg(nearest_gap), 6) AS mean_nearest_gap, round(max(nearest_gap), 6) AS max_nearest_gap, any_value(CASE WHEN metric = 'mean_ali' THEN -1 ELSE 1 END) * avg(agency_value - iso_value) > 0 AS beneficial{more} FROM dl GROUP BY ALL HAVING count(agency_value - iso_value) > 0"""
+I5_COLS = ["extrapolated_fraction", "mean_points", "estimate", "mean_nearest_gap", "max_nearest_gap"]
+
+
+@query("i5_iso_budget_pairwise", sql.query(sql.T, GATES, ISO, body=I5.format(more="")))
 def i5(spark, sf_dir):
-    return r6(budget.iso_budget_pairwise(_deltas(spark, sf_dir)).drop("max_nearest_gap", "beneficial"), "estimate", "mean_nearest_gap")
+    return r6(budget.iso_budget_pairwise(_deltas(spark, sf_dir)), *I5_COLS)
+
+
+@query("i5_iso_budget_tests", sql.query(sql.T, GATES, ISO, body=I5.format(more=", true AS inside")))
+def i5b(spark, sf_dir):
+    t = budget.iso_budget_tests(_deltas(spark, sf_dir))
+    inside = (F.col("ci_low") <= F.col("estimate")) & (F.col("estimate") <= F.col("ci_high")) & F.col("p_value").between(0, 1)
+    return r6(t.withColumn("inside", inside).drop("ci_low", "ci_high", "p_value"), *I5_COLS)
 
 
 @query("i9_directional_delta", "SELECT l_suppkey AS unit, 'ece' AS metric, round(-(max(l_tax) - min(l_discount)), 6) AS delta FROM lineitem GROUP BY ALL")
@@ -437,9 +482,12 @@ def e2(spark, sf_dir):
     return views.base_traces(spark, sf_dir).select("event_id", F.posexplode(aligned).alias("k", "p")).select("event_id", F.col("k").cast("long").alias("k"), F.round("p", 6).alias("p"))
 
 
-@query("e3_valid_probs", sql.query(sql.T, body="SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'negative' END AS violation FROM t0"))
+@query("e3_valid_probs", sql.query(sql.T, body="SELECT event_id, [NULL, 'negative', 'empty', 'empty', 'not finite', 'not finite', 'no mass'][CAST(event_id % 7 AS INT) + 1] AS violation FROM t0"))
 def e3(spark, sf_dir):
-    bad = F.when(F.col("event_id") % 3 == 0, F.transform("p_user", lambda x: x - 1)).otherwise(F.col("p_user"))
+    """Each of the rules broken on a share of the vectors."""
+    p = F.col("p_user")
+    broken = [p, F.transform(p, lambda x: x - 1), F.lit(None).cast("array<double>"), F.array().cast("array<double>"), F.transform(p, lambda x, i: F.when(i == 2, float("nan")).otherwise(x)), F.transform(p, lambda x, i: F.when(i != 1, x)), F.transform(p, lambda x: x * 0)]
+    bad = F.coalesce(*[F.when(F.col("event_id") % 7 == k, b) for k, b in enumerate(broken)])
     return views.base_traces(spark, sf_dir).select("event_id", arrays.prob_violation(bad).alias("violation"))
 
 
@@ -460,9 +508,14 @@ def e5(spark, sf_dir):
     return scoring.temperature_losses(views.traces(spark, sf_dir), ["split_id"], GRID_T).withColumn("loss", F.round("loss", 5))
 
 
-@query("e5_fit_temperature")
+@query("e5_fit_temperature", sql.query(sql.T, body="SELECT split_id, true AS inside, true AS least FROM t GROUP BY ALL"))
 def e5b(spark, sf_dir):
-    return scoring.fit_temperature(views.traces(spark, sf_dir), ["split_id"])
+    """least: whether no temperature of a grid has a lower loss than the one that was found."""
+    t = views.traces(spark, sf_dir)
+    found = scoring.fit_temperature(t, ["split_id"])
+    grid = scoring.temperature_losses(t, ["split_id"], [0.25 + 0.25 * k for k in range(32)]).groupBy("split_id").agg(F.min("loss").alias("best"))
+    own = t.join(found, "split_id").groupBy("split_id").agg(F.first("temperature").alias("temperature"), F.avg(metrics.nll(arrays.at_temperature(F.col("p_assist"), F.col("temperature")), F.col("label"))).alias("loss"))
+    return own.join(grid, "split_id").select("split_id", F.col("temperature").between(scoring.T_LOW, scoring.T_HIGH).alias("inside"), (F.col("loss") <= F.col("best") + 1e-9).alias("least"))
 
 
 @query("e6_entropy", sql.query(sql.T, body="SELECT event_id, round(list_sum(list_transform(p_assist, lambda x: -x * ln(x))) / ln(5), 6) AS uncertainty FROM t0"))
@@ -475,11 +528,14 @@ def e7(spark, sf_dir):
     return r6(scoring.class_weights(views.features(spark, sf_dir), 12), "weight")
 
 
-@query("e8_assemble_traces", sql.query(sql.T, body="SELECT split_id, event_id AS row_id, label, round(cu, 6) AS cu, round(ca, 6) AS ca, round(list_sum(list_transform(p_assist, lambda x: -x * ln(x))) / ln(5), 6) AS uncertainty FROM t"))
+@query("e8_assemble_traces", sql.query(sql.T, f"tt AS (SELECT *, CASE WHEN split_id LIKE 'logo%' THEN 2.0 ELSE 1.0 END AS heat FROM t), sc AS (SELECT *, {_softmax('p_assist', 'heat')} AS q FROM tt)", body="SELECT split_id, event_id AS row_id, label, day, 1.0 AS user_temperature, heat AS assist_temperature, round(cu, 6) AS cu, round(list_max(q), 6) AS ca, round(list_sum(list_transform(q, lambda x: -x * ln(x))) / ln(5), 6) AS uncertainty FROM sc"))
 def e8(spark, sf_dir):
+    """Splits that leave a subject out have a temperature of their own, the others none."""
     t = views.traces(spark, sf_dir).withColumnRenamed("event_id", "row_id")
-    out = scoring.assemble_traces(t.select("split_id", "row_id", "label"), t.select("split_id", "row_id", F.col("p_user").alias("p")), t.select("split_id", "row_id", F.col("p_assist").alias("p")))
-    return r6(out.select("split_id", "row_id", "label", F.array_max("p_user").alias("cu"), F.array_max("p_assist").alias("ca"), "uncertainty"), "cu", "ca", "uncertainty")
+    fitted = t.where("split_id like 'logo%'").select("split_id", F.lit(2.0).alias("temperature")).distinct()
+    p = lambda r: t.select("split_id", "row_id", F.col(f"p_{r}").alias("p"))
+    out = scoring.assemble_traces(t.select("split_id", "row_id", "label", "day"), p("user"), p("assist"), assist_temperature=fitted)
+    return r6(out.select("split_id", "row_id", "label", "day", "user_temperature", "assist_temperature", F.array_max("p_user").alias("cu"), F.array_max("p_assist").alias("ca"), "uncertainty"), "cu", "ca", "uncertainty")
 
 
 @query("e9_trace_frame", sql.query(sql.T, body="SELECT event_id, CAST(u AS INT) AS user_action, CAST(a AS INT) AS assist_action, round(cu, 6) AS user_confidence, round(ca, 6) AS assist_confidence, u = label AS user_correct, a = label AS assist_correct FROM t0"))

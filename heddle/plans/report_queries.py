@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from heddle.operators import inference, reports
 from heddle.operators import signal as sig
 from heddle.plans import sql
 from heddle.plans.table_queries import CMP, _comparisons, r6
-from heddle.sources import files, views
+from heddle.sources import files, store, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -122,10 +120,11 @@ def k17(spark, sf_dir):
     return r6(reports.signed_benefit(rows).select("dataset_id", "split_family", "metric", "tau", "benefit", "benefit_low", "benefit_high"), "benefit", "benefit_low", "benefit_high")
 
 
-@query("k17_match_counts", sql.query(CMP, "se AS (SELECT 'd' || (l_suppkey % 2) AS dataset_id, 'f' || (l_linenumber % 3) AS split_family, format('{:.2f}', 0.05 * (1 + l_partkey % 4)) AS tau, count(*) FILTER (WHERE l_quantity > 25) AS exact_n, count(*) AS total_n FROM lineitem WHERE l_partkey % 4 > 0 GROUP BY ALL)", body="SELECT c.dataset_id, c.split_family, c.tau, any_value(exact_n) AS exact_n, any_value(total_n) AS total_n FROM cmp c LEFT JOIN se USING (dataset_id, split_family, tau) WHERE c.split_family <> 'f0' GROUP BY ALL"))
+@query("k17_match_counts", sql.query(CMP, "se AS (SELECT 'd' || (l_suppkey % 2) AS dataset_id, 'f' || (l_linenumber % 3) AS split_family, format('{:.2f}', 0.05 * (1 + l_partkey % 3)) AS tau, count(*) FILTER (WHERE l_quantity > 25) AS exact_n, count(*) AS total_n FROM lineitem GROUP BY ALL)", body="SELECT c.dataset_id, c.split_family, c.tau, any_value(exact_n) AS exact_n, any_value(total_n) AS total_n FROM cmp c LEFT JOIN se USING (dataset_id, split_family, tau) WHERE c.split_family <> 'f0' GROUP BY ALL"))
 def k17b(spark, sf_dir):
-    li = views.table(spark, sf_dir, "lineitem").where("l_partkey % 4 > 0")
-    chosen = li.select(F.concat(F.lit("d"), (F.col("l_suppkey") % 2).cast("string")).alias("dataset_id"), F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("split_family"), F.format_string("%.2f", F.lit(0.05) * (1 + F.col("l_partkey") % 4)).alias("tau"), (F.col("l_quantity") > 25).alias("exact_budget_match"))
+    """One tau of the comparisons has no selections."""
+    li = views.table(spark, sf_dir, "lineitem")
+    chosen = li.select(F.concat(F.lit("d"), (F.col("l_suppkey") % 2).cast("string")).alias("dataset_id"), F.concat(F.lit("f"), (F.col("l_linenumber") % 3).cast("string")).alias("split_family"), F.format_string("%.2f", F.lit(0.05) * (1 + F.col("l_partkey") % 3)).alias("tau"), (F.col("l_quantity") > 25).alias("exact_budget_match"))
     c = _comparisons(spark, sf_dir)
     by_tau = reports.instability_by_tau(c, c.withColumn("metric", F.lit(reports.SAFETY[0])), ["f1", "f2"])
     return reports.match_counts(by_tau, chosen).select("dataset_id", "split_family", "tau", "exact_n", "total_n")
@@ -154,22 +153,18 @@ def c18b(spark, sf_dir):
 # files
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/files-{os.urandom(8).hex()}"
-
-
 @query("a3_records_sink", sql.query(sql.T, body="SELECT subject_id, count(*) AS n, sum(label)::BIGINT AS labels, round(sum(p_user[1]), 6) AS p0, count(DISTINCT day) AS days FROM t GROUP BY ALL"))
 def a3(spark, sf_dir):
     """Traces written as CSV, vectors as JSON text, and read back."""
-    path = _folder(spark) + ".csv"
+    path = store.scratch(spark, "records") + ".csv"
     files.write_report(views.traces(spark, sf_dir), path, "csv")
-    return files.read_traces(spark, path).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels"), F.round(F.sum(F.element_at("p_user", 1)), 6).alias("p0"), F.count_distinct("day").alias("days"))
+    back = files.read_traces(spark, path).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels"), F.round(F.sum(F.element_at("p_user", 1)), 6).alias("p0"), F.count_distinct("day").alias("days"))
+    return store.small_result(back, path)
 
 
 def _written(spark, sf_dir) -> str:
     """Order keys as one CSV file for each status, and orders as one JSON file for each priority."""
-    root, o = _folder(spark), views.table(spark, sf_dir, "orders")
+    root, o = store.scratch(spark, "files"), views.table(spark, sf_dir, "orders")
     o.select("o_orderkey", "o_orderstatus").repartition("o_orderstatus").write.partitionBy("o_orderstatus").option("header", True).csv(f"{root}/a")
     o.select("o_orderkey", "o_orderpriority").repartition("o_orderpriority").write.partitionBy("o_orderpriority").json(f"{root}/b")
     return root
@@ -177,19 +172,26 @@ def _written(spark, sf_dir) -> str:
 
 @query("a6_file_inventory", "SELECT '.csv' AS extension, count(*) AS files, sum(b)::BIGINT AS bytes FROM (SELECT 11 + sum(length(o_orderkey::VARCHAR) + 1) AS b FROM orders GROUP BY o_orderstatus) UNION ALL SELECT '.json', count(*), sum(b)::BIGINT FROM (SELECT sum(length(o_orderkey::VARCHAR) + 16) AS b FROM orders GROUP BY o_orderpriority)")
 def a6(spark, sf_dir):
-    return files.extension_counts(files.file_inventory(spark, _written(spark, sf_dir)).where("length(sha256) = 64"))
+    root = _written(spark, sf_dir)
+    f = files.file_inventory(spark, root)
+    checked = f.join(files.tree_digests(f, 1 << 10, 1 << 12), "path").where("length(sha256) = 64 and length(tree_sha256) = 64")
+    return store.small_result(files.extension_counts(checked), root)
 
 
 @query("a7_inventory_checks", "SELECT 'has csv' AS \"check\", count(*) > 0 AS passed FROM orders UNION ALL SELECT 'equal pairs', count(DISTINCT o_orderstatus) = count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'at least four', count(DISTINCT o_orderstatus) + count(DISTINCT o_orderpriority) >= 4 FROM orders UNION ALL SELECT 'has F', bool_or(o_orderstatus = 'F') FROM orders")
 def a7(spark, sf_dir):
-    inv = files.file_inventory(spark, _written(spark, sf_dir), digest=False)
+    root = _written(spark, sf_dir)
+    inv = files.listed_files(spark, root)
     is_ = lambda e: F.col("extension") == e
-    return files.inventory_checks(inv, [("has csv", F.bool_or(is_(".csv"))), ("equal pairs", F.count_if(is_(".csv")) == F.count_if(is_(".json"))), ("at least four", F.count(F.lit(1)) >= 4), ("has F", F.bool_or(F.col("path").contains("o_orderstatus=F")))])
+    checks = files.inventory_checks(inv, [("has csv", F.bool_or(is_(".csv"))), ("equal pairs", F.count_if(is_(".csv")) == F.count_if(is_(".json"))), ("at least four", F.count(F.lit(1)) >= 4), ("has F", F.bool_or(F.col("path").contains("o_orderstatus=F")))])
+    return store.small_result(checks, root)
 
 
-@query("a8_output_manifest", "SELECT '.csv' AS extension, count(DISTINCT o_orderstatus) AS files, count(*) AS rows FROM orders UNION ALL SELECT '.json', count(DISTINCT o_orderpriority), count(*) FROM orders")
+@query("a8_output_manifest", "SELECT 'output' AS role, 'table' AS kind, '.csv' AS extension, count(DISTINCT o_orderstatus) AS files, count(*) AS rows FROM orders UNION ALL SELECT 'output', 'records', '.json', count(DISTINCT o_orderpriority), count(*) FROM orders UNION ALL SELECT 'config', 'config', '', 1, NULL")
 def a8(spark, sf_dir):
-    return files.output_manifest(spark, _written(spark, sf_dir)).groupBy("extension").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
+    root = _written(spark, sf_dir)
+    m = files.output_manifest(spark, root, {"taus": "0.05,0.10"}).groupBy("role", "kind", F.coalesce("extension", F.lit("")).alias("extension")).agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))
+    return store.small_result(m, root)
 
 
 HOSTS = ["://([^/]+)/([a-z]{2})/([0-9]+)", "://([^/]+)/([a-z]{2})/([^0-9].*)"]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from heddle.operators import clean, inference, reports, scoring, splits
 from heddle.operators import signal as sig
 from heddle.plans import sql
-from heddle.sources import files, views
+from heddle.sources import files, parts, store, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -57,12 +55,12 @@ def b4(spark, sf_dir):
     return c.agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.array(*map(F.lit, found))).alias("unit"), "n")
 
 
-@query("b5_exclusions", "SELECT count(*) AS kept FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IN (SELECT doc_id FROM documents))")
+@query("b5_exclusions", "SELECT lang, count(*) AS kept, sum(doc_id)::BIGINT AS ids FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IN (SELECT doc_id FROM documents)) GROUP BY ALL")
 def b5(spark, sf_dir):
     d = views.table(spark, sf_dir, "documents")
     bad = views.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id").join(d.select("doc_id"), "doc_id", "left_semi")
     kept, _ = clean.apply_exclusions(d, bad, "doc_id")
-    return kept.agg(F.count(F.lit(1)).alias("kept"))
+    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("doc_id").alias("ids"))
 
 
 @query("b6_label_index", sql.query(sql.M, body="SELECT row_id, label_raw, CAST(dense_rank() OVER (ORDER BY label_raw) - 1 AS INT) AS label FROM m"))
@@ -150,12 +148,13 @@ def c10(spark, sf_dir):
     return r6(sig.compress_sequence(views.samples(spark, sf_dir), 8, 20), "value")
 
 
-@query("c11_pad_stack", sql.query(sql.V, body="SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 0.0 ELSE round(embedding[1]::DOUBLE, 6) END AS first, 70 AS width, round(CASE WHEN vec_id % 2 = 0 THEN embedding[64]::DOUBLE ELSE 0.0 END, 6) AS last FROM v"))
+@query("c11_pad_stack", sql.query(sql.V, body="SELECT vec_id, k, round(CASE WHEN vec_id % 2 = 0 THEN CASE WHEN k >= 6 THEN embedding[k - 5]::DOUBLE ELSE 0 END ELSE CASE WHEN k < 64 THEN embedding[k + 1]::DOUBLE ELSE 0 END END, 6) AS x FROM v, range(70) r(k)"))
 def c11(spark, sf_dir):
+    """Every cell: rows padded on the left, and on the right."""
     from heddle.functions.arrays import pad_left, pad_right
 
     p = F.when(F.col("vec_id") % 2 == 0, pad_left(F.col("features"), 70)).otherwise(pad_right(F.col("features"), 70))
-    return r6(views.features(spark, sf_dir).withColumn("p", p).select("vec_id", F.element_at("p", 1).alias("first"), F.size("p").alias("width"), F.element_at("p", 70).alias("last")), "first", "last")
+    return views.features(spark, sf_dir).select("vec_id", F.posexplode(p).alias("k", "x")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("x", 6).alias("x"))
 
 
 @query("c12_slice_mask", sql.query(sql.X, "gd AS (SELECT DISTINCT record_id, unnest(range(50, 60)) AS t FROM x)", body="SELECT gd.record_id, gd.t, round(coalesce(value, 0), 6) AS value, coalesce((NOT invalid)::INT, 0) AS valid FROM gd LEFT JOIN x USING (record_id, t)"))
@@ -163,9 +162,15 @@ def c12(spark, sf_dir):
     return r6(sig.slice_mask(views.samples(spark, sf_dir), 50, 60), "value")
 
 
-@query("c13_sequence_summary", sql.query(sql.X, "sn AS (SELECT *, (NOT invalid)::INT AS m, count(*) OVER (PARTITION BY record_id) AS n FROM x)", body="SELECT record_id, round(sum(value * m) / greatest(sum(m), 1), 6) AS mean, round(greatest(sum(m), 1) / count(*), 6) AS available, round(arg_max(CASE WHEN m = 1 THEN value END, CASE WHEN m = 1 THEN t END) - arg_min(CASE WHEN m = 1 THEN value END, CASE WHEN m = 1 THEN t END), 6) AS delta, round(sum(CASE WHEN t < n // 4 THEN value * m ELSE 0 END) / greatest(sum(CASE WHEN t < n // 4 THEN m ELSE 0 END), 1), 6) AS mean0 FROM sn GROUP BY record_id HAVING sum(m) > 0"))
+C13 = ["mean", "std", "delta", "available", *[f"{n}{c}" for c in range(4) for n in ("mean", "available")]]
+QUARTERS = ", ".join(f"round(sum(value * m) FILTER (WHERE t >= n * {c} // 4 AND t < n * {c + 1} // 4) / greatest(sum(m) FILTER (WHERE t >= n * {c} // 4 AND t < n * {c + 1} // 4), 1), 6) AS mean{c}, round(greatest(coalesce(sum(m) FILTER (WHERE t >= n * {c} // 4 AND t < n * {c + 1} // 4), 0), 1) / greatest(count(*) FILTER (WHERE t >= n * {c} // 4 AND t < n * {c + 1} // 4), 1), 6) AS available{c}" for c in range(4))
+
+
+@query("c13_sequence_summary", sql.query(sql.X, "sn AS (SELECT *, (NOT invalid)::INT AS m, count(*) OVER (PARTITION BY record_id) AS n FROM x), sm AS (SELECT record_id, sum(value * m) / greatest(sum(m), 1) AS mu FROM sn GROUP BY ALL)", body=f"SELECT record_id, round(any_value(mu), 6) AS mean, round(sqrt(sum(((value - mu) * m) ** 2) / greatest(sum(m), 1)), 6) AS std, round(greatest(sum(m), 1) / count(*), 6) AS available, round(coalesce(arg_max(value, t) FILTER (WHERE m = 1), any_value(value) FILTER (WHERE t = 0)) - coalesce(arg_min(value, t) FILTER (WHERE m = 1), any_value(value) FILTER (WHERE t = 0)), 6) AS delta, {QUARTERS} FROM sn JOIN sm USING (record_id) GROUP BY record_id HAVING count(*) >= 4"))
 def c13(spark, sf_dir):
-    return r6(sig.sequence_summary(views.samples(spark, sf_dir).withColumn("_v", ~F.col("invalid"))).select("record_id", "mean", "available", "delta", "mean0"), "mean", "available", "delta", "mean0")
+    s = views.samples(spark, sf_dir)
+    long = s.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("record_id")
+    return r6(sig.sequence_summary(s.join(long, "record_id", "left_semi")).select("record_id", *C13), *C13)
 
 
 LONG = "lg AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM v)"
@@ -183,9 +188,14 @@ def c15(spark, sf_dir):
     return sig.standardize(f, f, "vec_id").select("vec_id", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("c16_channel_dropout")
+@query("c16_channel_dropout", sql.query(sql.V, body="SELECT count(*) AS n, true AS near, true AS kept FROM v"))
 def c16(spark, sf_dir):
-    return sig.channel_dropout(views.features(spark, sf_dir), "vec_id", 0.1, 7).select("vec_id", F.size(F.filter("features", lambda x: x == 0)).alias("dropped"))
+    """near: whether the share of zeroed features is within a fiftieth of the rate; kept: whether the others are unchanged."""
+    f = views.features(spark, sf_dir).withColumn("own", F.col("features"))
+    d = sig.channel_dropout(f, "vec_id", 0.1, 7)
+    same = F.forall(F.zip_with("features", "own", lambda x, y: (x == 0) | (x == y)), lambda ok: ok)
+    zeroed = F.size(F.filter(F.zip_with("features", "own", lambda x, y: (x == 0) & (y != 0)), lambda z: z))
+    return d.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.sum(zeroed) / F.sum(F.size("features")) - 0.1) < 0.02).alias("near"), F.bool_and(same).alias("kept"))
 
 
 @query("c17_fir_filter", sql.query(sql.X, "fl AS (SELECT record_id, t, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM x WINDOW w AS (PARTITION BY record_id ORDER BY t))", body="SELECT record_id, t, round((coalesce(a * 0.25, 0) + value * 0.5 + coalesce(b * 0.25, 0)) / (0.5 + CASE WHEN a IS NULL THEN 0 ELSE 0.25 END + CASE WHEN b IS NULL THEN 0 ELSE 0.25 END), 6) AS value FROM fl"))
@@ -195,49 +205,66 @@ def c17(spark, sf_dir):
 
 # splits
 
-ROLES = "SELECT split_id, role, count(*) AS n FROM s GROUP BY ALL"
+#: n and a fingerprint of each side's members, from pairs of rows and splits
+ROLES = "SELECT split_id, role, count(*) AS n, sum(row_id)::BIGINT AS ids, sum(row_id * row_id % 1000003)::BIGINT AS squares FROM s GROUP BY ALL"
+
+
+def _sides(family):
+    row = F.col("row_id").cast("long")
+    return family.totals({"ids": row, "squares": row * row % 1_000_003})
 
 
 def _counts(members):
-    return members.groupBy("split_id", "role").agg(F.count(F.lit(1)).alias("n"))
+    row = F.col("row_id").cast("long")
+    return members.groupBy("split_id", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(row).alias("ids"), F.sum(row * row % 1_000_003).alias("squares"))
 
 
-@query("d1_leave_one_group_out", sql.query(sql.M, "s AS (SELECT 'logo|' || g AS split_id, CASE WHEN m.\"group\" = g THEN 'test' ELSE 'train' END AS role FROM m, (SELECT DISTINCT \"group\" AS g FROM m))", body=ROLES))
+@query("d1_leave_one_group_out", sql.query(sql.M, "s AS (SELECT 'logo|' || g AS split_id, row_id, CASE WHEN m.\"group\" = g THEN 'test' ELSE 'train' END AS role FROM m, (SELECT DISTINCT \"group\" AS g FROM m))", body=ROLES))
 def d1(spark, sf_dir):
-    return _counts(splits.leave_one_group_out(views.metadata(spark, sf_dir), "group"))
+    return _sides(splits.logo_family(views.metadata(spark, sf_dir), "group"))
+
+
+@query("d1_members", sql.query(sql.M, "s AS (SELECT 'logo|' || g AS split_id, row_id, CASE WHEN m.\"group\" = g THEN 'test' ELSE 'train' END AS role FROM m, (SELECT DISTINCT \"group\" AS g FROM m) WHERE g IN ('BUILDING', 'MACHINERY'))", body="SELECT split_id, row_id, role FROM s"))
+def d1_members(spark, sf_dir):
+    """Members of two of the splits, read by their ids."""
+    return splits.logo_family(views.metadata(spark, sf_dir), "group").members(["logo|BUILDING", "logo|MACHINERY"])
+
+
+GREEDY = """gc AS (SELECT g, c, row_number() OVER (ORDER BY c DESC, g) AS k FROM (SELECT coalesce(CASE WHEN subject_id <> 7 THEN subject_id::VARCHAR END, '<missing>') AS g, count(*) AS c FROM m GROUP BY ALL)),
+gl AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0]::BIGINT[] AS load, NULL::VARCHAR AS g, NULL::BIGINT AS fold
+  UNION ALL SELECT gc.k, list_transform(gl.load, lambda x, i: x + CASE WHEN i = list_position(gl.load, list_min(gl.load)) THEN gc.c ELSE 0 END), gc.g, (list_position(gl.load, list_min(gl.load)) - 1)::BIGINT FROM gl JOIN gc ON gc.k = gl.k + 1),
+s AS (SELECT 'fold|' || f AS split_id, row_id, CASE WHEN fold = f THEN 'test' ELSE 'train' END AS role FROM m JOIN gl ON gl.g = coalesce(CASE WHEN subject_id <> 7 THEN subject_id::VARCHAR END, '<missing>'), range(4) q(f))"""
 
 
-@query("d2_group_k_fold", sql.query(sql.M, "s AS (SELECT unnest(['0', '1', '2', '3']) AS f)", body="SELECT 'fold|' || f AS split_id, (SELECT count(*) FROM m) AS n, true AS balanced FROM s"))
+@query("d2_group_k_fold", "WITH RECURSIVE " + sql.query(sql.M, GREEDY, body=ROLES).removeprefix("WITH "))
 def d2(spark, sf_dir):
-    m = views.metadata(spark, sf_dir)
-    f = splits.group_k_fold(m, "subject_id", 4)
-    largest = m.groupBy("subject_id").count().agg(F.max("count").alias("c"))
-    by = f.groupBy("split_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "test").alias("t"))
-    return by.crossJoin(F.broadcast(largest)).select("split_id", "n", (F.abs(F.col("t") - F.col("n") / 4) <= F.col("c")).alias("balanced"))
+    """One subject is without a name, which is a group too."""
+    m = views.metadata(spark, sf_dir).withColumn("subject_id", F.when(F.col("subject_id") != 7, F.col("subject_id")))
+    return _sides(splits.kfold_family(m, "subject_id", 4))
 
 
-@query("d3_heldout_with_background", sql.query(sql.M, "s AS (SELECT 'heldout|' || g AS split_id, CASE WHEN subject_id::VARCHAR = g THEN 'test' ELSE 'train' END AS role FROM m, (SELECT DISTINCT subject_id::VARCHAR AS g FROM m WHERE \"group\" = 'BUILDING'))", body=ROLES))
+@query("d3_heldout_with_background", sql.query(sql.M, "s AS (SELECT 'heldout|' || g AS split_id, row_id, CASE WHEN subject_id::VARCHAR = g THEN 'test' ELSE 'train' END AS role FROM m, (SELECT DISTINCT subject_id::VARCHAR AS g FROM m WHERE \"group\" = 'BUILDING'))", body=ROLES))
 def d3(spark, sf_dir):
-    return _counts(splits.heldout_with_background(views.metadata(spark, sf_dir), "group", "BUILDING"))
+    return _sides(splits.heldout_family(views.metadata(spark, sf_dir), "group", "BUILDING"))
 
 
-@query("d4_forward_chain", sql.query(sql.M, "p AS (SELECT DISTINCT day, CAST(substr(day, 4) AS INT) AS r FROM m), s AS (SELECT 'forward_day|' || p.day AS split_id, CASE WHEN CAST(substr(m.day, 4) AS INT) = r THEN 'test' ELSE 'train' END AS role FROM m, p WHERE CAST(substr(m.day, 4) AS INT) <= r AND r > (SELECT min(r) FROM p))", body=ROLES))
+@query("d4_forward_chain", sql.query(sql.M, "p AS (SELECT DISTINCT day, CAST(substr(day, 4) AS INT) AS r FROM m), s AS (SELECT 'forward_day|' || p.day AS split_id, row_id, CASE WHEN CAST(substr(m.day, 4) AS INT) = r THEN 'test' ELSE 'train' END AS role FROM m, p WHERE CAST(substr(m.day, 4) AS INT) <= r AND r > (SELECT min(r) FROM p))", body=ROLES))
 def d4(spark, sf_dir):
-    return _counts(splits.forward_chain(views.metadata(spark, sf_dir), "day", numeric=True, prefix="forward_day"))
+    return _sides(splits.forward_family(views.metadata(spark, sf_dir), "day", numeric=True, prefix="forward_day"))
 
 
 @query("d5_population_regimes", sql.query(sql.T, """g AS (SELECT DISTINCT subject_id AS g FROM t0 WHERE "group" = 'target'), r AS (SELECT unnest(['background_to_target', 'mixed_to_target', 'target_loso']) AS regime),
-s AS (SELECT regime || '|' || g AS split_id, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END AS role FROM t0, g, r WHERE subject_id = g OR regime = 'mixed_to_target' OR (regime = 'background_to_target' AND "group" <> 'target') OR (regime = 'target_loso' AND "group" = 'target'))""", body=ROLES))
+s AS (SELECT regime || '|' || g AS split_id, event_id AS row_id, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END AS role FROM t0, g, r WHERE subject_id = g OR regime = 'mixed_to_target' OR (regime = 'background_to_target' AND "group" <> 'target') OR (regime = 'target_loso' AND "group" = 'target'))""", body=ROLES))
 def d5(spark, sf_dir):
-    return _counts(splits.population_regimes(views.base_traces(spark, sf_dir).withColumnRenamed("event_id", "row_id")))
+    return _sides(splits.population_family(views.base_traces(spark, sf_dir).withColumnRenamed("event_id", "row_id")))
 
 
-CAL = """s AS (SELECT 'logo|' || g AS split_id, subject_id, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END AS role FROM t0, (SELECT DISTINCT subject_id AS g FROM t0)),
+CAL = """s AS (SELECT 'logo|' || g AS split_id, event_id AS row_id, subject_id, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END AS role FROM t0, (SELECT DISTINCT subject_id AS g FROM t0)),
 su AS (SELECT split_id, subject_id, row_number() OVER (PARTITION BY split_id ORDER BY subject_id DESC) AS k, count(*) OVER (PARTITION BY split_id) AS n FROM (SELECT DISTINCT split_id, subject_id FROM s WHERE role = 'train')),
-c AS (SELECT s.split_id, CASE WHEN role = 'train' AND k <= greatest(1, n // 5) THEN 'cal' ELSE role END AS role FROM s LEFT JOIN su ON su.split_id = s.split_id AND su.subject_id = s.subject_id)"""
+c AS (SELECT s.split_id, row_id, CASE WHEN role = 'train' AND k <= greatest(1, n // 5) THEN 'cal' ELSE role END AS role FROM s LEFT JOIN su ON su.split_id = s.split_id AND su.subject_id = s.subject_id)"""
 
 
-@query("d6_calibration_holdout", sql.query(sql.T, CAL, body="SELECT split_id, role, count(*) AS n FROM c GROUP BY ALL"))
+@query("d6_calibration_holdout", sql.query(sql.T, CAL, body=ROLES.replace("FROM s ", "FROM c ")))
 def d6(spark, sf_dir):
     t = views.base_traces(spark, sf_dir).withColumnRenamed("event_id", "row_id")
     return _counts(splits.calibration_holdout(splits.leave_one_group_out(t, "subject_id"), t))
@@ -254,21 +281,31 @@ def d8(spark, sf_dir):
     return splits.filter_splits(views.traces(spark, sf_dir).select("split_id").distinct(), ["logo", "forward_day"], per_family=3)
 
 
-@query("d9_repetition_holdout", sql.query(sql.M, "k AS (SELECT *, session % 4 AS repetition FROM m WHERE \"group\" <> 'BUILDING'), s AS (SELECT 'loro|' || g AS split_id, CASE WHEN repetition = g THEN 'test' ELSE 'train' END AS role FROM k, (SELECT DISTINCT repetition AS g FROM k))", body=ROLES))
+@query("d9_repetition_holdout", sql.query(sql.M, "k AS (SELECT *, session % 4 AS repetition FROM m WHERE \"group\" <> 'BUILDING'), s AS (SELECT 'loro|' || g AS split_id, row_id, CASE WHEN repetition = g THEN 'test' ELSE 'train' END AS role FROM k, (SELECT DISTINCT repetition AS g FROM k))", body=ROLES))
 def d9(spark, sf_dir):
-    return _counts(splits.repetition_holdout(views.metadata(spark, sf_dir).withColumn("repetition", F.col("session") % 4), F.col("group") != "BUILDING"))
+    return _sides(splits.repetition_family(views.metadata(spark, sf_dir).withColumn("repetition", F.col("session") % 4), F.col("group") != "BUILDING"))
 
 
-@query("d10_quota_folds", sql.query(sql.M, "e AS (SELECT row_id, subject_id, CAST(dense_rank() OVER (ORDER BY label_raw) - 1 AS INT) AS label FROM m), q AS (SELECT *, row_number() OVER (PARTITION BY subject_id, label ORDER BY row_id) - 1 AS r FROM e WHERE label <> 0)", body="SELECT subject_id, label, r % 4 AS fold, count(*) AS n FROM q WHERE r < 12 GROUP BY ALL"))
+@query("d10_quota_folds", sql.query(sql.M, "e AS (SELECT row_id // 3 AS episode_id, row_id, subject_id, CAST(dense_rank() OVER (ORDER BY label_raw) - 1 AS INT) AS label, session % 2 AS dynamic, row_id % 4 % 3 AS position FROM m), f AS (SELECT * FROM e WHERE label <> 0 QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY row_id) = 1), q AS (SELECT *, CASE WHEN dynamic = 1 THEN 2 WHEN position IN (0, 1) THEN 3 ELSE 0 END AS quota, row_number() OVER (PARTITION BY subject_id, label, dynamic, position ORDER BY episode_id, row_id) - 1 AS r FROM f)", body="SELECT subject_id, label, dynamic, position, episode_id, r % 4 AS fold FROM q WHERE r < quota * 4"))
 def d10(spark, sf_dir):
-    m = clean.index_labels(views.metadata(spark, sf_dir)).withColumn("episode_id", F.col("row_id"))
-    f = splits.quota_folds(m, ["subject_id", "label"], F.lit(3))
-    return f.groupBy("subject_id", "label", F.col("fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    """Three rows to an episode; sessions of odd years are dynamic."""
+    m = clean.index_labels(views.metadata(spark, sf_dir)).withColumns({"episode_id": F.floor(F.col("row_id") / 3), "dynamic": F.col("session") % 2, "position": F.col("row_id") % 4 % 3})
+    f = splits.quota_folds(m, ["subject_id", "label", "dynamic", "position"], splits.episode_quota(F.col("dynamic"), F.col("position")))
+    return f.withColumns({"dynamic": F.col("dynamic").cast("long"), "fold": F.col("fold").cast("long")})
 
 
-@query("d11_split_dispatch", sql.query(sql.M, "p AS (SELECT DISTINCT session AS r FROM m), s AS (SELECT 'dayshift|' || r AS split_id, CASE WHEN session = r THEN 'test' ELSE 'train' END AS role FROM m, p WHERE session <= r AND r > (SELECT min(r) FROM p) UNION ALL SELECT 'subject_logo|' || g, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END FROM m, (SELECT DISTINCT subject_id AS g FROM m))", body=ROLES))
+@query("d11_split_dispatch", sql.query(sql.M, "p AS (SELECT DISTINCT session AS r FROM m), s AS (SELECT 'dayshift|' || r AS split_id, row_id, CASE WHEN session = r THEN 'test' ELSE 'train' END AS role FROM m, p WHERE session <= r AND r > (SELECT min(r) FROM p) UNION ALL SELECT 'subject_logo|' || g, row_id, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END FROM m, (SELECT DISTINCT subject_id AS g FROM m))", body=ROLES))
 def d11(spark, sf_dir):
-    return _counts(splits.splits_for(views.metadata(spark, sf_dir), "sessions"))
+    first, second = (_sides(f) for f in splits.families_for(views.metadata(spark, sf_dir), "sessions"))
+    return first.unionByName(second)
+
+
+@query("d11_split_kinds", sql.query(sql.T, "p AS (SELECT DISTINCT day AS d FROM t0), g AS (SELECT DISTINCT subject_id AS g FROM t0 WHERE \"group\" = 'target'), s AS (SELECT 'forward_day|' || d AS split_id, event_id AS row_id, CASE WHEN day = d THEN 'test' ELSE 'train' END AS role FROM t0, p WHERE day <= d AND d > (SELECT min(d) FROM p) UNION ALL SELECT 'mixed_to_target|' || g, event_id, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END FROM t0, g UNION ALL SELECT 'background_to_target|' || g, event_id, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END FROM t0, g WHERE subject_id = g OR \"group\" <> 'target' UNION ALL SELECT 'target_loso|' || g, event_id, CASE WHEN subject_id = g THEN 'test' ELSE 'train' END FROM t0, g WHERE \"group\" = 'target')", body=ROLES))
+def d11b(spark, sf_dir):
+    """The two other kinds of dataset."""
+    t = views.base_traces(spark, sf_dir).withColumnRenamed("event_id", "row_id")
+    days, people = (_sides(splits.families_for(t, kind)[0]) for kind in ("days", "population"))
+    return days.unionByName(people)
 
 
 @query("d12_dev_holdout", "SELECT role, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['dev', 'train']) AS role, unnest([floor(c * 0.2), c - floor(c * 0.2)]) AS n FROM (SELECT label, count(*) AS c FROM embeddings GROUP BY ALL)) GROUP BY role")
@@ -304,26 +341,39 @@ def j1(spark, sf_dir):
     return r6(_pairs(spark, sf_dir), "a", "b", "delta")
 
 
-@query("j2_bootstrap_ci")
+def _inside(df, *names: str):
+    """The drawn interval as two marks: whether it holds the estimate, and whether its half width is within a fifth of 1.96 standard errors."""
+    half = (F.col("ci_high") - F.col("ci_low")) / 2
+    marks = {"inside": (F.col("ci_low") <= F.col("estimate")) & (F.col("estimate") <= F.col("ci_high"))}
+    if "error" in df.columns:
+        marks["near"] = F.abs(half - 1.96 * F.col("error")) <= 0.2 * 1.96 * F.col("error")
+    return r6(df.withColumns(marks).select(*names, "estimate", *marks), "estimate")
+
+
+@query("j2_bootstrap_ci", sql.query(sql.U, PAIR, body="SELECT round(avg(a - b), 6) AS estimate, count(*) AS n, true AS inside, true AS near FROM pm"))
 def j2(spark, sf_dir):
-    return r6(inference.bootstrap_ci(_pairs(spark, sf_dir).withColumn("g", F.lit(1)), "delta", ["g"]).drop("g"), "estimate", "ci_low", "ci_high")
+    pairs = _pairs(spark, sf_dir).withColumn("g", F.lit(1))
+    error = pairs.agg((F.stddev_pop("delta") / F.sqrt(F.count("delta"))).alias("error")).withColumn("g", F.lit(1))
+    return _inside(inference.bootstrap_ci(pairs, "delta", ["g"]).join(error, "g"), "n")
 
 
-@query("j3_nested_bootstrap_ci")
+@query("j3_nested_bootstrap_ci", sql.query(sql.U, body="SELECT policy, round(avg(metric), 6) AS estimate, true AS inside FROM un GROUP BY ALL"))
 def j3(spark, sf_dir):
     u = views.unit_metrics(spark, sf_dir).withColumn("block", F.col("unit") % 5)
-    return r6(inference.nested_bootstrap_ci(u, "metric", ["block", "unit", "absent"], ["policy"]), "estimate", "ci_low", "ci_high")
+    return _inside(inference.nested_bootstrap_ci(u, "metric", ["block", "unit", "absent"], ["policy"]), "policy")
 
 
-@query("j4_signflip_p")
+@query("j4_signflip_p", sql.query(sql.U, PAIR, body="SELECT count(*) AS n, true AS inside, abs(avg(a - b)) > 4 * sqrt(avg((a - b) ** 2) / count(*)) AS far FROM pm"))
 def j4(spark, sf_dir):
-    return r6(inference.signflip_p(_pairs(spark, sf_dir).withColumn("g", F.lit(1)), "delta", ["g"]).drop("g"), "p_value")
+    """far: whether the p value says what a mean beyond four standard errors must give."""
+    p = inference.signflip_p(_pairs(spark, sf_dir).withColumn("g", F.lit(1)), "delta", ["g"])
+    return p.select("n", F.col("p_value").between(0, 1).alias("inside"), (F.col("p_value") <= 1 / 2001 + 1e-12).alias("far"))
 
 
 SMALL = "sm AS (SELECT unit // 8 AS g, unit, a - b AS v FROM pm), nb AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM sm), fl AS (SELECT g, r, avg(CASE WHEN (r >> k) & 1 = 1 THEN v ELSE -v END) AS mm FROM nb, range(256) q(r) WHERE r < (1 << n) GROUP BY ALL), ob AS (SELECT g, avg(v) AS o FROM sm GROUP BY ALL)"
 
 
-@query("j4_exact_signflip_p", sql.query(sql.U, PAIR, SMALL, body="SELECT g, round(avg((abs(mm) >= abs(o) - 1e-12)::INT), 6) AS p_value FROM fl JOIN ob USING (g) GROUP BY ALL"))
+@query("j4_exact_signflip_p", sql.query(sql.U, PAIR, SMALL, body="SELECT g, round(avg((abs(mm) >= abs(o) - 1e-12)::INT), 6) AS p_value, count(*) <= 4096 AS exact FROM fl JOIN ob USING (g) GROUP BY ALL"))
 def j4b(spark, sf_dir):
     d = _pairs(spark, sf_dir).withColumn("g", F.floor(F.col("unit") / 8))
     return r6(inference.exact_signflip_p(d, "delta", ["g"]), "p_value")
@@ -353,17 +403,24 @@ def j8(spark, sf_dir):
     return r6(t.select("split_family", "metric", "estimate", "n", "beneficial"), "estimate")
 
 
-@query("j9_policy_ci")
+#: the seven metrics of policy intervals, as columns of lineitem
+SEVEN = {"accuracy": "l_discount", "macro_f1": "l_tax", "active_macro_f1": "l_quantity", "risk_coverage_auc": "l_extendedprice / 100000", "active_risk_coverage_auc": "l_discount * l_tax", "mean_ali": "l_linenumber", "intervention_rate": "l_discount - l_tax"}
+
+
+@query("j9_policy_ci", "SELECT 'all' AS split_family, l_returnflag AS policy, metric, round(avg(value), 6) AS estimate, true AS inside FROM (" + " UNION ALL ".join(f"SELECT l_returnflag, l_suppkey, '{m}' AS metric, avg({x}) AS value FROM lineitem GROUP BY ALL" for m, x in SEVEN.items()) + ") GROUP BY ALL")
 def j9(spark, sf_dir):
-    u = views.unit_metrics(spark, sf_dir).withColumn("split_family", F.lit("all")).withColumn("block", F.col("unit") % 5)
-    return r6(inference.policy_ci(u, ["metric", "budget"], ["block", "unit"]), "estimate", "ci_low", "ci_high")
+    u = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("subject_id"), F.col("l_returnflag").alias("policy")).agg(*[F.avg(F.expr(x)).alias(m) for m, x in SEVEN.items()])
+    u = u.withColumn("split_family", F.lit("all")).withColumn("split_id", F.concat(F.lit("all|"), (F.col("subject_id") % 5).cast("string"))).withColumn("day", F.lit(None).cast("string"))
+    return _inside(inference.policy_ci(u, list(SEVEN), ["split_id", "subject_id", "session", "day"]), "split_family", "policy", "metric")
 
 
-@query("j10_report_pairwise")
+@query("j10_report_pairwise", sql.query(sql.U, "lo AS (SELECT unit, policy, unnest(['metric', 'budget']) AS metric, unnest([metric, budget]) AS value FROM un), pr AS (SELECT a.policy, a.metric, a.value - b.value AS d FROM lo a JOIN lo b USING (unit, metric) WHERE a.policy <> 'N' AND b.policy = 'N')", body="SELECT 'all' AS split_family, metric, policy AS policy_a, 'N' AS policy_b, round(avg(d), 6) AS estimate, count(*) AS n, 2 AS n_tests, any_value(CASE WHEN metric = 'budget' THEN -1 ELSE 1 END) * avg(d) > 0 AS beneficial, true AS inside FROM pr GROUP BY ALL"))
 def j10(spark, sf_dir):
     u = views.unit_metrics(spark, sf_dir).withColumn("split_family", F.lit("all"))
     pairs = u.where("policy <> 'N'").select(F.col("policy").alias("policy_a"), F.lit("N").alias("policy_b")).distinct()
-    return r6(inference.report_pairwise(u, ["unit"], pairs, ["metric", "budget"], ("budget",)), "estimate", "ci_low", "ci_high", "p_value", "holm_threshold")
+    t = inference.report_pairwise(u, ["unit"], pairs, ["metric", "budget"], ("budget",))
+    marks = (F.col("ci_low") <= F.col("estimate")) & (F.col("estimate") <= F.col("ci_high")) & F.col("p_value").between(0, 1) & (F.col("beneficial_and_holm_significant") == (F.col("beneficial") & F.col("holm_reject")))
+    return r6(t.select("split_family", "metric", "policy_a", "policy_b", "estimate", "n", F.col("n_tests").cast("int").alias("n_tests"), "beneficial", marks.alias("inside")), "estimate")
 
 
 @query("j11_significance_flag", sql.query(sql.U, HOLM, body="SELECT unit, policy, p < 0.01 AND min((p <= holm_threshold)::INT) OVER (PARTITION BY fam ORDER BY p, unit, policy ROWS UNBOUNDED PRECEDING) = 1 AS flagged FROM hr"))
@@ -375,12 +432,13 @@ def j11(spark, sf_dir):
 # sources
 
 
-@query("a2_prepared_io", sql.query(sql.M, body="SELECT count(*) AS rows, count(DISTINCT subject_id) AS subjects FROM m"))
+@query("a2_prepared_io", sql.query(sql.M, body="SELECT subject_id, count(*) AS rows, sum(row_id)::BIGINT AS ids, round(sum(value), 2) AS value, count(DISTINCT day) AS days FROM m GROUP BY ALL"))
 def a2(spark, sf_dir):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base}/prepared-{os.urandom(8).hex()}"
+    """Written, checked by its number of rows, and read back."""
+    path = store.scratch(spark, "prepared")
     files.write_prepared(views.metadata(spark, sf_dir), path)
-    return files.read_prepared(spark, path).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("subject_id").alias("subjects"))
+    back = files.read_prepared(spark, path).groupBy("subject_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("row_id").alias("ids"), F.round(F.sum("value"), 2).alias("value"), F.count_distinct("day").alias("days"))
+    return store.small_result(back, path, path + ".rows")
 
 
 @query("a4_path_manifest", "SELECT DISTINCT url, regexp_extract(url, '://([^/]+)/([a-z]{2})/([0-9]+)', 1) AS host, regexp_extract(url, '://([^/]+)/([a-z]{2})/([0-9]+)', 2) AS lang, regexp_extract(url, '://([^/]+)/([a-z]{2})/([0-9]+)', 3) AS number FROM pages WHERE regexp_matches(url, '://([^/]+)/([a-z]{2})/([0-9]+)')")
@@ -405,24 +463,50 @@ def a9(spark, sf_dir):
     return files.missing_files(views.table(spark, sf_dir, "orders"), present, ["o_orderkey"], ["O", "F", "X"])
 
 
-@query("a10_incremental_parts", "SELECT DISTINCT year(o_orderdate) AS part FROM orders WHERE year(o_orderdate) >= 1999")
+#: what is left of orders at each of two runs, and how a year's rows changed in between
+AGAIN = """o1 AS (SELECT year(o_orderdate)::VARCHAR AS part, o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) < 1998),
+o2 AS (SELECT year(o_orderdate)::VARCHAR AS part, o_orderkey, CASE WHEN year(o_orderdate) = 1995 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE year(o_orderdate) > 1992),
+pr AS (SELECT part, CASE WHEN b.part IS NULL THEN 'removed' WHEN a.part IS NULL THEN 'new' WHEN a.s <> b.s THEN 'changed' ELSE 'fresh' END AS status, coalesce(b.n, 0) AS rows
+  FROM (SELECT part, sum(o_totalprice) AS s, count(*) AS n FROM o1 GROUP BY ALL) a FULL JOIN (SELECT part, sum(o_totalprice) AS s, count(*) AS n FROM o2 GROUP BY ALL) b USING (part))"""
+
+
+def _two_runs(spark, sf_dir, root: str):
+    """The progress of the second of two runs over orders by year: one year left, one came, one changed."""
+    year = F.year("o_orderdate")
+    o = views.table(spark, sf_dir, "orders").withColumn("part", year.cast("string"))
+    runs = (o.where(year < 1998), o.where(year > 1992).withColumn("o_totalprice", F.when(year == 1995, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))))
+    for now in runs:
+        prints = files.part_fingerprints(now, "part", ["o_orderkey", "o_totalprice"])
+        progress = parts.refresh_parts(spark, root, prints, lambda stale, now=now: now.join(stale, "part", "left_semi").select("part", "o_orderkey", "o_totalprice"))
+    return progress
+
+
+@query("a10_incremental_parts", sql.query(AGAIN, body="SELECT part, status, rows FROM pr"))
 def a10(spark, sf_dir):
-    o = views.table(spark, sf_dir, "orders").withColumn("part", F.year("o_orderdate"))
-    new = files.part_fingerprints(o, "part", ["o_orderkey", "o_totalprice"])
-    old = files.part_fingerprints(o.withColumn("o_totalprice", F.when(F.col("part") >= 1999, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))), "part", ["o_orderkey", "o_totalprice"])
-    return files.stale_parts(old, new, "part")
+    root = store.scratch(spark, "parts")
+    return store.small_result(_two_runs(spark, sf_dir, root).select("part", "status", "rows"), root)
+
+
+@query("a10_merged_parts", sql.query(AGAIN, body="SELECT part, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS price FROM o2 GROUP BY ALL"))
+def a10b(spark, sf_dir):
+    """The table after both runs, read through its current version."""
+    root = store.scratch(spark, "parts")
+    _two_runs(spark, sf_dir, root)
+    merged = parts.read_parts(spark, root).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+    return store.small_result(merged, root)
 
 
 @query("a11_merge_prepared", sql.query(sql.M, body="SELECT label_raw, CAST(dense_rank() OVER (ORDER BY label_raw) - 1 AS INT) AS label, count(*) AS n FROM m GROUP BY label_raw"))
 def a11(spark, sf_dir):
-    m = views.metadata(spark, sf_dir).withColumn("f", F.array("value", "value"))
-    merged = clean.index_labels(files.merge_prepared([m.where("row_id % 2 = 0"), m.where("row_id % 2 = 1")], "f"))
+    m = views.metadata(spark, sf_dir).withColumns({"f": F.array("value", "value"), "seq": F.create_map(F.lit("emg"), F.array("value"))})
+    merged = clean.index_labels(files.merge_prepared([m.where("row_id % 2 = 0"), m.where("row_id % 2 = 1")], "f", "seq"))
     return merged.groupBy("label_raw", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a12_prepared_summary", sql.query(sql.M, body="SELECT count(*) AS rows, count(DISTINCT label_raw) AS vocabulary, count(DISTINCT subject_id) AS subjects, count(DISTINCT session) AS sessions, count(DISTINCT day) AS days FROM m"))
+@query("a12_prepared_summary", sql.query(sql.M, body="SELECT count(*) AS rows, count(DISTINCT label_raw) AS vocabulary, count(DISTINCT subject_id) AS subjects, count(DISTINCT session) AS sessions, count(DISTINCT day) AS days, 3 AS width, 'acc|emg' AS sequence_keys FROM m"))
 def a12(spark, sf_dir):
-    return files.prepared_summary(views.metadata(spark, sf_dir))
+    m = views.metadata(spark, sf_dir).withColumns({"f": F.array("value", "value", "value"), "seq": F.create_map(F.lit("emg"), F.array("value"), F.lit("acc"), F.array("value"))})
+    return files.prepared_summary(m, "f", "seq")
 
 
 @query("a13_forbidden_scan", "SELECT doc_id, literal FROM documents, (SELECT unnest(['###', 'License', '@']) AS literal) WHERE contains(text, literal)")
@@ -450,11 +534,15 @@ def k5(spark, sf_dir):
     return reports.best_tau(_comparisons(spark, sf_dir))
 
 
-@query("k3_instability_by_tau", sql.query(CMP, body="SELECT dataset_id, split_family, tau, count(*) AS primary_count, count(DISTINCT CASE WHEN beneficial AND holm_reject THEN metric END) AS primary_significant, count(*) FILTER (WHERE holm_reject AND NOT beneficial) AS primary_harmful, round(avg(gap), 6) AS confidence_gap, CASE WHEN split_family = 'f0' THEN 'descriptive' ELSE 'required' END AS scope FROM cf GROUP BY ALL"))
+BOTH = """c2 AS (SELECT * REPLACE (CASE WHEN metric = 'active_macro_f1' THEN estimate ELSE -estimate END AS estimate) FROM cmp),
+c3 AS (SELECT *, CASE WHEN metric = 'active_macro_f1' THEN estimate > 0 ELSE estimate < 0 END AS good, abs(estimate) > 0.0098 AS rejected FROM c2),
+bt AS (SELECT dataset_id, split_family, tau, count(DISTINCT CASE WHEN good AND rejected THEN metric END) AS k, count(*) FILTER (WHERE rejected AND NOT good) AS harmful, count(*) AS n, avg(gap) AS gap, avg(mt) AS mt FROM c3 GROUP BY ALL)"""
+
+
+@query("k3_instability_by_tau", sql.query(CMP, BOTH, body="SELECT dataset_id, split_family, tau, n AS primary_count, k AS primary_significant, harmful AS primary_harmful, round(gap, 6) AS confidence_gap, round(mt, 6) AS confidence_match, n AS safety_count, k AS safety_significant, harmful AS safety_harmful, round(gap, 6) AS earliest_gap, round(mt, 6) AS earliest_match, k = 2 AS all_primary_significant, CASE WHEN split_family = 'f0' THEN 'descriptive' ELSE 'required' END AS scope FROM bt"))
 def k3(spark, sf_dir):
-    c = _comparisons(spark, sf_dir)
-    t = reports.instability_by_tau(c, c.where("metric = 'none'"), ["f1", "f2"])
-    return r6(t.select("dataset_id", "split_family", "tau", "primary_count", "primary_significant", "primary_harmful", "confidence_gap", "scope"), "confidence_gap")
+    _, t = _both_sides(spark, sf_dir, ["f1", "f2"])
+    return r6(t, "confidence_gap", "confidence_match", "earliest_gap", "earliest_match")
 
 
 @query("k1_candidate_eval", sql.query(CMP, body="SELECT tau, count(DISTINCT CASE WHEN metric = 'active_macro_f1' AND beneficial AND holm_reject THEN split_family END) AS active_macro_f1, count(DISTINCT CASE WHEN metric = 'active_risk_coverage_auc' AND beneficial AND holm_reject THEN split_family END) AS active_risk_coverage_auc, count(DISTINCT CASE WHEN metric = 'active_macro_f1' AND beneficial AND holm_reject THEN split_family END) = 3 AND count(DISTINCT CASE WHEN metric = 'active_risk_coverage_auc' AND beneficial AND holm_reject THEN split_family END) = 3 AS passed FROM cf GROUP BY ALL"))
@@ -472,24 +560,22 @@ def _both_sides(spark, sf_dir, required: list[str]):
     return c, reports.instability_by_tau(c, early, required)
 
 
-BOTH = """c2 AS (SELECT * REPLACE (CASE WHEN metric = 'active_macro_f1' THEN estimate ELSE -estimate END AS estimate) FROM cmp),
-c3 AS (SELECT *, CASE WHEN metric = 'active_macro_f1' THEN estimate > 0 ELSE estimate < 0 END AS good, abs(estimate) > 0.0098 AS rejected FROM c2),
-bt AS (SELECT dataset_id, split_family, tau, count(DISTINCT CASE WHEN good AND rejected THEN metric END) AS k, count(*) FILTER (WHERE rejected AND NOT good) AS harmful, count(*) AS n, avg(gap) AS gap, avg(mt) AS mt FROM c3 GROUP BY ALL)"""
-
-
 @query("k4_universal_taus", sql.query(CMP, BOTH, body="SELECT dataset_id, tau FROM bt WHERE split_family = 'f1' AND k = 2 AND harmful = 0 AND n >= 2"))
 def k4(spark, sf_dir):
     return reports.universal_taus(_both_sides(spark, sf_dir, ["f1"])[1], ["f1"])
 
 
-@query("k6_dataset_overview", sql.query(CMP, BOTH, """un AS (SELECT dataset_id, string_agg(tau, '|' ORDER BY tau) AS universal_taus FROM (SELECT dataset_id, tau FROM bt WHERE split_family IN ('f1', 'f2') GROUP BY ALL HAVING count(*) = 2 AND bool_and(k = 2 AND harmful = 0 AND n >= 2)) GROUP BY ALL),
+@query("k6_dataset_overview", sql.query(CMP, BOTH, """un AS (SELECT dataset_id, string_agg(tau, '|' ORDER BY tau) AS universal_taus, count(*) AS nu FROM (SELECT dataset_id, tau FROM bt WHERE split_family IN ('f1', 'f2') GROUP BY ALL HAVING count(*) = 3 AND bool_and(k = 2 AND harmful = 0 AND n >= 2)) GROUP BY ALL),
 bs AS (SELECT dataset_id, split_family, metric, arg_max(tau, {'s': CASE WHEN metric = 'active_risk_coverage_auc' THEN -estimate ELSE estimate END, 't': -CAST(tau AS DOUBLE)}) AS best FROM c3 WHERE split_family IN ('f1', 'f2') GROUP BY ALL),
-bb AS (SELECT dataset_id, array_to_string(list_sort(list(DISTINCT best)), '|') AS best_taus FROM bs GROUP BY ALL),
-df AS (SELECT dataset_id, string_agg(split_family, '|' ORDER BY split_family) AS fams FROM (SELECT dataset_id, split_family FROM bs GROUP BY ALL HAVING count(DISTINCT best) > 1) GROUP BY ALL)""",
-    body="SELECT dataset_id, round(max(gap), 6) AS worst_confidence_gap, round(max(gap), 6) AS worst_earliest_gap, round(min(mt), 6) AS lowest_confidence_match, max(harmful) AS worst_safety_harmful, '' AS missing_families, coalesce(any_value(universal_taus), '') AS universal_taus, any_value(best_taus) AS best_taus, coalesce(any_value(fams), '') AS disagreement_families, CASE WHEN any_value(universal_taus) IS NULL THEN 'fixed_tau_unstable' ELSE 'fixed_tau_supported' END AS story FROM bt LEFT JOIN un USING (dataset_id) LEFT JOIN bb USING (dataset_id) LEFT JOIN df USING (dataset_id) WHERE split_family IN ('f1', 'f2') GROUP BY dataset_id"))
+bb AS (SELECT dataset_id, array_to_string(list_sort(list(DISTINCT best)), '|') AS best_taus, count(DISTINCT best) AS nb FROM bs GROUP BY ALL),
+df AS (SELECT dataset_id, string_agg(split_family, '|' ORDER BY split_family) AS fams FROM (SELECT dataset_id, split_family FROM bs GROUP BY ALL HAVING count(DISTINCT best) > 1) GROUP BY ALL),
+fo AS (SELECT dataset_id, count(DISTINCT split_family) AS observed, array_to_string(list_sort(list_filter(['f1', 'f2', 'f9'], lambda f: NOT list_contains(list(DISTINCT split_family), f))), '|') AS missing FROM bt GROUP BY ALL)""",
+    body="SELECT dataset_id, any_value(observed) AS observed_families, 3 AS required_families, round(max(gap), 6) AS worst_confidence_gap, round(max(gap), 6) AS worst_earliest_gap, round(min(mt), 6) AS lowest_confidence_match, round(min(mt), 6) AS lowest_earliest_match, max(harmful) AS worst_safety_harmful, any_value(missing) AS missing_families, coalesce(any_value(universal_taus), '') AS universal_taus, coalesce(any_value(nu), 0) AS n_universal_taus, any_value(best_taus) AS best_taus, any_value(nb) AS n_best_taus, coalesce(any_value(fams), '') AS disagreement_families, CASE WHEN any_value(universal_taus) IS NULL THEN 'fixed_tau_unstable' ELSE 'fixed_tau_supported' END AS story FROM bt LEFT JOIN un USING (dataset_id) LEFT JOIN bb USING (dataset_id) LEFT JOIN df USING (dataset_id) JOIN fo USING (dataset_id) WHERE split_family IN ('f1', 'f2') GROUP BY dataset_id"))
 def k6(spark, sf_dir):
-    c, by_tau = _both_sides(spark, sf_dir, ["f1", "f2"])
-    return r6(reports.dataset_overview(by_tau, c, ["f1", "f2"]), "worst_confidence_gap", "worst_earliest_gap", "lowest_confidence_match")
+    """One of the required families has no rows."""
+    required = ["f1", "f2", "f9"]
+    c, by_tau = _both_sides(spark, sf_dir, required)
+    return r6(reports.dataset_overview(by_tau, c, required), "worst_confidence_gap", "worst_earliest_gap", "lowest_confidence_match", "lowest_earliest_match")
 
 
 @query("k2_candidate_rank", sql.query(sql.U, body="SELECT unit::VARCHAR || policy AS candidate_id, n > 30 AS passed FROM un ORDER BY n > 30 DESC, n % 5 DESC, n % 3 DESC, metric DESC, budget, candidate_id LIMIT 1"))

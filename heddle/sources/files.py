@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +48,25 @@ def write_report(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_prepared(df: DataFrame, path: str) -> None:
+    """The table, and beside it the number of its rows, which read_prepared() checks."""
     df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").json(path.rstrip("/") + ".rows")
 
 
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
-    """A prepared table; one without Spark's own success marker is incomplete."""
+    """A prepared table; one without Spark's own success marker, or with other rows than were written, is incomplete."""
     fs = spark._jvm.org.apache.hadoop.fs
     marker = fs.Path(path.rstrip("/") + "/_SUCCESS")
     if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
         raise ValueError(f"{path} is incomplete")
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    noted = fs.Path(path.rstrip("/") + ".rows")
+    if noted.getFileSystem(spark._jsc.hadoopConfiguration()).exists(noted):
+        want = spark.read.schema("rows long").json(path.rstrip("/") + ".rows").first()["rows"]
+        if out.count() != want:
+            raise ValueError(f"{path} has not the {want} rows that were written")
+    return out
 
 
 def path_manifest(paths: DataFrame, column: str, pattern: str, names: list[str]) -> DataFrame:
@@ -99,11 +110,113 @@ def attach_sidecar(records: DataFrame, labels: DataFrame, key: str, ordinal: str
     return out
 
 
-def file_inventory(spark: SparkSession, root: str, digest: bool = True) -> DataFrame:
-    """path, size, extension, sha256 of every file below root; without digests contents aren't read."""
+#: Bytes of a file that one task reads at a time for its digest.
+RANGE_BYTES = 64 << 20
+
+
+def _with_extension(f: DataFrame, *more: Column) -> DataFrame:
+    return f.select("path", "size", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"), *more)
+
+
+def _every_file(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The files that have content, as Spark reads them, and the path and size of those that are empty, which it leaves out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    return f.select("path", F.col("length").alias("size"), ext.alias("extension"), *([F.sha2("content", 256).alias("sha256")] if digest else []))
+    names = f.inputFiles()
+    one = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    every = spark.createDataFrame([(x,) for x in names], "path string").select(one(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))).alias("path"))
+    full = f.withColumns({"path": one(F.col("path")), "size": F.col("length")})
+    return full, every.join(full.select("path"), "path", "left_anti").withColumn("size", F.lit(0).cast("long"))
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, extension of every file below root; contents aren't read."""
+    full, empty = _every_file(spark, root)
+    return _with_extension(full.select("path", "size").unionByName(empty))
+
+
+def _read_ranges(pieces: DataFrame, read: Callable[[bytes], dict], schema: str) -> DataFrame:
+    """path, piece and read(bytes) of each range (path, piece, start, length) of local or shared files.
+
+    Files are opened through pyarrow's file systems by the path's own scheme.
+    """
+    import pandas as pd
+
+    def run(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            rows = []
+            for path, piece, start, length in b[["path", "piece", "start", "length"]].itertuples(index=False):
+                store, at = fs.FileSystem.from_uri(path.replace("file:///", "/").replace("file:/", "/") if path.startswith("file:") else path)
+                with store.open_input_file(at) as f:
+                    rows.append({"path": path, "piece": piece, **read(f.read_at(length, start))})
+            yield pd.DataFrame(rows, columns=["path", "piece", *[x.split()[0] for x in schema.split(", ")]])
+
+    return pieces.mapInPandas(run, f"path string, piece long, {schema}")
+
+
+def _pieces(files: DataFrame, range_bytes: int) -> DataFrame:
+    n = F.greatest(F.ceil(F.col("size") / range_bytes), F.lit(1))
+    each = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("piece"))
+    start = F.col("piece") * range_bytes
+    return each.select("path", "piece", start.alias("start"), F.least(F.lit(range_bytes).cast("long"), F.col("size") - start).alias("length")).repartition("path", "piece")
+
+
+def file_inventory(spark: SparkSession, root: str, digest: bool = True) -> DataFrame:
+    """path, size, extension, sha256 of every file below root; without digests contents aren't read.
+
+    A file is one row and is read whole by one task; tree_digests() has no such limit.
+    """
+    if not digest:
+        return listed_files(spark, root)
+    full, empty = _every_file(spark, root)
+    digested = full.select("path", "size", F.sha2("content", 256).alias("sha256"))
+    return _with_extension(digested.unionByName(empty.withColumn("sha256", F.sha2(F.lit(""), 256))), F.col("sha256"))
+
+
+def tree_digests(files: DataFrame, leaf_bytes: int = 1 << 20, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, tree_sha256 of files (path, size) of any length.
+
+    The digest is the SHA-256 of the digests (hex, joined) of the file's leaves of
+    leaf_bytes in order, so ranges of a file are read by many tasks and the result
+    doesn't depend on how long they are. A file's digests come together at the end: 64
+    bytes for each leaf.
+    """
+    import hashlib
+
+    if range_bytes % leaf_bytes:
+        raise ValueError("ranges must hold whole leaves")
+
+    def leaves(data: bytes) -> dict:
+        return {"hashes": "".join(hashlib.sha256(data[k : k + leaf_bytes]).hexdigest() for k in range(0, max(len(data), 1), leaf_bytes))}
+
+    each = _read_ranges(_pieces(files, range_bytes), leaves, "hashes string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "hashes"))), lambda x: x["hashes"]), "")
+    return each.groupBy("path").agg(F.sha2(joined, 256).alias("tree_sha256"))
+
+
+def line_counts(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """path, lines, full (lines with more than white space) of text files (path, size), by ranges.
+
+    What stands before a range's first line feed and after its last one is put together
+    with its neighbours' ends: each says whether it holds more than white space.
+    """
+
+    def read(data: bytes) -> dict:
+        parts = data.split(b"\n")
+        return {"feeds": len(parts) - 1, "inner": sum(1 for x in parts[1:-1] if x.strip()), "head": bool(parts[0].strip()), "tail": bool(parts[-1].strip()), "rest": bool(parts[-1])}
+
+    each = _read_ranges(_pieces(files, range_bytes), read, "feeds long, inner long, head boolean, tail boolean, rest boolean")
+    w = Window.partitionBy("path").orderBy("piece")
+    # a line that begins in a range ends at the next range with a line feed: runs of ranges up to one share a number
+    run = F.coalesce(F.sum("feeds").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = each.withColumn("open", run).withColumn("last", F.max("piece").over(Window.partitionBy("path")))
+    begun = marked.where("feeds > 0").select("path", (F.col("open") + F.col("feeds")).alias("open"), F.col("tail").alias("filled"))
+    ends = marked.select("path", "open", F.col("head").alias("filled"))
+    edges = begun.unionByName(ends).groupBy("path", "open").agg(F.max("filled").alias("filled"))
+    full = edges.groupBy("path").agg(F.count_if("filled").alias("edge"))
+    sums = marked.groupBy("path").agg(F.sum("feeds").alias("feeds"), F.sum("inner").alias("inner"), F.max(F.when(F.col("piece") == F.col("last"), F.col("rest"))).alias("rest"))
+    return sums.join(full, "path").select("path", (F.col("feeds") + F.col("rest").cast("long")).alias("lines"), (F.col("inner") + F.col("edge")).alias("full"))
 
 
 def extension_counts(inventory: DataFrame) -> DataFrame:
@@ -116,15 +229,29 @@ def inventory_checks(inventory: DataFrame, rules: list[tuple[str, Column]]) -> D
     return row.select(F.explode(F.array(*[F.struct(F.lit(name).alias("check"), (F.col(f"r{k}") & (F.col("_n") > 0)).alias("passed")) for k, (name, _) in enumerate(rules)])).alias("x")).select("x.*")
 
 
-def output_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, sha256, and rows: CSV lines without the header, JSON lines that aren't blank."""
-    inv = file_inventory(spark, root)
-    lines = spark.read.option("recursiveFileLookup", True).text(root).select(F.input_file_name().alias("path"), "value")
-    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    decoded = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))
-    n = lines.groupBy(plain(decoded).alias("_p")).agg(F.count(F.lit(1)).alias("all"), F.sum((F.trim("value") != "").cast("long")).alias("full"))
-    rows = F.when(F.col("extension") == ".csv", F.greatest(F.col("all") - 1, F.lit(0))).when(F.col("extension").isin(".json", ".jsonl"), F.col("full"))
-    return inv.join(n, plain(inv.path) == F.col("_p"), "left").select("path", "size", "extension", "sha256", rows.alias("rows"))
+#: Extensions of text that output_manifest() counts rows of, and the kind of each.
+KINDS = {".csv": "table", ".json": "records", ".jsonl": "records", ".parquet": "table", ".md": "report", ".txt": "report", ".png": "figure", ".pdf": "figure"}
+
+
+def output_manifest(spark: SparkSession, root: str, config: dict[str, str] | None = None, inputs: DataFrame | None = None) -> DataFrame:
+    """path, kind, size, extension, tree_sha256, rows, and role (output; config or input where given), in order of role and path.
+
+    rows: CSV lines without the header, JSON lines that aren't blank; only such files are
+    read as text. config: names and texts, one record each, with their own SHA-256.
+    inputs: path, size, sha256 of what the outputs were made from.
+    """
+    f = listed_files(spark, root)
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in KINDS.items() for x in p]), F.col("extension")), F.lit("other"))
+    lines = line_counts(f.where(F.col("extension").isin(".csv", ".json", ".jsonl")))
+    rows = F.when(F.col("extension") == ".csv", F.greatest(F.col("lines") - 1, F.lit(0))).when(F.col("extension").isin(".json", ".jsonl"), F.col("full"))
+    out = f.join(tree_digests(f), "path").join(lines, "path", "left").select(F.lit("output").alias("role"), "path", kind.alias("kind"), "size", "extension", F.col("tree_sha256").alias("sha256"), rows.alias("rows"))
+    none = lambda t: F.lit(None).cast(t)
+    if config:
+        c = spark.createDataFrame(sorted(config.items()), "path string, text string")
+        out = out.unionByName(c.select(F.lit("config").alias("role"), "path", F.lit("config").alias("kind"), F.octet_length("text").cast("long").alias("size"), none("string").alias("extension"), F.sha2("text", 256).alias("sha256"), none("long").alias("rows")))
+    if inputs is not None:
+        out = out.unionByName(inputs.select(F.lit("input").alias("role"), "path", F.lit("input").alias("kind"), "size", none("string").alias("extension"), "sha256", none("long").alias("rows")))
+    return out.orderBy("role", "path")
 
 
 def missing_files(expected: DataFrame, present: DataFrame, keys: list[str], suffixes: list[str]) -> DataFrame:
@@ -152,19 +279,31 @@ def stale_parts(old: DataFrame, new: DataFrame, part: str) -> DataFrame:
     return new.join(old, same, "left_anti").select(part)
 
 
-def merge_prepared(parts: list[DataFrame], features: str) -> DataFrame:
-    """Union of prepared parts; feature arrays of different widths are an error."""
+def merge_prepared(parts: list[DataFrame], features: str, sequences: str | None = None) -> DataFrame:
+    """Union of prepared parts; feature arrays of different widths, or sequences (a map column) of different keys, are an error."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    width = out.agg(F.min(F.size(features)).alias("a"), F.max(F.size(features)).alias("b")).first()
-    if width.a != width.b:
-        raise ValueError(f"feature widths differ: {width.a} to {width.b}")
+    checks = [F.min(F.size(features)).alias("a"), F.max(F.size(features)).alias("b")]
+    if sequences:
+        keys = F.array_join(F.array_sort(F.map_keys(sequences)), "|")
+        checks += [F.min(keys).alias("k1"), F.max(keys).alias("k2"), F.count_if(F.col(sequences).isNull()).alias("none"), F.count(F.lit(1)).alias("n")]
+    seen = out.agg(*checks).first()
+    if seen["a"] != seen["b"]:
+        raise ValueError(f"feature widths differ: {seen['a']} to {seen['b']}")
+    if sequences and (seen["k1"] != seen["k2"] or 0 < seen["none"] < seen["n"]):
+        raise ValueError(f"sequence keys differ: {seen['k1']} and {seen['k2']}")
     return out
 
 
-def prepared_summary(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("label_raw").alias("vocabulary"), F.count_distinct("subject_id").alias("subjects"), F.count_distinct("session").alias("sessions"), F.count_distinct("day").alias("days"))
+def prepared_summary(df: DataFrame, features: str | None = None, sequences: str | None = None) -> DataFrame:
+    """One row: rows, vocabulary, subjects, sessions, days; width of the features and keys of the sequences where named."""
+    more = []
+    if features:
+        more.append(F.max(F.size(features)).alias("width"))
+    if sequences:
+        more.append(F.max(F.array_join(F.array_sort(F.map_keys(sequences)), "|")).alias("sequence_keys"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("label_raw").alias("vocabulary"), F.count_distinct("subject_id").alias("subjects"), F.count_distinct("session").alias("sessions"), F.count_distinct("day").alias("days"), *more)
 
 
 def forbidden_scan(df: DataFrame, key: str, text: str, literals: DataFrame) -> DataFrame:

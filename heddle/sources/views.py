@@ -97,3 +97,41 @@ def unit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per supplier and return flag: a metric, and the budget it was reached at."""
     u = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag")
     return u.agg(F.avg("l_discount").alias("metric"), F.avg("l_tax").alias("budget"), F.count(F.lit(1)).alias("n")).select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("policy"), "metric", "budget", "n")
+
+
+#: Samples of one row of sequences().
+SEQUENCE = 16
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per full block of a signal: six modalities as time x channel arrays with masks, tabular features, and
+    a label that only the order inside the block tells (whether its last quarter lies above its first)."""
+    s = samples(spark, sf_dir)
+    t, v, ok = F.col("t"), F.col("value"), (~F.col("invalid")).cast("double")
+    kind = F.col("label").cast("double")
+    one = lambda *c: F.array(*[x.cast("double") for x in c])
+    step = F.struct(
+        t.alias("t"),
+        one(v, kind).alias("emg"),
+        ok.alias("time_mask"),
+        one(t % 7, t % 5).alias("gaze"),
+        (t % 3 != 0).cast("double").alias("gaze_mask"),
+        one(v * 2).alias("pupil"),
+        one(ok, (t % 2 == 0).cast("double")).alias("pupil_mask"),
+        one(v, -v, kind).alias("acc"),
+        (t % 4 < 3).cast("double").alias("acc_mask"),
+        one(kind * v).alias("gyr"),
+        (F.col("record_id") % 2).cast("double").alias("gyr_mask"),
+        one(t % 2).alias("context"),
+        F.lit(1.0).alias("context_mask"),
+    )
+    blocks = s.groupBy("record_id", F.floor(t / SEQUENCE).alias("block")).agg(F.array_sort(F.collect_list(step)).alias("s"), F.count_if(F.col("label") > 0).alias("moves")).where(F.size("s") == SEQUENCE)
+    names = ("emg", "time_mask", "gaze", "gaze_mask", "pupil", "pupil_mask", "acc", "acc_mask", "gyr", "gyr_mask", "context", "context_mask")
+    field = lambda n: lambda x: x[n]
+    quarter = lambda a, b: F.aggregate(F.filter("s", lambda x: (x["t"] % SEQUENCE >= a) & (x["t"] % SEQUENCE < b)), F.lit(0.0), lambda acc, x: acc + x["emg"][0])
+    return blocks.select(
+        (F.col("record_id") * 100_000 + F.col("block")).alias("row_id"),
+        (quarter(12, 16) > quarter(0, 4)).cast("int").alias("label"),
+        F.array(F.col("moves").cast("double"), (F.col("record_id") % 3).cast("double")).alias("features"),
+        *[F.transform("s", field(n)).alias(f"assist_{n}") for n in names],
+    )
