@@ -51,6 +51,12 @@ class Pair:
         self.cu, self.ca = F.array_max(self.pu), F.array_max(self.pa)
         self.su, self.sa = total(self.pu), total(self.pa)
 
+    @property
+    def ranked(self) -> Column:
+        """The actions in the order in which any budget takes them: likelier to the assistant, then less loss, then first."""
+        loss = lambda i: F.greatest(F.lit(0.0), self.cu - F.element_at(self.pu, i + 1))
+        return F.array_sort(F.transform(_actions(self), lambda i: F.struct((-F.element_at(self.pa, i + 1)).alias("n"), loss(i).alias("ali"), i.alias("i"))))
+
     @property
     def user_share(self) -> Column:
         return F.when(self.su > 0, self.cu / self.su).otherwise(self.cu)
@@ -120,18 +126,19 @@ def masked_probs(p: Column, allowed: Column, action: Column) -> Column:
 
 def margin_budget(p: Pair, tau: float, gain: float = 0.0) -> Column:
     """Of the actions within the budget the one most likely to the assistant, if likelier than the user's own to the user."""
-    margin = lambda i: budget_margin(p, tau, i)
-    best = F.array_max(F.transform(_actions(p), lambda i: F.when(margin(i) >= -EPS, F.struct(F.element_at(p.pa, i + 1).alias("utility"), margin(i).alias("margin"), (-i).alias("neg")))))
 
     def chosen(b: Column) -> Column:
-        helps = F.coalesce(b["utility"] > p.cu + gain, F.lit(False))
-        return decide(f"agency_margin_tau_{tau:.2f}", F.when(helps, -b["neg"]).otherwise(p.u), tau, F.when(helps, b["utility"]).otherwise(p.cu), F.when(helps, "agency_margin").otherwise("user"))
+        helps = F.coalesce(-b["n"] > p.cu + gain, F.lit(False))
+        return decide(f"agency_margin_tau_{tau:.2f}", F.when(helps, b["i"]).otherwise(p.u), tau, F.when(helps, -b["n"]).otherwise(p.cu), F.when(helps, "agency_margin").otherwise("user"))
 
-    return let(best, chosen)
+    best = lambda r: F.get(F.filter(r, lambda s: _d(tau) - s["ali"] >= -EPS), F.lit(0))
+    return let(best(p.ranked), chosen)
 
 
 class Staged(Pair):
-    """A Pair whose values are columns already, so that every policy shares them."""
+    """A Pair whose values are columns already, so that every policy shares them: one sort of a row's actions serves all budgets."""
+
+    ranked = property(lambda self: F.col("_ranked"))
 
     def __init__(self):
         self.pu, self.pa = F.col("p_user"), F.col("p_assist")
@@ -141,7 +148,8 @@ class Staged(Pair):
 def stage(df: DataFrame) -> DataFrame:
     """Adds what a Staged pair reads."""
     p = Pair()
-    return df.withColumns({"_u": p.u, "_a": p.a, "_cu": p.cu, "_ca": p.ca, "_su": p.su, "_sa": p.sa})
+    out = df.withColumns({"_u": p.u, "_a": p.a, "_cu": p.cu, "_ca": p.ca, "_su": p.su, "_sa": p.sa})
+    return out.withColumn("_ranked", Pair.ranked.fget(Staged()))
 
 
 def chosen_probs(p: Pair, source: Column, action: Column, tau: Column, weight: Column) -> Column:
