@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,13 +157,26 @@ def policy_pairs(units: DataFrame, left: str = "agency_margin_tau_", right: str
     return a.join(p.where(F.col("policy").startswith(right)).select("tau", F.col("policy").alias("policy_b")), "tau")
 
 
-def attach_budget(units: DataFrame, budgets: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join of intervention_rate, one to one; duplicate keys and missing budgets raise."""
+#: What a unit row and its budget are joined on.
+BUDGET_KEYS = ("dataset_id", "split_family", "split_id", "policy", "subject_id", "session", "day")
+
+
+def attach_budget(units: DataFrame, budgets: DataFrame, keys: Sequence[str] = BUDGET_KEYS) -> DataFrame:
+    """Left join of intervention_rate, one to one, on keys as text; duplicate keys on either side and missing budgets raise.
+
+    Null keys are one value. A key that a side lacks is an error.
+    """
+    for name, df in (("units", units), ("budgets", budgets)):
+        absent = [k for k in keys if k not in df.columns]
+        if absent:
+            raise ValueError(f"{name} lack columns: {absent}")
     text = lambda df: df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("<missing>")).alias(k) for k in keys], *[c for c in df.columns if c not in keys])
-    own = text(budgets).groupBy(*keys).agg(F.first("intervention_rate").alias("intervention_rate"), F.count(F.lit(1)).alias("_n"))
-    joined = text(units).join(own, keys, "left")
-    checked = F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate budget keys")).cast("double")).when(F.col("intervention_rate").isNull(), F.raise_error(F.lit("missing budget")).cast("double")).otherwise(F.col("intervention_rate"))
-    return joined.withColumn("intervention_rate", checked).drop("_n")
+    own = text(budgets).groupBy(*keys).agg(F.first("intervention_rate").alias("_rate"), F.count(F.lit(1)).alias("_n"))
+    mine = text(units).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    joined = mine.join(own, list(keys), "left")
+    fail = lambda what: F.raise_error(F.lit(what)).cast("double")
+    checked = F.when(F.col("_n") > 1, fail("duplicate budget keys")).when(F.col("_m") > 1, fail("duplicate unit keys")).when(F.col("_rate").isNull(), fail("missing budget")).otherwise(F.col("_rate"))
+    return joined.withColumn("intervention_rate", checked).drop("_n", "_m", "_rate")
 
 
 def interpolate_curve(curve: DataFrame, targets: DataFrame, by: list[str], allow_extrapolation: bool = False, min_points: int = 2) -> DataFrame:

@@ -215,6 +215,22 @@ def _manifest_rules(kind: str) -> dict[str, Column]:
     raise ValueError(f"unknown kind of manifest: {kind}")
 
 
+#: Columns of each kind of manifest, as read from JSON; a field of another type is null, and so broken.
+MANIFESTS = {
+    "prepared": "dataset string, prepared_root string, success_file string, required_files array<string>, metadata_columns array<string>, n_rows long, label_vocab_size long, user_feature_shape array<long>, assist_feature_shape array<long>, has_sequence_payloads boolean, sequence_payload_keys array<string>",
+    "benchmark": "dataset string, prepared_root string, user_model string, assist_model string, prepared_success_file string, assist_context_modes array<string>, split_family_allowlist array<string>, split_id_allowlist array<string>, available_sequence_payload_roles array<string>, sequence_payload_sources map<string,string>, max_splits_per_family long, n_rows long",
+    "publication": "dataset string, prepared_root string, user_model string, assist_model string, trace_count long, decision_count long, pairwise_repeats long, split_families array<string>",
+}
+
+
+def read_manifests(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """path and the fields of every JSON manifest (one object a file) of a kind below path; what isn't JSON has null fields."""
+    if kind not in MANIFESTS:
+        raise ValueError(f"unknown kind of manifest: {kind}")
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return text.select(F.input_file_name().alias("path"), F.from_json("value", MANIFESTS[kind]).alias("m")).select("path", "m.*")
+
+
 def manifest_violations(manifests: DataFrame, kind: str, key: str = "dataset") -> DataFrame:
     """key, rule: one row per rule that a manifest of this kind (prepared, benchmark, publication) breaks.
 

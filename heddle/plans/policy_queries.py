@@ -98,35 +98,35 @@ def f11(spark, sf_dir):
 
 
 ACT20 = GRID["agency_margin_tau_0.20"][0]
-#: candidates of the pooled gate: distinct confidences of all base rows, counted once each
-POOLED = """n AS (SELECT ca AS th, count(*) AS c FROM t GROUP BY ca UNION ALL SELECT 0.0, 0 UNION ALL SELECT 1.01, 0),
+#: candidates of the gates: distinct confidences of a scope, counted once each; {hit} says which rows count
+TARGETS = " UNION ALL ".join(f"SELECT split_id, {t} AS tau, CASE WHEN {GRID[f'agency_margin_tau_{t:.2f}'][0]} <> u THEN 1.0 ELSE 0.0 END AS moved FROM t" for t in TAUS)
+POOLED = f"""n AS (SELECT ca AS th, count(*) AS c FROM t GROUP BY ca UNION ALL SELECT 0.0, 0 UNION ALL SELECT 1.01, 0),
 c AS (SELECT th AS threshold, sum(sum(c)) OVER (ORDER BY th DESC) / (SELECT count(*) FROM t) AS rate FROM n GROUP BY th),
-g AS (SELECT avg(CASE WHEN {act} <> u THEN 1.0 ELSE 0.0 END) AS target FROM t),
-o AS (SELECT threshold, rate, target, row_number() OVER (ORDER BY abs(rate - target), CASE WHEN rate > target THEN 1 ELSE 0 END, -threshold) AS k FROM c, g)"""
+g AS (SELECT tau, avg(moved) AS target FROM ({TARGETS}) GROUP BY tau),
+o AS (SELECT tau, threshold, rate, target, row_number() OVER (PARTITION BY tau ORDER BY abs(rate - target), CASE WHEN rate > target THEN 1 ELSE 0 END, -threshold) AS k FROM c, g)"""
 
 
-@query("f13_rate_matched_gate", sql.query(sql.T, POOLED.format(act=ACT20), body="SELECT 0.2 AS tau, round(threshold, 6) AS threshold, round(rate, 6) AS rate, round(target, 6) AS target, round(abs(rate - target), 6) AS gap FROM o WHERE k = 1"))
+@query("f13_rate_matched_gate", sql.query(sql.T, POOLED, body="SELECT tau, round(threshold, 6) AS threshold, round(rate, 6) AS rate, round(target, 6) AS target, round(abs(rate - target), 6) AS gap FROM o WHERE k = 1"))
 def f13(spark, sf_dir):
-    return r6(budget.rate_matched_gate(views.traces(spark, sf_dir), (0.2,), ()), "threshold", "rate", "target", "gap")
+    return r6(budget.rate_matched_gate(views.traces(spark, sf_dir), TAUS, ()), "threshold", "rate", "target", "gap")
 
 
 BY_SPLIT = """n AS (SELECT split_id, ca AS th, sum({hit}) AS c FROM t GROUP BY ALL UNION ALL SELECT split_id, unnest([0.0, 1.01]), 0 FROM (SELECT DISTINCT split_id FROM t)),
 s AS (SELECT split_id, count(*) AS rows FROM t GROUP BY ALL),
 c AS (SELECT n.split_id, th AS threshold, sum(sum(c)) OVER (PARTITION BY n.split_id ORDER BY th DESC) / any_value(rows) AS rate FROM n JOIN s ON n.split_id = s.split_id GROUP BY n.split_id, th),
-g AS (SELECT split_id, avg(CASE WHEN {act} <> u THEN 1.0 ELSE 0.0 END) AS target FROM t GROUP BY ALL),
-o AS (SELECT c.split_id, threshold, rate, target, row_number() OVER (PARTITION BY c.split_id ORDER BY abs(rate - target), CASE WHEN rate > target THEN 1 ELSE 0 END, -threshold) AS k FROM c JOIN g ON c.split_id = g.split_id)"""
-MATCHED = "SELECT split_id, 0.2 AS tau, round(threshold, 6) AS threshold, round(rate, 6) AS rate, round(target, 6) AS target FROM o WHERE k = 1"
+g AS (SELECT split_id, tau, avg(moved) AS target FROM ({targets}) GROUP BY ALL),
+o AS (SELECT c.split_id, tau, threshold, rate, target, row_number() OVER (PARTITION BY c.split_id, tau ORDER BY abs(rate - target), CASE WHEN rate > target THEN 1 ELSE 0 END, -threshold) AS k FROM c JOIN g ON c.split_id = g.split_id)"""
 
 
-@query("f12_threshold_match", sql.query(sql.T, BY_SPLIT.format(act=ACT20, hit="1"), body=MATCHED))
+@query("f12_threshold_match", sql.query(sql.T, BY_SPLIT.format(targets=TARGETS, hit="1"), body="SELECT split_id, tau, round(threshold, 6) AS threshold, round(rate, 6) AS rate, round(target, 6) AS target FROM o WHERE k = 1"))
 def f12(spark, sf_dir):
-    return r6(budget.rate_matched_gate(views.traces(spark, sf_dir), (0.2,)).drop("gap"), "threshold", "rate", "target")
+    return r6(budget.rate_matched_gate(views.traces(spark, sf_dir), TAUS).drop("gap"), "threshold", "rate", "target")
 
 
-@query("f14_target_rate_threshold", sql.query(sql.T, BY_SPLIT.format(act=ACT20, hit="CASE WHEN a <> u THEN 1 ELSE 0 END"), "mo AS (SELECT split_id, count(DISTINCT ca) + 2 AS n_thresholds, count(*) AS n, count(*) FILTER (WHERE a <> u) AS disagree FROM t GROUP BY ALL)", body="SELECT split_id, 0.2 AS tau, round(threshold, 6) AS threshold, round(rate, 6) AS rate, round(target, 6) AS target, round(abs(rate - target), 6) AS gap, n_thresholds, n, disagree, round(disagree / n, 6) AS max_rate FROM o JOIN mo USING (split_id) WHERE k = 1"))
+@query("f14_target_rate_threshold", sql.query(sql.T, BY_SPLIT.format(targets=TARGETS, hit="CASE WHEN a <> u THEN 1 ELSE 0 END"), "mo AS (SELECT split_id, count(DISTINCT ca) + 2 AS n_thresholds, count(*) AS n, count(*) FILTER (WHERE a <> u) AS disagree FROM t GROUP BY ALL)", body="SELECT split_id, tau, round(threshold, 6) AS threshold, round(rate, 6) AS rate, round(target, 6) AS target, round(abs(rate - target), 6) AS gap, n_thresholds, n, disagree, round(disagree / n, 6) AS max_rate FROM o JOIN mo USING (split_id) WHERE k = 1"))
 def f14(spark, sf_dir):
     t = views.traces(spark, sf_dir)
-    found = budget.target_rate_threshold(t, ["split_id"], budget.margin_rates(t, ["split_id"], (0.2,)))
+    found = budget.target_rate_threshold(t, ["split_id"], budget.margin_rates(t, ["split_id"], TAUS))
     return r6(found, "threshold", "rate", "target", "gap", "max_rate")
 
 
@@ -358,10 +358,14 @@ def i1(spark, sf_dir):
     return budget.policy_pairs(_margins(views.traces(spark, sf_dir)))
 
 
-@query("i2_attach_budget", sql.query(sql.T, DM, body="SELECT split_id, policy, subject_id, count(*) AS n, round(avg(intervene::INT), 6) AS intervention_rate FROM d GROUP BY ALL"))
+@query("i2_attach_budget", sql.query(sql.T, DM, UNIT_SQL, body="SELECT split_family, split_id, policy, subject_id, session, day, n, round(accuracy, 6) AS accuracy, round(intervention_rate, 6) AS intervention_rate FROM un"))
 def i2(spark, sf_dir):
-    d = _margins(views.traces(spark, sf_dir)).groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("intervene").cast("double")).alias("intervention_rate"))
-    return r6(budget.attach_budget(d.drop("intervention_rate"), d.drop("n"), UNIT), "intervention_rate")
+    """Budgets from the decisions themselves, attached to metrics of the units."""
+    d = _margins(views.traces(spark, sf_dir))
+    family = F.split_part("split_id", F.lit("|"), F.lit(1))
+    budgets = d.groupBy(*metrics.UNIT).agg(F.avg(F.col("intervene").cast("double")).alias("intervention_rate")).withColumn("split_family", family)
+    u = units(spark, sf_dir).select(*budget.BUDGET_KEYS, "n", "accuracy")
+    return r6(budget.attach_budget(u, budgets).drop("dataset_id"), "accuracy", "intervention_rate")
 
 
 EXACT = """bb AS (SELECT list_sort(list(th)) AS bank FROM b),
@@ -582,10 +586,13 @@ def k17(spark, sf_dir):
     return r6(reports.chart_tables(agg, "macro_f1").drop("dataset_id"), "mean_macro_f1")
 
 
-@query("k7_best_policy_rows", sql.query(sql.T, DM, AGG, body="SELECT split_family, max(CASE WHEN policy LIKE 'agency%' THEN round(macro_f1, 6) END) AS best_agency_macro_f1, max(CASE WHEN policy = 'user_only' THEN round(macro_f1, 6) END) AS user_macro_f1, max(CASE WHEN policy = 'assist_only' THEN round(macro_f1, 6) END) AS assist_macro_f1, count(DISTINCT policy) AS n_policies FROM fam GROUP BY ALL"))
+AGG7 = UNIT_SQL + ", fam AS (SELECT split_family, policy, avg(macro_f1) AS f, avg(risk_coverage_auc) AS r, avg(active_macro_f1) AS af, avg(active_risk_coverage_auc) AS ar FROM un GROUP BY ALL)"
+
+
+@query("k7_best_policy_rows", sql.query(sql.T, DM, AGG7, body="SELECT split_family, arg_max(policy, {'f': f, 'r': -r, 'p': policy}) AS best_overall, arg_max(policy, {'f': af, 'r': -ar, 'p': policy}) AS best_active, arg_max(policy, {'f': f, 'r': -r, 'p': policy}) FILTER (WHERE policy LIKE 'agency%') AS best_agency, round(max(f) FILTER (WHERE policy LIKE 'agency%'), 6) AS best_agency_macro_f1, round(max(af) FILTER (WHERE policy LIKE 'agency%'), 6) AS best_agency_active_macro_f1, round(max(f) FILTER (WHERE policy = 'user_only'), 6) AS user_macro_f1, round(max(f) FILTER (WHERE policy = 'assist_only'), 6) AS assist_macro_f1, count(DISTINCT policy) AS n_policies FROM fam GROUP BY ALL"))
 def k7(spark, sf_dir):
     agg = metrics.family_aggregate(units(spark, sf_dir), False)
-    return r6(reports.best_policy_rows(agg).select("split_family", "best_agency_macro_f1", "user_macro_f1", "assist_macro_f1", "n_policies"), "best_agency_macro_f1", "user_macro_f1", "assist_macro_f1")
+    return r6(reports.best_policy_rows(agg).drop("dataset_id"), "best_agency_macro_f1", "best_agency_active_macro_f1", "user_macro_f1", "assist_macro_f1")
 
 
 @query("k8_readiness_checks", sql.query(sql.T, DM, AGG, """ob AS (SELECT split_family, max(CASE WHEN policy LIKE 'agency%' THEN macro_f1 END) AS g, max(CASE WHEN policy = 'user_only' THEN macro_f1 END) AS us, max(CASE WHEN policy = 'assist_only' THEN macro_f1 END) AS asst FROM fam GROUP BY ALL)""", body="SELECT 'multimodal_direction' AS \"check\", bool_and(asst > us) AS passed, true AS critical FROM ob UNION ALL SELECT 'performance_floor', max(g) >= 0.2, true FROM ob UNION ALL SELECT 'agency_direction', bool_and(g > us), false FROM ob"))
@@ -613,11 +620,19 @@ def b9(spark, sf_dir):
     return policies.policy_grid(views.base_traces(spark, sf_dir), TAUS).select("policy").distinct().select("policy", policies.policy_family(p).alias("family"), policies.tau_token(p).alias("tau"))
 
 
-@query("c9_context_onehot", sql.query(sql.T, body="SELECT event_id, i AS k, CASE WHEN i < 2 THEN (label % 2 = i)::INT WHEN i < 4 THEN (dk % 2 = i - 2)::INT WHEN i < 7 THEN (abs(prefix_time_s - [0.2, 0.4, 0.6][i - 3]) <= 1e-9)::INT ELSE (event_id % 3 = 0)::INT END::DOUBLE AS f FROM t0, range(8) r(i)"))
+PROTOCOL = "CASE WHEN i < 2 THEN (label % 2 = i)::INT WHEN i < 4 THEN (dk % 2 = i - 2)::INT WHEN i < 7 THEN (abs(prefix_time_s - [0.2, 0.4, 0.6][i - 3]) <= 1e-9)::INT WHEN i < 8 THEN (event_id % 3 = 0)::INT WHEN i < 33 THEN (event_id % 30 = i - 8)::INT ELSE (sub % 12 = i - 33)::INT END::DOUBLE"
+
+
+@query("c9_context_onehot", sql.query(sql.T.replace("label, dk,", "label, sub, dk,"), body=f"SELECT event_id, 'protocol_context' AS mode, i AS k, {PROTOCOL} AS f FROM t0, range(8) r(i) UNION ALL SELECT event_id, 'annotated_object_proxy', i, {PROTOCOL} FROM t0, range(58) r(i)"))
 def c9(spark, sf_dir):
-    t = views.base_traces(spark, sf_dir).withColumns({"dyn": F.col("label") % 2, "pos": F.col("dk") % 2, "flag": F.col("event_id") % 3 == 0})
-    c = sig.context_features(t, "protocol_context", [0.2, 0.4, 0.6], "dyn", "pos", "prefix_time_s", ["flag"])
-    return c.select("event_id", F.posexplode("context").alias("k", "f")).select("event_id", F.col("k").cast("long").alias("k"), "f")
+    """Two modes in full (objects beyond 25 are zeros); the third, sensor_summary, has no context at all."""
+    t = views.base_traces(spark, sf_dir).withColumns({"dyn": F.col("label") % 2, "pos": F.col("dk") % 2, "flag": F.col("event_id") % 3 == 0, "object": F.col("event_id") % 30, "part": F.substring("subject_id", 2, 2).cast("int")})
+    out = None
+    for mode in ("protocol_context", "annotated_object_proxy", "sensor_summary"):
+        c = sig.context_features(t, mode, [0.2, 0.4, 0.6], "dyn", "pos", "prefix_time_s", ["flag"], "object", "part")
+        rows = c.select("event_id", F.lit(mode).alias("mode"), F.posexplode("context").alias("k", "f")).select("event_id", "mode", F.col("k").cast("long").alias("k"), "f")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("c18_drift_stress", sql.query(sql.T, "lv AS (SELECT unnest([1.0, 2.0]) AS level)", body=f"SELECT level, round(avg(list_max({_softmax('p_assist', 'level')})), 6) AS confidence, count(*) AS n FROM t0, lv GROUP BY ALL"))

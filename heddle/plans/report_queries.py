@@ -113,6 +113,22 @@ def k10(spark, sf_dir):
     return reports.manifest_violations(m, "publication", "id")
 
 
+@query("k10_json_manifests", """WITH g AS (SELECT o_orderpriority AS p, count(*) AS n, count(DISTINCT o_orderstatus) AS fams FROM orders GROUP BY ALL)
+SELECT p AS dataset, unnest(list_filter([CASE WHEN p LIKE '1%' THEN 'prepared_root is blank' END, CASE WHEN p LIKE '2%' THEN 'decision_count is below 1' END, CASE WHEN p LIKE '3%' THEN 'fewer decisions than traces' END], lambda x: x IS NOT NULL)) AS rule FROM g""")
+def k10_json(spark, sf_dir):
+    """A manifest for each priority, written as a JSON file of its own and read back; one lacks a root, one has text for a number, one too few decisions."""
+    root, p = store.scratch(spark, "manifests"), F.col("o_orderpriority")
+    g = views.table(spark, sf_dir, "orders").groupBy(p.alias("dataset")).agg(F.count(F.lit(1)).alias("trace_count"), F.array_sort(F.collect_set("o_orderstatus")).alias("split_families"))
+    d = F.col("dataset")
+    m = g.withColumns({"prepared_root": F.when(d.startswith("1"), " ").otherwise("root"), "user_model": F.lit("u"), "assist_model": F.lit("a"), "pairwise_repeats": F.lit(2000), "decision_count": F.when(d.startswith("2"), "many").when(d.startswith("3"), "1").otherwise((F.col("trace_count") * 18).cast("string"))})
+    number = F.when(F.col("decision_count") == "many", F.lit('"many"')).otherwise(F.col("decision_count"))
+    text = F.regexp_replace(F.to_json(F.struct(*[c for c in m.columns if c != "decision_count"])), "[}]$", "")
+    files_of = m.select(F.concat(text, F.lit(',"decision_count":'), number, F.lit("}")).alias("value"), F.sha2("dataset", 256).alias("name"))
+    files_of.repartition("name").write.partitionBy("name").text(root)
+    found = reports.manifest_violations(reports.read_manifests(spark, root, "publication"), "publication")
+    return store.small_result(found, root)
+
+
 @query("k17_signed_benefit", sql.query(GOOD, body="SELECT candidate_id AS dataset_id, split_family, metric, tau, round(CASE WHEN metric = 'active_macro_f1' THEN estimate ELSE -estimate END, 6) AS benefit, round(CASE WHEN metric = 'active_macro_f1' THEN estimate - gap ELSE -(estimate + 2 * gap) END, 6) AS benefit_low, round(CASE WHEN metric = 'active_macro_f1' THEN estimate + 2 * gap ELSE -(estimate - gap) END, 6) AS benefit_high FROM pq"))
 def k17(spark, sf_dir):
     gap = F.col("mean_abs_intervention_rate_gap")

@@ -281,6 +281,11 @@ def d8(spark, sf_dir):
     return splits.filter_splits(views.traces(spark, sf_dir).select("split_id").distinct(), ["logo", "forward_day"], per_family=3)
 
 
+@query("d8_split_ids", sql.query(sql.T, body="SELECT DISTINCT split_id, split_part(split_id, '|', 1) AS split_family FROM t WHERE split_id IN ('logo|S01', 'logo|S07', 'forward_day|D03')"))
+def d8_ids(spark, sf_dir):
+    return splits.filter_splits(views.traces(spark, sf_dir).select("split_id").distinct(), ids=["logo|S01", "logo|S07", "forward_day|D03", "logo|none"])
+
+
 @query("d9_repetition_holdout", sql.query(sql.M, "k AS (SELECT *, session % 4 AS repetition FROM m WHERE \"group\" <> 'BUILDING'), s AS (SELECT 'loro|' || g AS split_id, row_id, CASE WHEN repetition = g THEN 'test' ELSE 'train' END AS role FROM k, (SELECT DISTINCT repetition AS g FROM k))", body=ROLES))
 def d9(spark, sf_dir):
     return _sides(splits.repetition_family(views.metadata(spark, sf_dir).withColumn("repetition", F.col("session") % 4), F.col("group") != "BUILDING"))
@@ -585,19 +590,27 @@ def k2(spark, sf_dir):
 
 
 def _comparability(spark, sf_dir):
+    """Parts as comparisons; all criteria vary, some are blank."""
     p = views.table(spark, sf_dir, "part")
-    level = lambda k: F.element_at(F.array(F.lit("exact"), F.lit("related"), F.lit("")), ((F.floor(F.col("p_partkey") / k) % 3) + 1).cast("int"))
-    rows = p.select(F.col("p_partkey").alias("comparison_id"), F.col("p_brand").alias("target_id"), F.when(F.col("p_size") % 10 == 0, "boundary").when(F.col("p_size") % 10 == 1, "context").otherwise("comparator").alias("role"), F.lit("exact").alias("dataset"), level(1).alias("task_family"), F.lit("exact").alias("split_shift"), level(3).alias("population"), F.lit("exact").alias("adaptation"), F.lit("exact").alias("decision_object"), F.lit("Convertible").alias("metric"), F.col("p_retailprice").alias("value"))
+    words = lambda *w: F.array(*map(F.lit, w))
+    level = lambda k, w: F.element_at(w, ((F.floor(F.col("p_partkey") / k) % F.size(w)) + 1).cast("int"))
+    three, mostly = words("exact", "related", ""), words("exact", "exact", "Exact ", "exact", "other")
+    rows = p.select(
+        F.col("p_partkey").alias("comparison_id"), F.col("p_brand").alias("target_id"), F.when(F.col("p_size") % 10 == 0, "boundary").when(F.col("p_size") % 10 == 1, "context").otherwise("comparator").alias("role"),
+        level(5, mostly).alias("dataset"), level(1, three).alias("task_family"), level(7, mostly).alias("split_shift"), level(3, three).alias("population"), level(11, mostly).alias("adaptation"), level(13, mostly).alias("decision_object"), level(2, words("Convertible", "exact", "none")).alias("metric"), F.col("p_retailprice").alias("value"),
+    )
     return reports.comparability(rows)
 
 
-LEVELS = """ct AS (SELECT p_partkey AS comparison_id, p_brand AS target_id, p_size % 10 AS s, (p_partkey % 3) AS tf, ((p_partkey // 3) % 3) AS pop, p_retailprice AS value FROM part),
-cl AS (SELECT *, CASE WHEN s = 0 THEN 'boundary' WHEN s = 1 THEN 'contextual' WHEN tf = 0 AND pop = 0 THEN 'direct' WHEN tf < 2 AND pop < 2 THEN 'partial' ELSE 'not_comparable' END AS comparability FROM ct)"""
+LEVELS = """ct AS (SELECT p_partkey AS comparison_id, p_brand AS target_id, p_size % 10 AS s, (p_partkey % 3) AS tf, ((p_partkey // 3) % 3) AS pop, (p_partkey // 5) % 5 = 4 AS ds, (p_partkey // 7) % 5 = 4 AS sh, (p_partkey // 11) % 5 = 4 AS ad, (p_partkey // 13) % 5 = 4 AS dc, (p_partkey // 2) % 3 = 2 AS me, p_retailprice AS value FROM part),
+cl AS (SELECT *, CASE WHEN s = 0 THEN 'boundary' WHEN s = 1 THEN 'contextual' WHEN tf = 0 AND pop = 0 AND NOT ds AND NOT sh AND NOT ad AND NOT dc AND NOT me THEN 'direct' WHEN NOT ds AND tf < 2 AND pop < 2 THEN 'partial' ELSE 'not_comparable' END AS comparability FROM ct)"""
 
 
-@query("k13_comparability", sql.query(LEVELS, body="SELECT comparison_id, comparability, comparability <> 'direct' AS claim_blocked, concat_ws('|', CASE WHEN tf > 0 THEN 'task_family' END, CASE WHEN pop > 0 THEN 'population' END) AS blocking_fields FROM cl"))
+@query("k13_comparability", sql.query(LEVELS, body="SELECT comparison_id, comparability, comparability <> 'direct' AS claim_blocked, list_sort(list_filter([CASE WHEN ds THEN 'dataset' END, CASE WHEN tf > 0 THEN 'task_family' END, CASE WHEN sh THEN 'split_shift' END, CASE WHEN pop > 0 THEN 'population' END, CASE WHEN ad THEN 'adaptation' END, CASE WHEN dc THEN 'decision_object' END, CASE WHEN me THEN 'metric' END], lambda x: x IS NOT NULL))::VARCHAR AS blocking FROM cl"))
 def k13(spark, sf_dir):
-    return _comparability(spark, sf_dir).select("comparison_id", "comparability", "claim_blocked", "blocking_fields")
+    c = _comparability(spark, sf_dir)
+    fields = F.array_sort(F.filter(F.split("blocking_fields", "[|]"), lambda x: x != ""))
+    return c.select("comparison_id", "comparability", "claim_blocked", F.concat(F.lit("["), F.array_join(fields, ", "), F.lit("]")).alias("blocking"))
 
 
 @query("k14_comparability_summary", sql.query(LEVELS, body="SELECT target_id, " + ", ".join(f"count(*) FILTER (WHERE comparability = '{x}') AS n_{x}" for x in ("direct", "partial", "not_comparable", "contextual", "boundary")) + " FROM cl GROUP BY ALL"))

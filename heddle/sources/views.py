@@ -12,19 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, scan: DataFrame, key: str) -> DataFrame:
-    """df over all cores where the scan it comes from has fewer splits than there are cores, for work that is long per row.
-
-    Tables of as many splits as cores, as all large ones are, aren't shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else df
-
-
 def base_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event: user and assist posteriors over five classes, with unit and episode keys."""
-    scan = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    e = scan.select("event_id", "user_id", "ts", (F.col("user_id") % 12).cast("int").alias("sub"), F.floor((F.dayofmonth("ts") - 1) / 3).cast("int").alias("dk"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("user_id") % 12).cast("int").alias("sub"), F.floor((F.dayofmonth("ts") - 1) / 3).cast("int").alias("dk"))
     e = e.withColumn("label", ((F.col("user_id") + F.col("dk")) % 5).cast("int"))
 
     def weights(a: int, b: int, c: int, modulus: int, below: int, bonus: int):
@@ -34,8 +24,10 @@ def base_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = [w[k] for k in range(CLASSES)]
         return F.array(*[x / sum(at[1:], at[0]) for x in at])
 
+    # dealt by the window's own key, to all cores: policies are long work per row
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = Window.partitionBy("user_id", "dk").orderBy("ts", "event_id")
-    e = spread(e.withColumn("pr", F.row_number().over(order)), scan, "event_id")
+    e = e.repartition(tasks, "user_id", "dk").withColumn("pr", F.row_number().over(order))
     e = e.withColumn("wu", weights(31, 17, 7, 97, 6, 90)).withColumn("wa", weights(13, 41, 3, 89, 8, 120))
     return e.select(
         "event_id",

@@ -413,3 +413,42 @@ def test_episodes_on_a_stream_equal_the_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     cols = ["policy", "episode_id", "n_prefixes", "final_action", *timing.TIMES]
     assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, (tuple(r) for r in want.select(*cols).collect())))
+
+
+def test_rates_by_time_on_a_stream(spark, tmp_path):
+    from heddle.streaming.decisions import windowed_rates
+
+    d = policies.policy_grid(views.base_traces(spark, DATA).where("event_id < 60"), (0.1,)).withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 120))
+    d = d.select("at", "policy", "intervene", "correct")
+    d.write.parquet(str(tmp_path / "in"))
+    want = d.groupBy(F.window("at", "1 hour").start.alias("start"), "policy").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
+    q = windowed_rates(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), "at").writeStream.format("memory").outputMode("complete").queryName("rates").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("rates").select(F.col("window.start").alias("start"), "policy", "n", "accuracy")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_budgets_are_attached_one_to_one(spark):
+    row = ("d", "f", "f|1", "p", "s", None, None)
+    keys = ", ".join(f"{k} string" for k in budget.BUDGET_KEYS)
+    u = spark.createDataFrame([row], keys)
+    b = spark.createDataFrame([(*row, 0.25)], keys + ", intervention_rate double")
+    assert budget.attach_budget(u, b).first().intervention_rate == 0.25
+    for units, budgets, what in ((u, b.union(b), "duplicate budget"), (u.union(u), b, "duplicate unit"), (u, b.where("false"), "missing budget")):
+        with pytest.raises(Exception, match=what):
+            budget.attach_budget(units, budgets).collect()
+    with pytest.raises(ValueError, match="units lack"):
+        budget.attach_budget(u.drop("day"), b)
+
+
+def test_manifests_that_are_not_json_break_their_rules(spark, tmp_path):
+    from heddle.operators import reports
+
+    (tmp_path / "a.json").write_text('{"dataset": "d", "prepared_root": "r", "user_model": "u", "assist_model": "a", "trace_count": 2, "decision_count": 36, "pairwise_repeats": 10, "split_families": ["x", "y"]}')
+    (tmp_path / "b.json").write_text("not json")
+    m = reports.read_manifests(spark, str(tmp_path), "publication")
+    broken = {(r.path.rsplit("/", 1)[1], r.rule) for r in reports.manifest_violations(m, "publication", "path").collect()}
+    assert {p for p, _ in broken} == {"b.json"} and len(broken) == 8
+    with pytest.raises(ValueError, match="unknown kind"):
+        reports.read_manifests(spark, str(tmp_path), "other")
