@@ -8,6 +8,10 @@ is dropped; the others take the next axes, and the last few are decided by the
 cosine of the given vectors in double precision. Pairs of tiles whose boxes lie
 too far apart aren't compared at all.
 
+Tiles are cut from vectors in the order of their first axis. Consecutive tiles form
+a block, and blocks meet in pairs (those whose boxes lie near enough), so a tile is
+sent once for each block, not for each tile, that it is compared with.
+
 Equal vectors are one class with a weight, so a vector that many rows share is
 compared once. Tile pairs give link counts and a spanning forest, never a list of
 all links of a cluster. Vectors of different lengths link with nothing of another
@@ -15,7 +19,9 @@ length.
 
 Defined cases: vectors that are null, zero, empty or hold null or non-finite
 components have no links and are their own component. component_id is the
-smallest vec_id that isn't null; kept is false for rows without an id.
+smallest vec_id that isn't null; kept is false for rows without an id. Ids keep their
+type, which may be any that has an order (strings too). Only the id and the vector are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from heddle.llm.components import connected_components
 
 #: Vectors in a tile.
 TILE = 4096
+#: Tiles of a block: at most so many, of so many bytes together (but at least one).
+SIDE, BLOCK_BYTES = 4, 64 << 20
 #: Axes taken at each step; the rest follow in one.
 STEPS = (16, 16)
 #: Leading axes of the boxes by which pairs of tiles are skipped.
@@ -124,7 +132,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def _box_gap() -> Column:
-    """Square of the least distance between the boxes of two tiles."""
+    """Square of the least distance between the boxes of two blocks."""
     gaps = F.zip_with(F.zip_with("hi", "olo", lambda h, o: o - h), F.zip_with("lo", "ohi", lambda l, o: l - o), lambda a, b: F.greatest(a, b))
     return F.aggregate(gaps, F.lit(0.0), lambda s, g: s + F.when(g > 0, g * g).otherwise(0.0))
 
@@ -132,50 +140,66 @@ def _box_gap() -> Column:
 def _links(classes: DataFrame, d: int, threshold: float) -> DataFrame:
     """node, links (weight of linked classes), root: partial results of all tile pairs."""
     rotation = axes(_moments(classes, d))
-    n, lead = classes.count(), rotation[:, 0]
+    lead, box, near = rotation[:, 0], min(BOX, d), 2 - 2 * threshold + 1e-6
 
     def along(b):
         return {"node": b.column(0), "weight": b.column(1), "v": b.column(2), "first": _unit(_stack(column(b, "v"), d)) @ lead}
 
-    ranged = map_arrow(classes.select("node", "weight", "v"), along, "node long, weight long, v binary, first double")
-    shares = [k * TILE / n for k in range(1, -(-n // TILE))]
-    cuts = sorted(set(ranged.agg(F.percentile_approx("first", shares, 1000)).first()[0])) if shares else []
-    edge = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    ranged = ranged.withColumn("range", F.size(F.filter(edge, lambda c: c <= F.col("first"))))
-    counts = ranged.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("subs"))
-    ranged = ranged.join(counts, "range").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
-
-    def tile(t: pa.Table) -> pa.Table:
+    def tile(t: pa.Table) -> pa.RecordBatch:
         blob = b"".join(t.column("v").to_pylist())
-        p = (_unit(_stack([blob], d)) @ rotation)[:, :BOX]
+        p = (_unit(_stack([blob], d)) @ rotation)[:, :box]
         whole = lambda c: t.column(c).to_numpy().astype(np.int64).tobytes()
-        return pa.table({"lo": pa.array([p.min(axis=0).tolist()]), "hi": pa.array([p.max(axis=0).tolist()]), "node": pa.array([whole("node")], pa.binary()), "weight": pa.array([whole("weight")], pa.binary()), "v": pa.array([blob], pa.binary())})
+        return pa.RecordBatch.from_pydict({"lo": pa.array([p.min(axis=0).tolist()]), "hi": pa.array([p.max(axis=0).tolist()]), "node": pa.array([whole("node")], pa.binary()), "weight": pa.array([whole("weight")], pa.binary()), "v": pa.array([blob], pa.binary())})
 
-    packed = ranged.select("range", "sub", "node", "weight", "v").groupBy("range", "sub").applyInArrow(tile, "lo array<double>, hi array<double>, node binary, weight binary, v binary")
+    def cut(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            while len(held) >= TILE:
+                yield tile(held.slice(0, TILE))
+                held = held.slice(TILE)
+        if held is not None and len(held):
+            yield tile(held)
+
+    ranged = map_arrow(classes.select("node", "weight", "v"), along, "node long, weight long, v binary, first double")
+    ordered = ranged.repartitionByRange("first", "node").sortWithinPartitions("first", "node").select("node", "weight", "v")
+    packed = ordered.mapInArrow(cut, "lo array<double>, hi array<double>, node binary, weight binary, v binary")
     tiles = materialize(packed.withColumn("id", F.monotonically_increasing_id()), "tiles")
-    numbered = tiles.select("id", "lo", "hi").withColumn("i", (F.row_number().over(Window.orderBy("id")) - 1).cast("int"))
-    last = F.lit(tiles.count() - 1)
-    other = numbered.select(F.col("i").alias("j"), F.col("id").alias("jid"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
-    pairs = numbered.withColumn("j", F.explode(F.sequence(F.col("i"), last))).join(other, "j").where(_box_gap() <= 2 - 2 * threshold + 1e-6)
-    sides = pairs.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("id")).otherwise(F.array("id", "jid"))).alias("id"))
+    side = max(1, min(SIDE, BLOCK_BYTES // (TILE * d * 8)))
+    numbered = tiles.select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("i"))
+    numbered = materialize(numbered.withColumn("block", F.floor(F.col("i") / side)), "numbers")
+    edge = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(box)]).alias(c)
+    blocks = tiles.select("id", "lo", "hi").join(numbered, "id").groupBy("block").agg(edge(F.min, "lo"), edge(F.max, "hi"))
+    last = F.lit((tiles.count() - 1) // side)
+    other = blocks.select(F.col("block").alias("b"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"))
+    pairs = blocks.withColumnRenamed("block", "a").withColumn("b", F.explode(F.sequence("a", last))).join(other, "b").where(_box_gap() <= near)
+    sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("block"))
 
     def meet(t: pa.Table) -> pa.Table:
-        parts = [(np.frombuffer(nd, np.int64), np.frombuffer(w, np.int64), _stack([v], d)) for nd, w, v in zip(*(t.column(c).to_pylist() for c in ("node", "weight", "v")), strict=True)]
-        x, y = parts[0], parts[-1]
-        i, j = compare(x[2], y[2], rotation, threshold, len(parts) == 1)
-        if len(parts) == 1:
-            nodes, weights = x[0], x[1]
-        else:
-            nodes, weights, j = np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]]), j + len(x[0])
-        links = np.zeros(len(nodes), np.int64)
-        np.add.at(links, i, weights[j])
-        np.add.at(links, j, weights[i])
-        root = nodes[forest(i, j, len(nodes))]
-        hit = links > 0
-        return pa.table({"node": nodes[hit], "links": links[hit], "root": root[hit]})
-
-    units = sides.join(tiles.select("id", "node", "weight", "v"), "id")
-    return materialize(units.groupBy("i", "j").applyInArrow(meet, "node long, links long, root long"), "links")
+        a, b = t.column("a")[0].as_py(), t.column("b")[0].as_py()
+        rows = sorted(t.drop_columns(["a", "b"]).to_pylist(), key=lambda r: r["i"])
+        parts = [(r["block"], np.frombuffer(r["node"], np.int64), np.frombuffer(r["weight"], np.int64), _stack([r["v"]], d), np.array(r["lo"]), np.array(r["hi"])) for r in rows]
+        out = []
+        for k, x in enumerate(parts):
+            for m in range(k, len(parts)):
+                y = parts[m]
+                gap = np.maximum(np.maximum(y[4] - x[5], x[4] - y[5]), 0)
+                if (x[0], y[0]) != (a, b) or gap @ gap > near:
+                    continue
+                i, j = compare(x[3], y[3], rotation, threshold, k == m)
+                nodes, weights = (x[1], x[2]) if k == m else (np.concatenate([x[1], y[1]]), np.concatenate([x[2], y[2]]))
+                j = j if k == m else j + len(x[1])
+                links = np.zeros(len(nodes), np.int64)
+                np.add.at(links, i, weights[j])
+                np.add.at(links, j, weights[i])
+                hit = links > 0
+                out.append((nodes[hit], links[hit], nodes[forest(i, j, len(nodes))][hit]))
+        whole = lambda k: np.concatenate([np.zeros(0, np.int64), *[o[k] for o in out]])
+        return pa.table({"node": whole(0), "links": whole(1), "root": whole(2)})
+
+    units = sides.join(numbered, "block").join(tiles, "id").select("a", "b", "block", "i", "node", "weight", "v", "lo", "hi")
+    return materialize(units.groupBy("a", "b").applyInArrow(meet, "node long, links long, root long"), "links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -191,7 +215,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         blobs = [None if v is None else v.astype(kind).tobytes() for v in found]
         return {"vec_id": b.column(0), "key": [None if x is None else xxhash.xxh3_128_digest(x) for x in blobs], "d": [0 if v is None else len(v) for v in found], "v": [None if v is None else v.tobytes() for v in found]}
 
-    rows = map_arrow(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e")), read, "vec_id long, key binary, d int, v binary")
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    id_type = "long" if id_type in ("tinyint", "smallint", "int", "bigint") else id_type
+    rows = map_arrow(vectors.select(F.col(id_col).cast(id_type).alias("vec_id"), F.col(vector_col).alias("e")), read, f"vec_id {id_type}, key binary, d int, v binary")
     rows = materialize(rows, "vectors")
     one = rows.where("d > 0").groupBy("key", "d").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
     classes = materialize(one.withColumn("node", F.monotonically_increasing_id()), "classes")

@@ -7,8 +7,10 @@ padding. Documents longer than the largest sequence give several pieces of that
 length first.
 
 Defined cases: a null or empty text is the end id alone, one piece of length 1.
-Rows with repeated or null ids are packed row by row. Sequence ids run through
-the buckets in turn, gapless over the whole table.
+Rows with repeated or null ids are packed row by row; ids may be of any type that can
+be ordered, and other columns are not read, whatever their names. A very long text is
+encoded whole, alone in its step. Sequence ids run through the buckets in turn, gapless
+over the whole table.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from heddle.llm.common import column, map_arrow, materialize
 from heddle.llm.word_tokens import encoder
 
-#: Groups into which a bucket's pieces are dealt for numbering.
-SALTS = 64
+#: Pieces of a group in which they are numbered.
+GROUP_ROWS = 20_000
 
 
 def cuts(n: int, limit: int) -> list[int]:
@@ -65,17 +67,21 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limit: int = 4
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limit: int = 4096, with_ids: bool = False) -> DataFrame:
     """pieces() plus sequence_id and offset (always 0).
 
-    Numbering takes no global sort: rows are counted by bucket and salt (at most
-    13 x 64 counts for 4,096), and numbered inside those groups.
+    Numbering takes no global sort: buckets (13 for 4,096) are counted and dealt into
+    groups of about GROUP_ROWS pieces, and pieces are numbered inside their group.
     """
-    cut = materialize(pieces(docs, tokenizer_path, end_id, limit, with_ids), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(F.desc("length"), "salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    cut = materialize(pieces(docs, tokenizer_path, end_id, limit, with_ids), "pieces")
+    before = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = cut.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    buckets = buckets.select("length", F.ceil(F.col("n") / GROUP_ROWS).alias("parts"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    cut = cut.join(F.broadcast(buckets), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "parts"))
+    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("first"))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("length", "salt", (F.col("first") + F.coalesce(F.sum("n").over(earlier), F.lit(0))).alias("base"))
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     return (
         cut.withColumn("rank", F.row_number().over(inside) - 1)
-        .join(F.broadcast(base), ["length", "salt"])
+        .join(base, ["length", "salt"])
         .withColumn("sequence_id", (F.col("base") + F.col("rank")).cast("long"))
         .withColumn("offset", F.lit(0).cast("long"))
         .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)

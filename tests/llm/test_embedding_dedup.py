@@ -45,9 +45,10 @@ def vectors(seed, n=150, d=24):
     return [*out, (None, out[1][1]), (3, out[3][1]), (None, None)]
 
 
-@pytest.mark.parametrize(("seed", "tile", "kind"), [(0, 4096, "float"), (1, 20, "float"), (2, 40, "double")])
-def test_against_brute_force(spark, monkeypatch, seed, tile, kind):
+@pytest.mark.parametrize(("seed", "tile", "side", "kind"), [(0, 4096, 4, "float"), (1, 20, 4, "float"), (2, 40, 1, "double"), (3, 7, 3, "float")])
+def test_against_brute_force(spark, monkeypatch, seed, tile, side, kind):
     monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "SIDE", side)
     monkeypatch.setattr(embedding_dedup, "STEPS", (4, 4))
     rows = vectors(seed)
     df = spark.createDataFrame([(i, e, 1) for i, e in rows], f"vec_id long, embedding array<{kind}>, label int").repartition(3)
@@ -70,3 +71,10 @@ def test_comparison_drops_no_pair_at_the_threshold():
     i, j = embedding_dedup.compare(x, x, embedding_dedup.axes(u.T @ u), 0.9, True)
     expected = {(a, b) for a in range(300) for b in range(a + 1, 300) if u[a] @ u[b] >= 0.9}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == expected and 20 < len(expected) < 100
+
+
+def test_ids_of_text_and_clashing_columns(spark):
+    rows = [(f"v{k:03d}" if k is not None else None, e) for k, e in vectors(4, n=40)]
+    df = spark.createDataFrame([(i, e, 1, 2, 3) for i, e in rows], "name string, x array<float>, vec_id int, node int, block int")
+    found = embedding_dedup.near_duplicates(df, id_col="name", vector_col="x").collect()
+    assert Counter(map(tuple, found)) == Counter(brute(rows))

@@ -91,6 +91,15 @@ def test_ids_of_words_are_the_ids_of_the_text(docs):
     assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in got] == direct_ids(texts)
 
 
+def test_packing_with_small_groups_is_gapless(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 3)
+    docs = spark.range(60).selectExpr("cast(id AS string) AS doc_id", "repeat('some words of a text ', cast(id % 7 * 40 AS int)) AS text", "1 AS salt", "2 AS length", "3 AS parts")
+    found = packing.pack(docs, WORD, limit=256).collect()
+    assert sorted(r.sequence_id for r in found) == list(range(len(found)))
+    lengths = [r.length for r in sorted(found, key=lambda r: r.sequence_id)]
+    assert lengths == sorted(lengths, reverse=True)
+
+
 def test_packing_round_trip(docs):
     rows = docs.select("doc_id", "text").collect()
     expected = []

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.llm import sharding, url_filter
-from heddle.llm.queries import RULES, op1_url_filter, op8_sharding
+from heddle.llm.queries import RULES, op1_url_filter
 
 DATA = "/root/testdata/sf0.001"
 
@@ -96,12 +96,63 @@ def test_shards_hold_equal_counts(request, name):
     assert curve == sorted(curve)
 
 
-def test_few_large_dimensions_prune(spark):
-    found = op8_sharding(spark, DATA)
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    boxes = sharding.ranges(found.join(docs, "doc_id"), ["lang", "source", "n_chars"]).collect()
-    read = sum(r.min_lang <= "fr" <= r.max_lang and r.min_n_chars <= 1000 <= r.max_n_chars for r in boxes)
-    assert read < len(boxes)
+def test_levels_are_middles_of_ranks(spark):
+    """Values of many rows spread over all levels; nulls and all-null columns have level 0."""
+    values = ["a"] * 13 + ["b"] * 62 + ["c"] * 10 + ["d"] * 15
+    df = spark.createDataFrame([(v, float(ord(v)), None) for v in values] + [(None, None, None)], "s string, x double, empty string")
+    cuts = sharding.levels(df, ["s", "x", "empty"], 4)
+    assert len(cuts["s"]) == 15 and cuts["s"] == sorted(cuts["s"]) and cuts["empty"] == []
+    grid = {tuple(c): i for i, c in zip(sharding.hilbert_index(np.array([(k,) for k in range(16)]), 4), [(k,) for k in range(16)], strict=True)}
+    at = {i: c[0] for c, i in grid.items()}
+    for name in ("s", "x"):
+        placed = df.select(name, sharding.hilbert_column(df, [name], cuts, 4).alias("i")).distinct().collect()
+        got = {r[0]: at[r.i] for r in placed}
+        middles = {"a": 1, "b": 7, "c": 12, "d": 14}
+        assert got[None] == 0
+        assert all(abs(got[v if name == "s" else float(ord(v))] - m) <= 1 for v, m in middles.items())
+
+
+def read_by(boxes, **wanted):
+    """Shards that a reader of these values must open."""
+    return sum(all(r[f"min_{c}"] is not None and r[f"min_{c}"] <= v <= r[f"max_{c}"] for c, v in wanted.items()) for r in boxes)
+
+
+def test_readers_skip_shards_by_each_column(spark):
+    """Against dealing by hash, which prunes nothing, and against sorting by one column, which prunes by that one only."""
+    dims = ["lang", "source", "n_chars"]
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+    found = sharding.assign(docs, dims).select("doc_id", "shard").join(docs, "doc_id")
+    boxes = sharding.ranges(found, dims).collect()
+    shares = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    for lang, n in shares.items():
+        assert read_by(boxes, lang=lang) <= (8 if n <= docs.count() / 5 else 14), (lang, read_by(boxes, lang=lang))
+        assert read_by(boxes, lang=lang, n_chars=300) < read_by(boxes, lang=lang)
+    hashed = sharding.ranges(docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(16))), dims).collect()
+    by_length = sharding.ranges(docs.selectExpr("*", "ntile(16) OVER (ORDER BY n_chars) AS shard"), dims).collect()
+    mean = lambda b: sum(read_by(b, source=f"src{k}", lang=x) for k in range(20) for x in shares) / (20 * len(shares))
+    assert mean(boxes) < 0.6 * min(mean(hashed), mean(by_length))
+
+
+def test_columns_with_the_names_of_shards(spark, tmp_path):
+    docs = spark.range(50).selectExpr("cast(id AS string) AS doc_id", "id % 3 AS _shard", "id % 5 AS _slot", "1 AS _file", "'x' AS cell", "2 AS salt", "concat('t', id) AS text")
+    sharding.write_shards(docs, str(tmp_path / "s"), ["_shard"], shards=4, rows_per_file=5)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert back.columns[-1] == "_shard_" and back.select("_shard_").distinct().count() == 4
+    with pytest.raises(ValueError):
+        sharding.assign(docs, ["_shard", "_slot", "_file"], bits=7)
+
+
+@pytest.mark.parametrize(("hot", "share", "rows"), [(10, 0.01, 7), (10_000, 0.5, 3)])
+def test_groups_of_a_cell_are_numbered_gapless(spark, monkeypatch, hot, share, rows):
+    monkeypatch.setattr(sharding, "HOT_ROWS", hot)
+    monkeypatch.setattr(sharding, "HOT_SHARE", share)
+    monkeypatch.setattr(sharding, "GROUP_ROWS", rows)
+    docs = spark.range(300).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', concat('s', id % 4)) AS source", "if(id % 3 = 0, 'same', concat('t', id % 40)) AS text")
+    found = sharding.assign(docs, ["source"]).collect()
+    assert sorted(r.rank for r in found) == list(range(300))
+    runs = [(r.curve, r.text_crc32) for r in sorted(found, key=lambda r: r.rank)]
+    assert sum(a != b for a, b in zip(runs, runs[1:])) + 1 == len(set(runs))
 
 
 def test_written_shards_hold_all_rows(spark, documents, tmp_path):
