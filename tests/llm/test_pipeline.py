@@ -56,4 +56,12 @@ def test_stages_take_odd_rows(spark, texts, no_texts):
             out = stage(spark, docs, DATA)
             assert out.columns == docs.columns
             assert not Counter(map(str, out.collect())) - Counter(map(str, docs.collect()))
+        found = Counter()
+        for r in corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect():
+            found[r.doc_id] += r.length
+        expected = Counter()
+        rows = docs.collect()
+        for r, ids in zip(rows, direct_ids([r.text for r in rows]) if rows else [], strict=True):
+            expected[r.doc_id] += len(ids) + 1
+        assert found == expected
     assert WORD and sys.modules["corpus_pipeline"]
