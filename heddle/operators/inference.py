@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from heddle.sources.store import stored
 
 SEED = 7411
 
@@ -96,44 +100,98 @@ def bootstrap_ci(df: DataFrame, value: str, by: list[str], repeats: int = 2000,
     return own.groupBy(*by).agg(F.avg(value).alias("estimate"), F.count(F.lit(1)).alias("n")).join(_interval(resampled_means(df, value, by, repeats, seed), by, ci), by)
 
 
-def _cluster_draws(parents: DataFrame, children: DataFrame, keys: list[str], child: str, repeats: int, seed: int) -> DataFrame:
-    """keys, child, times (per repeat): each drawn parent draws as many of its children as it has."""
-    counted = children.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    dealt = children.join(counted, keys).withColumn("_block", F.pmod(F.xxhash64(child, F.lit(seed)), F.ceil(F.col("_n") / BLOCK)))
-    sizes = dealt.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_size"))).alias("_sizes"))
-    sizes = sizes.select(*keys, F.transform("_sizes", lambda x: x["_block"]).alias("_at"), F.transform("_sizes", lambda x: x["_size"]).alias("_sizes"), F.xxhash64(*keys, F.lit(seed)).alias("_cell"))
-    rows = dealt.join(sizes, keys).join(parents, keys)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, child]) + ", _times array<long>"
+def _dealt(nodes: DataFrame, keys: list[str], child: str, level: int, seed: int) -> DataFrame:
+    """A row for each block of about BLOCK children of one parent (keys): the children in order with their sums, and what draws need.
+
+    A parent below the first level whose only child has sums needs no draw, as it has them itself.
+    """
+    counted = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count("_s").alias("_whole"))
+    drawn = counted if level == 0 else counted.where("_n > 1 or _whole = 0")
+    block = F.pmod(F.xxhash64(child, F.lit(seed)), F.ceil(F.col("_n") / BLOCK)).alias("_block")
+    own = F.array_sort(F.collect_list(F.struct(F.col(child).alias("child"), F.col("_s").alias("s"), F.col("_c").alias("c"))))
+    blocks = nodes.join(drawn, keys).select(*keys, child, "_s", "_c", "_n", block).groupBy(*keys, "_block").agg(own.alias("_own"), F.first("_n").alias("_n"))
+    sizes = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", F.size("_own").alias("_size")))).alias("_sizes"))
+    return blocks.join(sizes, keys).withColumn("_cell", F.xxhash64(*keys, F.lit(seed)))
 
-    def run(key, own):
-        own = own.sort_values(child)
-        first = own.iloc[0]
-        n, cell, block = int(first["_n"]), int(first["_cell"]), int(first["_block"])
-        split = lambda low, high: _generator(seed, cell, 2, low, high)
-        total = _share(split, np.asarray(first["_sizes"], np.int64), int(np.searchsorted(np.asarray(first["_at"]), block)), np.asarray(first["_times"], np.int64) * n)
-        times = _generator(seed, cell, 1, block).multinomial(total, np.full(len(own), 1 / len(own)))
-        return own[[*keys, child]].assign(_times=list(times.T))
 
-    return rows.groupBy(*keys, "_block").applyInPandas(run, schema)
+def _cluster_draws(parents: DataFrame, blocks: DataFrame, by: list[str], keys: list[str], child: str, repeats: int, seed: int) -> DataFrame:
+    """Each drawn parent (keys, _times per repeat) draws as many of its children as it has.
+
+    Rows of children that draw on have _times. The others' sums, times how often they are
+    drawn, are added up by task: rows with by, _sums and _counts.
+    """
+    # to all cores: draws are long work per row
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = blocks.join(parents, keys).repartition(tasks, *keys, "_block")
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + f", `{child}` string, _times array<long>, _sums array<double>, _counts array<double>"
+
+    def one(row):
+        n, cell, block = row["_n"], row["_cell"], row["_block"]
+        split = lambda low, high: _generator(seed, cell, 2, low, high)
+        drawn = np.asarray(row["_times"], np.int64) * n
+        size = len(row["_own"])
+        if len(row["_sizes"]) > 1:
+            sizes = np.asarray([x["_size"] for x in row["_sizes"]], np.int64)
+            drawn = _share(split, sizes, [x["_block"] for x in row["_sizes"]].index(block), drawn)
+        if size == 1:
+            return drawn[:, None]
+        return _generator(seed, cell, 1, block).multinomial(drawn, np.full(size, 1 / size))
+
+    def run(batches):
+        found: dict[tuple, np.ndarray] = {}
+        out: list[dict] = []
+        for b in batches:
+            for at in range(b.num_rows):
+                row = {c: b.column(c)[at].as_py() for c in b.schema.names}
+                times = one(row)
+                whole = np.array([x["s"] is not None for x in row["_own"]])
+                sums = np.array([[x["s"] or 0.0, x["c"] or 0.0] for x in row["_own"]])
+                cell = tuple(row[c] for c in by)
+                # (2, repeats)
+                found[cell] = found.get(cell, 0.0) + (times @ np.where(whole[:, None], sums, 0.0)).T
+                out += [{**{c: row[c] for c in keys}, child: row["_own"][k]["child"], "_times": times[:, k].tolist(), "_sums": None, "_counts": None} for k in np.flatnonzero(~whole)]
+                if len(out) >= 256:
+                    yield pa.RecordBatch.from_pylist(out, typed)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, typed)
+        if found:
+            yield pa.RecordBatch.from_pylist([{**dict.fromkeys(typed.names), **dict(zip(by, cell, strict=True)), "_sums": x[0].tolist(), "_counts": x[1].tolist()} for cell, x in found.items()], typed)
+
+    typed = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    return rows.mapInArrow(run, schema)
 
 
 def nested_bootstrap_ci(df: DataFrame, value: str, clusters: list[str], by: list[str], repeats: int = 500, ci: float = 0.95, seed: int = SEED) -> DataFrame:
     """As bootstrap_ci, but clusters are drawn level by level; absent columns are ignored, nulls are one cluster.
 
     A drawn cluster draws among its own sub-clusters; all rows of a drawn innermost
-    cluster count. Rows are added up by innermost cluster first, and only how often each
-    is drawn goes from level to level.
+    cluster count. Rows are added up by innermost cluster first. A cluster with one
+    sub-cluster, down to the rows, has the sums of that one and no draw of its own, so what
+    is shuffled of it are two numbers; how often a cluster is drawn goes on only to clusters
+    that draw among several.
     """
     clusters = [c for c in clusters if c in df.columns]
     text = df.select(*by, *[F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias(c) for c in clusters], F.col(value).cast("double").alias("_v"))
-    sums = text.groupBy(*by, *clusters).agg(F.sum("_v").alias("_s"), F.count("_v").alias("_c"))
+    if not clusters:
+        clusters, text = ["_all"], text.withColumn("_all", F.lit(""))
+    # read by every level
+    sums = stored(text.groupBy(*by, *clusters).agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_s"), F.count("_v").cast("double").alias("_c")), "clusters")
+    nodes = [sums]
+    for level in range(len(clusters) - 1, 0, -1):
+        alone = lambda c: F.when((F.count(F.lit(1)) == 1) & (F.count("_s") == 1), F.first(c)).alias(c)
+        nodes.insert(0, nodes[0].groupBy(*by, *clusters[:level]).agg(alone("_s"), alone("_c")))
     times = sums.select(*by).distinct().withColumn("_times", F.array_repeat(F.lit(1).cast("long"), repeats))
+    each: DataFrame | None = None
     for level, c in enumerate(clusters):
         keys = [*by, *clusters[:level]]
-        times = _cluster_draws(times, sums.select(*keys, c).distinct(), keys, c, repeats, seed + level)
-    each = times.join(sums, [*by, *clusters]).select(*by, "_s", "_c", F.posexplode("_times").alias("_r", "_k"))
-    means = each.groupBy(*by, "_r").agg((F.sum(F.col("_k") * F.col("_s")) / F.sum(F.col("_k") * F.col("_c"))).alias("mean"))
-    return sums.groupBy(*by).agg((F.sum("_s") / F.sum("_c")).alias("estimate")).join(_interval(means, by, ci), by)
+        drawn = _cluster_draws(times, _dealt(nodes[level], keys, c, level, seed + level), by, keys, c, repeats, seed + level)
+        own = drawn.where("_sums is not null").select(*by, "_sums", "_counts")
+        each = own if each is None else each.unionByName(own)
+        times = drawn.where("_times is not null").select(*keys, c, "_times")
+    cells = each.select(*by, F.posexplode(F.arrays_zip("_sums", "_counts")).alias("_r", "x"))
+    means = cells.groupBy(*by, "_r").agg(F.try_divide(F.sum("x._sums"), F.sum("x._counts")).alias("mean"))
+    return sums.groupBy(*by).agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("estimate")).join(_interval(means, by, ci), by)
 
 
 def signflip_p(df: DataFrame, value: str, by: list[str], repeats: int = 2000, seed: int = SEED + 1) -> DataFrame:

@@ -154,6 +154,20 @@ def test_nested_bootstrap_is_wider_where_clusters_differ(spark):
     assert nested.ci_high - nested.ci_low > 3 * (plain.ci_high - plain.ci_low) and math.isclose(nested.estimate, plain.estimate)
 
 
+def test_clusters_of_one_need_no_draws(spark):
+    r = random.Random(8)
+    rows = [("x", str(c), k, None, r.gauss(0, 1)) for c in range(5) for k in range(40)] + [("y", "0", 0, None, 2.0)]
+    df = spark.createDataFrame(rows, "p string, c string, u long, d string, v double")
+    deep, flat = ({x.p: x for x in inference.nested_bootstrap_ci(df, "v", names, ["p"], 200).collect()} for names in (["c", "u", "d"], ["c", "u"]))
+    assert set(deep) == {"x", "y"} and deep["y"].ci_low == deep["y"].ci_high == 2.0
+    for p in deep:
+        assert all(math.isclose(deep[p][c], flat[p][c], abs_tol=1e-12) for c in ("estimate", "ci_low", "ci_high"))
+    # one sub-cluster each: none is dealt out for draws
+    nodes = df.select("p", "c", "u", F.lit("").alias("d"), F.col("v").alias("_s"), F.lit(1.0).alias("_c"))
+    assert inference._dealt(nodes, ["p", "c", "u"], "d", 2, 1).count() == 0
+    assert inference._dealt(nodes, ["p", "c"], "u", 1, 1).count() == 5
+
+
 def test_exact_flips_say_so(spark):
     df = spark.createDataFrame([("a", float(k)) for k in range(1, 5)] + [("b", float(k)) for k in range(1, 20)], "g string, v double")
     got = {x.g: x for x in inference.exact_signflip_p(df, "v", ["g"]).collect()}
