@@ -2,49 +2,151 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from heddle.functions.arrays import argmax, at_temperature, clip_normalize, entropy, normalize
+from heddle.functions.arrays import EPS, argmax, at_temperature, clip_normalize, entropy, normalize
 from heddle.operators.metrics import nll
 from heddle.operators.sequences import ASSIST, Modality, temporal_features
+from heddle.sources.store import stored
 
 T_LOW, T_HIGH = 0.25, 8.0
 
 
+#: Groups whose table goes to all tasks.
+FEW_GROUPS = 100_000
+
+
+def _logs(df: DataFrame, by: list[str], probs: str) -> DataFrame:
+    """by, label, logs: the logarithms of the clipped vectors, which is all that losses need; null where a row has no loss."""
+    return df.select(*by, F.col("label").cast("long").alias("label"), F.transform(clip_normalize(F.col(probs)), lambda x: F.log(x)).alias("logs"))
+
+
+def _losses_at(logs: np.ndarray, label: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """metrics.nll() of arrays.at_temperature() of rows of logarithms (n x K), each at its t."""
+    w = np.exp(logs / t[:, None] - (logs / t[:, None]).max(axis=1, keepdims=True))
+    q = np.clip(w / w.sum(axis=1, keepdims=True), EPS, 1.0)
+    return -np.log(np.maximum(q[np.arange(len(label)), label] / q.sum(axis=1), EPS))
+
+
+#: What metrics.nll() gives a row without label or vector.
+NO_LOSS = float(-np.log(EPS))
+
+
+def _sums(rows: DataFrame, by: list[str], f, missing: float | None = None, width: int | None = None) -> DataFrame:
+    """by, k, s, n: for each group the sum over its rows of the k-th of the numbers f gives for each row, and its rows.
+
+    f(logs (n x K), label, t (n x the row's temperatures)) -> n x numbers. Rows: by, label,
+    logs, t; each task adds up its own in numpy, and only sums are shuffled. Rows without
+    label or vector count as missing for all numbers (as many as width, else as t has), or not at all.
+    """
+    types = {c: rows.schema[c].dataType for c in by}
+    schema = "".join(f"`{c}` {t.simpleString()}, " for c, t in types.items()) + "k int, s double, n long"
+    typed = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        found: dict[tuple, tuple] = {}
+
+        def out():
+            each = [(*g, k, float(x), n) for g, (s, n) in found.items() for k, x in enumerate(s)]
+            found.clear()
+            columns = zip(*each, strict=True) if each else [[] for _ in typed]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, typed, strict=True)], schema=typed)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = pc.fill_null(pc.list_value_length(b.column("logs")), -1).to_numpy(zero_copy_only=False)
+            label = pc.fill_null(b.column("label"), 0).to_numpy(zero_copy_only=False)
+            has = b.column("label").is_valid().to_numpy(zero_copy_only=False) & (size >= 0)
+            if ((label < 0) | (label >= size))[has].any():
+                raise ValueError("label beyond the vector")
+            names: dict[tuple, int] = {}
+            columns = [b.column(c).to_pylist() for c in by]
+            group = np.array([names.setdefault(x, len(names)) for x in zip(*columns, strict=True)] if by else [names.setdefault((), 0)] * b.num_rows)
+            for k in np.unique(size[has]):
+                at = np.flatnonzero(has & (size == k))
+                own = b.take(pa.array(at))
+                matrix = lambda c: own.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)  # noqa: B023, E731
+                x = f(matrix("logs"), label[at], matrix("t"))
+                n = np.bincount(group[at], minlength=len(names))
+                sums = np.array([np.bincount(group[at], x[:, j], minlength=len(names)) for j in range(x.shape[1])])
+                for g, i in names.items():
+                    if n[i]:
+                        s, m = found.get(g, (0.0, 0))
+                        found[g] = (s + sums[:, i], m + int(n[i]))
+            if missing is not None and not has.all():
+                n, wide = np.bincount(group[~has], minlength=len(names)), width or len(b.column("t")[0])
+                for g, i in names.items():
+                    if n[i]:
+                        s, m = found.get(g, (0.0, 0))
+                        found[g] = (s + np.full(wide, missing * n[i]), m + int(n[i]))
+            if len(found) >= FEW_GROUPS:
+                yield out()
+        yield out()
+
+    return rows.mapInArrow(run, schema).groupBy(*by, "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def _each_loss(logs, label, t):
+    return np.stack([_losses_at(logs, label, t[:, j]) for j in range(t.shape[1])], axis=1)
+
+
 def temperature_losses(df: DataFrame, by: list[str], grid: list[float], probs: str = "p_assist") -> DataFrame:
     """by, t, loss: mean negative log likelihood at each temperature of the grid."""
-    e = df.select(*by, "label", F.col(probs).alias("p"), F.explode(F.array(*map(F.lit, grid))).alias("t"))
-    return e.groupBy(*by, "t").agg(F.avg(nll(at_temperature(F.col("p"), F.col("t")), F.col("label"))).alias("loss"))
+    if min(grid) <= 0:
+        raise ValueError("temperature must be positive")
+    every = np.array([grid], float)
+    rows = _logs(df, by, probs).withColumn("t", F.array(F.lit(1.0)))
+    sums = _sums(rows, by, lambda logs, label, t: _each_loss(logs, label, np.broadcast_to(every, (len(label), every.shape[1]))), NO_LOSS, len(grid))
+    return sums.select(*by, F.element_at(F.array(*[F.lit(float(t)) for t in grid]), F.col("k") + 1).alias("t"), (F.col("s") / F.col("n")).alias("loss"))
+
+
+def losses_at(df: DataFrame, temperatures: DataFrame, by: list[str], probs: str = "p_assist") -> DataFrame:
+    """by, temperature, loss: the mean negative log likelihood at each group's own temperature (by, temperature)."""
+    rows = _logs(df, by, probs).join(temperatures, by)
+    sums = _sums(rows.withColumn("t", F.array("temperature")), [*by, "temperature"], _each_loss, NO_LOSS)
+    return sums.select(*by, "temperature", (F.col("s") / F.col("n")).alias("loss"))
 
 
 def fit_temperature(df: DataFrame, by: list[str], probs: str = "p_assist", rounds: int = 2, points: int = 9, steps: int = 4) -> DataFrame:
     """by, temperature: the one of least mean loss within its bounds; 1 where the rows hold under two classes.
 
     A grid is refined around its best, then Newton steps follow in the inverse
-    temperature, in which the loss is convex. Rows are reduced to their logarithms
-    once; each round is one aggregation.
+    temperature, in which the loss is convex. Rows are reduced to their logarithms and
+    stored once; each round is one pass over these, of which tasks send sums by group.
     """
     step = (T_HIGH - T_LOW) / (points - 1)
-    best = df.select(*by).distinct().withColumn("mid", F.lit((T_LOW + T_HIGH) / 2))
-    logs = df.select(*by, "label", F.transform(clip_normalize(F.col(probs)), lambda x: F.log(x)).alias("logs"))
+    rows = stored(_logs(df, by, probs), "logs")
+    classes = rows.groupBy(*by).agg(F.count_distinct("label").alias("k")).persist()
+    small = F.broadcast if classes.count() <= FEW_GROUPS else (lambda x: x)
+    best = classes.select(*by, F.lit((T_LOW + T_HIGH) / 2).alias("mid"))
+    half = points // 2
     for r in range(rounds):
         width = step / ((points - 1) / 2) ** r
-        half = points // 2
         grid = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.least(F.greatest(F.col("mid") + k * F.lit(width), F.lit(T_LOW)), F.lit(T_HIGH)))
-        e = df.join(best, by).select(*by, "label", F.col(probs).alias("p"), F.explode(F.array_distinct(grid)).alias("t"))
-        losses = e.groupBy(*by, "t").agg(F.avg(nll(at_temperature(F.col("p"), F.col("t")), F.col("label"))).alias("loss"))
-        best = losses.groupBy(*by).agg(F.min_by("t", F.struct("loss", "t")).alias("mid"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+        losses = _sums(rows.join(small(best.select(*by, grid.alias("t"))), by), by, _each_loss, NO_LOSS)
+        mid = F.least(F.greatest(F.col("mid") + (F.col("i") - half) * F.lit(width), F.lit(T_LOW)), F.lit(T_HIGH))
+        at = losses.withColumnRenamed("k", "i").join(best, by).withColumns({"t": mid, "loss": F.col("s") / F.col("n")})
+        best = at.groupBy(*by).agg(F.min_by("t", F.struct("loss", "t")).alias("mid"))
+
+    def slopes(logs, label, t):
+        w = np.exp((logs - logs.max(axis=1, keepdims=True)) / t)
+        z = w.sum(axis=1)
+        mean = (w * logs).sum(axis=1) / z
+        return np.stack([mean - logs[np.arange(len(label)), label], (w * logs * logs).sum(axis=1) / z - mean * mean], axis=1)
+
     for _ in range(steps):
-        e = logs.join(best, by).withColumn("w", F.transform("logs", lambda x: F.exp((x - F.array_max("logs")) / F.col("mid"))))
-        e = e.withColumns({"z": total(F.col("w")), "m1": total(F.zip_with("w", "logs", lambda w, x: w * x)), "m2": total(F.zip_with("w", "logs", lambda w, x: w * x * x))})
-        mean = F.col("m1") / F.col("z")
-        sums = e.groupBy(*by).agg(F.first("mid").alias("mid"), F.avg(mean - F.element_at("logs", F.col("label") + 1)).alias("slope"), F.avg(F.col("m2") / F.col("z") - mean * mean).alias("curve"))
+        at = _sums(rows.join(small(best), by).withColumn("t", F.array("mid")), [*by, "mid"], slopes)
+        pick = lambda k: F.max(F.when(F.col("k") == k, F.col("s") / F.col("n")))
+        sums = at.groupBy(*by, "mid").agg(pick(0).alias("slope"), pick(1).alias("curve"))
         inverse = 1 / F.col("mid") - F.when(F.col("curve") > 1e-12, F.col("slope") / F.col("curve")).otherwise(0.0)
         best = sums.select(*by, (1 / F.least(F.greatest(inverse, F.lit(1 / T_HIGH)), F.lit(1 / T_LOW))).alias("mid"))
-    classes = df.groupBy(*by).agg(F.count_distinct("label").alias("k"))
-    return best.join(classes, by).select(*by, F.when(F.col("k") < 2, 1.0).otherwise(F.col("mid")).alias("temperature"))
+    return classes.join(best, by, "left").where("k < 2 or mid is not null").select(*by, F.when(F.col("k") < 2, 1.0).otherwise(F.col("mid")).alias("temperature"))
 
 
 def class_weights(df: DataFrame, classes: int, label: str = "label") -> DataFrame:

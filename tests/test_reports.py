@@ -26,6 +26,22 @@ def test_temperature_is_the_best_of_a_dense_grid(spark):
     assert abs(got[4] - 8.0) < 1e-9  # equal chances: as flat as the bounds allow
 
 
+def test_losses_added_up_in_tasks_equal_the_columns(spark):
+    from heddle.functions.arrays import at_temperature
+    from heddle.operators import metrics
+
+    rows = [(f"g{i % 3}", [0.0, 1.0] if i % 5 == 0 else [0.1 * (i % 7), 0.3, 1e-14], i % 2) for i in range(40)] + [("g0", None, 1), ("g1", [0.5, 0.5], None), ("g4", None, 0)]
+    df = spark.createDataFrame(rows, "g string, p_assist array<double>, label int")
+    ts = [0.25, 1.0, 8.0]
+    want = {(r.g, t): r.loss for t in ts for r in df.groupBy("g").agg(F.avg(metrics.nll(at_temperature(F.col("p_assist"), t), F.col("label"))).alias("loss")).collect() if r.loss is not None}
+    got = {(r.g, r.t): r.loss for r in scoring.temperature_losses(df, ["g"], ts).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+    own = scoring.losses_at(df, spark.createDataFrame([(f"g{k}", t) for k, t in enumerate(ts)], "g string, temperature double"), ["g"])
+    assert {r.g: round(r.loss, 12) for r in own.collect()} == {f"g{k}": round(want[f"g{k}", t], 12) for k, t in enumerate(ts)}
+    with pytest.raises(Exception, match="beyond"):
+        scoring.temperature_losses(df.withColumn("label", F.lit(5)), ["g"], ts).collect()
+
+
 def test_manifest_rules(spark):
     good = ("d", "root", "u", "a", 3, 4, 100, ["x", "y"])
     schema = "dataset string, prepared_root string, user_model string, assist_model string, trace_count long, decision_count long, pairwise_repeats long, split_families array<string>"
