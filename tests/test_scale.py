@@ -252,6 +252,21 @@ def labelled(spark, n=400):
     return spark.createDataFrame(rows, "row_id long, label int, features array<double>, fold int")
 
 
+def test_fits_read_their_rows_from_a_folder(spark, monkeypatch):
+    seen = {}
+
+    def look(own, *rest):
+        seen[own.first().split_id] = ("Join" in own._jdf.queryExecution().toString(), {(r.row_id, r.role, r.label, tuple(r.v)) for r in own.collect()})
+
+    monkeypatch.setattr(scoring, "_fit_one", look)
+    df = spark.createDataFrame([(k, k % 2, [float(k), 1.0], k % 3) for k in range(30)], "row_id long, label int, features array<double>, fold int")
+    assert scoring.fit_score(df, splits.leave_one_group_out(df, "fold"), "logistic", 2).count() == 0
+    # joined once for all splits, so that no pass of a fit joins or broadcasts again
+    assert set(seen) == {"logo|0", "logo|1", "logo|2"} and not any(joins for joins, _ in seen.values())
+    for split, (_, rows) in seen.items():
+        assert rows == {(k, "test" if f"logo|{k % 3}" == split else "train", k % 2, (float(k), 1.0)) for k in range(30)}
+
+
 def test_failed_splits_are_kept_apart(spark, monkeypatch):
     df = labelled(spark)
     members = splits.leave_one_group_out(df, "fold")
