@@ -218,6 +218,33 @@ def leakage(members: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
     return sides.where("t = 1 and r = 1").select("split_id", "key", "value")
 
 
+def family_leakage(family: Family, df: DataFrame, keys: list[str]) -> DataFrame:
+    """leakage() of a family's splits, from the folds in which a value lies; no row is taken once a split.
+
+    A value leaks where its rows lie in the split's fold and in a fold (or wing, or
+    earlier rank) that the split trains on. Values of one cell of these only are gone
+    before splits are met.
+    """
+    absent = [k for k in keys if k not in df.columns]
+    if absent:
+        raise KeyError(f"no such columns: {absent}")
+    cells = ["fold", "wing", "rank"]
+    named = [k for k in dict.fromkeys(keys) if k != "row_id"]
+    own = family.rows.join(df.select("row_id", *named), "row_id") if named else family.rows
+    known = family.splits.select("split_id", F.col("fold").alias("_fold"), "trains", F.col("rank").alias("_rank"))
+    role = family.role(F.col("x._fold"), F.col("x.trains"), F.col("x._rank"))
+    out: DataFrame | None = None
+    for k in ["row_id", *named]:
+        values = own.where(F.col(k).isNotNull()).groupBy(F.col(k).cast("string").alias("value"), *cells).agg(F.count(F.lit(1)).alias("_n"))
+        met = values.groupBy("value").agg(F.collect_set(F.struct(*cells)).alias("_cells")).where(F.size("_cells") > 1)
+        # the splits that test one of a value's folds; the other cells tell whether one trains
+        tested = met.withColumn("_fold", F.explode(F.array_distinct(F.transform("_cells", lambda c: c["fold"])))).join(known, "_fold")
+        each = tested.select("split_id", "value", F.struct("_fold", "trains", "_rank").alias("x"), F.explode("_cells").alias("_c")).select("split_id", "value", "x", "_c.*")
+        found = each.where(role == "train").select("split_id", F.lit(k).alias("key"), "value").distinct()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def filter_splits(splits: DataFrame, families: list[str] | None = None, ids: list[str] | None = None, per_family: int | None = None, order: str = "split_id") -> DataFrame:
     """Allowlists of families and ids, then the first so many of each family."""
     s = splits.withColumn("split_family", F.split_part("split_id", F.lit("|"), F.lit(1)))

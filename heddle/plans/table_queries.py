@@ -273,7 +273,7 @@ def d6(spark, sf_dir):
 @query("d7_leakage_check", sql.query(sql.M, body="SELECT 'logo|' || g AS split_id, count(DISTINCT subject_id) AS leaks FROM (SELECT DISTINCT \"group\" AS g FROM m), m WHERE subject_id IN (SELECT subject_id FROM m m2 WHERE m2.\"group\" = g) AND subject_id IN (SELECT subject_id FROM m m3 WHERE m3.\"group\" <> g) GROUP BY ALL"))
 def d7(spark, sf_dir):
     m = views.metadata(spark, sf_dir)
-    return splits.leakage(splits.leave_one_group_out(m, "group"), m, ["subject_id"]).groupBy("split_id").agg(F.count(F.lit(1)).alias("leaks"))
+    return splits.family_leakage(splits.logo_family(m, "group"), m, ["subject_id"]).groupBy("split_id").agg(F.count(F.lit(1)).alias("leaks"))
 
 
 @query("d8_split_filters", sql.query(sql.T, "f AS (SELECT split_id, split_part(split_id, '|', 1) AS split_family, row_number() OVER (PARTITION BY split_part(split_id, '|', 1) ORDER BY split_id) AS k FROM (SELECT DISTINCT split_id FROM t))", body="SELECT split_id, split_family FROM f WHERE split_family IN ('logo', 'forward_day') AND k <= 3"))

@@ -200,6 +200,21 @@ def test_totals_equal_members(spark):
         assert f.members([first]).count() == f.members().where(F.col("split_id") == first).count()
 
 
+def test_leaks_of_a_family_equal_those_of_its_members(spark):
+    r = random.Random(12)
+    rows = [(k, r.choice(["a", "b", "c", None]), r.choice(["target", "background"]), f"day{r.randrange(4)}", r.choice([*range(12), None])) for k in range(60)]
+    rows += [(5, "a", "target", "day0", 99), (5, "b", "background", "day3", 98)]
+    df = spark.createDataFrame(rows, "row_id long, subject_id string, group string, day string, code int")
+    found = []
+    for f in (splits.logo_family(df, "subject_id"), splits.forward_family(df, "day"), splits.population_family(df)):
+        got = sorted(map(tuple, splits.family_leakage(f, df, ["code", "row_id"]).collect()))
+        assert got == sorted(map(tuple, splits.leakage(f.members(), df, ["code"]).collect()))
+        found += got
+    assert {"row_id", "code"} == {k for _, k, _ in found}
+    with pytest.raises(KeyError):
+        splits.family_leakage(splits.logo_family(df, "subject_id"), df, ["none"])
+
+
 def test_null_groups_are_a_group(spark):
     df = odd_rows(spark)
     m = splits.group_k_fold(df, "g", 3)
