@@ -82,6 +82,18 @@ def test_units_in_parts_equal_units_in_one_task(spark):
     assert math.isclose(got, metrics.risk_coverage(d, unit, "event_id", split=False).groupBy().agg(F.sum("risk_coverage_auc")).first()[0], rel_tol=1e-9)
 
 
+def test_decisions_made_before_splits_equal_those_after(spark):
+    b = views.base_traces(spark, DATA).limit(40).localCheckpoint()
+    names = ["event_id", "split_id", "policy", "selected_action", "coverage", "expected_ali"]
+    grid = lambda: F.array(*[policies.margin_budget(policies.Staged(), t) for t in (0.05, 0.2)])
+    after = policies.expand(views.by_split(b), grid())
+    staged = policies.stage(b)
+    assert policies.stage(staged).columns == staged.columns
+    for d in (views.by_split(policies.expand(b, grid())), policies.expand(views.by_split(staged), grid())):
+        assert sorted(d.columns) == sorted(after.columns)
+        assert sorted(map(tuple, d.select(names).collect())) == sorted(map(tuple, after.select(names).collect()))
+
+
 def test_classes_come_from_the_vector(spark):
     p = [0.05] * 9 + [0.55]
     row = [(1, "s|a", "p", 9, 9, True, True, 0.1, 0.5, 100.0, p)]
