@@ -172,6 +172,86 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
+#: The first 64 bytes of XXH3's secret, as little-endian numbers.
+_KEYS = np.frombuffer(bytes.fromhex("b8fe6c3923a44bbe7c01812cf721ad1cded46de9839097db7240a4a4b7b3671fcb79e64eccc0e578825ad07dccff7221b8084674f743248ee03590e6813a264c"), "<u8")
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
+#: Bytes of text whose words are hashed at a time.
+_STEP = 1 << 20
+
+
+def _rotated(h: np.ndarray, k: int) -> np.ndarray:
+    return (h << np.uint64(k)) | (h >> np.uint64(64 - k))
+
+
+def _folded_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Both halves of the 128-bit products, joined by exclusive or."""
+    low, half = np.uint64(0xFFFFFFFF), np.uint64(32)
+    a0, a1, b0, b1 = a & low, a >> half, b & low, b >> half
+    first, upper = a0 * b0, a1 * b0
+    cross = (first >> half) + (upper & low) + a0 * b1
+    return ((cross << half) | (first & low)) ^ ((upper >> half) + (cross >> half) + a1 * b1)
+
+
+def _short_hashes(at: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """XXH3 of words of up to 16 bytes; at: the 8 bytes from each place on."""
+    u = np.uint64
+    out = np.zeros(len(starts), np.uint64)
+    k = np.flatnonzero(size < 4)
+    x, n = at[starts[k]], size[k]
+    byte = lambda p: (x >> (u(8) * p.astype(np.uint64))) & u(255)
+    h = (byte(n * 0) << u(16)) | (byte(n >> 1) << u(24)) | byte(n - 1) | (n.astype(np.uint64) << u(8))
+    h ^= (_KEYS[0] & u(0xFFFFFFFF)) ^ (_KEYS[0] >> u(32))
+    h = (h ^ (h >> u(33))) * u(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> u(29))) * u(0x165667B19E3779F9)
+    out[k] = h ^ (h >> u(32))
+    k = np.flatnonzero((size >= 4) & (size <= 8))
+    low, n = u(0xFFFFFFFF), size[k]
+    h = (at[starts[k] + n - 4] & low) + ((at[starts[k]] & low) << u(32)) ^ (_KEYS[1] ^ _KEYS[2])
+    h ^= _rotated(h, 49) ^ _rotated(h, 24)
+    h *= u(0x9FB21C651E98DF25)
+    h = (h ^ ((h >> u(35)) + n.astype(np.uint64))) * u(0x9FB21C651E98DF25)
+    out[k] = h ^ (h >> u(28))
+    k = np.flatnonzero((size > 8) & (size <= 16))
+    n = size[k]
+    a, b = at[starts[k]] ^ (_KEYS[3] ^ _KEYS[4]), at[starts[k] + n - 8] ^ (_KEYS[5] ^ _KEYS[6])
+    h = n.astype(np.uint64) + a.byteswap() + b + _folded_product(a, b)
+    h = (h ^ (h >> u(37))) * u(0x165667919E3779F9)
+    out[k] = h ^ (h >> u(32))
+    return out
+
+
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    raw = b"".join([b" ", b" ".join(texts).lower(), bytes([32]) * 8])
+    space = _SPACE[np.frombuffer(raw, np.uint8, int(ends[-1]) + 1)]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    starts, stops = edge[::2].copy(), edge[1::2]
+    size = stops - starts
+    h = _short_hashes(np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,)), starts, size)
+    far = np.flatnonzero(size > 16)
+    h[far] = hash_words([raw[a:b] for a, b in zip(starts[far].tolist(), stops[far].tolist(), strict=True)])
+    return h, np.diff(np.searchsorted(starts, ends, "right"), prepend=0)
+
+
+def text_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """hash_words() of the words of all texts in turn, A-Z lower-cased, and the number of words of each text.
+
+    Words of up to 16 bytes are hashed by numpy, without an object for each.
+    """
+    steps: list[list[bytes]] = []
+    size = _STEP
+    for x in texts:
+        if size >= _STEP:
+            steps.append([])
+            size = 0
+        steps[-1].append(x or b"")
+        size += len(x or b"")
+    found = [_hashes(x) for x in steps]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate([n, *x]) for n, *x in zip(none, *found, strict=True))  # type: ignore[return-value]
+
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _FIN = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33))
 

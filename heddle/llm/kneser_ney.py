@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import column, discard, fresh, hash_words, map_arrow, materialize, mix
+from heddle.llm.common import column, discard, fresh, map_arrow, materialize, mix, text_words
 from heddle.llm.hash_table import Table, shard_of
 
 _BEGIN, _END = np.uint64(0x51ED270B7A1F3C55), np.uint64(0x3C6EF372FE94F82B)
@@ -40,9 +40,8 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
 
     Tokens are the words, A-Z lower-cased, and an end; two begin marks stand before the first.
     """
-    words = [(x or b"").lower().split() for x in texts]
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
-    flat = hash_words([w for x in words for w in x])
+    flat, counts = text_words(texts)
+    sizes = counts + 1
     ends = np.cumsum(sizes) - 1
     w = np.empty(int(sizes.sum()), np.uint64)
     at_end = np.zeros(len(w), bool)

@@ -37,14 +37,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from heddle.llm.common import HASH_ENTRIES, WHOLE, column, enter, map_arrow, materialize, mix, register_cache, slices
+from heddle.llm.common import WHOLE, column, enter, map_arrow, materialize, mix, register_cache, slices, text_words
 from heddle.llm.hash_table import Shard
 
 #: Outcomes of each of the two softmaxes.
@@ -69,30 +68,17 @@ _END = np.uint64(0x3C6EF372FE94F800)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
-class _Words(dict):
-    """Hash of a word."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = h
-        return h
-
-
-_words = _Words()
-register_cache(__name__, lambda: (_words.clear(), _seen.clear()))
+register_cache(__name__, lambda: _seen.clear())
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts in turn (each text's words and an end), and the texts' sizes."""
-    if len(_words) > HASH_ENTRIES:
-        _words.clear()
-    words = [(x or b"").lower().split() for x in texts]
-    sizes = np.array([len(w) + 1 for w in words], np.int64)
+    words, counts = text_words(texts)
+    sizes = counts + 1
     out = np.full(int(sizes.sum()), _END, np.uint64)
     at_end = np.zeros(len(out), bool)
     at_end[np.cumsum(sizes) - 1] = True
-    flat = [w for x in words for w in x]
-    out[~at_end] = np.fromiter(map(_words.__getitem__, flat), np.uint64, len(flat))
+    out[~at_end] = words
     return out, sizes
 
 
@@ -146,11 +132,14 @@ def rows_of(x: np.ndarray, bits: int, classes: np.ndarray | None = None) -> np.n
     return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Softmax of the bias and the rows' weights, tokens x outcomes."""
-    s = weights.take(rows[0], axis=0)
+def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray], room: np.ndarray) -> np.ndarray:
+    """Softmax of the bias and the rows' weights, tokens x outcomes, in the first half of room (2 x tokens x outcomes)."""
+    n = len(rows[0])
+    s, more = room[0, :n], room[1, :n]
+    # rows lie within the weights; only other modes than "raise" write to room without a copy
+    weights.take(rows[0], axis=0, out=s, mode="clip")
     for r in rows[1:]:
-        s += weights.take(r, axis=0)
+        s += weights.take(r, axis=0, out=more, mode="clip")
     s += bias
     np.exp(s, out=s)  # weights are held within MOST_WEIGHT, so this stays finite
     s *= (1 / (s @ np.ones(s.shape[1], s.dtype)))[:, None]
@@ -158,16 +147,17 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: list[np.ndarray])
 
 
 def factors(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray], h: np.ndarray, sizes: np.ndarray, groups: np.ndarray):
-    """(tokens, rows, outcomes, probabilities) of both factors, in steps of STEP tokens."""
+    """(tokens, rows, outcomes, probabilities) of both factors, in steps of STEP tokens; the next step overwrites the probabilities."""
     bits = weights.shape[1].bit_length() - 1
     x, classes, own = features(h, sizes), groups // GROUPS, groups % GROUPS
+    room = np.empty((2, min(STEP, len(h)), weights.shape[2]), np.float32)
     for at in range(0, len(h), STEP):
         part = slice(at, at + STEP)
         k = classes[part]
         rows = [rows_of(f[part], bits) for f in x]
-        yield part, 0, rows, k, probabilities(weights[0], bias[0], rows)
+        yield part, 0, rows, k, probabilities(weights[0], bias[0], rows, room)
         rows = [rows_of(f[part], bits, k) for f in x]
-        yield part, 1, rows, own[part], probabilities(weights[1], bias[1].take(k, axis=0), rows)
+        yield part, 1, rows, own[part], probabilities(weights[1], bias[1].take(k, axis=0), rows, room)
 
 
 def log_probabilities(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray], h: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -179,19 +169,10 @@ def log_probabilities(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray],
 
 
 def add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """total[rows] += values, where rows may repeat."""
-    # numpy sorts numbers of 16 bits by radix
-    order = np.argsort(rows.astype(np.uint16) if len(total) <= 1 << 16 else rows, kind="stable")
-    own = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    size = np.diff(starts, append=len(own))
-    once = starts[size == 1]
-    total[own[once]] += values.take(order[once], axis=0)
-    again = np.repeat(size > 1, size)
-    if again.any():
-        size = size[size > 1]
-        starts = np.cumsum(size) - size
-        total[own[again][starts]] += np.add.reduceat(values.take(order[again], axis=0), starts, axis=0)
+    """total[rows] += values, where rows may repeat; numbers go in pairs, as complex ones."""
+    pairs = total.shape[1] // 2
+    places = (rows * pairs)[:, None] + np.arange(pairs)
+    np.add.at(total.view(np.complex64).reshape(-1), places.reshape(-1), values.view(np.complex64).reshape(-1))
 
 
 def expectations(weights: np.ndarray, bias: tuple[np.ndarray, np.ndarray], h: np.ndarray, sizes: np.ndarray, groups: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:

@@ -7,8 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from heddle.llm import kneser_ney, maxent_lm
-from heddle.llm.common import hash_words, mix
+from heddle.llm import common, kneser_ney, maxent_lm
+from heddle.llm.common import hash_words, mix, text_words
 from heddle.llm.queries import op3_kneser_ney
 
 SPACES = {ord(c): " " for c in "\t\n\x0b\x0c\r"}
@@ -265,3 +265,30 @@ def test_lookup_shards():
     assert s.get(keys[3000:5000], -1).tolist() == list(range(3000, 4000)) + [-1] * 1000
     assert Shard(keys[:0], np.zeros(0, np.int64)).get(keys[:3], 7).tolist() == [7, 7, 7]
     assert len(set(hash_words([b"a", b"b", b"a"]).tolist())) == 2
+
+
+def test_words_of_texts_are_hashed_at_once_as_one_by_one():
+    words_of = lambda t: (t or b"").lower().split()
+    texts = [None, b"", b" \t", b"A\x0bb \xff\xc3\xa9\x00 \x85\xa0", *[b"%s Zz" % (bytes(range(40, 127)) * 2)[:k] for k in range(170)], b"Q" * 3_000_000, b"end"]
+    h, sizes = text_words(texts)
+    assert sizes.tolist() == [len(words_of(t)) for t in texts]
+    assert (h == hash_words([w for t in texts for w in words_of(t)])).all()
+    assert [len(x) for x in text_words([])] == [0, 0]
+
+
+def test_hashing_the_tokens_of_a_text_keeps_no_object_for_each_word():
+    common._words.clear()
+    text = b" ".join(b"w%d" % k for k in range(5000))
+    maxent_lm.tokens([text])
+    kneser_ney.grams([text])
+    assert not common._words and not hasattr(maxent_lm, "_words")
+
+
+def test_rows_that_repeat_are_added_in_place():
+    total, rows = np.zeros((8, maxent_lm.CLASSES), np.float32), np.array([3, 1, 3, 3, 7])
+    values = np.arange(5 * maxent_lm.CLASSES, dtype=np.float32).reshape(5, -1)
+    want = np.zeros_like(total)
+    for r, x in zip(rows, values, strict=True):
+        want[r] += x
+    maxent_lm.add_rows(total, rows, values)
+    assert (total == want).all()
