@@ -201,17 +201,15 @@ def blend_weight(df: DataFrame, grid: list[float], classes: int | None, by: list
     return both.groupBy(*by).agg(F.max_by(F.struct("weight", "macro_f1", "accuracy", "loss"), key).alias("b")).select(*by, "b.*")
 
 
-def estimator(spec: str, features: int, classes: int, seed: int = 7, trees: int = 512, hidden: tuple[int, ...] = (512, 256), iterations: int = 2000):
-    """Estimators of Spark ML by name, of the reference's sizes. The multilayer perceptron has neither class weights nor early stopping."""
-    from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+def estimator(spec: str, seed: int = 7, trees: int = 512, iterations: int = 2000):
+    """Estimators of Spark ML by name, of the reference's sizes."""
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
     common = {"featuresCol": "x", "labelCol": "label", "probabilityCol": "p"}
     if spec == "logistic":
         return LogisticRegression(**common, weightCol="weight", maxIter=iterations, regParam=1e-4)
     if spec == "forest":
         return RandomForestClassifier(**common, weightCol="weight", numTrees=trees, featureSubsetStrategy="sqrt", seed=seed)
-    if spec == "mlp":
-        return MultilayerPerceptronClassifier(**common, layers=[features, *hidden, classes], maxIter=40, seed=seed)
     raise ValueError(f"unknown model: {spec}")
 
 
@@ -282,12 +280,149 @@ def _fit_one(own: DataFrame, spec: str, classes: int, width: int, sizes: dict) -
     train = train.withColumn("weight", weight)
     if spec == "lda":
         return _lda(train, rest, classes)
-    model = Pipeline(stages=[StandardScaler(inputCol="v", outputCol="x", withMean=True), estimator(spec, width, classes, **sizes)]).fit(train)
+    scaler = StandardScaler(inputCol="v", outputCol="x", withMean=True)
+    if spec == "mlp":
+        scale = scaler.fit(train)
+        scaled = lambda rows, *c: scale.transform(rows).select(*c, vector_to_array("x").alias("x"))
+        fitted = perceptron(stored(scaled(train, "label"), "scaled"), width, classes, **sizes)
+        return perceptron_scores(scaled(rest, "split_id", "row_id", "role"), fitted)
+    model = Pipeline(stages=[scaler, estimator(spec, **sizes)]).fit(train)
     # a model's vector ends at its largest training label
     p = vector_to_array("p")
     return model.transform(rest).select("split_id", "row_id", "role", F.concat(p, F.array_repeat(F.lit(0.0), F.lit(classes) - F.size(p))).alias("p"))
 
 
+#: Rows that the network's products take at once.
+NETWORK_ROWS = 4096
+
+Layers = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _outputs(layers: Layers, x: np.ndarray) -> list[np.ndarray]:
+    """What each layer gives: logistic units, at last a softmax."""
+    out = [x]
+    for w, b in layers[:-1]:
+        out.append(1 / (1 + np.exp(-np.clip(out[-1] @ w + b, -500, 500))))
+    z = out[-1] @ layers[-1][0] + layers[-1][1]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return [*out, z / z.sum(axis=1, keepdims=True)]
+
+
+def network_loss(layers: Layers, x: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """The sum of the rows' cross entropies, and its gradient by all weights and biases in turn."""
+    out = _outputs(layers, x)
+    at = np.arange(len(x)), label
+    loss = -float(np.log(np.maximum(out[-1][at], 1e-300)).sum())
+    back = out[-1].copy()
+    back[at] -= 1
+    found: list[np.ndarray] = []
+    for k in range(len(layers) - 1, -1, -1):
+        found = [(out[k].T @ back).ravel(), back.sum(axis=0), *found]
+        if k:
+            back = back @ layers[k][0].T * out[k] * (1 - out[k])
+    return loss, np.concatenate(found)
+
+
+def _layers(flat: np.ndarray, widths: list[int]) -> Layers:
+    out, at = [], 0
+    for a, b in zip(widths[:-1], widths[1:], strict=True):
+        out.append((flat[at : at + a * b].reshape(a, b), flat[at + a * b : at + a * b + b]))
+        at += a * b + b
+    return out
+
+
+def _matrices(b: pa.RecordBatch):
+    """(slice, x) of a batch's rows, NETWORK_ROWS at a time."""
+    for at in range(0, b.num_rows, NETWORK_ROWS):
+        own = b.slice(at, NETWORK_ROWS)
+        yield own, own.column("x").flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+
+
+def perceptron(rows: DataFrame, features: int, classes: int, hidden: tuple[int, ...] = (512, 256), iterations: int = 40, tolerance: float = 1e-6, seed: int = 7) -> Layers:
+    """A multilayer perceptron of the reference's sizes, without class weights or early stopping; rows: label, x.
+
+    L-BFGS, as in Spark's own perceptron, whose products take four times as long as
+    numpy's: each step is one pass over all rows, of which each task sends one gradient,
+    and there are no more tasks than cores.
+    """
+    widths = [features, *hidden, classes]
+    rng = np.random.default_rng(seed)
+    w = np.concatenate([rng.uniform(-2.4, 2.4, (a + 1) * b) / a for a, b in zip(widths[:-1], widths[1:], strict=True)])
+    spark = rows.sparkSession
+    few = rows.coalesce(spark.sparkContext.defaultParallelism)
+
+    def value(flat: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast(flat)
+
+        def run(batches):
+            layers, loss, n, g = _layers(shared.value, widths), 0.0, 0, np.zeros(len(shared.value))
+            for b in batches:
+                for own, x in _matrices(b):
+                    label = own.column("label").to_numpy().astype(np.int64)
+                    if label.min() < 0 or label.max() >= classes:
+                        raise ValueError("label beyond the classes")
+                    more, by = network_loss(layers, x, label)
+                    loss, n = loss + more, n + own.num_rows
+                    g += by
+            yield pa.RecordBatch.from_pydict({"loss": [loss], "n": [n], "g": [g.tobytes()]})
+
+        got = few.mapInArrow(run, "loss double, n long, g binary").collect()
+        shared.destroy()
+        n = sum(r.n for r in got)
+        return sum(r.loss for r in got) / n, sum(np.frombuffer(r.g) for r in got) / n
+
+    f, g = value(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(iterations):
+        d, turns = -g, []
+        for s, y in reversed(past):
+            turns.append((s @ d) / (s @ y))
+            d = d - turns[-1] * y
+        if past:
+            s, y = past[-1]
+            d *= (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(turns), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope = float(g @ d)
+        if not slope < 0:
+            break
+        low, high, t = 0.0, np.inf, 1.0 if past else min(1.0, 1 / float(np.linalg.norm(g)))
+        for _ in range(20):  # a step by Wolfe's conditions
+            f1, g1 = value(w + t * d)
+            if not f1 <= f + 1e-4 * t * slope:
+                high = t
+            elif g1 @ d < 0.9 * slope:
+                low = t
+            else:
+                break
+            t = (low + high) / 2 if high < np.inf else 2 * t
+        if not f1 < f:
+            break
+        if (g1 - g) @ d > 0:
+            past = [*past[-9:], (t * d, g1 - g)]
+        done = f - f1 <= tolerance * max(abs(f), 1e-12)
+        w, f, g = w + t * d, f1, g1
+        if done:
+            break
+    return _layers(w, widths)
+
+
+def perceptron_scores(rows: DataFrame, layers: Layers) -> DataFrame:
+    """rows (x and others) with p in place of x."""
+    shared = rows.sparkSession.sparkContext.broadcast(layers)
+    others = [c for c in rows.columns if c != "x"]
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others) + "p array<double>"
+
+    def run(batches):
+        for b in batches:
+            for own, x in _matrices(b):
+                p = _outputs(shared.value, x)[-1]
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([*[own.column(c) for c in others], flat], [*others, "p"])
+
+    return rows.select(*others, "x").mapInArrow(run, schema)
+
+
 def _scatter(rows: DataFrame, d: int, center: list[float]) -> dict[tuple[int, int], float]:
     """Sums of outer products of the rows (column x) about a center, as (i, j) -> sum.
 
