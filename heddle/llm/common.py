@@ -107,6 +107,18 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: StructType | str) -> DataFrame:
+    """A few rows of the driver as a table.
+
+    An Arrow table needs no Python worker. A list given to createDataFrame() passes workers under other settings
+    than those of Arrow functions: each executor would keep a second daemon with its workers beside the first.
+    """
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows, strict=True)) or [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), kind)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.common import column, discard, fresh, map_arrow, materialize, mix, text_words
+from heddle.llm.common import column, discard, fresh, local_rows, map_arrow, materialize, mix, text_words
 from heddle.llm.hash_table import Table, shard_of
 
 _BEGIN, _END = np.uint64(0x51ED270B7A1F3C55), np.uint64(0x3C6EF372FE94F82B)
@@ -187,7 +187,7 @@ class Classifier:
             if n_docs + x.docs <= self.max_docs and total + x.words <= self.max_words:
                 chosen.append((x.doc_id,))
                 n_docs, total = n_docs + x.docs, total + x.words
-        own = F.broadcast(docs.sparkSession.createDataFrame(chosen, good.schema))
+        own = F.broadcast(local_rows(docs.sparkSession, chosen, good.schema))
         return docs.join(own, "doc_id", "left_semi"), good.join(own, "doc_id", "left_anti")
 
     def _level(self, mean: Column) -> Column:

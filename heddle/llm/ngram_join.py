@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import WHOLE, column, discard, fresh, hash_words, map_arrow, materialize, release, windows
+from heddle.llm.common import WHOLE, column, discard, fresh, hash_words, local_rows, map_arrow, materialize, release, windows
 from heddle.llm.components import connected_components
 
 #: A shingle that an Arrow batch holds so often is a candidate for the frequent ones.
@@ -384,7 +384,7 @@ def _grouped(docs: DataFrame, percent: int, counters: dict[str, int] | None = No
     rows = materialize(_rows(docs), "rows")
     classes = _classes(docs, _frequent(rows), percent)
     lists = _lists(classes)
-    none = docs.sparkSession.createDataFrame([], LINK)
+    none = local_rows(docs.sparkSession, [], LINK)
 
     def count(name: str, df: DataFrame) -> None:
         if counters is not None:

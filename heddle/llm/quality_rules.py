@@ -138,6 +138,7 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPL
     """
 
     def measure(batches):
+        enter(__name__)
         seconds, hits, n = [0.0] * len(rules), [0] * len(rules), 0
         for b in batches:
             texts = [t for t in map(Text, column(b, "text")) if not t.base_failed]
