@@ -70,7 +70,7 @@ def e1e_features(spark, sf_dir):
 @query("e1e_temporal_forest")
 def e1e(spark, sf_dir):
     s = views.sequences(spark, sf_dir).withColumn("half", F.col("row_id") % 2)
-    return scoring.temporal_forest(s, splits.leave_one_group_out(s, "half"), 2).select("split_id", "row_id", "role", F.transform("p", lambda x: F.round(x, 6)).alias("p"))
+    return scoring.temporal_forest(s, lambda rows: splits.leave_one_group_out(rows, "half"), 2).select("split_id", "row_id", "role", F.transform("p", lambda x: F.round(x, 6)).alias("p"))
 
 
 VALIDATION = """va AS (SELECT * FROM t WHERE event_id % 10 = 0 AND subject_id <> 'S03'),

@@ -260,6 +260,37 @@ def test_temporal_forest_sees_what_order_tells(spark):
     assert with_order > 0.8 and with_order > without + 0.15
 
 
+def test_sequences_are_dealt_once(spark):
+    assert views.sequences(spark, DATA)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_fits_and_members_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = labelled(spark)
+    slow = df.mapInArrow(count, df.schema)
+    got = scoring.fit_score(slow, lambda rows: splits.leave_one_group_out(rows, "fold"), "lda", 2)
+    assert sorted(map(tuple, got.select("split_id", "row_id", "role").collect())) == [(f"logo|{k}", r.row_id, "test") for k in range(3) for r in df.where(F.col("fold") == k).orderBy("row_id").collect()]
+    assert made.value == 400
+
+
+def test_forests_of_many_rows_take_few_nodes_at_once(spark, monkeypatch):
+    at_once = lambda rows: scoring.estimator("forest", 102, 2, rows=rows).getMaxMemoryInMB()
+    assert at_once(scoring.MANY_ROWS) == scoring.FEW_NODES_MB < at_once(scoring.MANY_ROWS - 1) == 256
+    monkeypatch.setattr(scoring, "MANY_ROWS", 1)
+    monkeypatch.setattr(scoring, "FEW_NODES_MB", 1)
+    r = random.Random(4)
+    rows = [(k, int(x[0] * x[1] > 0), x, k % 2) for k in range(600) for x in [[r.uniform(-1, 1) for _ in range(6)]]]
+    df = spark.createDataFrame(rows, "row_id long, label int, features array<double>, fold int")
+    p = scoring.fit_score(df, splits.leave_one_group_out(df, "fold"), "forest", 2, trees=200).join(df, "row_id")
+    assert p.count() == 600 and p.where((F.element_at("p", 2) > 0.5).cast("int") == F.col("label")).count() > 480
+
+
 def test_sequence_errors(spark):
     row = ([[1.0]], [1.0])
     names = [c for m in sequences.ASSIST for c in (m.values, m.mask)]
