@@ -202,7 +202,7 @@ def blend_weight(df: DataFrame, grid: list[float], classes: int | None, by: list
     return both.groupBy(*by).agg(F.max_by(F.struct("weight", "macro_f1", "accuracy", "loss"), key).alias("b")).select(*by, "b.*")
 
 
-#: From so many training rows on, a forest adds up the statistics of few nodes at once, which stay in a core's cache.
+#: From so many training rows on, a forest adds up the statistics of few nodes at once, which took less CPU time.
 MANY_ROWS, FEW_NODES_MB = 50_000, 4
 
 
