@@ -3,12 +3,14 @@
 import math
 import random
 import statistics
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import budget, inference, metrics, ordered, policies, scoring, sequences, splits
+from heddle.operators import budget, fusion, inference, metrics, ordered, policies, scoring, sequences, splits, trees
 from heddle.operators import signal as sig
+from heddle.plans import model_queries
 from heddle.sources import files, parts, views
 
 DATA = "/root/testdata/sf0.001"
@@ -370,6 +372,112 @@ def test_stacked_blend_takes_the_better_model(spark):
     assert out.count() == 300 and hit > 0.9
 
 
+# few sizes: the whole network is for the queries
+SMALL = fusion.Network(token=16, heads=2, layers=1, branch=8, tabular=8, epochs=12, rate=1e-2, batch=16)
+
+
+def test_stacked_query_blends_random_trees_with_the_network(spark, monkeypatch):
+    asked = {}
+
+    def whole(df, members, specs, classes, **sizes):
+        asked.update(specs=specs, sizes=sizes, columns=set(df.columns))
+        return members(df).withColumn("p", F.array(F.lit(1.0), F.lit(0.0)))
+
+    monkeypatch.setattr(scoring, "stacked_blend", whole)
+    model_queries.e1f_fit(spark, "/root/testdata/sf0.001")
+    assert asked["specs"] == ("extra_trees", "fusion") and not asked["sizes"]
+    assert {"features", *[c for m in sequences.ASSIST for c in (m.values, m.mask)]} <= asked["columns"]
+    n = fusion.Network()
+    assert (n.token, n.heads, n.layers, n.branch, n.tabular, n.batch, n.epochs, n.patience, n.share) == (160, 4, 2, 96, 256, 128, 28, 6, 0.1)
+
+
+def test_stacked_blend_reads_the_sequences(spark, monkeypatch):
+    monkeypatch.setattr(fusion, "PART_ROWS", 128)
+    r = random.Random(5)
+
+    def row(k):
+        up = k % 2
+        rise = [[r.gauss(0, 0.3) + (t if up else 5 - t)] for t in range(6)]
+        return (k, up, [r.gauss(0, 1), float(k % 3)], r.randrange(2), *[x for m in sequences.ASSIST for x in (rise if m.values == "assist_gaze" else [[1.0]] * 6, [1.0] * 6)])
+
+    types = ", ".join(f"{m.values} array<array<double>>, {m.mask} array<double>" for m in sequences.ASSIST)
+    df = spark.createDataFrame([row(k) for k in range(700)], f"row_id long, label int, features array<double>, half int, {types}")
+    family = lambda rows: splits.leave_one_group_out(rows, "half")
+    out = scoring.stacked_blend(df, family, ("extra_trees", "fusion"), 2, trees=20, network=SMALL).join(df.select("row_id", "label"), "row_id")
+    # the label is told only by the order of samples, which trees on the tabular features don't see
+    right = out.where(F.element_at("p", F.col("label") + 1) > 0.5).count()
+    assert out.count() == 700 and right > 650
+    assert out.where(F.abs(F.element_at("p", 1) + F.element_at("p", 2) - 1) > 1e-6).count() == 0
+
+
+def test_gradients_of_the_network(spark):
+    import numpy as np
+
+    of = fusion.Layout(((6, 2), (6, 1), (6, 3)), 2)
+    net = fusion.Network(token=8, heads=2, layers=2, branch=5, tabular=7, dropout=0.2, modality_dropout=0.2)
+    spec, r = fusion.shapes(net, of, 3), np.random.default_rng(0)
+    flat = fusion.begin(spec, 1).astype(float)
+    flat += r.normal(0, 0.05, len(flat))
+    x, label = r.normal(size=(9, of.width)), r.integers(0, 3, 9)
+    for _, mask in of.cut(x)[0]:
+        mask[...] = r.random(mask.shape) < 0.7
+    of.cut(x)[0][1][1][:3] = 0
+    at = lambda w: fusion.gradient(w, spec, net, of, x, label, np.array([1.0, 2.0, 0.5]), np.random.default_rng(5))
+    found, k = at(flat)[1], 0
+    for name, (shape, _) in spec.items():
+        size = int(np.prod(shape))
+        for i in r.choice(size, min(size, 4), replace=False) + k:
+            step = np.zeros(len(flat))
+            step[i] = 1e-5
+            assert abs((at(flat + step)[0] - at(flat - step)[0]) / 2e-5 - found[i]) < 1e-5 + 1e-3 * abs(found[i]), name
+        k += size
+
+
+def test_network_stops_where_held_out_rows_gain_nothing(spark, monkeypatch):
+    seen = []
+    real = fusion._epoch
+
+    def count(rows, state, parts, epoch, *rest):
+        seen.append((epoch, parts))
+        return real(rows, state, parts, epoch, *rest)
+
+    monkeypatch.setattr(fusion, "_epoch", count)
+    monkeypatch.setattr(fusion, "PART_ROWS", 200)
+    of = fusion.Layout(((2, 1),), 1)
+    r = random.Random(3)
+    df = spark.createDataFrame([("a", k, "train" if k < 300 else "test", k % 2, [r.gauss(0, 1) for _ in range(of.width)]) for k in range(320)], "split_id string, row_id long, role string, label int, x array<float>")
+    fit = lambda n, net: fusion.fit(df.where(F.col("row_id") < n), df.where("role = 'test'"), 3, [0, 1], of, net)
+    got = fit(300, replace(SMALL, epochs=60, patience=2, rate=0.05))
+    # labels are noise: the loss of the held-out rows gets no better for long
+    assert 3 <= len(seen) < 61 and {p for _, p in seen} == {2}
+    assert got.count() == 20 and all(r.p[2] == 0 and abs(sum(r.p) - 1) < 1e-9 for r in got.collect())
+    seen.clear()
+    fit(200, replace(SMALL, epochs=60, patience=2)).count()
+    assert [e for e, _ in seen] == [0, 1]
+
+
+def test_random_trees_cut_at_random_places(spark, monkeypatch):
+    rows = [(0, 0.0), (1, 1.0)] * 3
+    train = spark.createDataFrame([([v], k, 1.0) for k, v in rows], "x array<double>, label int, weight double")
+    rest = spark.createDataFrame([(k, [k / 10]) for k in range(-1, 12)], "row_id long, x array<double>")
+    grown = lambda: {r.row_id: r.p for r in trees.extra_trees(train, rest, 2, 1, trees=400).collect()}
+    p = grown()
+    assert len(p) == 13 and p[-1] == p[0] == [1.0, 0.0] and p[10] == p[11] == [0.0, 1.0]
+    # a cut lies below a value between the two as often as the value is far
+    assert all(abs(p[k][1] - k / 10) < 0.09 for k in range(1, 10))
+    monkeypatch.setattr(trees, "PAIRS", 1_500)
+    assert all(abs(a - b) < 1e-9 for k, xs in grown().items() for a, b in zip(xs, p[k], strict=True))
+
+
+def test_random_trees_grow_out(spark):
+    # both features tell only together; equal vectors keep the shares of their classes' weights
+    cells = [(x, y, (x + y) % 2, 3.0) for x in range(4) for y in range(4)] + [(2, 2, 1, 1.0)]
+    train = spark.createDataFrame([([float(x), float(y)], k, w) for x, y, k, w in cells], "x array<double>, label int, weight double")
+    rest = spark.createDataFrame([(x, y, [float(x), float(y)]) for x in range(4) for y in range(4)], "a int, b int, x array<double>")
+    for r in trees.extra_trees(train, rest, 2, 2, trees=30).collect():
+        assert r.p == pytest.approx([0.75, 0.25] if (r.a, r.b) == (2, 2) else [float((r.a + r.b) % 2 == 0), float((r.a + r.b) % 2)])
+
+
 def test_blends_of_splits(spark):
     rows = [("a", 0, [0.9, 0.1], [0.1, 0.9]), ("a", 1, [0.2, 0.8], [0.9, 0.1]), ("b", 0, [0.1, 0.9], [0.8, 0.2]), ("b", 1, [0.9, 0.1], [0.3, 0.7])]
     v = spark.createDataFrame(rows, "split_id string, label int, p_user array<double>, p_assist array<double>")
